@@ -78,17 +78,10 @@ def _embedding(fp: Column) -> Column:
     return a.bitwiseOR(b).bitwiseOR(F.shiftleft(a.bitwiseAND(b), 1))
 
 
-def _cells(fp: Column) -> list[Column]:
-    """Grid cells: the coordinates of 4 of the 8 blocks, with the number of the choice."""
-    packed = _embedding(fp)
-    blocks = [F.shiftrightunsigned(packed, 8 * k).bitwiseAND(F.lit(255)) for k in range(BLOCKS)]
-    out = []
-    for number, chosen in enumerate(combinations(range(BLOCKS), BLOCKS - DISTANCE)):
-        key = F.lit(number)
-        for k in chosen:
-            key = F.shiftleft(key.cast("long"), 8).bitwiseOR(blocks[k])
-        out.append(key)
-    return out
+def _masks() -> list[int]:
+    """For each choice of 4 of the 8 blocks, the bits of its coordinates, as signed longs."""
+    whole = [sum(255 << 8 * k for k in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - DISTANCE)]
+    return [m - (m >> 63 << 64) for m in whole]
 
 
 def _near(a: Column, b: Column) -> Column:
@@ -99,10 +92,10 @@ def _near(a: Column, b: Column) -> Column:
 
 def components(prints: DataFrame) -> DataFrame:
     """Of distinct fingerprints (fp): (node, label) for those with a link to another, label the least fp of the component."""
-    members = prints.select("fp", F.explode(F.array(*_cells(F.col("fp")))).alias("cell"))
-    # Cells of one member are most of all; the window's sort on (cell, fp) also serves the size of the cell.
-    cell = "partition by cell order by fp"
-    seen = members.select("cell", "fp", F.expr(f"lag(fp) over ({cell})").alias("previous"), F.expr(f"first(fp) over ({cell})").alias("first"), F.expr(f"row_number() over ({cell})").alias("place"))
+    members = prints.select("fp", F.posexplode(F.lit(_masks())).alias("choice", "mask"))
+    members = members.select("fp", "choice", _embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("at"))
+    cell = "partition by choice, at order by fp"
+    seen = members.select(F.struct("choice", "at").alias("cell"), "fp", F.expr(f"lag(fp) over ({cell})").alias("previous"), F.expr(f"first(fp) over ({cell})").alias("first"), F.expr(f"row_number() over ({cell})").alias("place"))
     seen = cut(seen.where(F.col("place") > 1))
     pairs = seen.select("fp", F.explode(F.array_distinct(F.array("previous", "first"))).alias("other"))
     edges = pairs.where(_near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()
