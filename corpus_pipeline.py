@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folia.llm import line_dedup, repetition, simhash
+from folia.llm import decontaminate, line_dedup, repetition, sampled_pieces, simhash
 from folia.llm.common import shared_dir, table
 
 STAGES = [
     ("quality rules", repetition.quality_stage),
     ("line dedup", line_dedup.stage),
     ("simhash near-dedup", simhash.stage),
+    ("benchmark decontamination", decontaminate.stage),
+    ("sentencepiece encoding", sampled_pieces.stage),
 ]
 
 #: SimHash needs XXH64, the repetition rules a suffix array: not expressible in DuckDB SQL. Tests hold run() against plain Python.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,3 +101,10 @@ def _arrow(kind):
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """UTF-8 bytes of the texts, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
+
+
+def numbered(items: list) -> tuple[np.ndarray, list]:
+    """Dense numbers of the items in order of first appearance, and the distinct items."""
+    index: dict = defaultdict(itertools.count().__next__)
+    codes = np.fromiter(map(index.__getitem__, items), np.int64, len(items))
+    return codes, list(index)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from folia.llm import license_scan, line_dedup, sharding, simhash
+from folia.llm import decontaminate, html_text, license_scan, line_dedup, ngram_score, personal_data, repetition, sampled_pieces, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_sharding": sharding.query,
+    "op4_repetition": repetition.query,
     "op5_line_dedup": line_dedup.query,
     "op6_simhash": simhash.query,
+    "op7_personal_data": personal_data.query,
+    "op8_sampled_pieces": sampled_pieces.query,
+    "op9_html_text": html_text.query,
+    "op10_ngram_score": ngram_score.query,
 }
+#: The other queries need XXH64, suffix arrays, sampling or trained models; tests hold them against plain Python.
 SQL = {"op1_license_scan": license_scan.SQL, "op3_sharding": sharding.SQL, "op5_line_dedup": line_dedup.SQL}

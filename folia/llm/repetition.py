@@ -18,12 +18,11 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import map_slices, table, texts_of
+from folia.llm.common import map_slices, numbered, table, texts_of
 
 WINDOW = 3
 MIN_WORDS = 50
@@ -41,8 +40,7 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Words of all texts as dense integers, and the number of words of each text."""
     split = [t.split() for t in texts]
     counts = np.array([len(w) for w in split], np.int64)
-    flat = [w for words in split for w in words]
-    return (pd.factorize(np.array(flat, object))[0] if flat else np.zeros(0, np.int64)).astype(np.int64), counts
+    return numbered([w for words in split for w in words])[0], counts
 
 
 def _classes(*keys: np.ndarray) -> np.ndarray:
