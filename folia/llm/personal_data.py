@@ -166,9 +166,8 @@ def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, instances: in
     found = rows.select("doc_id", "key", F.inline("found"))
     trusted = written(pattern_scores(found).where((F.col("confidence") >= confidence) & (F.col("instances") >= instances)).select("pattern"))
     more = found.where("not seed").join(trusted, "pattern").select("doc_id", "key", "start", "end").distinct()
-    more = more.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more"))
-    same = rows["doc_id"].eqNullSafe(more["doc_id"]) & (rows["key"] == more["key"])
-    both = rows.join(more, same, "left").select(rows["doc_id"], "n", "base", "sha", "more")
+    more = more.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("its")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more"))
+    both = rows.join(more, F.expr("doc_id <=> id and key = its"), "left")
     extra = F.array_join(F.transform("more", lambda s: F.concat_ws(":", F.lit("id"), s["start"].cast("string"), s["end"].cast("string"))), ",")
     return both.select(
         "doc_id", *[F.get("n", F.lit(k)).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])], F.col("sha").alias("base_sha256"),
