@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from folia.plans import text_queries
+
+QUERIES: dict = dict(text_queries.QUERIES)
+SQL: dict = dict(text_queries.SQL)
