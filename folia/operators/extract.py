@@ -241,7 +241,9 @@ def references(nodes: DataFrame) -> DataFrame:
     best = inner.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", F.struct(F.col("tag") != "mixed-citation", "node_id")).alias("cite"))
     chosen = items.join(best, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("cite", "node_id").alias("top_id"))
     targets = nodes.join(chosen.select("doc_id", F.col("top_id").alias("node_id")), ["doc_id", "node_id"], "left_semi")
-    html = chosen.join(inline_of(nodes, targets), ["doc_id", "top_id"], "left").select("doc_id", "node_id", "html")
+    # A whole reference is taken without its label, which has a column of its own.
+    unlabelled = nodes.withColumn("text", F.when(under("/ref-list/ref/label$"), "").otherwise(F.col("text")))
+    html = chosen.join(inline_of(unlabelled, targets), ["doc_id", "top_id"], "left").select("doc_id", "node_id", "html")
     out = items.join(labels, ["doc_id", "node_id"], "left").join(html, ["doc_id", "node_id"], "left").fillna("", ["label", "html"])
     number = F.coalesce(F.nullif("label", F.lit("")), F.col("pos").cast("string"))
     return out.select("doc_id", "pos", "id", "label", strip_ref_number(strip(F.col("html")), number).alias("html"))
