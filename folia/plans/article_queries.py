@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folia.operators import extract as X
 from folia.operators import nodes as N
-from folia.plans.fixtures import oracle, view
+from folia.plans.fixtures import kept, oracle, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -20,7 +20,7 @@ def register(name: str, query, sql: str | None = None) -> None:
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.node_table(view(spark, sf_dir, "fx_article_xml"))
+    return kept(N.node_table(view(spark, sf_dir, "fx_article_xml")))
 
 
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
@@ -55,10 +55,10 @@ register("f9_section_toc", lambda s, d: X.section_toc(X.sections(nodes(s, d))).s
 register("f10_figures", lambda s, d: X.figures(nodes(s, d)))
 register("f11_tables_cells", lambda s, d: X.table_cells(nodes(s, d)))
 register("f12_references", lambda s, d: X.references(nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "id", "label", "html"), "select doc_id, 1 as pos, 'r1' as id, '1' as label, 'Ref ' || source as html from documents")
-register("f13_inline_html", lambda s, d: X.inline_of(nodes(s, d), nodes(s, d).where(F.col("tag") == "mixed-citation")).select("doc_id", "html"), "select doc_id, '1. Ref ' || source as html from documents")
+register("f13_inline_html", lambda s, d: (lambda n: X.inline_of(n, n.where(F.col("tag") == "mixed-citation")))(nodes(s, d)).select("doc_id", "html"), "select doc_id, '1. Ref ' || source as html from documents")
 register("f14_serialize_xml", lambda s, d: N.serialize(nodes(s, d)).select("doc_id", F.md5("xml").alias("xml")), "select doc_id, md5(replace(xml, '<xref ref-type=\"aff\" rid=\"aff1\"/>', '<xref ref-type=\"aff\" rid=\"aff1\"></xref>')) as xml from fx_article_xml")
 register("f21_history_dates", lambda s, d: X.history_dates(nodes(s, d)))
-register("c10_move_orphan_tables", lambda s, d: N.move_orphans(N.node_table(with_loose_tables(s, d))).select("doc_id", "xml"))
+register("c10_move_orphan_tables", lambda s, d: N.move_orphans(kept(N.node_table(with_loose_tables(s, d)))).select("doc_id", "xml"))
 
 
 def with_loose_tables(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,12 @@ name; an oracle query gets it as common table expressions.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folia.streaming.usage import scratch
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _ARTICLE = """select doc_id, concat('<article article-type="research-article"><front><journal-meta><journal-id>',
@@ -132,3 +135,10 @@ def oracle(sql: str) -> str:
     if not parts:
         return sql
     return f"with {', '.join(parts)}{', ' + sql.lstrip()[5:] if sql.lstrip().lower().startswith('with ') else ' ' + sql}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder and read again: for rows that several operators use."""
+    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -19,7 +19,7 @@ from folia.operators import publish as P
 from folia.operators import validate as V
 from folia.plans import article_queries as AQ
 from folia.plans import jobs as J
-from folia.plans.fixtures import oracle, view
+from folia.plans.fixtures import kept, oracle, view
 from folia.sources import files as S
 from folia.sources.grammar import content_model
 from folia.streaming.ingest import stream_ingest
@@ -35,15 +35,8 @@ def register(name: str, query, sql: str | None = None) -> None:
         SQL[name] = oracle(sql)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read again."""
-    path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kept(AQ.nodes(spark, sf_dir))
+    return AQ.nodes(spark, sf_dir)
 
 
 # A: files. Word files are made from the documents, one paragraph per line, a table and a picture at the end.
