@@ -23,6 +23,10 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(N.node_table(view(spark, sf_dir, "fx_article_xml")))
 
 
+def rich_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept(N.node_table(view(spark, sf_dir, "fx_rich_xml")))
+
+
 _CLEAN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _TITLE = _CLEAN.format("substring(replace(text, chr(10), ' '), 1, 40)")
 _ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -43,7 +47,10 @@ register(
     "select doc_id, 'G' || (doc_id % 7) || ' S' || (doc_id % 50) as \"full\", '' as orcid, doc_id % 3 < 2 as corresponding, 'Inst ' || source as affiliations, 0 as emails from documents",
 )
 register("e6_author_affiliations", lambda s, d: X.author_affiliations(nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "affiliation"), "select doc_id, 1 as pos, 'Inst ' || source as affiliation from documents")
-register("e7_author_emails", lambda s, d: X.author_emails(nodes(s, d)).select("doc_id", "pos", "email"))
+register(
+    "e7_author_emails", lambda s, d: X.author_emails(rich_nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "email"),
+    "select doc_id, 1 as pos, 'm' || (doc_id % 5) || '@x.org' as email from documents union all select doc_id, 2, 'n' || (doc_id % 2) || '@x.org' from documents",
+)
 register("e8_citation_edges", lambda s, d: X.citations(nodes(s, d)).select("doc_id", F.col("k").cast("long").alias("k"), "rid", F.col("ref_pos").cast("long").alias("ref_pos")), "select doc_id, 0 as k, 'r1' as rid, 1 as ref_pos from documents")
 register("f7_abstract_paragraphs", lambda s, d: X.abstract_paragraphs(nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "html"), "select doc_id, 1 as pos, 'Short <em>abstract</em>.' as html from documents")
 register(
@@ -52,12 +59,21 @@ register(
  select doc_id, list_append(list_filter([trim({_HTML.format('p')}, ' ') for p in string_split(text, chr(10))], lambda p: p <> ''), 'See <a class="citation" href="#r1" data-rid="r1">1</a>.') as ps from documents) as x""",
 )
 register("f9_section_toc", lambda s, d: X.section_toc(X.sections(nodes(s, d))).select("doc_id", F.col("level").cast("long").alias("level"), "number", "shown", "title"), "select doc_id, 1 as level, '1' as number, '1' as shown, 'One' as title from documents")
-register("f10_figures", lambda s, d: X.figures(nodes(s, d)))
-register("f11_tables_cells", lambda s, d: X.table_cells(nodes(s, d)))
+register(
+    "f10_figures", lambda s, d: X.figures(rich_nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "id", "label", "caption", "href"),
+    "select doc_id, 1 as pos, 'fig-1' as id, 'F' as label, 'Cap & ' || (doc_id % 9) as caption, 'g' || (doc_id % 4) || '.png' as href from documents",
+)
+register(
+    "f11_tables_cells", lambda s, d: X.table_cells(rich_nodes(s, d)).select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("row_no", "cell_pos", "doc_pos")], "text"),
+    "select doc_id, 1 as row_no, 1 as cell_pos, 2 as doc_pos, 'h' as text from documents union all select doc_id, 1, 2, 1, cast(doc_id % 8 as varchar) from documents union all select doc_id, 2, 1, 1, 'second' from documents",
+)
 register("f12_references", lambda s, d: X.references(nodes(s, d)).select("doc_id", F.col("pos").cast("long").alias("pos"), "id", "label", "html"), "select doc_id, 1 as pos, 'r1' as id, '1' as label, 'Ref ' || source as html from documents")
 register("f13_inline_html", lambda s, d: (lambda n: X.inline_of(n, n.where(F.col("tag") == "mixed-citation")))(nodes(s, d)).select("doc_id", "html"), "select doc_id, '1. Ref ' || source as html from documents")
 register("f14_serialize_xml", lambda s, d: N.serialize(nodes(s, d)).select("doc_id", F.md5("xml").alias("xml")), "select doc_id, md5(replace(xml, '<xref ref-type=\"aff\" rid=\"aff1\"/>', '<xref ref-type=\"aff\" rid=\"aff1\"></xref>')) as xml from fx_article_xml")
-register("f21_history_dates", lambda s, d: X.history_dates(nodes(s, d)))
+register(
+    "f21_history_dates", lambda s, d: X.history_dates(rich_nodes(s, d)),
+    "select doc_id, 'received' as date_type, '1' as day, cast(1 + doc_id % 12 as varchar) as month, '2019' as year from documents union all select doc_id, 'accepted', null, null, '2020' from documents",
+)
 register("c10_move_orphan_tables", lambda s, d: N.move_orphans(kept(N.node_table(with_loose_tables(s, d)))).select("doc_id", "xml"))
 
 

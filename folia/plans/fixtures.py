@@ -51,6 +51,13 @@ from events""",
  (1,'OpenAI (gpt-4o)','openai','gpt-4o'), (2,'Mistral (mistral-large-latest)','mistral','mistral-large-latest'),
  (3,'Ollama (llama3.1)','ollama','llama3.1')) as t(roster_idx, label, provider, model)""",
     "fx_article_xml": _ARTICLE,
+    # The same articles with addresses, a note, a history, a figure and a table.
+    "fx_rich_xml": """select doc_id, replace(replace(replace(replace(xml, '<xref ref-type="aff" rid="aff1"/>',
+  concat('<xref ref-type="aff" rid="aff1"/><email>m', cast(doc_id % 5 as string), '@x.org</email><xref ref-type="corresp" rid="c1"/>')),
+ '</aff><pub-date>', concat('</aff><author-notes><corresp id="c1">Mail <email>n', cast(doc_id % 2 as string), '@x.org</email></corresp></author-notes><pub-date>')),
+ '<abstract>', concat('<history><date date-type="received"><day>1</day><month>', cast(1 + doc_id % 12 as string), '</month><year>2019</year></date><date date-type="accepted"><year>2020</year></date></history><abstract>')),
+ '<p>See ', concat('<fig><label>F</label><caption><p>Cap &amp; ', cast(doc_id % 9 as string), '</p></caption><graphic xlink:href="g', cast(doc_id % 4 as string), '.png"/></fig><table-wrap id="tab"><caption><p>T</p></caption><table><tr><td>', cast(doc_id % 8 as string), '</td><th>h</th></tr><tr><td>second</td></tr></table></table-wrap><p>See ')) as xml
+from fx_article_xml""",
     "fx_candidates": """select a.doc_id, r.roster_idx, r.label, r.provider, r.model,
  case (r.roster_idx + a.doc_id) % 4
   when 0 then a.xml

@@ -143,7 +143,12 @@ register(
 
 # F: publication
 _E = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-register("f15_html_sections", lambda s, d: P.html_sections(X.sections(nodes(s, d))).select("doc_id", F.length("html").cast("long").alias("n"), F.substring("html", 1, 100).alias("head")))
+_PARAS = f"""list_append(list_filter([trim({_E.format('p')}, ' ') for p in string_split(text, chr(10))], lambda p: p <> ''), 'See <a class="citation" href="#r1" data-rid="r1">1</a>.')"""
+register(
+    "f15_html_sections", lambda s, d: P.html_sections(X.sections(nodes(s, d))).select("doc_id", F.md5("html").alias("html")),
+    f"""select doc_id, md5('<section id="s1" class="article-section level-1 main-section"><h2><span class="section-number">1.</span><span class="section-title">One</span></h2>'
+ || array_to_string(['<p>' || p || '</p>' for p in {_PARAS}], '') || '</section>') as html from documents""",
+)
 register(
     "f16_html_keywords_authors", lambda s, d: (lambda n: P.html_keywords(X.keywords(n)).withColumnRenamed("html", "keywords").join(P.html_authors(X.authors(n)).withColumnRenamed("html", "authors"), "doc_id"))(nodes(s, d)),
     f"""select doc_id, '<section class="panel"><h3>Keywords</h3><ul class="keyword-list"><li>' || {_E.format('lang')} || '</li><li>' || {_E.format('source')} || '</li></ul></section>' as keywords,
@@ -151,8 +156,11 @@ register(
  || '<div class="author-affiliations">Inst ' || {_E.format('source')} || '</div></li></ul></section>' as authors from documents""",
 )
 register(
-    "f17_html_tables_figures_refs", lambda s, d: P.html_references(X.references(nodes(s, d))),
-    f"""select doc_id, '<section class="panel" id="references"><h3>References</h3><ol class="reference-list"><li id="r1">Ref ' || {_E.format('source')} || '</li></ol></section>' as html from documents""",
+    "f17_html_tables_figures_refs",
+    lambda s, d: (lambda n: P.html_references(X.references(n)).join(P.html_figures(X.figures(n)).withColumnRenamed("html", "figures"), "doc_id").join(P.html_tables(X.tables(n), X.table_cells(n)).withColumnRenamed("html", "tables"), "doc_id"))(AQ.rich_nodes(s, d)),
+    f"""select doc_id, '<section class="panel" id="figures"><h3>Figures</h3><figure id="fig-1" class="media"><img src="g' || (doc_id % 4) || '.png" alt="Cap &amp; ' || (doc_id % 9) || '" loading="lazy"><figcaption><span class="media-label">F</span> Cap &amp; ' || (doc_id % 9) || '</figcaption></figure></section>' as figures,
+ '<section class="panel" id="tables"><h3>Tables</h3><figure id="tab" class="table-wrap"><figcaption><span class="media-label">Table</span> T</figcaption><table><tr><td>h</td><td>' || (doc_id % 8) || '</td></tr><tr><td>second</td></tr></table></figure></section>' as tables,
+ '<section class="panel" id="references"><h3>References</h3><ol class="reference-list"><li id="r1">Ref ' || {_E.format('source')} || '</li></ol></section>' as html from documents""",
 )
 _FIGS = "select doc_id, case doc_id % 3 when 0 then concat(lang, '.png') when 1 then 'http://x/y.png' else 'none.gif' end as href from documents"
 
