@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,3 +64,9 @@ def catalog(models: DataFrame, include: str, exclude: str, preferred: str, most:
     kept = models.where(F.col("model").rlike(include) & ~F.col("model").rlike(exclude)).distinct()
     place = F.row_number().over(W.partitionBy("provider").orderBy(F.desc(F.col("model") == preferred), F.desc("model")))
     return kept.withColumn("place", place).where(F.col("place") <= most)
+
+
+def pick_version(wanted: Column, known: tuple[str, ...] = ("1.3", "1.4"), default: str = "1.4") -> tuple[Column, Column]:
+    """used, fell_back: the wanted grammar version if it is there, else the default."""
+    there = F.coalesce(wanted.isin(*known), F.lit(False))
+    return F.when(there, wanted).otherwise(default).alias("used"), (~there).alias("fell_back")

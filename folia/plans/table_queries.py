@@ -26,8 +26,7 @@ def register(name: str, query, sql: str | None = None) -> None:
 
 
 # The flagship: which candidate of each article is best?
-_FENCED = f"(select doc_id, roster_idx, {T.fence_sql('raw_response')} as x from fx_candidates) as c0"
-_XML = T.sanitize_steps(_FENCED.rsplit(" as c0", 1)[0] + " as c", "x")
+_XML = T.sanitize_steps(f"(select doc_id, roster_idx, {T.fence_sql('raw_response')} as x from fx_candidates) as c", "x")
 _BODY = T._BODY.replace("raw_response", "x")
 _LAZY = T._LAZY.replace("raw_response", "x")
 _SCORED = f"select doc_id, roster_idx, case when len({_LAZY}) = 0 and length({_BODY}) >= 500 then 100 else 20 end as score from {_XML}"
@@ -76,17 +75,11 @@ register(
 )
 _VERSIONED = "select doc_id, case doc_id % 3 when 0 then '1.3' when 1 then '1.4' else '9.9' end as wanted from documents"
 register(
-    "d8_grammar_version_fallback", lambda s, d: run(s, d, _VERSIONED).select("doc_id", *pick_version(F.col("wanted"))),
+    "d8_grammar_version_fallback", lambda s, d: run(s, d, _VERSIONED).select("doc_id", *E.pick_version(F.col("wanted"))),
     f"select doc_id, case when wanted in ('1.3', '1.4') then wanted else '1.4' end as used, wanted not in ('1.3', '1.4') as fell_back from ({_VERSIONED}) as v",
 )
 
 
-def pick_version(wanted):
-    """The configured grammar version if it is there, else the default, and whether that happened."""
-    known = wanted.isin("1.3", "1.4")
-    return F.when(known, wanted).otherwise("1.4").alias("used"), (~known).alias("fell_back")
-
-
 _CATEGORY = f"case when regexp_matches(message, '{Q.CONTENT_MODEL}') then 'content model' when regexp_matches(message, '{Q.NO_ATTRIBUTE}') then 'attribute' when regexp_matches(message, '{Q.UNDECLARED}') then 'undeclared element' when len(string_split(message, ':')) > 4 then 'structure' else 'other' end"
 register(
     "d19_error_report", lambda s, d: E.error_report(view(s, d, "fx_error_messages").select("doc_id", Q.error_category(F.col("message")).alias("category"))),

@@ -34,7 +34,6 @@ def column(name: str, source: str, keys: str, make, sql: str) -> None:
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _C, _CK = "fx_candidates", "doc_id, roster_idx"
-_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
 def strip_sql(x: str) -> str:
@@ -74,7 +73,7 @@ def root_sql(x: str) -> str:
 
 #: Raw responses with each defect planted, so that every clean-up step has rows to change.
 DEFECTS = "replace(replace(replace(raw_response, '<issn>', '<issn' || chr(10) || '<publisher-x>'), '<volume>', '<align=\"left\">v</align><break /><volume>'), '<body>', '<?xml version=\"1.0\"?><body><?xml version=\"1.0\"?>')"
-VIEW_DEFECTS = f"select doc_id, roster_idx, concat(' ', chr(10), {DEFECTS.replace('||', '||')}, ' ') as raw from fx_candidates"
+VIEW_DEFECTS = f"select doc_id, roster_idx, concat(' ', chr(10), {DEFECTS}, ' ') as raw from fx_candidates"
 
 
 def defects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +147,11 @@ register(
 column("c1_fence_extract", _C, _CK, lambda: F.md5(X.fence_extract(F.col("raw_response"))), f"md5({fence_sql('raw_response')})")
 _START = strip_sql("case when regexp_matches(raw_response, '(?s)(<\\?xml|<!DOCTYPE|<article).*') then regexp_replace(regexp_extract(raw_response, '(?s)(<\\?xml|<!DOCTYPE|<article).*', 0), '```$', '') else raw_response end")
 column("c2_xml_start_extract", _C, _CK, lambda: F.md5(X.xml_start_extract(F.col("raw_response"))), f"md5({_START})")
+_FENCED_XML = r"regexp_extract(raw_response, '(?si)```xml\s*(.*?)(?:```|$)', 1)"
+_SPACED = r"regexp_replace(text, '[\s\v]+', ' ', 'g')"
 column(
     "c3_corrected_xml_pick", _C, _CK, lambda: F.md5(X.corrected_xml_pick(F.col("raw_response"))),
-    f"md5(case when starts_with({strip_sql('raw_response')}, '<') then {strip_sql('raw_response')} when regexp_matches(raw_response, '(?i)```xml') then {strip_sql(chr(40) + 'regexp_extract(raw_response, ' + repr('(?si)```xml' + chr(92) + 's*(.*?)(?:```|$)').replace(chr(92) * 2, chr(92)) + ', 1)' + chr(41))} end)",
+    f"md5(case when starts_with({strip_sql('raw_response')}, '<') then {strip_sql('raw_response')} when regexp_matches(raw_response, '(?i)```xml') then {strip_sql(_FENCED_XML)} end)",
 )
 defect("c4_strip_bom_trim", X.strip_bom_trim, bom_sql)
 defect("c5_fix_truncated_tag", X.fix_truncated_tag, truncated_sql)
@@ -193,7 +194,7 @@ register(
 column("c14_json_object_slice", "fx_metadata_raw", "doc_id", lambda: X.json_object_slice(F.col("response")), _JSON)
 register("c15_metadata_parse", lambda s, d: _meta(s, d).select("doc_id", *_META, F.coalesce(F.size("meta.authors"), F.lit(0)).cast("long").alias("authors"), "error"), f"select doc_id, article_title, journal_title, publication_date, doi, authors, case when not ok then substring(j, 1, 500) end as error from ({_FIELDS}) as f")
 register("c16_metadata_normalize", lambda s, d: _meta(s, d).select("doc_id", "meta.doi"), f"select doc_id, doi from ({_FIELDS}) as f")
-column("c17_clean_whitespace", "documents", "doc_id", lambda: F.md5(X.clean_whitespace(F.col("text"))), f"md5({strip_sql(chr(40) + 'regexp_replace(text, ' + chr(39) + '[' + chr(92) + 's' + chr(92) + 'v]+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')' + chr(41))})")
+column("c17_clean_whitespace", "documents", "doc_id", lambda: F.md5(X.clean_whitespace(F.col("text"))), f"md5({strip_sql(_SPACED)})")
 _PRE = "concat('lead & text ', chr(12), '<!DOCTYPE x>', replace(xml, 'Short', 'Short & &lt; &#12; &x'), ' tail')"
 _PRE_SQL = """replace(replace(p, chr(11), ' '), chr(12), ' ')"""
 register(
