@@ -31,3 +31,12 @@ def test_stages_keep_the_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(50), small).columns == docs.columns, name
+
+
+def test_stages_take_odd_and_empty_tables(spark, small):
+    from tests.llm.test_contracts import ODD
+
+    docs = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, small).count() <= len(ODD), name
+        assert stage(spark, docs.limit(0), small).count() == 0, name
