@@ -1,21 +1,30 @@
 """Operator 7: personal data by fixed formats and bootstrapped contextual extraction.
 
 Fixed formats find emails, addresses, cards and phones; these are the seeds. Every seed, and every other
-token that looks like an identifier (6 or more of ``[A-Za-z0-9_-]``, 3 or more of them digits), has a
-lexical pattern: the two words before it. Spark scores the graph of patterns and instances in rounds: a
-pattern's confidence is the mean score of its distinct instances, damped by one; an instance's score is
-that of a noisy-or over its patterns; seeds keep score 1. Patterns with enough confidence and instances
-then mark what stands behind them as ``id``, values never seen as seeds included.
-
-The scan is one pass over the texts; the graph holds one row per distinct pattern and instance, and only
-keys, patterns and places are shuffled, never texts. Instances travel as digests.
-
-Defined results: null text has no spans; repeated rows are scanned on their own; a text's first words
-have shorter patterns; other columns are ignored; an empty table gives an empty result.
+token that looks like an identifier (6 or more of ``[A-Za-z0-9_-]``, 3 or more of them digits), stands in
+lexical patterns of several granularities (``patterns_of``): two words before it, one word and
+punctuation before it, one word before it with the token's shape, the words on both sides. Punctuation next to the token is
+part of all of them. A token without a word before it is in no pattern.
+
+Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the sum of its
+distinct instances' scores over their number, damped by one; an instance's score is that of its best
+pattern (the granularities share their evidence, so it is not added up). Seeds keep score 1, and opaque
+tokens (keys, hashes: letters and digits mixed at random) keep at least ``OPAQUE``. What else follows a
+pattern's context counts against it: the distinct ordinary words there are instances of score 0. They can only
+lower a confidence, so a second pass over the texts counts them for the patterns that are trusted without them.
+Patterns with enough confidence and instances then mark the identifiers in them as ``id``, values
+never seen as seeds included. A hash that is no secret looks like a key and is marked alike.
+
+The graph holds one row per distinct pattern and instance, and only keys, patterns, places and digests of words
+are shuffled, never texts. The contexts of the patterns to count reach the tasks through the driver.
+
+Defined results: null text has no spans; repeated rows are scanned on their own; a token with one word
+before it has no pattern of two; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -30,6 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "id")
 ROUNDS = 3
 CONFIDENCE = 0.75
 INSTANCES = 3
+OPAQUE = 0.9  # least score of an opaque token: five distinct ones make a pattern
 CONTEXT = 200  # code points before a span in which its two words are looked for
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,7 +51,11 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
-_WORD = re.compile(r"[^\W\d_]+|[=:#]")
+_WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"\w+")
+_SPACE = re.compile(r"\s+")
+_SWAP = re.compile(r"[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])")
+_RUNS = re.compile(r"([a9])\1+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -117,8 +131,99 @@ def identifiers(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
-def pattern_of(text: str, start: int) -> str:
-    return " ".join(_WORD.findall(text[max(0, start - CONTEXT) : start].lower())[-2:])
+def opaque(token: str) -> bool:
+    """Letters and digits mixed at random, as in a key: 16 or more characters that change sides 5 times or more."""
+    return len(token) >= 16 and "@" not in token and len(_SWAP.findall(token)) >= 5
+
+
+def shape_of(token: str) -> str:
+    if opaque(token):
+        return "*"
+    return _RUNS.sub(r"\1", re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", token)))
+
+
+def _side(gap: str) -> str:
+    return re.sub(r"[0-9]+", "9", _SPACE.sub("", gap))
+
+
+def contexts_of(text: str, start: int, end: int) -> list[str]:
+    """What surrounds a token, finest last: its left word, its two left words, its words on both sides; none without a left word."""
+    left = text[max(0, start - CONTEXT) : start].lower()
+    words = list(_WORD.finditer(left))[-2:]
+    if not words:
+        return []
+    one = f"{words[-1].group()} {_side(left[words[-1].end() :])}"
+    out = [f"1 {one}"]
+    if len(words) == 2:
+        out.append(f"2 {words[0].group()} {_side(left[words[0].end() : words[1].start()])} {one}")
+    right = text[end : end + CONTEXT].lower()
+    if word := _WORD.search(right):
+        out.append(f"3 {one} _ {_side(right[: word.start()])} {word.group()}")
+    return out
+
+
+def patterns_of(text: str, start: int, end: int) -> list[tuple[str, str]]:
+    """(pattern, context) of a token: each context, but the left word alone needs punctuation or the token's shape."""
+    out = []
+    for context in contexts_of(text, start, end):
+        if context[0] != "1" or context[-1] != " ":
+            out.append((context, context))
+        if context[0] == "1":
+            out.append((f"{context} {shape_of(text[start:end])}", context))
+    return out
+
+
+class Known:
+    """Contexts by their left word: those of the left word alone, the second left words and the right words of the others."""
+
+    def __init__(self, contexts: list[str]):
+        self.all = frozenset(contexts)
+        self.by_word: dict[str, tuple[set, set, set]] = {}
+        for context in contexts:
+            parts = context.split(" ")
+            ones, twos, threes = self.by_word.setdefault(parts[3 if parts[0] == "2" else 1], (set(), set(), set()))
+            {"1": ones, "2": twos, "3": threes}[parts[0]].add({"1": context, "2": parts[1], "3": parts[-1]}[parts[0]])
+
+
+def ordinary(texts: list[str], known: Known) -> set[tuple[str, str]]:
+    """(context, digest) of the words that follow a known context and are neither seeds nor identifiers."""
+    out: set[tuple[str, str]] = set()
+    done: set[tuple[str, str, str]] = set()  # (left word, gap, word) whose left word alone is dealt with
+    get = known.by_word.get
+    for text in texts:
+        spans = None
+        last = before = ""
+        at = 0  # end of the last word
+        for m in _RUN.finditer(text):
+            (start, end), run = m.span(), m.group().lower()
+            here, second, gap_at = last, before, at
+            if run.isalpha():
+                before, last, at = last, run, end
+            else:
+                for word in _WORD.finditer(text, start, end):
+                    before, last, at = last, word.group().lower(), word.end()
+            if (want := get(here)) is None:
+                continue
+            ones, twos, threes = want
+            key = (here, text[gap_at:start], run)
+            new = bool(ones) and key not in done
+            more = second in twos or threes and (right := _WORD.search(text, end)) and right.group().lower() in threes
+            if not (new or more):
+                continue
+            if spans is None:
+                seeds = base_spans(text)
+                spans = sorted([(a, b) for _, a, b in seeds] + identifiers(text, seeds))
+            k = bisect.bisect_left(spans, (end, 0))
+            if any(b > start for _, b in spans[max(0, k - 3) : k]):
+                continue
+            both = known.all.intersection(contexts_of(text, start, end)) if more else set()
+            if new:
+                done.add(key)
+                both |= ones & {f"1 {here} {_side(key[1])}"}
+            if both:
+                digest = xxhash.xxh64_hexdigest(run)
+                out.update((context, digest) for context in both)
+    return out
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -135,36 +240,61 @@ def _scan(batch: pa.RecordBatch) -> dict:
         out["base"].append(base)
         out["sha"].append(hashlib.sha256(base.encode()).hexdigest())
         spans = [(True, a, b) for _, a, b in seeds] + [(False, a, b) for a, b in (identifiers(text, seeds) if _DIGIT.search(text) else [])]
-        out["found"].append([{"pattern": pattern_of(text, a), "instance": xxhash.xxh64_hexdigest(text[a:b].lower()), "start": a, "end": b, "seed": s} for s, a, b in spans])
+        out["found"].append(
+            [
+                {"pattern": p, "context": c, "instance": xxhash.xxh64_hexdigest(text[a:b].lower()), "start": a, "end": b, "seed": s, "prior": 1.0 if s else OPAQUE * opaque(text[a:b])}
+                for s, a, b in spans
+                for p, c in patterns_of(text, a, b)
+            ]
+        )
     return {"doc_id": batch.column("doc_id"), "key": batch.column("key")} | out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n (count of each base kind), base, sha, found (pattern, instance, start, end, seed) per row."""
+    """doc_id, key, n (count of each base kind), base, sha, found (pattern, context, instance, start, end, seed, prior) per row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", row_key("text").alias("key"), "text")
-    found = "array<struct<pattern:string,instance:string,start:bigint,end:bigint,seed:boolean>>"
+    found = "array<struct<pattern:string,context:string,instance:string,start:bigint,end:bigint,seed:boolean,prior:double>>"
     return map_slices(rows, "text", _scan, f"doc_id {kind}, key long, n array<bigint>, base string, sha string, found {found}")
 
 
-def pattern_scores(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Of rows (pattern, instance, seed): pattern, confidence, instances."""
-    edges = cut(found.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    scores = edges.groupBy("instance").agg(F.max("seed").alias("score"))
+def pattern_scores(edges: DataFrame, others: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Of distinct edges (pattern, context, instance, prior), and others (context, others: number of ordinary words): pattern, context, confidence, instances."""
+    scores = edges.groupBy("instance").agg(F.max("prior").alias("score"))
     patterns = None
     for k in range(rounds):
-        patterns = edges.join(scores, "instance").groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.count("*").alias("instances"))
+        patterns = edges.join(scores, "instance").groupBy("pattern", "context").agg(F.sum("score").alias("total"), F.count("*").alias("instances"))
+        patterns = patterns.withColumn("others", F.lit(0)) if others is None else patterns.join(others, "context", "left").fillna(0, ["others"])
+        patterns = patterns.select("pattern", "context", "instances", (F.col("total") / (F.col("instances") + F.col("others") + 1)).alias("confidence"))
         if k < rounds - 1:
-            noisy_or = 1 - F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
-            scores = cut(edges.join(patterns, "pattern").groupBy("instance").agg(F.greatest(F.max("seed"), noisy_or).alias("score")))
+            scores = cut(edges.join(patterns.drop("context", "instances"), "pattern").groupBy("instance").agg(F.greatest(F.max("prior"), F.max("confidence")).alias("score")))
     return patterns
 
 
+def other_words(docs: DataFrame, contexts: DataFrame) -> DataFrame:
+    """context, others: how many distinct ordinary words follow each of the contexts."""
+    known = Known([row["context"] for row in contexts.toLocalIterator()])
+
+    def count(batch: pa.RecordBatch) -> dict:
+        seen = ordinary([text or "" for text in batch.column("text").to_pylist()], known) if known.all else ()
+        return {"context": [c for c, _ in seen], "word": [w for _, w in seen]}
+
+    return map_slices(docs.select("text"), "text", count, "context string, word string").distinct().groupBy("context").agg(F.count("*").alias("others"))
+
+
+def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, instances: int = INSTANCES) -> DataFrame:
+    enough = (F.col("confidence") >= confidence) & (F.col("instances") >= instances)
+    edges = cut(found.groupBy("pattern", "context", "instance").agg(F.max("prior").alias("prior")))
+    possible = written(pattern_scores(edges).where(enough).select("pattern", "context"))
+    others = written(other_words(docs, possible.select("context").distinct()))
+    return written(pattern_scores(cut(edges.join(possible.select("pattern"), "pattern")), others).where(enough).select("pattern"))
+
+
 def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, instances: int = INSTANCES) -> DataFrame:
     """One row per row of docs (doc_id, text): counts of the fixed kinds, their digest, and all spans."""
     rows = cut(scan(docs))
     found = rows.select("doc_id", "key", F.inline("found"))
-    trusted = written(pattern_scores(found).where((F.col("confidence") >= confidence) & (F.col("instances") >= instances)).select("pattern"))
+    trusted = trusted_patterns(docs, found, confidence, instances)
     more = found.where("not seed").join(trusted, "pattern").select("doc_id", "key", "start", "end").distinct()
     more = more.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("its")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more"))
     both = rows.join(more, F.expr("doc_id <=> id and key = its"), "left")

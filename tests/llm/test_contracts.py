@@ -172,6 +172,20 @@ def test_patterns_find_unseen_identifiers(spark):
     assert out[9] == "id:27:37" and out[10] == "" and out[0].startswith("email:27:")
 
 
+def test_tokens_are_found_and_chance_contexts_are_not(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("la", "mo", "ri", "tu", "se") for b in ("na", "po", "ki", "ve", "do")]
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(12)]
+    rows = [(k, f'{rng.choice(words)} {rng.choice(words)} token = "{key}" {rng.choice(words)} {rng.choice(words)}') for k, key in enumerate(keys)]
+    rows += [(20, 'lana token = "abc-123456" mopo')]  # not opaque: known by its context alone
+    rows += [(30 + k, f"u{k}@site.example starts a text") for k in range(8)] + [(40, "8294846167456848 starts a text too")]
+    rows += [(50 + k, f"as the of v{k}@site.example is") for k in range(8)] + [(60, "as the of 8294846167456848 is")] + [(61 + k, f"as the of {w} is") for k, w in enumerate(words)]
+    rows += [(90 + k, f"published on 2019-05-1{k} in {w}") for k, w in enumerate(words[:9])]
+    out = {r.doc_id: r.spans for r in personal_data.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(out[k] == f"id:{t.index(key)}:{t.index(key) + 40}" for (k, t), key in zip(rows, keys, strict=False))
+    assert out[20] == "id:14:24" and out[40] == out[60] == out[90] == ""
+
+
 def test_personal_data_query(spark, small):
     rows = {r.doc_id: r for r in personal_data.query(spark, small).collect()}
     for i, text, _ in documents(small):
