@@ -6,10 +6,13 @@ it writes the current word and moves on by one random bit of (j, word); few edit
 step, so edit distance becomes Hamming distance. Each repetition samples ``SAMPLES`` places of the
 embedding; a window that starts at any word of a text is a candidate for an item if all sampled words
 agree. Walks are lazy: places are visited in order, and only windows whose sampled words so far lead to
-an item are walked on. With agreement p per place, a passage is found with 1 - (1 - p^SAMPLES)^REPEATS:
-over 0.98 at p = 0.8, and always if it is unedited. Items are grouped by length, and a group's places lie
-within windows of its items' size. Candidates are verified by their exact edit distance in words to the
-best end of the window: at most ``MAX_EDITS`` of the item's length.
+an item are walked on. Items are grouped by length, and a group's places lie within windows of its items'
+size. Unedited passages are always found this way, edited ones the less the more edits and words there are.
+
+So that no passage within the limit is lost, each item is also cut into one segment more than it may have
+edits: by pigeonhole one of them stands unedited in the text (``segment_hits``). Every occurrence of a segment gives
+a stretch of text in which the item may lie. Candidates are verified by their exact edit distance in words:
+at most ``MAX_EDITS`` of the item's length. Recall is 1.
 
 The benchmark is a stated query set and goes to the tasks in blocks of ``BLOCK`` items; documents are
 scanned once per block and not shuffled.
@@ -42,6 +45,16 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_BLANKS).split()
 
 
+def _hashes(symbols: np.ndarray, length: int) -> np.ndarray:
+    """63-bit hash of every run of so many symbols."""
+    n = max(len(symbols) - length + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(length):
+        out = (out ^ symbols[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
 class Index:
     """Hash bits of the items' words and, per repetition and length group, a trie of sampled words."""
 
@@ -58,6 +71,7 @@ class Index:
         for k, (_, w) in enumerate(self.items):
             groups.setdefault(int(np.log(len(w)) / np.log(1.25)), []).append(k)
         reach = 2 * max([len(w) for _, w in self.items], default=0)
+        self.cuts: dict[float, list] = {}
         self.bits, self.tries = [], []
         for r in range(repeats if self.items else 0):
             bits = rng.integers(0, 1 << 63, (reach // 63 + 1, self.end + 1), np.int64)
@@ -71,6 +85,35 @@ class Index:
                 tries.append(self._trie(members, places, bits))
             self.tries.append((first, tries))
 
+    def segments(self, max_edits: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length of segments: filter of their hashes, the sorted hashes, and each one's item and place in it."""
+        if max_edits not in self.cuts:
+            found: dict[int, list[tuple[int, int, int]]] = {}
+            for k, (_, words) in enumerate(self.items):
+                ids = np.array([self.vocabulary[w] for w in words], np.int64)
+                n = min(int(max_edits * len(ids)) + 1, len(ids))
+                edges = [i * len(ids) // n for i in range(n + 1)]
+                for low, high in zip(edges, edges[1:], strict=False):
+                    found.setdefault(high - low, []).append((int(_hashes(ids[low:high], high - low)[0]), k, low))
+            self.cuts[max_edits] = []
+            for length, rows in sorted(found.items()):
+                keys, items, places = (np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
+                known = np.zeros(1 << 22, bool)
+                known[keys & (1 << 22) - 1] = True
+                self.cuts[max_edits].append((length, known, keys, items, places))
+        return self.cuts[max_edits]
+
+    def segment_hits(self, symbols: np.ndarray, max_edits: float) -> list[tuple[int, int, int]]:
+        """(start, item, place of the segment): where an item would start if the segments found in a sequence had no edits before them."""
+        found: set[tuple[int, int, int]] = set()
+        for length, known, keys, items, places in self.segments(max_edits):
+            hashes = _hashes(symbols, length)
+            at = np.flatnonzero(known[hashes & (1 << 22) - 1])
+            first, last = (np.searchsorted(keys, hashes[at], side) for side in ("left", "right"))
+            for p, low, high in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                found.update((p - int(places[i]), int(items[i]), p) for i in range(low, high))
+        return sorted(found)
+
     def _trie(self, members: list[int], places: list[int], bits: np.ndarray):
         """places, and per level the sorted keys (node, word) with the items that end there."""
         levels: list[dict[int, int]] = [{} for _ in places]
@@ -157,6 +200,42 @@ def edits_to_prefix(item: list, text: list, most: int) -> tuple[int, int] | None
     return best if best[0] <= most else None
 
 
+def distances(item: list, text: list, anywhere: bool) -> list[int]:
+    """Edit distance of item to the best stretch of text that ends at each place (anywhere), or to each prefix; bit-parallel, by Myers."""
+    n = len(item)
+    masks: dict[int, int] = {}
+    for i, word in enumerate(item):
+        masks[word] = masks.get(word, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n - 1
+    plus, minus, score, out = full, 0, n, [n]
+    for word in text:
+        match = masks.get(word, 0)
+        across = (((match & plus) + plus) ^ plus) | match | minus
+        up, down = minus | ~(across | plus) & full, plus & across
+        score += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | (not anywhere)) & full, down << 1 & full
+        vertical = match | minus
+        plus, minus = down | ~(vertical | up) & full, up & vertical
+        out.append(score)
+    return out
+
+
+def best_stretch(item: list, text: list, most: int) -> tuple[int, int, int] | None:
+    """(edits, start, words) of the stretch of text nearest to item, the first and then the shortest of equals; None if over most."""
+    ends = distances(item, text, True)
+    least = min(ends)
+    if least > most:
+        return None
+    back = item[::-1]
+    stretches = []
+    for end, d in enumerate(ends):
+        if d == least:
+            low = max(0, end - len(item) - least)
+            lengths = distances(back, text[low:end][::-1], False)
+            stretches += [(least, end - n, n) for n, e in enumerate(lengths) if e == least]
+    return min(stretches)
+
+
 def leaks_in(texts: list[bytes], index: Index, max_edits: float) -> list[list[tuple[int, int, int, int]]]:
     """For each text (item_id, start, n_words, edits) of every item found, by item_id then start."""
     get = index.vocabulary.get
@@ -182,6 +261,20 @@ def leaks_in(texts: list[bytes], index: Index, max_edits: float) -> list[list[tu
             found = (hit[0], start - int(offsets[row]), hit[1])
             if (row, k) not in best or found < best[row, k]:
                 best[row, k] = found
+    reached: dict[tuple[int, int], int] = {}  # how far a row's text is searched for an item
+    for start, k, place in index.segment_hits(array, max_edits):
+        row = int(np.searchsorted(offsets, place, side="right")) - 1
+        words = index.items[k][1]
+        most = int(max_edits * len(words))
+        base, end = int(offsets[row]), int(offsets[row + 1]) - 1
+        low, high = max(base, start - most), min(end, start + len(words) + most)
+        if reached.get((row, k), -1) >= high or (row, k) in best and best[row, k][0] == 0 and best[row, k][1] <= low - base:
+            continue
+        reached[row, k] = high
+        if hit := best_stretch([index.vocabulary[w] for w in words], symbols[low:high], most):
+            found = (hit[0], low - base + hit[1], hit[2])
+            if (row, k) not in best or found < best[row, k]:
+                best[row, k] = found
     for (row, k), (edits, start, n) in best.items():
         out[row].append((index.items[k][0], start, n, edits))
     return [sorted(x, key=lambda h: (h[0] is None, h[0] or 0, h[1])) for x in out]
@@ -201,6 +294,7 @@ def indexes(benchmark: DataFrame, block: int = BLOCK):
 
 def annotate(docs: DataFrame, index: Index, max_edits: float = MAX_EDITS) -> DataFrame:
     """Rows of docs in the struct column ``row`` with ``leaks``, an array of the items found in its text."""
+    index.segments(max_edits)  # built once, here
     kind = docs.schema.simpleString()
     leak = "struct<item_id:bigint,start:bigint,n_words:bigint,edits:bigint>"
     names = ("item_id", "start", "n_words", "edits")

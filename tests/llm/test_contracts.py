@@ -295,6 +295,31 @@ def test_recall_of_edited_items(small, rate, least):
     assert hits / n >= least
 
 
+@pytest.mark.parametrize("rate", [0.15, 0.2])
+def test_every_edited_item_is_found(rate):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}".encode() for k in range(300)]
+    items = [(k, b" ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate([8, 10, 14, 40, 58, 150, 400] * 4)]
+    index = decontaminate.Index(items)
+    texts = [b""] * 4
+    for k, t in items:
+        w = t.split()
+        for _ in range(int(rate * len(w))):
+            at, what = rng.randrange(len(w)), rng.random()
+            w[at : at + 1] = [rng.choice(vocabulary)] if what < 1 / 3 else [] if what < 2 / 3 else [w[at], rng.choice(vocabulary)]
+        texts += [b" ".join(rng.choices(vocabulary, k=k % 3) + w), b"", b"", b""]
+    leaks = decontaminate.leaks_in(texts, index, decontaminate.MAX_EDITS)
+    assert all(any(h[0] == k for h in leaks[4 + 4 * k]) for k, _ in items)
+
+
+def test_best_stretch_equals_enumeration():
+    rng = random.Random(2)
+    for _ in range(300):
+        item, text = rng.choices("abc", k=rng.randint(1, 7)), rng.choices("abc", k=rng.randint(0, 12))
+        all_of = [(decontaminate.edits_to_prefix(item, text[k:], 99), k) for k in range(len(text) + 1)]
+        assert decontaminate.best_stretch(item, text, 99) == min((d, k, n) for (d, n), k in all_of)
+
+
 def test_edits_to_prefix():
     assert decontaminate.edits_to_prefix(list("abcd"), list("abcdxx"), 1) == (0, 4)
     assert decontaminate.edits_to_prefix(list("abcd"), list("abdxx"), 1) == (1, 3)
