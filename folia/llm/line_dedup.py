@@ -1,8 +1,9 @@
 """Operator 5: line dedup by site-relative frequency.
 
 Per host, the share of its pages that hold a line is the line's boilerplate ratio; lines over the limit
-go. A page that would lose more than ``max_loss`` of its characters this way is a copy of other pages
-rather than a page with boilerplate: it stays whole for near-duplicate detection.
+go. A page that would lose more than ``max_loss`` of its characters this way may be one of many copies of a text:
+it loses only lines that are over the limit when equal texts of the host count once. So copies stay
+whole for near-duplicate detection, and boilerplate goes from every page. (The SQL below leaves all such pages whole.)
 
 Lines are counted as 128-bit digests, with map-side combining, so a line of half of all pages is one
 small row per task. By pigeonhole a host has at most (its mean lines a page) / ratio boilerplate lines,
@@ -30,21 +31,24 @@ def _digests(lines: Column) -> Column:
 
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """site, drop array<binary>: digests of the lines that exceed the ratio on a site."""
+    """site, drop and own array<binary>: digests of the lines that exceed the ratio on a site, own those that also do among its distinct texts."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     # An extra null line per page carries the page count through the same aggregation.
     marked = F.concat(F.array(F.lit(None).cast("binary")), F.array_distinct(_digests(lines)))
-    counts = docs.select(F.col(host).alias("site"), F.explode(marked).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    texts = docs.select(F.col(host).alias("site"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("_same"), marked.alias("_lines"))
+    texts = texts.groupBy("site", "_same").agg(F.count("*").alias("copies"), F.first("_lines").alias("_lines"))
+    counts = texts.select("site", "copies", F.explode("_lines").alias("line")).groupBy("site", "line").agg(F.sum("copies").alias("n"), F.count("*").alias("n_own"))
     counts = counts.where((F.col("n") >= min_pages) | F.col("line").isNull())
-    totals = counts.where(F.col("line").isNull()).select("site", F.col("n").alias("pages"))
+    totals = counts.where(F.col("line").isNull()).select("site", F.col("n").alias("pages"), F.col("n_own").alias("texts"))
     lines = counts.where(F.col("line").isNotNull())
     both = lines.join(totals, lines["site"].eqNullSafe(totals["site"])).where(F.col("n") > ratio * F.col("pages"))
-    return both.groupBy(lines["site"]).agg(F.collect_list("line").alias("drop"))
+    own = (F.col("n_own") >= min_pages) & (F.col("n_own") > ratio * F.col("texts"))
+    return both.groupBy(lines["site"]).agg(F.collect_list("line").alias("drop"), F.collect_list(F.when(own, F.col("line"))).alias("own"))
 
 
 def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, max_loss: float = MAX_LOSS) -> DataFrame:
-    """docs with boilerplate lines taken out of ``text``, plus n_lines, n_dropped, whole (left as it was)."""
-    drops = written(boilerplate(docs, host, ratio, min_pages)).withColumnsRenamed({"site": "_site", "drop": "_drop"})
+    """docs with boilerplate lines taken out of ``text``, plus n_lines, n_dropped, whole (a copy, left as it was)."""
+    drops = written(boilerplate(docs, host, ratio, min_pages)).withColumnsRenamed({"site": "_site", "drop": "_drop", "own": "_own"})
     text = F.coalesce("text", F.lit(""))
     both = docs.join(drops, docs[host].eqNullSafe(drops["_site"]), "left").drop("_site")
     lines = F.split(text, "\n")
@@ -54,9 +58,13 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     kept = F.when(F.size("_here") == 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_here"), F.unhex(F.md5(x)))))
     both = both.withColumn("_kept", kept).withColumn("_text", F.array_join("_kept", "\n"))
     whole = F.length(text) - F.length("_text") > max_loss * F.length(text)
-    both = both.withColumn("whole", whole).withColumn("n_lines", F.size(lines).cast("long"))
-    both = both.withColumn("n_dropped", F.when(F.col("whole"), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long"))
-    return both.withColumn("text", F.when(F.col("whole") | (F.size("_here") == 0), F.col("text")).otherwise(F.col("_text"))).drop("_drop", "_here", "_kept", "_text")
+    both = both.withColumn("_much", whole)
+    # Such a page loses its host's own boilerplate only, if it has any.
+    left = F.when(F.col("_much"), F.filter(lines, lambda x: ~F.array_contains(F.col("_own"), F.unhex(F.md5(x))))).otherwise(F.col("_kept"))
+    both = both.withColumn("_left", left).withColumn("whole", F.col("_much") & (F.size("_left") == F.size(lines)))
+    both = both.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", (F.size(lines) - F.size("_left")).cast("long"))
+    out = both.withColumn("text", F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join("_left", "\n")))
+    return out.drop("_drop", "_own", "_here", "_kept", "_text", "_much", "_left")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,3 +390,11 @@ def test_line_dedup_keeps_copies_whole(spark):
     rows = [(k, f"page {k} has words\n{note}\nand more of {k}", "h") for k in range(40)] + [(100 + k, "one text\nof many copies", "h") for k in range(40)] + [(200, note, "other")]
     out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
     assert out[0] == "page 0 has words\nand more of 0" and out[100] == "one text\nof many copies" and out[200] == note
+
+
+def test_line_dedup_drops_boilerplate_from_short_pages(spark):
+    note = "cookies are used on this site, as on many others"
+    rows = [(k, f"page {k} has words and more of them\n{note}\nand still more of {k}", "h") for k in range(40)] + [(50, f"own line\n{note}", "h"), (51, note, "h")]
+    rows += [(100 + k, f"copied text\n{note}", "h") for k in range(9)]
+    out = {r.doc_id: (r.text, r.n_dropped, r.whole) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    assert out[50] == ("own line", 1, False) and out[51] == ("", 1, False) and out[100] == ("copied text", 1, False)
