@@ -11,7 +11,8 @@ coordinates and then the exact distance. No link is missed.
 Only distinct fingerprints are joined, so exact copies cost one row. Inside a cell, each member is
 compared with the cell's first and its previous member; components of these links are labelled, and all
 pairs are compared only in cells that still hold several components (a group of many near copies is one
-component by then). Result: the fingerprint's class and component for every document.
+component by then). Of those, cells of more than ``FULL`` members are first split by halving their segments to
+single bits, so that unrelated prints do not fill cells as the corpus grows (``pairs_across``). Result: the fingerprint's class and component for every document.
 
 Defined results: null text counts as empty; texts without words have fingerprint zero and link like any
 other; a null doc_id takes part, and is never the smallest id; other columns are ignored.
@@ -22,16 +23,19 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import cut, map_slices, table, texts_of
+from folia.llm.common import cut, map_slices, row_key, table, texts_of, written
 from folia.llm.graph import connected_components
 
 SHINGLE = 4
 DISTANCE = 4
 BLOCKS = 8
+FULL = 32  # members of a cell above which it is split by single bits
+SALTS = 8
 
 
 def fingerprint_of(words: list[bytes], size: int = SHINGLE) -> int:
@@ -67,9 +71,14 @@ def _fingerprints(texts: list[bytes], size: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the 64 bits of the fingerprint as a long, for every row."""
+    """doc_id, key and fp (the 64 bits of the fingerprint as a long) for every row of docs (doc_id, text); key is a hash of both."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_slices(docs.select("doc_id", "text"), "text", lambda b: {"doc_id": b.column("doc_id"), "fp": _fingerprints(texts_of(b), size)}, f"doc_id {kind}, fp long")
+    rows = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
+
+    def make(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": _fingerprints(texts_of(batch), size)}
+
+    return map_slices(rows, "text", make, f"doc_id {kind}, key long, fp long")
 
 
 def _embedding(fp: Column) -> Column:
@@ -90,10 +99,30 @@ def _near(a: Column, b: Column) -> Column:
     return (bound <= DISTANCE) & (F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)
 
 
+def _masked(fp: Column, choice: Column) -> Column:
+    return fp.bitwiseAND(F.get(F.lit(_masks()), choice))
+
+
+def pairs_across(rows: DataFrame) -> DataFrame:
+    """Of rows (cell, n, fp, label), n the cell's size: every pair (a, la, b, lb) of members with different labels, la < lb, that is to be compared.
+
+    Cells of more than ``FULL`` members are split: their segments are halved to single bits. A link of up to 4 bits changes
+    at most 4 of the 8 blocks, so there is a choice of 4 blocks in which both prints agree bit by bit, not in bit counts
+    alone: nothing is lost, and unrelated prints share such a cell with chance 2^-32 instead of (3/8)^16.
+    """
+    bits = F.when(F.col("n") > FULL, _masked(F.col("fp"), F.col("cell.choice"))).otherwise(F.lit(0))
+    rows = rows.select("cell", bits.alias("bits"), "fp", "label")
+    mixed = rows.groupBy("cell", "bits").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    rows = cut(rows.join(mixed.select("cell", "bits"), ["cell", "bits"], "left_semi"))
+    a = rows.select("cell", "bits", F.col("fp").alias("a"), F.col("label").alias("la"))
+    b = rows.select("cell", "bits", F.col("fp").alias("b"), F.col("label").alias("lb"))
+    return a.join(b, ["cell", "bits"]).where(F.col("la") < F.col("lb")).select("a", "la", "b", "lb")
+
+
 def components(prints: DataFrame) -> DataFrame:
     """Of distinct fingerprints (fp): (node, label) for those with a link to another, label the least fp of the component."""
-    members = prints.select("fp", F.posexplode(F.lit(_masks())).alias("choice", "mask"))
-    members = members.select("fp", "choice", _embedding(F.col("fp")).bitwiseAND(F.col("mask")).alias("at"))
+    members = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(_masks()) - 1))).alias("choice"))
+    members = members.select("fp", "choice", _masked(_embedding(F.col("fp")), F.col("choice")).alias("at"))
     cell = "partition by choice, at order by fp"
     seen = members.select(F.struct("choice", "at").alias("cell"), "fp", F.expr(f"lag(fp) over ({cell})").alias("previous"), F.expr(f"first(fp) over ({cell})").alias("first"), F.expr(f"row_number() over ({cell})").alias("place"))
     seen = cut(seen.where(F.col("place") > 1))
@@ -102,12 +131,9 @@ def components(prints: DataFrame) -> DataFrame:
     labels = connected_components(edges)
     # In cells of up to three members the pairs above are all pairs. Larger ones are looked at again if they hold several components.
     large = seen.groupBy("cell").agg(F.max("place").alias("n"), F.first("first").alias("first")).where("n > 3")
-    rows = seen.select("cell", "fp").join(large.select("cell"), "cell", "left_semi").unionByName(large.select("cell", F.col("first").alias("fp")))
-    rows = rows.join(labels, rows["fp"] == labels["node"], "left").select("cell", "fp", F.coalesce("label", "fp").alias("label"))
-    mixed = rows.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    rows = cut(rows.join(mixed.select("cell"), "cell", "left_semi"))
-    a, b = rows.select("cell", F.col("fp").alias("a"), F.col("label").alias("la")), rows.select("cell", F.col("fp").alias("b"), F.col("label").alias("lb"))
-    across = a.join(b, "cell").where((F.col("la") < F.col("lb")) & _near(F.col("a"), F.col("b")))
+    rows = seen.select("cell", "fp").join(large.select("cell", "n"), "cell").unionByName(large.select("cell", "n", F.col("first").alias("fp")))
+    rows = rows.join(labels, rows["fp"] == labels["node"], "left").select("cell", "n", "fp", F.coalesce("label", "fp").alias("label"))
+    across = pairs_across(rows).where(_near(F.col("a"), F.col("b")))
     merged = connected_components(across.select(F.col("la").alias("u"), F.col("lb").alias("v")).distinct())
     # A label that only the second pass links is a fingerprint that the first pass left alone.
     nodes = labels.unionByName(merged.select("node", F.col("node").alias("label")).join(labels.select("node"), "node", "left_anti"))
@@ -115,15 +141,26 @@ def components(prints: DataFrame) -> DataFrame:
     return nodes.join(merged, nodes["label"] == merged["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
 
 
+def first_of_components(rows: DataFrame, first: Column) -> DataFrame:
+    """Of rows with a fingerprint fp: one row (fp, first) per distinct fp, with the least ``first`` of its component.
+
+    Only linked fingerprints are joined by their label; a label of very many fingerprints is spread over ``SALTS`` keys.
+    """
+    classes = cut(rows.groupBy("fp").agg(F.min(first).alias("least")))
+    linked = components(classes.select("fp"))
+    labelled = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", "label")
+    labelled = cut(labelled.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")))
+    part = labelled.where("label is not null")
+    least = part.groupBy("label", "salt").agg(F.min("least").alias("first")).groupBy("label").agg(F.min("first").alias("first"))
+    least = least.select("label", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    alone = labelled.where("label is null").select("fp", F.col("least").alias("first"))
+    return alone.unionByName(part.join(least, ["label", "salt"]).select("fp", "first"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id of the component) for every row of docs (doc_id, text)."""
     rows = cut(fingerprints(docs, size))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(classes.select("fp"))
-    labelled = classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(least, "label").select("fp", "component_id")
-    return rows.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(first_of_components(rows, F.col("doc_id")), "fp").select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def hex_of(fp: Column) -> Column:
@@ -136,7 +173,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component, one row of it. Rows without a doc_id stay."""
-    ids = near_duplicates(docs.where("doc_id is not null")).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each component: that of the smallest doc_id, null last; among rows of one doc_id, that of the least hash of id and text.
+
+    Only keys are shuffled: documents meet the written table of the keys that go, which Spark broadcasts while it is small.
+    Rows that repeat both id and text share a key; one of them stays.
+    """
+    rows = cut(fingerprints(docs))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    firsts = first_of_components(rows, order)
+    judged = rows.join(firsts, "fp").groupBy("key").agg(F.first(F.col("key") == F.col("first.key")).alias("stays"), F.count("*").alias("n"))
+    judged = cut(judged.where(~F.col("stays") | (F.col("n") > 1)))
+    go, again = written(judged.where(~F.col("stays")).select("key")), written(judged.where("stays").select("key"))
+    keyed = docs.select(F.struct("*").alias("row"), row_key("doc_id", "text").alias("key"))
+    kept = keyed.join(go, "key", "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(again, "key", "left_anti")
+    repeats = kept.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row"))
+    return once.select("row.*").unionByName(repeats.select("row.*"))
