@@ -362,10 +362,21 @@ def test_marginals_equal_enumeration():
     assert np.allclose(model.marginals(parents, pot, kinds), weight[:, 1] / weight.sum(axis=1))
 
 
-def test_license_threshold(spark):
-    rows = [(1, "this work is licensed under the GNU General Public License version 3"), (2, "the work of the public"), (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (4, "all rights are reserved now")]
+def wrapped(text, width):
+    """A notice as it stands in files: wrapped, with comment marks, punctuation and capitals."""
+    w = text.split()
+    return "\n".join(" * " + " ".join(w[k : k + width]).capitalize() + "," for k in range(0, len(w), width))
+
+
+def test_license_notices(spark):
+    rows = [(1, "this work is licensed under the GNU General Public License version 3"), (2, "the work of the public"), (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (4, "ALL RIGHTS\nRESERVED now")]
+    rows += [(5, "all the permissions and rights that users of tables have are reserved for readers " * 30)]
+    texts = [t for _, t in license_scan.TEMPLATES if len(t.split()) > 20]
+    rows += [(100 + k, f"{'some words before ' * 9}\n{wrapped(t, 9)}\n{'and some after ' * 40}") for k, t in enumerate(texts)]
     out = {r.doc_id: (r.labels, r.n_base) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert out == {1: ("gpl-3", 0), 2: ("", 0), 3: ("apache-2", 1), 4: ("all-rights-reserved", 0)}
+    assert [out[k] for k in (1, 2, 3, 4, 5)] == [("gpl-3", 0), ("", 0), ("apache-2", 1), ("all-rights-reserved", 0), ("", 0)]
+    labels = {t: label for label, t in license_scan.TEMPLATES}
+    assert all(labels[t] in out[100 + k][0].split(",") for k, t in enumerate(texts))
 
 
 def test_shards_fit(spark, tmp_path):
@@ -385,16 +396,51 @@ def test_shards_fit(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 100
 
 
-def test_line_dedup_keeps_copies_whole(spark):
-    note = "cookies are used on this site"
-    rows = [(k, f"page {k} has words\n{note}\nand more of {k}", "h") for k in range(40)] + [(100 + k, "one text\nof many copies", "h") for k in range(40)] + [(200, note, "other")]
-    out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
-    assert out[0] == "page 0 has words\nand more of 0" and out[100] == "one text\nof many copies" and out[200] == note
+def test_every_row_reaches_one_shard(spark, tmp_path):
+    rows = [(None, "x"), (1, "a"), (1, "b"), (1, "b"), (2, None), (3, "y" * 900), (None, None)] + [(k, "w" * (k % 97)) for k in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as shard", "2 as key", "3 as n_bytes")
+    sums = {r.shard: r for r in sharding.write_shards(docs, str(tmp_path / "s"), 500).collect()}
+    back = spark.read.parquet(str(tmp_path / "s")).selectExpr("shard", "row.doc_id", "row.text", "input_file_name() as f").collect()
+    assert sorted(map(repr, rows)) == sorted(repr((r.doc_id, r.text)) for r in back)
+    files, size = defaultdict(set), Counter()
+    for r in back:
+        files[r.shard].add(r.f)
+        size[r.shard] += len((r.text or "").encode())
+    assert all(len(f) == 1 for f in files.values()) and size == {k: r.shard_bytes for k, r in sums.items() if k in size}
+    assert [r.shard for r in back if r.doc_id == 3] and sum(size[r.shard] > 500 for r in back) == 1
 
 
-def test_line_dedup_drops_boilerplate_from_short_pages(spark):
+def test_line_dedup_counts_copies_once(spark):
     note = "cookies are used on this site, as on many others"
-    rows = [(k, f"page {k} has words and more of them\n{note}\nand still more of {k}", "h") for k in range(40)] + [(50, f"own line\n{note}", "h"), (51, note, "h")]
-    rows += [(100 + k, f"copied text\n{note}", "h") for k in range(9)]
-    out = {r.doc_id: (r.text, r.n_dropped, r.whole) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
-    assert out[50] == ("own line", 1, False) and out[51] == ("", 1, False) and out[100] == ("copied text", 1, False)
+    rows = [(k, f"page {k} has words and more of them\n{note}\nand still more of {k}", "h") for k in range(40)] + [(50, f"own line\n{note}\n\r\n\t", "h"), (51, note, "h"), (52, "\r\n\t\nx", "h")]
+    rows += [(100 + k, "one text\nof many copies", "h") for k in range(40)] + [(200, f"copied text\n{note}", "h")] * 9 + [(300, note, "other"), (301, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(("whole", "n_lines", "n_dropped", "row", "drop", "site", "here", "kept", "_text", "_drop"))])
+    out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert out[0].text == "page 0 has words and more of them\nand still more of 0" and out[100].text == "one text\nof many copies" and out[300].text == note
+    assert (out[50].text, out[50].n_dropped, out[51].text, out[200].text, out[301].text) == ("own line\n\r\n\t", 1, "", "copied text", None)
+    staged = line_dedup.stage(spark, docs, "").collect()
+    assert len(staged) == len(rows) and staged[0].asDict().keys() == set(docs.columns) and (staged[0].whole, staged[0].n_lines, staged[0]._drop) == (0, 1, 9)
+
+
+def test_simhash_stage_keeps_one_row_of_each_component(spark):
+    other = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, "same text of some words " * 20), (1, "same text of some words " * 20), (1, other), (2, other), (None, other), (None, None), (3, ""), (None, "x y z"), (None, "x y z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as key", "2 as fp", "3 as row", "4 as stays")
+    got = simhash.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted([(1, rows[0][1]), (1, other), (3, ""), (None, "x y z")], key=repr)
+
+
+def test_candidate_pairs_follow_the_input(spark, monkeypatch):
+    """Random prints: the pairs that the second pass compares are at most FULL / 2 a member, and few where cells are split by bits."""
+    monkeypatch.setattr(simhash, "FULL", 4)
+    for n in (10_000, 40_000):
+        rows = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        cells = rows.select("fp", F.explode(F.sequence(F.lit(0), F.lit(69))).alias("choice"))
+        cells = cells.select("fp", F.struct("choice", simhash._masked(simhash._embedding(F.col("fp")).bitwiseAND(F.lit(0xFFFF)), F.col("choice")).alias("at")).alias("cell"))
+        sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 3")
+        pairs = simhash.pairs_across(cells.join(sizes, "cell").select("cell", "n", "fp", F.col("fp").alias("label"))).count()
+        alike = cells.groupBy("cell").agg(F.count("*").alias("n")).agg(F.sum(F.expr("n * (n - 1) / 2"))).first()[0]
+        assert pairs < alike / 100
+
+
