@@ -193,38 +193,62 @@ def test_personal_data_query(spark, small):
         assert rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and rows[i].spans.startswith(base)
 
 
-def test_scores(spark, small, monkeypatch):
-    monkeypatch.setattr(ngram_score, "SHARD", 40_000)
-    rows = {r.doc_id: r for r in ngram_score.query(spark, small).collect()}
-    token = {i: t.encode().lower().split() + [b"\n"] for i, t, _ in documents(small)}
-    one, two = Counter(), Counter()
+@pytest.mark.parametrize(("shard", "partitions", "common", "slice_bytes"), [(40_000, 4096, 1e-4, 50_000), (10_000, 3, 1e-3, 12_000_000), (10**9, 4096, 1e-6, 12_000_000)])
+def test_scores(spark, small, monkeypatch, shard, partitions, common, slice_bytes):
+    """Whole result against plain Python: many shards and slices, several shards a partition, one shard; hot pairs in all."""
+    for name, value in (("SHARD", shard), ("PARTITIONS", partitions), ("COMMON", common), ("SLICE", slice_bytes), ("HOT", 2e-3), ("CHUNK", 20_000)):
+        monkeypatch.setattr(ngram_score, name, value)
+    docs = documents(small)
+    copy_of = next(t for i, t, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2 and len(t) > 1000)
+    twice = next(i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    docs.append((twice, copy_of, None))
+    rows = {r.doc_id: r for r in ngram_score.score(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
+    assert len(rows) == len(docs)
+    token = {i: t.encode().lower().split() + [b"\n"] for i, t, _ in docs}
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in token.items():
         if zlib.crc32(str(i).encode()) % 7 != 2:
+            long = [b"\n", b"\n", *w]
             one.update(w)
-            two.update(zip([b"\n", *w], w, strict=False))
-    scale = sum(one.values()) + len(one) + 1
+            two.update(zip(long[1:], w, strict=False))
+            three.update(zip(long, long[1:], w, strict=False))
+    total, scale = sum(one.values()), sum(one.values()) + len(one) + 1
+    often = {x for x, n in one.items() if n > common * total}
+    rest = (scale - sum(one[x] + 1 for x in often)) / scale / (len(one) - len(often) + 1)
+    mu2, mu3 = ngram_score.MU2, ngram_score.MU3
     held = base = model = 0
     for i, w in token.items():
-        r = rows[i]
+        r, s, u, v = rows[i], 0.0, b"\n", b"\n"
+        for n, x in enumerate(w):
+            p = (two[v, x] + mu2 * ((one[x] + 1) / scale if x in often else rest)) / (one[v] + mu2)
+            s += math.log10((three[u, v, x] + mu3 * p) / ((two[u, v] if n else one[b"\n"]) + mu3))
+            u, v = v, x
         b = sum(math.log10((one[x] + 1) / scale) for x in w)
-        s = sum(math.log10(two[p, x] + ngram_score.MU * (one[x] + 1) / scale) - math.log10(one[p] + ngram_score.MU) for p, x in zip([b"\n", *w], w, strict=False))
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(one[x] > 0 for x in w), sum(one.values()), zlib.crc32(str(i).encode()) % 7 == 2)
-        assert abs(r.base_score - b) < 1e-6 and abs(r.score - s) < 1e-3 * len(w)
-        if r.held_out:
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(one[x] > 0 for x in w), total, zlib.crc32(str(i).encode()) % 7 == 2)
+        assert abs(r.base_score - b) < 1e-6 and abs(r.score - s) < 1e-3 * len(w), (i, r.score, s)
+        if r.held_out and i != twice:
             held, base, model = held + len(w), base + r.base_score, model + r.score
-    assert model > base  # the bigram model tells more of texts that it has not seen
+    assert model > base  # the trigram model tells more of texts that it has not seen
+    assert rows[twice].score / len(token[twice]) > model / held + 1  # and knows a text of which it has seen a copy
 
 
-def test_elias_fano(tmp_path):
+def test_elias_fano(tmp_path, monkeypatch):
     import numpy as np
 
+    monkeypatch.setattr(ngram_score, "CHUNK", 64)
     rng = np.random.default_rng(3)
-    for n in (1, 2, 70, 1000):
-        v = np.sort(rng.integers(0, 1 << 40, n)).astype(np.uint64)
-        ef = ngram_score.EliasFano(v, str(tmp_path), f"t{n}")
-        assert (ef.get(np.arange(n)) == v).all()
-        q = rng.integers(0, 1 << 40, 200).astype(np.uint64)
-        assert (ef.successor(np.zeros(200, np.int64), np.full(200, n), q) == np.searchsorted(v, q)).all()
+    for n, top in ((1, 40), (2, 40), (70, 3), (64, 30), (65, 30), (1000, 40), (1000, 62), (300, 1)):
+        v = np.sort(rng.integers(0, 1 << top, n)).astype(np.uint64)
+        ef = ngram_score.EliasFano(v, str(tmp_path), f"t{n}-{top}")
+        assert (ef.get(np.arange(n)) == v).all() and (ef.values(n // 3, n) == v[n // 3 :]).all()
+        q = np.concatenate([rng.integers(0, 1 << top, 200).astype(np.uint64), v])
+        begin = rng.integers(0, n + 1, len(q))
+        end = rng.integers(begin, n + 1)
+        at, there = ef.successor(begin, end, q)
+        assert at.tolist() == [b + int(np.searchsorted(v[b:e], x)) for b, e, x in zip(begin, end, q, strict=True)]
+        first = np.searchsorted(v, q)
+        assert there.tolist() == [bool(a < e and v[a] == x and a == f) for a, e, x, f in zip(at, end, q, first, strict=True)]
+        assert ef.low.nbytes <= (n * ef.low_bits >> 3) + 24  # low bits are packed
 
 
 def test_sampled_segmentations():
