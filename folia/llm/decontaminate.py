@@ -5,7 +5,7 @@ case), so spacing, punctuation and case do not matter. The CGK random walk embed
 it writes the current word and moves on by one random bit of (j, word); few edits leave two walks in
 step, so edit distance becomes Hamming distance. Each repetition samples ``SAMPLES`` places of the
 embedding; a window that starts at any word of a text is a candidate for an item if all sampled words
-agree. Walks are lazy: places are visited in order, and only windows whose sampled words so far lead to
+agree. Walks are lazy: their bits are hashes, made as they are needed, places are visited in order, and only windows whose sampled words so far lead to
 an item are walked on. Items are grouped by length, and a group's places lie within windows of its items'
 size. Unedited passages are always found this way, edited ones the less the more edits and words there are.
 
@@ -14,27 +14,32 @@ edits: by pigeonhole one of them stands unedited in the text (``segment_hits``).
 a stretch of text in which the item may lie. Candidates are verified by their exact edit distance in words:
 at most ``MAX_EDITS`` of the item's length. Recall is 1.
 
-The benchmark is a stated query set and goes to the tasks in blocks of ``BLOCK`` items; documents are
-scanned once per block and not shuffled.
+The benchmark is a stated query set and goes to the tasks in blocks of at most ``BLOCK`` items and ``BLOCK_BYTES`` of text (a
+longer item comes alone). Documents are scanned once per block and not shuffled; of several blocks, each one's result is
+written before the next is indexed, so the driver and the tasks hold one index at a time. Its size is linear in the block's.
 
-Defined results: null text and items under ``MIN_WORDS`` words match nothing; equal items give a row
+Defined results: null text and items without words match nothing; items of under ``SAMPLED_WORDS`` words, too short for the
+sampled places, are found by their segments alone, those under five words unedited; equal items give a row
 each; repeated rows are each reported; ties between windows go to the smallest distance, then start.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folia.llm.common import map_slices, table, texts_of
+from folia.llm.common import map_slices, table, texts_of, written
 
 SAMPLES = 5
 REPEATS = 12
 MAX_EDITS = 0.2
-MIN_WORDS = 8
+SAMPLED_WORDS = 8
 BLOCK = 10_000
+BLOCK_BYTES = 8_000_000
 SEED = 7
 
 #: Bytes outside [0-9a-z\x80-\xff] part words.
@@ -55,13 +60,32 @@ def _hashes(symbols: np.ndarray, length: int) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
+class Walk:
+    """The random bits of one repetition's walk: bit j of a word is a bit of a hash of the word and j's block."""
+
+    def __init__(self, seed: int, vocabulary: int):
+        self.seed, self.end = seed, vocabulary + 1
+        self.lead = self._hash(np.arange(self.end + 1), 0)  # most walks end in the first block
+
+    def _hash(self, symbols: np.ndarray, block: int) -> np.ndarray:
+        x = (symbols.astype(np.uint64) << np.uint64(32)) ^ np.uint64((self.seed << 24 ^ block * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+        return np.where(symbols == self.end, np.uint64(0), x ^ (x >> np.uint64(33)))
+
+    def bits(self, symbols: np.ndarray, j: int) -> np.ndarray:
+        """Bit j of each symbol: whether a walk goes on to the next word; at a text's end it stays."""
+        x = self.lead[symbols] if j < 64 else self._hash(symbols, j >> 6)
+        return (x >> np.uint64(j & 63)).astype(np.int32) & 1
+
+
 class Index:
-    """Hash bits of the items' words and, per repetition and length group, a trie of sampled words."""
+    """Of a block of items: random walks and, per repetition and length group, a trie of the words at the sampled places."""
 
     def __init__(self, items: list[tuple[int, bytes]], samples: int = SAMPLES, repeats: int = REPEATS, seed: int = SEED):
         rng = np.random.default_rng(seed)
         split = [(i, words_of(t)) for i, t in items]
-        self.items = [(i, w) for i, w in split if len(w) >= MIN_WORDS]
+        self.items = [(i, w) for i, w in split if w]
         self.vocabulary: dict[bytes, int] = {}
         for _, w in self.items:
             for x in w:
@@ -69,20 +93,19 @@ class Index:
         self.end = len(self.vocabulary) + 1  # what follows a text's last word; walks stay there
         groups: dict[int, list[int]] = {}
         for k, (_, w) in enumerate(self.items):
-            groups.setdefault(int(np.log(len(w)) / np.log(1.25)), []).append(k)
-        reach = 2 * max([len(w) for _, w in self.items], default=0)
+            if len(w) >= SAMPLED_WORDS:
+                groups.setdefault(int(np.log(len(w)) / np.log(1.25)), []).append(k)
         self.cuts: dict[float, list] = {}
-        self.bits, self.tries = [], []
-        for r in range(repeats if self.items else 0):
-            bits = rng.integers(0, 1 << 63, (reach // 63 + 1, self.end + 1), np.int64)
-            bits[:, self.end] = 0
-            self.bits.append(bits)
+        self.walks, self.tries = [], []
+        for r in range(repeats if groups else 0):
+            walk = Walk(seed * 1000 + r, len(self.vocabulary))
+            self.walks.append(walk)
             first, tries = r % 2, []  # early places first: they cut most windows off
             for members in groups.values():
                 low = min(len(self.items[k][1]) for k in members)
                 second = first + 1 + int(rng.integers(4))
                 places = [first, second, *sorted((second + 1 + rng.choice(2 * low - second - 1, samples - 2, replace=False)).tolist())]
-                tries.append(self._trie(members, places, bits))
+                tries.append(self._trie(members, places, walk))
             self.tries.append((first, tries))
 
     def segments(self, max_edits: float) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,23 +137,26 @@ class Index:
                 found.update((p - int(places[i]), int(items[i]), p) for i in range(low, high))
         return sorted(found)
 
-    def _trie(self, members: list[int], places: list[int], bits: np.ndarray):
+    def _trie(self, members: list[int], places: list[int], walk: Walk):
         """places, and per level the sorted keys (node, word) with the items that end there."""
         levels: list[dict[int, int]] = [{} for _ in places]
         ends: list[dict[int, list[int]]] = [{} for _ in places]
-        for k in members:
-            w = [self.vocabulary[x] for x in self.items[k][1]] + [self.end]
-            at = j = node = 0
-            last = None
-            for level, place in enumerate(places):
-                while j < place:
-                    at += int(bits[j // 63, w[at]]) >> j % 63 & 1
-                    j += 1
-                if w[at] == self.end:  # this item's walk is over: it is found by the places before
-                    break
-                node = levels[level].setdefault(node * (self.end + 1) + w[at], len(levels[level]))
-                last = (level, node)
-            ends[last[0]].setdefault(last[1], []).append(k)
+        # The items walk side by side, as the windows of a text do.
+        words = np.array([x for k in members for x in [self.vocabulary[w] for w in self.items[k][1]] + [self.end]], np.int32)
+        sizes = np.array([len(self.items[k][1]) + 1 for k in members])
+        at = np.cumsum(sizes) - sizes
+        node, last = np.zeros(len(members), np.int64), [(0, 0)] * len(members)
+        alive, j = np.arange(len(members)), 0
+        for level, place in enumerate(places):
+            while j < place:
+                at[alive] += walk.bits(words[at[alive]], j)
+                j += 1
+            alive = alive[words[at[alive]] != self.end]  # the others' walks are over: they are found by the places before
+            for i in alive.tolist():
+                node[i] = levels[level].setdefault(int(node[i]) * (self.end + 1) + int(words[at[i]]), len(levels[level]))
+                last[i] = (level, int(node[i]))
+        for i, (level, n) in enumerate(last):
+            ends[level].setdefault(n, []).append(members[i])
         tables = []
         for level in levels:
             keys = np.array(sorted(level), np.int64)
@@ -144,10 +170,10 @@ class Index:
         """(start, item) of all windows of a sequence whose sampled words agree with an item's."""
         found: set[tuple[int, int]] = set()
         known = np.flatnonzero(symbols != self.end).astype(np.int32)
-        for bits, (first, tries) in zip(self.bits, self.tries, strict=True):
+        for walk, (first, tries) in zip(self.walks, self.tries, strict=True):
             at = known
             for j in range(first):
-                at = at + (bits[0] >> j & 1).astype(np.int32)[symbols[at]]
+                at = at + walk.bits(symbols[at], j)
             some = np.zeros(self.end + 1, bool)
             for _, opening, _, _ in tries:
                 some |= opening >= 0
@@ -162,7 +188,7 @@ class Index:
                 for level, (keys, nodes) in enumerate(tables):
                     if level:
                         while j < places[level]:
-                            a = a + (bits[j // 63][symbols[a]] >> j % 63 & 1)
+                            a = a + walk.bits(symbols[a], j)
                             j += 1
                         if not len(keys):
                             break
@@ -183,21 +209,9 @@ def edits_to_prefix(item: list, text: list, most: int) -> tuple[int, int] | None
     n = len(item)
     if text[:n] == item:
         return 0, n
-    text = text[: n + most]
-    row = list(range(n + 1))
-    best = (row[n], 0)
-    for j, word in enumerate(text, 1):
-        diagonal, row[0] = row[0], j
-        low = j
-        for i in range(1, n + 1):
-            up = row[i]
-            cost = diagonal if item[i - 1] == word else 1 + min(diagonal, up, row[i - 1])
-            diagonal, row[i] = up, cost
-            low = min(low, cost)
-        best = min(best, (row[n], j))
-        if low > most:
-            break
-    return best if best[0] <= most else None
+    ends = distances(item, text[: n + most], False)
+    least = min(ends)
+    return (least, ends.index(least)) if least <= most else None
 
 
 def distances(item: list, text: list, anywhere: bool) -> list[int]:
@@ -280,16 +294,18 @@ def leaks_in(texts: list[bytes], index: Index, max_edits: float) -> list[list[tu
     return [sorted(x, key=lambda h: (h[0] is None, h[0] or 0, h[1])) for x in out]
 
 
-def indexes(benchmark: DataFrame, block: int = BLOCK):
-    """The benchmark's items in blocks, each indexed. This is the stated query set; its rows are small and read block by block."""
+def indexes(benchmark: DataFrame, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
+    """The benchmark's items in blocks, each indexed. This is the stated query set; its rows are read block by block."""
     part: list[tuple[int, bytes]] = []
+    size = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        part.append((row["item_id"], (row["text"] or "").encode()))
-        if len(part) == block:
+        text = (row["text"] or "").encode()
+        if part and (len(part) == block or size + len(text) > block_bytes):
             yield Index(part)
-            part = []
-    if part:
-        yield Index(part)
+            part, size = [], 0
+        part.append((row["item_id"], text))
+        size += len(text)
+    yield Index(part)
 
 
 def annotate(docs: DataFrame, index: Index, max_edits: float = MAX_EDITS) -> DataFrame:
@@ -302,18 +318,17 @@ def annotate(docs: DataFrame, index: Index, max_edits: float = MAX_EDITS) -> Dat
     def make(batch: pa.RecordBatch) -> dict:
         return {"row": batch.column("row"), "leaks": [[dict(zip(names, h, strict=True)) for h in hits] for hits in leaks_in(texts_of(batch), index, max_edits)]}
 
-    return map_slices(docs.select(F.struct(*docs.columns).alias("row"), "text"), "text", make, f"row {kind}, leaks array<{leak}>")
+    return map_slices(docs.select(F.struct("*").alias("row"), "text"), "text", make, f"row {kind}, leaks array<{leak}>")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, block: int = BLOCK) -> DataFrame:
     """doc_id, item_id, start, n_words, edits: a row per document and item that its text contains."""
-    docs, out = docs.select("doc_id", "text"), None
-    for index in indexes(benchmark):
-        part = annotate(docs, index, max_edits).select("row.doc_id", F.inline("leaks"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = annotate(docs.limit(0), Index([])).select("row.doc_id", F.inline("leaks"))
-    return out
+    docs, out, last = docs.select("doc_id", "text"), None, None
+    for index in indexes(benchmark, block):
+        if last is not None:
+            out = written(last) if out is None else out.unionByName(written(last))
+        last = annotate(docs, index, max_edits).select("row.doc_id", F.inline("leaks"))
+    return last if out is None else out.unionByName(last)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +337,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that contain no benchmark item."""
+    last = None
     for index in indexes(table(spark, sf_dir, "benchmark")):
-        docs = annotate(docs, index).where(F.size("leaks") == 0).select("row.*")
-    return docs
+        docs = docs if last is None else written(last)
+        last = annotate(docs, index).where(F.size("leaks") == 0).select("row.*")
+    return last
