@@ -3,15 +3,16 @@
 A text is cut where no piece can cross: before each run of spaces and around newlines. The lattice of
 such a unit has a node per code point and an arc per piece; forward filtering sums the weights of all
 segmentations that reach a node, backward sampling walks from the end and draws each piece in proportion
-to them, so a segmentation is drawn with its exact probability. All distinct units of a slice are
+to them, so a segmentation is drawn in proportion to its weight (up to single precision and draws of 24 bits). All distinct units of a slice are
 filtered together, level by level: units are sorted by length, so the nodes of a level are one
 contiguous run and every step is one array operation. Random numbers are a counter-based hash of the
 row's key, the unit's place and the step: the same row always gets the same segmentation, on any cluster.
+A long unit is cut further at its natural ends: places that no piece crosses. All its segmentations pass through them, so
+its parts are drawn alone without any change of the distribution.
 
 The model file has BPE pieces, whose scores are ranks; a piece's weight is Zipf's 1 / (rank + shift),
 raised to the power ``theta``. Code points without a piece become byte pieces. A literal U+2581 goes by
-bytes too, so that decoding returns every text exactly. A run longer than ``CUT`` code points is cut
-into units of that length.
+bytes too, so that decoding returns every text exactly.
 
 Defined results: null text is empty and has no pieces; rows that repeat a key and text get the same
 pieces; other columns are ignored; an empty table gives an empty result.
@@ -33,10 +34,10 @@ from folia.llm.common import map_slices, numbered, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA = 1.0
 SHIFT = 100.0
-CUT = 64
+LONG = 32  # code points from which a unit is looked through for natural ends
 SPACE = "▁"
 
-_UNIT = re.compile(rf" *[^ \n]{{1,{CUT}}}| +|\n")
+_UNIT = re.compile(r" *[^ \n]+| +|\n")
 
 
 class Pieces:
@@ -158,9 +159,38 @@ def _lattice(units: list[str], pieces: Pieces):
     return off, weight, ids, lengths
 
 
+def _natural_parts(unit: str, pieces: Pieces) -> list[str]:
+    """A unit cut at the places that no piece crosses."""
+    chars = np.frombuffer(unit.encode("utf-32-le"), "<u4").astype(np.int64)
+    n = len(chars)
+    reach = np.arange(1, n + 1)  # where the longest piece from each place ends; a code point is a piece or goes by bytes
+    live, state = np.arange(n), np.zeros(n, np.int64)
+    for size in range(1, pieces.longest + 1):
+        inside = live + size <= n
+        live, state = live[inside], state[inside]
+        edge = pieces.step(state, chars[live + size - 1])
+        live, edge = live[edge >= 0], edge[edge >= 0]
+        if not len(live):
+            break
+        whole = pieces.piece[edge] >= 0
+        reach[live[whole]] = live[whole] + size
+        state = pieces.next[edge]
+    ends = np.flatnonzero(np.maximum.accumulate(reach) == np.arange(1, n + 1)) + 1
+    return [unit[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def units_of(text: str, pieces: Pieces) -> list[str]:
+    if not text:
+        return []
+    found = _UNIT.findall(" " + text)
+    if max(map(len, found)) <= LONG:
+        return found
+    return [part for u in found for part in (_natural_parts(u, pieces) if len(u) > LONG else (u,))]
+
+
 def encode_rows(keys: list[str], texts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows in one array, and each row's number of ids."""
-    cut = [_UNIT.findall(" " + t) if t else [] for t in texts]
+    cut = [units_of(t, pieces) for t in texts]
     counts = np.array([len(u) for u in cut], np.int64)
     if not counts.sum():
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
@@ -171,9 +201,11 @@ def encode_rows(keys: list[str], texts: list[str], pieces: Pieces) -> tuple[np.n
     place = np.empty(len(units), np.int64)
     place[by_length] = np.arange(len(units))
     unit = place[codes]
-    seed = np.repeat(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64), counts)
-    first = np.cumsum(counts) - counts
-    counter = seed + (np.arange(len(unit)) - np.repeat(first, counts)).astype(np.uint64) * np.uint64(CUT * 4)
+    seed = np.repeat(_mix(np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64)), counts)
+    # A unit takes at most as many draws as it has code points: counters are places in the row's text.
+    places = np.cumsum(lengths[unit]) - lengths[unit]
+    first = np.repeat(np.append(places, 0)[np.cumsum(counts) - counts], counts)
+    counter = seed + (places - first).astype(np.uint64)
     where, end = np.arange(len(unit)), lengths[unit]
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     while len(where):
