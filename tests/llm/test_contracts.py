@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,6 +287,30 @@ def test_sampled_segmentations():
     assert set(seen) <= set(chance) and max(abs(seen[s] / n - chance[s] / total) for s in chance) < 0.01
 
 
+def test_long_units_are_drawn_like_short_ones():
+    """Units without spaces: the parts that no piece crosses are drawn alone; their pieces are those of the whole unit's distribution."""
+    pieces = sampled_pieces.load()
+    text = "thenthen" * 3 + "\u4e2d\u6587" * 40 + "=" * 300 + "then"
+    parts = sampled_pieces.units_of(text, pieces)
+    assert "".join(parts) == " " + text and len(parts) > 40
+    known = {p.decode() for p in pieces.text[3:] if p and not (len(p) == 1 and p[0] > 127)}
+    ends = np.cumsum([len(p) for p in parts]).tolist()
+    whole = " " + text
+    for e in ends[:-1]:  # no piece crosses a cut
+        assert not any(whole[a:b] in known for a in range(max(0, e - pieces.longest), e) for b in range(e + 1, min(len(whole), e + pieces.longest)))
+    off, cum, ids, lengths = sampled_pieces._lattice([whole], pieces)
+    n = 4000
+    drawn, counts = sampled_pieces.encode_rows([str(k) for k in range(n)], [text] * n, pieces)
+    ends_of = np.cumsum(counts)
+    # P(last piece) at the end of the uncut unit is the last row of its lattice.
+    row = cum[off[lengths[0]]]
+    chance = np.diff(np.append(0, row)) / row[-1]
+    seen = Counter(drawn[ends_of - 1].tolist())
+    for size, p in enumerate(chance.tolist()):
+        if p > 0:
+            assert abs(seen[int(ids[off[lengths[0]], size])] / n - p) < 0.04
+
+
 def test_pieces_are_lossless(spark, small):
     out = sampled_pieces.query(spark, small)
     assert out.where("not lossless").isEmpty()
@@ -336,6 +361,46 @@ def test_every_edited_item_is_found(rate):
     assert all(any(h[0] == k for h in leaks[4 + 4 * k]) for k, _ in items)
 
 
+def test_leaks_equal_the_best_stretches(spark):
+    """Whole result against brute force over every document and item, short items, blocks of few items and repeated items included."""
+    rng = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, rng.choices(vocabulary, k=n)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 15, 20, 31])]
+    items += [(50, items[9][1]), (51, [])]
+    docs = [(0, []), (1, rng.choices(vocabulary, k=200))]
+    for k in range(40):
+        w = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, len(w) // 4)):
+            at = rng.randrange(len(w) or 1)
+            w[at : at + 1] = [rng.choice(vocabulary)] if rng.random() < 0.5 else []
+        docs.append((10 + k, rng.choices(vocabulary, k=rng.randint(0, 9)) + w + rng.choices(vocabulary, k=rng.randint(0, 9))))
+    truth = set()
+    for i, text in docs:
+        for k, w in items:
+            hit = decontaminate.best_stretch(w, text, int(decontaminate.MAX_EDITS * len(w))) if w else None
+            if hit:
+                truth.add((i, k, hit[1], hit[2], hit[0]))
+    frames = [spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} bigint, text string") for rows, c in ((docs, "doc_id"), (items, "item_id"))]
+    for block in (4, 10_000):
+        assert {tuple(r) for r in decontaminate.find_leaks(*frames, block=block).collect()} == truth
+    assert len(truth) > 40 and len({t[4] for t in truth}) > 2
+
+
+def test_index_of_long_items_is_small():
+    import pickle
+
+    rng = random.Random(3)
+    sizes = []
+    for n in (2_000, 8_000):
+        item = [f"w{rng.randrange(10**6)}".encode() for _ in range(n)]
+        index = decontaminate.Index([(1, b" ".join(item))])
+        index.segments(decontaminate.MAX_EDITS)
+        sizes.append(len(pickle.dumps(index)))
+        text = item[: n // 2] + [b"x", b"y"] + item[n // 2 + 1 :]
+        assert decontaminate.leaks_in([b" ".join([b"a", *text, b"b"])], index, decontaminate.MAX_EDITS)[0] == [(1, 1, n + 1, 2)]
+    assert sizes[1] < 40_000_000 and sizes[1] - sizes[0] < 6_000 * 600
+
+
 def test_best_stretch_equals_enumeration():
     rng = random.Random(2)
     for _ in range(300):
