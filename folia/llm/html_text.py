@@ -1,8 +1,8 @@
 """Operator 9: main text of web pages by a tree-structured graphical model.
 
 A page becomes a tree: block elements are inner nodes, runs of text between block boundaries are leaves.
-Every node is content or not. Its potential comes from what it looks like (an element's tag and the words
-of its class and id; a leaf's length and share of linked text), and an edge's potential from how often a
+Every node is content or not. Its potential comes from what it looks like (an element's tag and each word
+of its class, id and role; a leaf's length and share of linked text), and an edge's potential from how often a
 child is content given its parent, for containers and for text elements apart: text rarely differs from
 what holds it. Sum-product messages pass from the leaves to the root and back, which
 gives each leaf's exact marginal; leaves above one half are the text. Pages of a slice are solved together,
@@ -11,15 +11,20 @@ depth by depth.
 Potentials are trained on pages whose markup labels them: what lies in ``article`` or ``main`` is content
 unless ``nav``, ``aside``, ``footer``, ``form`` or a class that names boilerplate stands between. The
 sample is bounded: pages are taken by a hash of their id, ``TRAIN_PAGES`` in the mean. Counts are scaled
-to ``WEIGHT`` nodes and start from a fixed prior, so elements that no labelled page has are known too. Spark sums the counts; what
-reaches the driver has a row per feature value, a fixed set.
+to ``WEIGHT`` nodes and start from a fixed prior, so elements that no labelled page has are known too; names that the
+labelled pages use are learned, whatever they are. Spark sums the counts; what reaches the driver has a row per feature
+value of the sample.
+
+A page is read in one forward scan. A ``<`` that opens neither a comment nor a tag that closes before the next ``<`` is text. Scripts, styles and form
+fields are skipped; any other element that is no block (math, object, noscript ...) is markup around its text.
 
 Defined results: null html, or a page without content, gives an empty text; markup that never closes runs
-to the end of the page; repeated pages are each extracted; an empty table gives an empty result.
+to the end of the page; a quote that never closes counts as a character; repeated pages are each extracted; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from html import unescape
@@ -35,9 +40,9 @@ TRAIN_PAGES = 2000
 WEIGHT = 200.0
 
 #: Element names of HTML.
-BLOCKS = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary dialog hgroup menu noscript iframe title".split())
+BLOCKS = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary dialog hgroup menu title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea template svg math select button option noscript iframe object canvas".split())
+RAW = frozenset("script style textarea select button option".split())
 CLOSES_P = BLOCKS - {"html", "head", "body"}
 #: Words in class and id that name boilerplate, or content.
 AGAINST = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe signup login search popup modal widget toolbar pagination copyright legal".split())
@@ -45,24 +50,29 @@ FOR = frozenset("article content main post entry story body text page".split())
 
 #: Prior counts of (other, content) nodes.
 PRIOR_TAG = {"nav": (40, 0.2), "aside": (40, 0.2), "footer": (40, 0.2), "header": (20, 0.5), "form": (40, 0.2), "head": (40, 0.2), "title": (40, 0.2), "menu": (40, 0.2), "dialog": (40, 0.2), "fieldset": (40, 0.2), "address": (5, 1), "article": (0.5, 20), "main": (1, 20), "p": (20, 20), "h1": (4, 6), "h2": (6, 6), "h3": (6, 6), "h4": (6, 6), "h5": (6, 6), "h6": (6, 6), "blockquote": (1, 6), "pre": (1, 6), "figcaption": (1, 4), "ul": (10, 5), "ol": (5, 5), "li": (20, 10), "div": (20, 10), "section": (10, 10), "html": (20, 0.2), "body": (10, 2)}
-PRIOR_WORDS = {"against": (60, 0.1), "for": (1, 10), "none": (20, 20)}
+PRIOR_WORD = {"against": (6, 0.02), "for": (0.05, 1), "other": (1, 1)}
 PRIOR_LINKS = {"all": (20, 1), "some": (5, 5), "none": (10, 20)}
 #: By kind of child: (parent's label, child's label).
 PRIOR_EDGE = {"container": {(0, 0): 60, (0, 1): 8, (1, 0): 6, (1, 1): 30}, "text": {(0, 0): 60, (0, 1): 0.3, (1, 0): 1, (1, 1): 60}}
 TEXT = frozenset("# p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figcaption title summary address".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"""(?:[^"'<>]++|"[^"]*+"|'[^']*+')*+""")
+_PLAIN = re.compile(r"[^<>]*+")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 _END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 
 
 def _words(attributes: str) -> str:
-    """Whether the class, id and role name boilerplate, content or neither."""
+    """The distinct words of the class, id and role."""
     if not attributes or "=" not in attributes:
-        return "none"
-    names = {w for m in _NAMES.finditer(attributes) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
-    return "against" if names & AGAINST else "for" if names & FOR else "none"
+        return ""
+    return " ".join(sorted({w for m in _NAMES.finditer(attributes) for w in _PARTS.findall((m[1] or m[2] or m[3] or "").lower())}))
+
+
+def _side(word: str) -> str:
+    return "against" if word in AGAINST else "for" if word in FOR else "other"
 
 
 def _length(n: int) -> str:
@@ -71,7 +81,7 @@ def _length(n: int) -> str:
 
 def parse(html: str) -> list[tuple[int, str, str, str]]:
     """Nodes in page order: (parent, kind, feature, text). Inner: kind is the tag, feature what its names say. Leaf: kind '#', feature links and length."""
-    nodes: list[tuple[int, str, str, str]] = [(-1, "html", "none", "")]
+    nodes: list[tuple[int, str, str, str]] = [(-1, "html", "", "")]
     stack = [(0, "html")]
     run: list[str] = []
     linked = links = 0  # characters inside links, depth of open links
@@ -86,22 +96,50 @@ def parse(html: str) -> list[tuple[int, str, str, str]]:
             run.clear()
         linked = 0
 
-    at, size = 0, len(html)
+    def text(piece: str) -> None:
+        nonlocal linked
+        run.append(piece)
+        linked += len(piece.strip()) if links else 0
+
+    at, size, quotes = 0, len(html), True
     while at < size:
-        m = _TAG.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
-        if piece:
-            run.append(piece)
-            linked += len(piece.strip()) if links else 0
+        start = html.find("<", at)
+        if start < 0:
+            start = size
+        if start > at:
+            text(html[at:start])
+        if start == size:
+            break
+        if html.startswith("<!--", start):
+            end = html.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        if html.startswith("<![CDATA[", start):
+            end = html.find("]]>", start)
+            text(html[start + 9 : end if end >= 0 else size])
+            at = end + 3 if end >= 0 else size
+            continue
+        if html.startswith(("<!", "<?"), start):
+            end = html.find(">", start)
+            at = end + 1 if end >= 0 else size
+            continue
+        m = _NAME.match(html, start + 1)
         if not m:
+            text("<")
+            at = start + 1
+            continue
+        end = (_QUOTED if quotes else _PLAIN).match(html, m.end()).end()
+        if end < size and html[end] not in "<>":
+            quotes = False  # this quote never closes: from here on quotes are characters
+            end = _PLAIN.match(html, m.end()).end()
+        if end == size:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            if m.group().startswith("<![CDATA["):
-                run.append(m.group()[9:].removesuffix("]]>"))
+        if html[end] == "<":  # no tag
+            text("<")
+            at = start + 1
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        at = end + 1
+        closing, name, attributes = m[1], m[2].lower(), html[m.end() : end]
         if name == "a":
             links = 0 if closing else 1
         elif name in VOID:
@@ -136,7 +174,7 @@ def labels(nodes: list[tuple[int, str, str, str]]) -> list[int] | None:
         return None
     out: list[int] = []
     for parent, kind, feature, _ in nodes:
-        if kind in ("nav", "aside", "footer", "form", "head", "title") or kind != "#" and feature == "against":
+        if kind in ("nav", "aside", "footer", "form", "head", "title") or kind != "#" and any(w in AGAINST for w in feature.split(" ")):
             out.append(0)
         elif kind in ("article", "main"):
             out.append(1)
@@ -156,7 +194,9 @@ def _count(batch: pa.RecordBatch) -> dict:
                 counts["length", feature[-1], label] += 1
             else:
                 counts["tag", kind, label] += 1
-                counts["words", feature, label] += 1
+                counts["named", "", label] += bool(feature)
+                for word in feature.split():
+                    counts["word", word, label] += 1
             if parent >= 0:
                 counts["edge", f"{'text' if kind in TEXT else 'container'} {y[parent]}", label] += 1
     rows = list(counts.items())
@@ -168,12 +208,17 @@ class Model:
 
     def __init__(self, counts: dict[tuple[str, str, int], int]):
         self.node: dict[tuple[str, str], tuple[float, float]] = {}
-        values = {"tag": (sorted(BLOCKS), PRIOR_TAG), "words": (list(PRIOR_WORDS), PRIOR_WORDS), "links": (list(PRIOR_LINKS), PRIOR_LINKS), "length": (list("1234"), {"1": (8, 4), "2": (6, 6), "3": (4, 8), "4": (2, 8)})}
+        values = {"tag": (sorted(BLOCKS), PRIOR_TAG), "links": (list(PRIOR_LINKS), PRIOR_LINKS), "length": (list("1234"), {"1": (8, 4), "2": (6, 6), "3": (4, 8), "4": (2, 8)})}
         for what, (names, prior) in values.items():
             seen = np.array([[counts.get((what, v, y), 0) for y in (0, 1)] for v in names], float)
             table = seen * np.minimum(1, WEIGHT / np.maximum(seen.sum(axis=0), 1)) + [prior.get(v, (2, 2)) for v in names]
             logs = np.log(table / table.sum(axis=0))
             self.node |= {(what, v): tuple(x) for v, x in zip(names, logs.tolist(), strict=True)}
+        # A word tells by its share of the named nodes of either label.
+        named = [math.log(counts.get(("named", "", y), 0) + 10) for y in (0, 1)]
+        for word in {v for what, v, _ in counts if what == "word"} | AGAINST | FOR:
+            prior = PRIOR_WORD[_side(word)]
+            self.node["word", word] = tuple(math.log(counts.get(("word", word, y), 0) + prior[y]) - named[y] for y in (0, 1))
         seen = np.array([[[counts.get(("edge", f"{kind} {p}", c), 0) for c in (0, 1)] for p in (0, 1)] for kind in ("container", "text")], float)
         edge = seen * np.minimum(1, WEIGHT / np.maximum(seen.sum(axis=2, keepdims=True), 1))
         edge += [[[PRIOR_EDGE[kind][p, c] for c in (0, 1)] for p in (0, 1)] for kind in ("container", "text")]
@@ -183,7 +228,9 @@ class Model:
         if kind == "#":
             a, b = self.node["links", feature[:-1]], self.node["length", feature[-1]]
         else:
-            a, b = self.node["tag", kind], self.node["words", feature]
+            a, b = self.node["tag", kind], (0.0, 0.0)
+            for x in (self.node.get(("word", w)) for w in feature.split()):
+                b = (b[0] + x[0], b[1] + x[1]) if x else b
         return a[0] + b[0], a[1] + b[1]
 
     def marginals(self, parents: np.ndarray, potentials: np.ndarray, kinds: np.ndarray) -> np.ndarray:
