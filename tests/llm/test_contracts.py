@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -433,6 +434,32 @@ def test_pages_of_other_layouts(spark, small):
     assert html_text.texts_of_pages([page], model) == ["Title here\n\nSome long paragraph of text that goes on for a while, says things.\n\nitem one is a list item"]
 
 
+def test_text_of_odd_markup(spark, small):
+    model = html_text.train(spark.read.parquet(f"{small}/pages.parquet"))
+    page = """<article><p>let <math><mi>x</mi></math> be <object>alt</object> <noscript>ns</noscript> of it</p><p>if a <b and c</p><p>and 1 < 2 <= 3 or <3</p>
+      <p title="a > b">quoted <a href='x>y'>link</a> and more text here</p><p>cdata <![CDATA[raw]]> stays<!-- not this --></p><script>no</script><textarea>no</textarea></article>"""
+    got = html_text.texts_of_pages([page], model)[0].split("\n\n")
+    assert got == ["let x be alt ns of it", "if a <b and c", "and 1 < 2 <= 3 or <3", "quoted link and more text here", "cdata raw stays"]
+    assert html_text.texts_of_pages(["<article><p>one text of the page</p><p>two texts of the page <a href=\"x", "<article><p title='>it is a paragraph of text</p><p>and another one</p>"], model) == ["one text of the page\n\ntwo texts of the page", "it is a paragraph of text\n\nand another one"]
+
+
+@pytest.mark.parametrize("part", ['<a href="', "<a ", "<", "<!--", "<![CDATA[", "</", "<p title='>", "<a \"x>", "><a \" \"", "<script>", "<div><p>"])
+def test_a_page_is_read_in_linear_time(part):
+    import time
+
+    start = time.time()
+    html_text.parse(part * (1_000_000 // len(part)))
+    assert time.time() - start < 5
+
+
+def test_names_are_learned_from_labelled_pages():
+    pages = [{"html": f"<div class='zq{'ab'[k % 2]}'><p>text {k} of it</p></div><article><div class='kx'><p>long text of article {k}</p></div></article>"} for k in range(200)]
+    rows = html_text._count(pa.RecordBatch.from_pylist(pages))
+    model = html_text.Model(dict(zip(zip(rows["what"], rows["value"], rows["label"], strict=True), rows["n"], strict=True)))
+    page = "<body><div class=zqa><p>some text that is as long as an article has it</p></div><div class=kx><p>some text that is as long as an article has it, too</p></div></body>"
+    assert html_text.texts_of_pages([page], model) == ["some text that is as long as an article has it, too"]
+
+
 def test_marginals_equal_enumeration():
     import itertools
 
