@@ -6,7 +6,7 @@ lexical patterns of several granularities (``patterns_of``): two words before it
 punctuation before it, one word before it with the token's shape, the words on both sides. Punctuation next to the token is
 part of all of them. A token without a word before it is in no pattern.
 
-Spark scores the graph of patterns and instances in rounds: a pattern's confidence is the sum of its
+Spark scores the graph of patterns and instances in rounds, until no score moves by more than ``SETTLED``: a pattern's confidence is the sum of its
 distinct instances' scores over their number, damped by one; an instance's score is that of its best
 pattern (the granularities share their evidence, so it is not added up). Seeds keep score 1, and opaque
 tokens (keys, hashes: letters and digits mixed at random) keep at least ``OPAQUE``. What else follows a
@@ -16,10 +16,10 @@ Patterns with enough confidence and instances then mark the identifiers in them
 never seen as seeds included. A hash that is no secret looks like a key and is marked alike.
 
 The graph holds one row per distinct pattern and instance, and only keys, patterns, places and digests of words
-are shuffled, never texts. The contexts of the patterns to count reach the tasks through the driver.
+are shuffled, never texts. The contexts of the patterns to count are a stated set and go to the tasks in blocks of ``BLOCK``.
 
 Defined results: null text has no spans; repeated rows are scanned on their own; a token with one word
-before it has no pattern of two; other columns are ignored; an empty table gives an empty result.
+before it has no pattern of two, however far its words are; ``MIN_CHARS`` and ``MIN_DIGITS`` say what looks like an identifier; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
@@ -36,11 +37,14 @@ from pyspark.sql import functions as F
 from folia.llm.common import cut, map_slices, row_key, table, written
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS = 3
+ROUNDS = 50  # scores rise by less each round; a chain of that many patterns is not met
+SETTLED = 1e-3
+MIN_CHARS, MIN_DIGITS = 6, 3
+BLOCK = 100_000
 CONFIDENCE = 0.75
 INSTANCES = 3
 OPAQUE = 0.9  # least score of an opaque token: five distinct ones make a pattern
-CONTEXT = 200  # code points before a span in which its two words are looked for
+NEAR = 200  # code points around a span that mostly hold its words; else all words of the text are listed once
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
@@ -126,7 +130,7 @@ def identifiers(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         while k < len(used) and used[k][1] <= start:
             k += 1
         free = k == len(used) or used[k][0] >= end
-        if free and end - start >= 6 and sum(map(str.isdigit, text[start:end])) >= 3:
+        if free and end - start >= MIN_CHARS and sum(map(str.isdigit, text[start:end])) >= MIN_DIGITS:
             out.append((start, end))
     return out
 
@@ -146,30 +150,63 @@ def _side(gap: str) -> str:
     return re.sub(r"[0-9]+", "9", _SPACE.sub("", gap))
 
 
-def contexts_of(text: str, start: int, end: int) -> list[str]:
+class Sides:
+    """The words on both sides of places of a text: (word, start, end), as they are written."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, None
+
+    def _all(self) -> list[tuple[int, int]]:
+        if self.words is None:
+            self.words = [m.span() for m in _WORD.finditer(self.text)]
+        return self.words
+
+    def left(self, at: int) -> list[tuple[int, int]]:
+        """The last two words before a place, or as many as there are."""
+        low = max(0, at - NEAR)
+        near = [(low + m.start(), low + m.end()) for m in _WORD.finditer(self.text[low:at])][-2:]
+        if low == 0 or len(near) == 2 and near[0][0] > low:
+            return near
+        words = self._all()
+        k = bisect.bisect_left(words, (at, 0))
+        near = words[max(0, k - 2) : k]
+        return near[:-1] + [(near[-1][0], min(near[-1][1], at))] if near else near  # a span can begin inside a word
+
+    def right(self, at: int) -> tuple[int, int] | None:
+        """The first word after a place, or what is left of the one it lies in."""
+        m = _WORD.search(self.text, at, at + NEAR)
+        if m and m.end() < at + NEAR:
+            return m.span()
+        words = self._all()
+        k = bisect.bisect_left(words, (at, 0))
+        if k and words[k - 1][1] > at:
+            return at, words[k - 1][1]
+        return words[k] if k < len(words) else None
+
+
+def contexts_of(sides: Sides, start: int, end: int) -> list[str]:
     """What surrounds a token, finest last: its left word, its two left words, its words on both sides; none without a left word."""
-    left = text[max(0, start - CONTEXT) : start].lower()
-    words = list(_WORD.finditer(left))[-2:]
+    text, words = sides.text, sides.left(start)
     if not words:
         return []
-    one = f"{words[-1].group()} {_side(left[words[-1].end() :])}"
+    word = lambda span: text[span[0] : span[1]].lower()
+    one = f"{word(words[-1])} {_side(text[words[-1][1] : start])}"
     out = [f"1 {one}"]
     if len(words) == 2:
-        out.append(f"2 {words[0].group()} {_side(left[words[0].end() : words[1].start()])} {one}")
-    right = text[end : end + CONTEXT].lower()
-    if word := _WORD.search(right):
-        out.append(f"3 {one} _ {_side(right[: word.start()])} {word.group()}")
+        out.append(f"2 {word(words[0])} {_side(text[words[0][1] : words[1][0]])} {one}")
+    if right := sides.right(end):
+        out.append(f"3 {one} _ {_side(text[end : right[0]])} {word(right)}")
     return out
 
 
-def patterns_of(text: str, start: int, end: int) -> list[tuple[str, str]]:
+def patterns_of(sides: Sides, start: int, end: int) -> list[tuple[str, str]]:
     """(pattern, context) of a token: each context, but the left word alone needs punctuation or the token's shape."""
     out = []
-    for context in contexts_of(text, start, end):
+    for context in contexts_of(sides, start, end):
         if context[0] != "1" or context[-1] != " ":
             out.append((context, context))
         if context[0] == "1":
-            out.append((f"{context} {shape_of(text[start:end])}", context))
+            out.append((f"{context} {shape_of(sides.text[start:end])}", context))
     return out
 
 
@@ -191,7 +228,7 @@ def ordinary(texts: list[str], known: Known) -> set[tuple[str, str]]:
     done: set[tuple[str, str, str]] = set()  # (left word, gap, word) whose left word alone is dealt with
     get = known.by_word.get
     for text in texts:
-        spans = None
+        spans, sides = None, Sides(text)
         last = before = ""
         at = 0  # end of the last word
         for m in _RUN.finditer(text):
@@ -216,7 +253,7 @@ def ordinary(texts: list[str], known: Known) -> set[tuple[str, str]]:
             k = bisect.bisect_left(spans, (end, 0))
             if any(b > start for _, b in spans[max(0, k - 3) : k]):
                 continue
-            both = known.all.intersection(contexts_of(text, start, end)) if more else set()
+            both = known.all.intersection(contexts_of(sides, start, end)) if more else set()
             if new:
                 done.add(key)
                 both |= ones & {f"1 {here} {_side(key[1])}"}
@@ -239,12 +276,13 @@ def _scan(batch: pa.RecordBatch) -> dict:
         out["n"].append([sum(k == kind for k, _, _ in seeds) for kind in KINDS[:4]])
         out["base"].append(base)
         out["sha"].append(hashlib.sha256(base.encode()).hexdigest())
+        sides = Sides(text)
         spans = [(True, a, b) for _, a, b in seeds] + [(False, a, b) for a, b in (identifiers(text, seeds) if _DIGIT.search(text) else [])]
         out["found"].append(
             [
                 {"pattern": p, "context": c, "instance": xxhash.xxh64_hexdigest(text[a:b].lower()), "start": a, "end": b, "seed": s, "prior": 1.0 if s else OPAQUE * opaque(text[a:b])}
                 for s, a, b in spans
-                for p, c in patterns_of(text, a, b)
+                for p, c in patterns_of(sides, a, b)
             ]
         )
     return {"doc_id": batch.column("doc_id"), "key": batch.column("key")} | out
@@ -259,27 +297,41 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def pattern_scores(edges: DataFrame, others: DataFrame | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """Of distinct edges (pattern, context, instance, prior), and others (context, others: number of ordinary words): pattern, context, confidence, instances."""
+    """Of distinct edges (pattern, context, instance, prior), and others (context, others: number of ordinary words): pattern, context, confidence, instances.
+
+    Sums are combined before the shuffle; an edge meets its pattern's row by a join whose skewed partitions adaptive execution splits.
+    """
     scores = edges.groupBy("instance").agg(F.max("prior").alias("score"))
-    patterns = None
-    for k in range(rounds):
+    for _ in range(rounds):
         patterns = edges.join(scores, "instance").groupBy("pattern", "context").agg(F.sum("score").alias("total"), F.count("*").alias("instances"))
         patterns = patterns.withColumn("others", F.lit(0)) if others is None else patterns.join(others, "context", "left").fillna(0, ["others"])
-        patterns = patterns.select("pattern", "context", "instances", (F.col("total") / (F.col("instances") + F.col("others") + 1)).alias("confidence"))
-        if k < rounds - 1:
-            scores = cut(edges.join(patterns.drop("context", "instances"), "pattern").groupBy("instance").agg(F.greatest(F.max("prior"), F.max("confidence")).alias("score")))
+        patterns = cut(patterns.select("pattern", "context", "instances", (F.col("total") / (F.col("instances") + F.col("others") + 1)).alias("confidence")))
+        reached = edges.join(patterns.drop("context", "instances"), "pattern").groupBy("instance").agg(F.greatest(F.max("prior"), F.max("confidence")).alias("next"))
+        both = cut(reached.join(scores, "instance").select("instance", F.col("next").alias("score"), F.abs(F.col("next") - F.col("score")).alias("moved")))
+        scores = both.drop("moved")
+        if both.where(F.col("moved") > SETTLED).isEmpty():
+            break
     return patterns
 
 
-def other_words(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """context, others: how many distinct ordinary words follow each of the contexts."""
-    known = Known([row["context"] for row in contexts.toLocalIterator()])
+def other_words(docs: DataFrame, contexts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """context, others: how many distinct ordinary words follow each of the contexts. Texts are read once per block of contexts."""
+
+    def scanned(known: Known) -> DataFrame:
+        def count(batch: pa.RecordBatch) -> dict:
+            seen = ordinary([text or "" for text in batch.column("text").to_pylist()], known) if known.all else ()
+            return {"context": [c for c, _ in seen], "word": [w for _, w in seen]}
 
-    def count(batch: pa.RecordBatch) -> dict:
-        seen = ordinary([text or "" for text in batch.column("text").to_pylist()], known) if known.all else ()
-        return {"context": [c for c, _ in seen], "word": [w for _, w in seen]}
+        return map_slices(docs.select("text"), "text", count, "context string, word string").distinct().groupBy("context").agg(F.count("*").alias("others"))
 
-    return map_slices(docs.select("text"), "text", count, "context string, word string").distinct().groupBy("context").agg(F.count("*").alias("others"))
+    rows = (row["context"] for row in contexts.toLocalIterator())
+    out = None
+    while (part := list(islice(rows, block))) or out is None:
+        counted = scanned(Known(part))
+        out = counted if out is None else out.unionByName(counted)
+        if len(part) == block:
+            out = written(out)  # the driver holds one block at a time
+    return out
 
 
 def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, instances: int = INSTANCES) -> DataFrame:
