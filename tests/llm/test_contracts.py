@@ -188,6 +188,90 @@ def test_tokens_are_found_and_chance_contexts_are_not(spark):
     assert out[20] == "id:14:24" and out[40] == out[60] == out[90] == ""
 
 
+def test_context_words_are_found_at_any_distance():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice(["ab ", "c", "1", "-", ".. ", " " * rng.choice((1, 3, 500)), "x9 ", "\u00e9t\u00e9 "]) for _ in range(rng.randint(0, 30)))
+        sides = personal_data.Sides(text)
+        for start in range(0, len(text), 7):
+            end = min(len(text), start + rng.randint(0, 9))
+            left = [m.span() for m in personal_data._WORD.finditer(text[:start])][-2:]
+            right = personal_data._WORD.search(text, end)
+            assert sides.left(start) == left and sides.right(end) == (right and right.span())
+
+
+def plain_scores(edges, others):
+    score = defaultdict(float)
+    for _, _, i, prior in edges:
+        score[i] = max(score[i], prior)
+    while True:
+        total, number, context = Counter(), Counter(), {}
+        for p, c, i, _ in edges:
+            total[p] += score[i]
+            number[p] += 1
+            context[p] = c
+        confidence = {p: total[p] / (number[p] + others.get(context[p], 0) + 1) for p in number}
+        new = defaultdict(float)
+        for p, _, i, prior in edges:
+            new[i] = max(new[i], prior, confidence[p])
+        moved, score = max(abs(new[i] - score[i]) for i in new), new
+        if moved <= personal_data.SETTLED:
+            return {p: (confidence[p], number[p]) for p in number}
+
+
+def test_pattern_scores_equal_plain_python(spark):
+    rng = random.Random(5)
+    edges = sorted({(f"p{p}", f"c{p // 2}", f"i{rng.randrange(60)}") for p in range(25) for _ in range(rng.randint(1, 15))})
+    prior = {f"i{k}": rng.choice((0.0, 0.0, 0.9, 1.0)) for k in range(60)}
+    edges = [(*e, prior[e[2]]) for e in edges]
+    others = {f"c{k}": rng.randint(0, 9) for k in range(6)}
+    frames = spark.createDataFrame(edges, "pattern string, context string, instance string, prior double"), spark.createDataFrame(list(others.items()), "context string, others bigint")
+    got = {r.pattern: (r.confidence, r.instances) for r in personal_data.pattern_scores(*frames).collect()}
+    truth = plain_scores(edges, others)
+    assert got.keys() == truth.keys() and all(abs(got[p][0] - c) < 1e-9 and got[p][1] == n for p, (c, n) in truth.items())
+
+
+def test_spans_equal_plain_python(spark):
+    """Whole result on given and planted rows: the graph, its scores and the spans, with contexts counted in blocks; precision and recall of planted secrets."""
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in ("la", "mo", "ri", "tu", "se") for b in ("na", "po", "ki", "ve", "do")]
+    rows, planted = [], set()
+    for k in range(60):
+        key = "".join(rng.choice("0123456789abcdefXYZ") for _ in range(rng.choice((24, 40))))
+        head = " ".join(rng.choices(words, k=5))
+        name = rng.choice(("token = \"", "secret: ", "api key is "))
+        rows.append((k, f"{head} {name}{key} {' '.join(rng.choices(words, k=5))}"))
+        planted.add((k, len(head) + 1 + len(name), len(head) + 1 + len(name) + len(key)))
+    rows += [(100 + k, f"{' '.join(rng.choices(words, k=6))} in {1900 + k}-{10 + k % 3}-{10 + k % 17} {rng.choice(words)} of u{k}@site.example") for k in range(40)]
+    found, seen = [], set()
+    for i, text in rows:
+        seeds = personal_data.base_spans(text)
+        for seed, a, b in [(True, x, y) for _, x, y in seeds] + [(False, x, y) for x, y in personal_data.identifiers(text, seeds)]:
+            for p, c in personal_data.patterns_of(personal_data.Sides(text), a, b):
+                token = text[a:b].lower()
+                found.append((i, a, b, seed, p, c, token, 1.0 if seed else personal_data.OPAQUE * personal_data.opaque(text[a:b])))
+    prior = defaultdict(float)
+    for *_, p, c, token, s in found:
+        prior[p, c, token] = max(prior[p, c, token], s)
+    edges = [(*e, s) for e, s in prior.items()]
+    trusted = lambda scores: {p for p, (c, n) in scores.items() if c >= personal_data.CONFIDENCE and n >= personal_data.INSTANCES}
+    possible = trusted(plain_scores(edges, {}))
+    contexts = {c for p, c, *_ in edges if p in possible}
+    for text in (t for _, t in rows):
+        spans = [(a, b) for _, a, b in personal_data.base_spans(text)] + personal_data.identifiers(text, personal_data.base_spans(text))
+        for m in re.finditer(r"\w+", text):
+            if not any(a < m.end() and m.start() < b for a, b in spans):
+                seen |= {(c, m.group().lower()) for c in personal_data.contexts_of(personal_data.Sides(text), *m.span()) if c in contexts}
+    final = trusted(plain_scores([e for e in edges if e[0] in possible], Counter(c for c, _ in seen)))
+    truth = {(i, a, b) for i, a, b, seed, p, *_ in found if not seed and p in final}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, int(x.split(":")[1]), int(x.split(":")[2])) for r in personal_data.personal_data(docs).collect() for x in r.spans.split(",") if x.startswith("id:")}
+    assert got == truth
+    assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.1 * len(got)
+    one = personal_data.other_words(docs, spark.createDataFrame([(c,) for c in sorted(contexts)], "context string"), block=3)
+    assert {r.context: r.others for r in one.collect()} == dict(Counter(c for c, _ in seen))
+
+
 def test_personal_data_query(spark, small):
     rows = {r.doc_id: r for r in personal_data.query(spark, small).collect()}
     for i, text, _ in documents(small):
