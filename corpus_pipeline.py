@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from folia.llm import decontaminate, line_dedup, repetition, sampled_pieces, simhash
-from folia.llm.common import shared_dir, table
+from folia.llm.common import removed, shared_dir, table
 
 STAGES = [
     ("quality rules", repetition.quality_stage),
@@ -22,12 +22,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; between stages the rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if number < len(STAGES) - 1:
-            path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Applies STAGES to documents; between stages the rows are written to the shared folder and read again.
+
+    A stage's input is deleted as soon as its output is written, so two tables are there at once.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline/{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
