@@ -144,6 +144,27 @@ def test_quality_measures(spark, small):
         assert r.base_failed == (q[0] < 50 or 100 * q[4] > 50 * q[0]) and not (r.kept and r.base_failed)
 
 
+def test_quality_verdict(spark, small):
+    """Covered words, longest repeat and verdict against enumeration, on texts with repeats of all lengths."""
+    rng = random.Random(12)
+    texts = [" ".join(t.split()[:150]) for _, t, _ in documents(small)[:60]]
+    for _ in range(60):
+        w = [f"w{rng.randrange(90)}" for _ in range(rng.randint(40, 90))]
+        for _ in range(rng.randint(0, 3)):
+            at, n = rng.randrange(len(w)), rng.randint(2, 25)
+            w[rng.randrange(len(w)) : 0] = w[at : at + n]
+        texts.append(" ".join(w))
+    rows = {r.doc_id: r for r in repetition.judge(repetition.repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))).collect()}
+    for k, text in enumerate(texts):
+        w = text.split()
+        long = [(i, n) for i, n in enumerate(brute_repeats(w)) if n >= repetition.MIN_REPEAT]
+        covered, longest = len({i + d for i, n in long for d in range(n)}), max((n for _, n in long), default=0)
+        r = rows[k]
+        assert (r.n_covered, r.longest_repeat) == (covered, longest)
+        assert r.kept == (not r.base_failed and covered <= repetition.MAX_COVERED * len(w) and longest <= repetition.MAX_LONGEST * len(w))
+    assert len({r.kept for r in rows.values()}) == 2
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
