@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folia.functions.text import LAZY_COMMENT, strip
+from folia.functions.text import LAZY_COMMENT, bound, strip
 
 MIN_BODY = 500
 REQUIRED = ("article_title", "journal_title", "publication_date", "doi", "authors")
@@ -26,8 +26,8 @@ def body_text(xml: Column) -> Column:
 
 def audit_warnings(xml: Column, text: Column) -> Column:
     """Warnings of the completeness audit; text is the body's visible text, null if it could not be parsed."""
-    lazy = lazy_comments(xml)
-    return F.array_compact(F.array(F.when(F.size(lazy) > 0, F.concat(F.lit(LAZY_WARNING), F.array_join(F.slice(lazy, 1, 2), ", "))), F.when(F.length(text) < MIN_BODY, F.lit(SHORT_WARNING))))
+    lazy = bound(lazy_comments(xml), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(LAZY_WARNING), F.array_join(F.slice(x, 1, 2), ", "))))
+    return F.array_compact(F.array(lazy, F.when(F.length(text) < MIN_BODY, F.lit(SHORT_WARNING))))
 
 
 def quality_score(n_errors: Column, complete: Column) -> Column:

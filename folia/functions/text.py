@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +20,20 @@ TAG_NAME = r"^[a-zA-Z][a-zA-Z0-9\-]*$"
 EDITABLE_TAGS = ("article-title", "trans-title", "abstract", "kwd-group", "journal-title", "publisher-name", "issn", "volume", "issue", "fpage", "lpage", "year")
 MARKUP_TAGS = ("abstract", "kwd-group")
 TAG_SEARCH = 500_000
+#: The code points with the Unicode property White_Space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def bound(x: Column, *steps: Callable[[Column], Column]) -> Column:
+    """Steps one after the other, each on a bound value: a step that names its input several times does not have it evaluated as often."""
+    for step in steps:
+        x = F.get(F.transform(F.array(x), step), F.lit(0))
+    return x
 
 
 def strip(x: Column) -> Column:
     """Without white space at either end, in the Unicode sense."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.trim(x, F.lit(WHITE_SPACE))
 
 
 def clean_whitespace(x: Column) -> Column:
@@ -71,24 +82,29 @@ def dedupe_xml_decl(x: Column) -> Column:
 
 
 def ensure_article_root(x: Column) -> Column:
-    start, end = strip(x), strip(x).endswith("</article>")
-    head = F.when(start.startswith("<article") | start.startswith("<?xml"), x).otherwise(F.concat(F.lit("<article>\n"), x))
-    return F.when(end, head).otherwise(F.concat(head, F.lit("\n</article>")))
+    def rooted(bare: Column) -> Column:
+        opened = bare.startswith("<article") | bare.startswith("<?xml")
+        return F.concat(F.when(opened, "").otherwise("<article>\n"), x, F.when(bare.endswith("</article>"), "").otherwise("\n</article>"))
+
+    return bound(x, strip, rooted)
 
 
 def sanitize_text(x: Column) -> Column:
     """The string steps of the clean-up, in order."""
-    for step in (strip_bom_trim, fix_truncated_tag, fix_align_cell, drop_break, dedupe_xml_decl, ensure_article_root):
-        x = step(x)
-    return x
+    return bound(x, strip_bom_trim, fix_truncated_tag, fix_align_cell, drop_break, dedupe_xml_decl, ensure_article_root)
+
+
+#: How calls write their token counts.
+TOKEN_BLOCK = r"\{[^\}]*token[^\}]*\}"
+TOKEN_COUNT = r"(?i){what}{gap}tokens\D*(\d+)"
 
 
 def token_metrics(x: Column) -> Column:
     """struct<total, prompt, completion, found>: counts in a braces block that names tokens, else in plain text."""
-    block = F.regexp_extract(x, r"\{[^\}]*token[^\}]*\}", 0)
+    block = F.regexp_extract(x, TOKEN_BLOCK, 0)
 
     def number(text: Column, what: str, gap: str) -> Column:
-        return F.regexp_extract(text, rf"(?i){what}{gap}tokens\D*(\d+)", 1).try_cast("bigint")
+        return F.regexp_extract(text, TOKEN_COUNT.format(what=what, gap=gap), 1).try_cast("bigint")
 
     inner = [number(block, w, r"[_\s-]*") for w in ("total", "prompt", "completion")]
     plain = [number(x, w, r"\s*") for w in ("total", "prompt", "completion")]

@@ -45,27 +45,25 @@ def block_parts(blocks: DataFrame) -> DataFrame:
 
 
 def fold_captions(parts: DataFrame) -> DataFrame:
-    """doc_id, parts array<string> in order: a table takes the part before it as caption, whatever that is by then, and blanks it."""
-    grouped = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "part"))).alias("all"))
+    """doc_id, pos array<int>, parts array<string> in order: a table takes the part before it as caption, whatever that is by then, and blanks it.
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(""))
-        full = strip(last) != ""
-        before = F.when(full, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.lit("")))).otherwise(done)
-        table = F.concat(before, F.array(table_placeholder(F.when(full, strip(last)).otherwise(""), x["part"])))
-        return F.when(x["kind"] == "table", table).otherwise(F.concat(done, F.array(x["part"])))
-
-    return grouped.select("doc_id", F.aggregate("all", F.array().cast("array<string>"), step).alias("parts"))
-
-
-def fold_captions_by_lag(parts: DataFrame) -> DataFrame:
-    """The same as rows (doc_id, pos, part), by lag and lead: equal where no two tables stand next to each other, and cheaper."""
+    So of a run of tables the last one stays, with those before it folded into its caption. ``k`` is a table's place in
+    its run; every part is looked at once, and once more as part of a run.
+    """
     w = W.partitionBy("doc_id").orderBy("pos")
-    before, after = F.lag("part").over(w), F.lead("kind").over(w)
-    caption = F.coalesce(strip(before), F.lit(""))
-    taken = (after == "table") & (strip(F.col("part")) != "") & (F.col("kind") != "table")
-    part = F.when(F.col("kind") == "table", table_placeholder(caption, F.col("part"))).when(taken, "").otherwise(F.col("part"))
-    return parts.withColumn("folded", part).select("doc_id", "pos", F.col("folded").alias("part"))
+    place = F.row_number().over(w)
+    other = F.max(F.when(F.col("kind") != "table", F.col("place"))).over(w.rowsBetween(W.unboundedPreceding, 0))
+    placed = parts.withColumn("place", place).withColumn("k", F.col("place") - F.coalesce(other, F.lit(0)))
+    grouped = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "part", "k"))).alias("all"))
+
+    def folded(x: Column, i: Column) -> Column:
+        before = strip(F.coalesce(F.get("all", i - x["k"])["part"], F.lit("")))
+        run = F.slice("all", i - x["k"] + 2, x["k"] - 1)
+        caption = F.aggregate(run, before, lambda done, y: strip(table_placeholder(done, y["part"])))
+        taken = F.coalesce(F.get("all", i + 1)["kind"] == "table", F.lit(False)) & ((x["kind"] == "table") | (strip(x["part"]) != ""))
+        return F.when(taken, "").when(x["kind"] == "table", table_placeholder(caption, x["part"])).otherwise(x["part"])
+
+    return grouped.select("doc_id", F.col("all.pos").alias("pos"), F.transform("all", folded).alias("parts"))
 
 
 def assemble(blocks: DataFrame) -> DataFrame:

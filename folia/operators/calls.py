@@ -52,8 +52,12 @@ def call_model(df: DataFrame, fn: Callable[[str], dict], partitions: int, retrie
     return out.withColumn("error_class", call_error_classify(F.col("error"))).drop("error")
 
 
+#: How a continuation is fenced.
+FENCE_OPEN, FENCE_CLOSE = r"^```[a-zA-Z]*\n?", "```$"
+
+
 def _unfenced(x: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(strip(x), r"^```[a-zA-Z]*\n?", ""), "```$", ""))
+    return strip(F.regexp_replace(F.regexp_replace(strip(x), FENCE_OPEN, ""), FENCE_CLOSE, ""))
 
 
 def stitch(chunks: DataFrame) -> DataFrame:

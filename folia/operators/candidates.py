@@ -7,11 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folia.functions.quality import audit_warnings, body_text, quality_score
-from folia.functions.text import fence_extract, sanitize_text
+from folia.functions.text import bound, fence_extract, sanitize_text
+
+
+MOST_MODELS = 1000
 
 
 def fanout(docs: DataFrame, roster: DataFrame) -> DataFrame:
-    """Every document with every entry of the roster. A roster is a stated list of models; its size does not grow with the documents."""
+    """Every document with every entry of the roster. A roster is a stated list of models, of at most ``MOST_MODELS``."""
+    if roster.limit(MOST_MODELS + 1).count() > MOST_MODELS:
+        raise ValueError(f"a roster has at most {MOST_MODELS} models")
     return docs.crossJoin(F.broadcast(roster))
 
 
@@ -21,7 +26,7 @@ def clean(cands: DataFrame, column: str = "raw_response") -> DataFrame:
 
 def score(cands: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """cands (doc_id, roster_idx, xml) with warnings, complete, n_errors, score. errors: doc_id, roster_idx, n_errors of validation."""
-    out = cands.withColumn("warnings", audit_warnings(F.col("xml"), body_text(F.col("xml"))))
+    out = cands.withColumn("warnings", bound(F.col("xml"), lambda x: audit_warnings(x, body_text(x))))
     if errors is not None:
         out = out.join(errors.select("doc_id", "roster_idx", "n_errors"), ["doc_id", "roster_idx"], "left")
     else:
