@@ -15,7 +15,8 @@ from folia.streaming.usage import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-_ARTICLE = """select doc_id, concat('<article article-type="research-article"><front><journal-meta><journal-id>',
+#: The hint is for Spark: a small table is often one row group, which is one task.
+_ARTICLE = """select /*+ repartition(doc_id) */ doc_id, concat('<article article-type="research-article"><front><journal-meta><journal-id>',
  source, '</journal-id><journal-title-group><journal-title>Journal ', source,
  '</journal-title></journal-title-group><issn>0000-0000</issn><publisher><publisher-name>Press ', lang,
  '</publisher-name></publisher></journal-meta><article-meta><article-id pub-id-type="doi">10.5555/d',
@@ -57,6 +58,14 @@ from events""",
  '</aff><pub-date>', concat('</aff><author-notes><corresp id="c1">Mail <email>n', cast(doc_id % 2 as string), '@x.org</email></corresp></author-notes><pub-date>')),
  '<abstract>', concat('<history><date date-type="received"><day>1</day><month>', cast(1 + doc_id % 12 as string), '</month><year>2019</year></date><date date-type="accepted"><year>2020</year></date></history><abstract>')),
  '<p>See ', concat('<fig><label>F</label><caption><p>Cap &amp; ', cast(doc_id % 9 as string), '</p></caption><graphic xlink:href="g', cast(doc_id % 4 as string), '.png"/></fig><table-wrap id="tab"><caption><p>T</p></caption><table><tr><td>', cast(doc_id % 8 as string), '</td><th>h</th></tr><tr><td>second</td></tr></table></table-wrap><p>See ')) as xml
+from fx_article_xml""",
+    # The same articles with three authors of shared and missing affiliations, nested sections and several references.
+    "fx_full_xml": """select doc_id, replace(replace(replace(replace(xml, '</contrib></contrib-group>',
+  concat('</contrib><contrib contrib-type="author"><contrib-id contrib-id-type="orcid">0000-000', cast(doc_id % 9 as string), '</contrib-id><name><surname>T</surname><given-names>H</given-names></name>',
+  '<xref ref-type="aff" rid="aff1"/><xref ref-type="aff" rid="aff2"/></contrib><contrib contrib-type="author"><name><surname>U</surname></name></contrib></contrib-group>')),
+ '</aff><pub-date>', concat('</aff><aff id="aff2"><label>2</label>Lab ', cast(doc_id % 4 as string), '</aff><pub-date>')),
+ '</sec></body>', '<sec id="s2"><title>In</title><p>deep</p><sec><title>Deeper</title><p>x</p></sec></sec></sec><sec id="s3"><label>7</label><title>Two</title><p>See <xref ref-type="bibr" rid="r1 r2">1, 2</xref> and <xref ref-type="bibr" rid="r2">2</xref>.</p></sec></body>'),
+ '</ref></ref-list>', '</ref><ref id="r2"><label>2.</label><mixed-citation>2. Next <italic>one</italic></mixed-citation></ref><ref id="r3"><mixed-citation>Last</mixed-citation></ref></ref-list>') as xml
 from fx_article_xml""",
     "fx_candidates": """select a.doc_id, r.roster_idx, r.label, r.provider, r.model,
  case (r.roster_idx + a.doc_id) % 4
@@ -94,13 +103,13 @@ from events""",
  when 2 then 'Element foo is not declared in article list of possible elements'
  else concat('a:', cast(o_orderkey as string), ':0:E: tail text') end as message
 from orders""",
-    "fx_blocks": """select doc_id, pos, case when pos % 7 = 6 then 'image' when pos % 5 = 3 then 'table' else 'paragraph' end as kind, line as text
+    "fx_blocks": """select doc_id, pos, case when pos % 7 = 6 then 'image' when pos % 10 in (3, 4, 5, 8) then 'table' else 'paragraph' end as kind, line as text
 from (select doc_id, posexplode(split(text, '\\n')) as (pos, line) from documents)""",
 }
 
 #: Where the dialects differ.
 DUCKDB = {
-    "fx_blocks": """select doc_id, cast(pos as integer) as pos, case when pos % 7 = 6 then 'image' when pos % 5 = 3 then 'table' else 'paragraph' end as kind, line as text
+    "fx_blocks": """select doc_id, cast(pos as integer) as pos, case when pos % 7 = 6 then 'image' when pos % 10 in (3, 4, 5, 8) then 'table' else 'paragraph' end as kind, line as text
 from (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))""",
 }
 
