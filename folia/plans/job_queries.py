@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import uuid
 import zipfile
@@ -14,14 +15,15 @@ from pyspark.sql import functions as F
 
 from folia.functions import quality as Q
 from folia.operators import calls as C
+from folia.operators import candidates as E
 from folia.operators import extract as X
 from folia.operators import publish as P
 from folia.operators import validate as V
 from folia.plans import article_queries as AQ
 from folia.plans import jobs as J
-from folia.plans.fixtures import kept, oracle, view
+from folia.plans.fixtures import kept, oracle, run, view
 from folia.sources import files as S
-from folia.sources.grammar import content_model
+from folia.sources.grammar import ATTRIBUTES, COMMON, CORE, VERSIONS, attr_decl, content_model
 from folia.streaming.ingest import stream_ingest
 from folia.streaming.usage import scratch
 
@@ -65,6 +67,35 @@ def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BLOCKS = "select cast(doc_id as varchar) || '.docx' as doc_id, len(string_split(text, chr(10))) as n from documents"
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of three kinds in folders, found again by the scan."""
+    kind = F.element_at(F.array(F.lit("docx"), F.lit("pdf"), F.lit("txt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    view(spark, sf_dir, "documents").select(F.encode("text", "utf-8").alias("content"), F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name")).foreachPartition(FileDrop(path))
+    return S.read_manuscripts(spark, path)
+
+
+class FileDrop:
+    """Writes rows (name, content) as files below a folder that all executors see."""
+
+    def __init__(self, path: str):
+        self.folder = path.removeprefix("file:").replace("///", "/").replace("//", "/")
+
+    def __call__(self, rows) -> None:
+        for r in rows:
+            target = os.path.join(self.folder, r["name"])
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target, "wb") as out:
+                out.write(r["content"] or b"")
+
+
+register(
+    "a1_manuscript_scan",
+    lambda s, d: _scanned(s, d).select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("kind"), F.col("length").alias("n"), F.md5("content").alias("content")),
+    "select doc_id, case doc_id % 3 when 0 then 'docx' else 'pdf' end as kind, cast(strlen(text) as bigint) as n, md5(text) as content from documents where doc_id % 3 <> 2",
+)
 register(
     "a3_docx_blocks", lambda s, d: S.docx_blocks(word_files(s, d)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "image").alias("images"), F.max("pos").cast("long").alias("last")),
     f"select doc_id, n as paragraphs, 1 as tables, 1 as images, n + 1 as last from ({_BLOCKS}) as b",
@@ -82,7 +113,6 @@ register(
     "a6_xml_scan", lambda s, d: _files(s, view(s, d, "fx_article_xml").repartition(20, "doc_id").select(F.translate("xml", "\n\r", "  ").alias("xml")), lambda x, p: x.write.text(p), lambda p: S.read_xml(s, p)).select(F.explode(F.filter(F.split("xml", "\n"), lambda x: x != "")).alias("xml")).select(F.regexp_extract("xml", ">10.5555/d([0-9]+)<", 1).cast("long").alias("doc_id"), F.length("xml").cast("long").alias("n")),
     "select doc_id, length(xml) as n from fx_article_xml",
 )
-register("a10_html_sink", lambda s, d: _files(s, AQ_html(s, d), S.write_html, lambda p: s.read.parquet(p)).select("doc_id", F.length("html").cast("long").alias("n")))
 _U = "fx_token_usage"
 
 
@@ -101,8 +131,22 @@ def AQ_html(spark, sf_dir):  # noqa: N802
     return J.publish_job(nodes(spark, sf_dir))
 
 
+
+
+def _by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles' elements in both versions of the grammar."""
+    tags = nodes(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
+    models = content_model(spark, VERSIONS[0]).unionByName(content_model(spark, VERSIONS[1]))
+    counts = attr_decl(spark, VERSIONS[0]).unionByName(attr_decl(spark, VERSIONS[1])).groupBy("version", "element").agg(F.count("*").alias("attributes"))
+    known = models.join(counts, ["version", "element"])
+    return tags.join(known, F.col("tag") == F.col("element")).select("version", "tag", "n", "mixed", "attributes")
+
+
+_TAGS = "select t, count(*) as n from (select unnest(regexp_extract_all(xml, '<([a-z][a-z-]*)', 1)) as t from fx_article_xml) as x group by t"
+_DECLARED = ", ".join(f"('{e}', {str(m.startswith('#')).lower()}, {len((COMMON + ' ' + ATTRIBUTES.get(e, '')).split())})" for e, m in CORE.items())
 register(
-    "a15_grammar_dim", lambda s, d: nodes(s, d).groupBy("tag").agg(F.count("*").alias("n")).join(F.broadcast(content_model(s)), F.col("tag") == F.col("element"), "left").select("tag", "n", F.coalesce("mixed", F.lit(False)).alias("mixed")),
+    "a15_grammar_dim", _by_version,
+    f"select version, t as tag, n, mixed, attributes from ({_TAGS}) as x join (values {_DECLARED}) as k(element, mixed, attributes) on k.element = t cross join (values ('1.3'), ('1.4')) as v(version)",
 )
 
 
@@ -141,19 +185,38 @@ register(
     "select doc_id, cast(case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as integer) as n_errors, false as valid from documents",
 )
 
+_VERSIONED = "select doc_id, case doc_id % 3 when 0 then '1.3' when 1 then '1.4' else '9.9' end as wanted from documents"
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each article against the version that it names, or the default."""
+    used = run(spark, sf_dir, _VERSIONED).select("doc_id", *E.pick_version(F.col("wanted")))
+    both = faulty_nodes(spark, sf_dir).join(used, "doc_id")
+    errors = [V.validate(both.where(F.col("used") == v).drop("used", "fell_back"), v) for v in VERSIONS]
+    counts = errors[0].unionByName(errors[1]).groupBy("doc_id").agg(F.count("*").alias("n_errors"))
+    return used.join(counts, "doc_id", "left").select("doc_id", "used", "fell_back", F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
+
+
+register(
+    "d8_grammar_version_fallback", _validated,
+    f"select doc_id, case when wanted in ('1.3', '1.4') then wanted else '1.4' end as used, wanted not in ('1.3', '1.4') as fell_back, case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as n_errors from ({_VERSIONED}) as v",
+)
+
 # F: publication
 _E = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
 _PARAS = f"""list_append(list_filter([trim({_E.format('p')}, ' ') for p in string_split(text, chr(10))], lambda p: p <> ''), 'See <a class="citation" href="#r1" data-rid="r1">1</a>.')"""
+_SECTIONS_HTML = f"""select doc_id, '<section id="s1" class="article-section level-1 main-section"><h2><span class="section-number">1.</span><span class="section-title">One</span></h2>'
+ || array_to_string(['<p>' || p || '</p>' for p in {_PARAS}], '') || '</section>' as sections from documents"""
 register(
     "f15_html_sections", lambda s, d: P.html_sections(X.sections(nodes(s, d))).select("doc_id", F.md5("html").alias("html")),
-    f"""select doc_id, md5('<section id="s1" class="article-section level-1 main-section"><h2><span class="section-number">1.</span><span class="section-title">One</span></h2>'
- || array_to_string(['<p>' || p || '</p>' for p in {_PARAS}], '') || '</section>') as html from documents""",
+    f"select doc_id, md5(sections) as html from ({_SECTIONS_HTML}) as x",
 )
+_PEOPLE_HTML = f"""select doc_id, '<section class="panel"><h3>Keywords</h3><ul class="keyword-list"><li>' || {_E.format('lang')} || '</li><li>' || {_E.format('source')} || '</li></ul></section>' as keywords,
+ '<section class="panel"><h3>Authors</h3><ul class="author-list"><li class="author"><span class="author-name">G' || (doc_id % 7) || ' S' || (doc_id % 50) || '</span>' || case when doc_id % 3 < 2 then '<span class="author-corresponding">Corresponding author</span>' else '' end
+ || '<div class="author-affiliations">Inst ' || {_E.format('source')} || '</div></li></ul></section>' as authors from documents"""
 register(
     "f16_html_keywords_authors", lambda s, d: (lambda n: P.html_keywords(X.keywords(n)).withColumnRenamed("html", "keywords").join(P.html_authors(X.authors(n)).withColumnRenamed("html", "authors"), "doc_id"))(nodes(s, d)),
-    f"""select doc_id, '<section class="panel"><h3>Keywords</h3><ul class="keyword-list"><li>' || {_E.format('lang')} || '</li><li>' || {_E.format('source')} || '</li></ul></section>' as keywords,
- '<section class="panel"><h3>Authors</h3><ul class="author-list"><li class="author"><span class="author-name">G' || (doc_id % 7) || ' S' || (doc_id % 50) || '</span>' || case when doc_id % 3 < 2 then '<span class="author-corresponding">Corresponding author</span>' else '' end
- || '<div class="author-affiliations">Inst ' || {_E.format('source')} || '</div></li></ul></section>' as authors from documents""",
+    _PEOPLE_HTML,
 )
 register(
     "f17_html_tables_figures_refs",
@@ -166,8 +229,6 @@ _FIGS = "select doc_id, case doc_id % 3 when 0 then concat(lang, '.png') when 1
 
 
 def _figs(s, d):
-    from folia.plans.fixtures import run
-
     return run(s, d, _FIGS)
 
 
@@ -175,12 +236,29 @@ register(
     "f18_image_embed", lambda s, d: P.image_embed(_figs(s, d), view(s, d, "documents").select(F.concat("lang", F.lit(".png")).alias("name"), F.encode("lang", "utf-8").alias("content")).distinct()),
     f"select doc_id, case when doc_id % 3 = 0 then 'data:image/png;base64,' || base64(encode(lang)) else href end as href from (select f.*, lang from ({_FIGS}) as f join documents d on d.doc_id = f.doc_id) as g",
 )
+_META_HTML = f"""select doc_id, '<ul class="meta"><li><span>Journal:</span> Journal ' || {_E.format('source')} || '</li><li><span>Publisher:</span> Press ' || {_E.format('lang')} || '</li><li><span>Issue:</span> ' || (doc_id % 30)
+ || '</li><li><span>DOI:</span> <a href="https://doi.org/10.5555/d' || doc_id || '">10.5555/d' || doc_id || '</a></li><li><span>Date:</span> ' || case when doc_id % 4 = 0 then '5/' else '' end || case when doc_id % 2 = 0 then '3/' else '' end || (2000 + doc_id % 25) || '</li></ul>' as meta from documents"""
 register(
     "f19_html_meta_panel", lambda s, d: (lambda n: P.html_meta(X.articles(n).join(X.pub_date(n), "doc_id", "left")))(nodes(s, d)),
-    f"""select doc_id, '<ul class="meta"><li><span>Journal:</span> Journal ' || {_E.format('source')} || '</li><li><span>Publisher:</span> Press ' || {_E.format('lang')} || '</li><li><span>Issue:</span> ' || (doc_id % 30)
- || '</li><li><span>DOI:</span> <a href="https://doi.org/10.5555/d' || doc_id || '">10.5555/d' || doc_id || '</a></li><li><span>Date:</span> ' || case when doc_id % 4 = 0 then '5/' else '' end || case when doc_id % 2 = 0 then '3/' else '' end || (2000 + doc_id % 25) || '</li></ul>' as html from documents""",
+    f"select doc_id, meta as html from ({_META_HTML}) as x",
+)
+_W = P.Words()
+_TITLE = f"""{_E.format("trim(regexp_replace(substring(replace(text, chr(10), ' '), 1, 40), '\\s+', ' ', 'g'))")}"""
+_PAGE = f"""select d.doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><title>' || {_TITLE} || '</title><style>{_W.style}</style></head><body><header><h1>' || {_TITLE} || '</h1></header>'
+ || meta || authors || '<section id="abstract"><h2>{_W.abstract}</h2><p>Short <em>abstract</em>.</p></section>' || keywords || sections
+ || '<section class="panel" id="references"><h3>References</h3><ol class="reference-list"><li id="r1">Ref ' || {_E.format('source')} || '</li></ol></section></body></html>' as html
+from documents d join ({_META_HTML}) as m on m.doc_id = d.doc_id join ({_PEOPLE_HTML}) as p on p.doc_id = d.doc_id join ({_SECTIONS_HTML}) as s on s.doc_id = d.doc_id"""
+register("f20_html_document", lambda s, d: AQ_html(s, d).select("doc_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("html")), f"select doc_id, length(html) as n, md5(html) as html from ({_PAGE}) as x")
+register("a10_html_sink", lambda s, d: _files(s, AQ_html(s, d), S.write_html, lambda p: s.read.parquet(p)).select("doc_id", F.md5("html").alias("html")), f"select doc_id, md5(html) as html from ({_PAGE}) as x")
+_JSON_TITLE = "to_json(trim(regexp_replace(substring(replace(text, chr(10), ' '), 1, 40), '\\s+', ' ', 'g')))"
+_PUB = "case when doc_id % 4 = 0 then '5/' else '' end || case when doc_id % 2 = 0 then '3/' else '' end || (2000 + doc_id % 25)"
+register(
+    "a11_json_sink",
+    lambda s, d: _files(s, J.article_record(nodes(s, d)), S.write_json, lambda p: s.read.schema("doc_id long, json string").json(p)).select("doc_id", "json"),
+    f"""select doc_id, '{{"title":' || {_JSON_TITLE} || ',"translated_title":"","journal_title":"Journal ' || source || '","publisher":"Press ' || lang || '","volume":"' || (doc_id % 30) || '","issue":"","fpage":"","lpage":"","elocation":"","doi":"10.5555/d' || doc_id
+ || '","pub_date":"' || {_PUB} || '","authors":[{{"full":"G' || (doc_id % 7) || ' S' || (doc_id % 50) || '","orcid":"","corresponding":' || (doc_id % 3 < 2) || ',"affiliations":["Inst ' || source || '"],"emails":[]}}],"keywords":["' || lang || '","' || source
+ || '"],"abstract_paragraphs":["Short <em>abstract</em>."],"references":[{{"id":"r1","label":"1","html":"Ref ' || source || '"}}]}}' as json from documents""",
 )
-register("f20_html_document", lambda s, d: AQ_html(s, d).select("doc_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("html")))
 
 
 # H: jobs with a model that is a plain function

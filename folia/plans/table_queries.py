@@ -67,17 +67,11 @@ def _user_settings(spark, sf_dir):
 
 _DEFAULTS = "select distinct key, concat('default of ', key) as value from fx_settings_log union all select concat('template_', cast(item_id as string)), text from benchmark"
 register("a9_template_store", lambda s, d: S.with_defaults(_settings(s, d), run(s, d, _DEFAULTS)), f"select x.key, coalesce(nullif(c.value, ''), x.value) as value from ({_DEFAULTS}) as x left join ({_CURRENT}) as c on c.key = x.key")
-register("a11_json_sink", lambda s, d: view(s, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "lang", "source", "n_chars")).alias("json")), "select doc_id, '{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\",\"n_chars\":' || n_chars || '}' as json from documents")
 _QUOTAS = "(values " + ", ".join(f"('{m}', {a}, {b}, {c})" for m, a, b, c in G.QUOTAS) + ") as q(model, rpd, tpm, rpm)"
 register(
     "a14_quota_dim", lambda s, d: G.with_limits(view(s, d, "fx_token_usage").select("usage_id", "model")).select("usage_id", "model", "rpd", "tpm", "rpm"),
     f"select usage_id, u.model, cast(coalesce(rpd, 500) as bigint) as rpd, cast(coalesce(tpm, 250000) as bigint) as tpm, cast(coalesce(rpm, 10) as bigint) as rpm from fx_token_usage u left join {_QUOTAS} on q.model = u.model",
 )
-_VERSIONED = "select doc_id, case doc_id % 3 when 0 then '1.3' when 1 then '1.4' else '9.9' end as wanted from documents"
-register(
-    "d8_grammar_version_fallback", lambda s, d: run(s, d, _VERSIONED).select("doc_id", *E.pick_version(F.col("wanted"))),
-    f"select doc_id, case when wanted in ('1.3', '1.4') then wanted else '1.4' end as used, wanted not in ('1.3', '1.4') as fell_back from ({_VERSIONED}) as v",
-)
 
 
 _CATEGORY = f"case when regexp_matches(message, '{Q.CONTENT_MODEL}') then 'content model' when regexp_matches(message, '{Q.NO_ATTRIBUTE}') then 'attribute' when regexp_matches(message, '{Q.UNDECLARED}') then 'undeclared element' when len(string_split(message, ':')) > 4 then 'structure' else 'other' end"
