@@ -44,7 +44,7 @@ def stream_sessions(usage: DataFrame, gap: str = "30 minutes", watermark: str =
 
 
 class QuotaAlerts(StatefulProcessor):
-    """Counts the requests of a model on a day; emits a row when a band is first crossed."""
+    """Counts the requests of a model on a day; emits a row when a band is first crossed. The state is two numbers a model and day."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
