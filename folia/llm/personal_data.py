@@ -11,7 +11,8 @@ distinct instances' scores over their number, damped by one; an instance's score
 pattern (the granularities share their evidence, so it is not added up). Seeds keep score 1, and opaque
 tokens (keys, hashes: letters and digits mixed at random) keep at least ``OPAQUE``. What else follows a
 pattern's context counts against it: the distinct ordinary words there are instances of score 0. They can only
-lower a confidence, so a second pass over the texts counts them for the patterns that are trusted without them.
+lower a confidence, so a second pass over the texts counts them for the patterns that are trusted without them, each up
+to what its confidence can bear; a context with more is out of the graph.
 Patterns with enough confidence and instances then mark the identifiers in them as ``id``, values
 never seen as seeds included. A hash that is no secret looks like a key and is marked alike.
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from itertools import islice
 
 import pyarrow as pa
@@ -211,20 +213,54 @@ def patterns_of(sides: Sides, start: int, end: int) -> list[tuple[str, str]]:
 
 
 class Known:
-    """Contexts by their left word: those of the left word alone, the second left words and the right words of the others."""
-
-    def __init__(self, contexts: list[str]):
-        self.all = frozenset(contexts)
-        self.by_word: dict[str, tuple[set, set, set]] = {}
-        for context in contexts:
-            parts = context.split(" ")
-            ones, twos, threes = self.by_word.setdefault(parts[3 if parts[0] == "2" else 1], (set(), set(), set()))
-            {"1": ones, "2": twos, "3": threes}[parts[0]].add({"1": context, "2": parts[1], "3": parts[-1]}[parts[0]])
-
-
-def ordinary(texts: list[str], known: Known) -> set[tuple[str, str]]:
-    """(context, digest) of the words that follow a known context and are neither seeds nor identifiers."""
-    out: set[tuple[str, str]] = set()
+    """Contexts with the number of ordinary words that each can have, by their left word. A context that has more in what a task reads is broken and is not looked for any more."""
+
+    def __init__(self, most: dict[str, int]):
+        self.most, self.seen = dict(most), {}
+        self.by_word: dict[str, tuple[set, Counter, Counter]] = {}
+        for context in most:
+            word, two, three = self._keys(context)
+            ones, twos, threes = self.by_word.setdefault(word, (set(), Counter(), Counter()))
+            if two is not None:
+                twos[two] += 1
+            elif three is not None:
+                threes[three] += 1
+            else:
+                ones.add(context)
+
+    @staticmethod
+    def _keys(context: str) -> tuple[str, str | None, str | None]:
+        """The left word, and the second left word or the right word that a context asks for."""
+        parts = context.split(" ")
+        if parts[0] == "2":
+            return parts[3], parts[1], None
+        return parts[1], None, parts[-1] if parts[0] == "3" else None
+
+    def add(self, context: str, digest: str) -> tuple[str, str | None] | None:
+        """The row that a word after a context gives: the pair, where it is new, or the broken context with null."""
+        words = self.seen.setdefault(context, set())
+        if digest in words:
+            return None
+        words.add(digest)
+        if len(words) <= self.most[context]:
+            return context, digest
+        del self.seen[context], self.most[context]
+        word, two, three = self._keys(context)
+        ones, twos, threes = self.by_word[word]
+        for keys, key in ((twos, two), (threes, three)):
+            if key is not None:
+                keys[key] -= 1
+                if not keys[key]:
+                    del keys[key]
+        ones.discard(context)
+        if not (ones or twos or threes):
+            del self.by_word[word]
+        return context, None
+
+
+def ordinary(texts: list[str], known: Known) -> list[tuple[str, str | None]]:
+    """Rows of ``Known.add`` for the words that follow a known context and are neither seeds nor identifiers."""
+    out: list[tuple[str, str | None]] = []
     done: set[tuple[str, str, str]] = set()  # (left word, gap, word) whose left word alone is dealt with
     get = known.by_word.get
     for text in texts:
@@ -253,13 +289,13 @@ def ordinary(texts: list[str], known: Known) -> set[tuple[str, str]]:
             k = bisect.bisect_left(spans, (end, 0))
             if any(b > start for _, b in spans[max(0, k - 3) : k]):
                 continue
-            both = known.all.intersection(contexts_of(sides, start, end)) if more else set()
+            both = {c for c in contexts_of(sides, start, end) if c in known.most} if more else set()
             if new:
                 done.add(key)
                 both |= ones & {f"1 {here} {_side(key[1])}"}
             if both:
                 digest = xxhash.xxh64_hexdigest(run)
-                out.update((context, digest) for context in both)
+                out += [row for c in both if (row := known.add(c, digest))]
     return out
 
 
@@ -315,31 +351,42 @@ def pattern_scores(edges: DataFrame, others: DataFrame | None = None, rounds: in
 
 
 def other_words(docs: DataFrame, contexts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """context, others: how many distinct ordinary words follow each of the contexts. Texts are read once per block of contexts."""
+    """context, others, broken of contexts (context, most): how many distinct ordinary words follow each, and whether they are over ``most``.
+
+    A task stops counting a context when what it has read breaks it, so others is exact where broken is false. Texts are read
+    once per block of contexts.
+    """
+
+    def scanned(most: dict[str, int]) -> DataFrame:
+        known = Known(most)
 
-    def scanned(known: Known) -> DataFrame:
         def count(batch: pa.RecordBatch) -> dict:
-            seen = ordinary([text or "" for text in batch.column("text").to_pylist()], known) if known.all else ()
-            return {"context": [c for c, _ in seen], "word": [w for _, w in seen]}
+            rows = ordinary([text or "" for text in batch.column("text").to_pylist()], known) if known.by_word else ()
+            return {"context": [c for c, _ in rows], "word": [w for _, w in rows]}
 
-        return map_slices(docs.select("text"), "text", count, "context string, word string").distinct().groupBy("context").agg(F.count("*").alias("others"))
+        rows = map_slices(docs.select("text"), "text", count, "context string, word string").distinct()
+        return rows.groupBy("context").agg(F.count("word").alias("others"), F.bool_or(F.col("word").isNull()).alias("over"))
 
-    rows = (row["context"] for row in contexts.toLocalIterator())
+    rows = ((row["context"], row["most"]) for row in contexts.select("context", "most").toLocalIterator())
     out = None
-    while (part := list(islice(rows, block))) or out is None:
-        counted = scanned(Known(part))
+    while (part := dict(islice(rows, block))) or out is None:
+        counted = scanned(part)
         out = counted if out is None else out.unionByName(counted)
         if len(part) == block:
             out = written(out)  # the driver holds one block at a time
-    return out
+    return out.join(contexts.select("context", "most"), "context").select("context", "others", (F.col("over") | (F.col("others") > F.col("most"))).alias("broken"))
 
 
 def trusted_patterns(docs: DataFrame, found: DataFrame, confidence: float = CONFIDENCE, instances: int = INSTANCES) -> DataFrame:
+    """Patterns with enough confidence and instances. A context with more ordinary words than any of its patterns can bear leaves the graph before the last scoring."""
     enough = (F.col("confidence") >= confidence) & (F.col("instances") >= instances)
     edges = cut(found.groupBy("pattern", "context", "instance").agg(F.max("prior").alias("prior")))
-    possible = written(pattern_scores(edges).where(enough).select("pattern", "context"))
-    others = written(other_words(docs, possible.select("context").distinct()))
-    return written(pattern_scores(cut(edges.join(possible.select("pattern"), "pattern")), others).where(enough).select("pattern"))
+    possible = written(pattern_scores(edges).where(enough).select("pattern", "context", "instances"))
+    # Confidence is at most instances / (instances + others + 1).
+    most = F.greatest(F.lit(0), F.floor(F.max("instances") * (1 / confidence - 1) - 1 + 1e-9)).cast("long")
+    others = written(other_words(docs, written(possible.groupBy("context").agg(most.alias("most")))))
+    left = possible.join(others.where("broken"), "context", "left_anti").select("pattern")
+    return written(pattern_scores(cut(edges.join(left, "pattern")), others.select("context", "others")).where(enough).select("pattern"))
 
 
 def personal_data(docs: DataFrame, confidence: float = CONFIDENCE, instances: int = INSTANCES) -> DataFrame:
