@@ -283,14 +283,19 @@ def test_spans_equal_plain_python(spark):
         for m in re.finditer(r"\w+", text):
             if not any(a < m.end() and m.start() < b for a, b in spans):
                 seen |= {(c, m.group().lower()) for c in personal_data.contexts_of(personal_data.Sides(text), *m.span()) if c in contexts}
-    final = trusted(plain_scores([e for e in edges if e[0] in possible], Counter(c for c, _ in seen)))
+    others = Counter(c for c, _ in seen)
+    number = plain_scores(edges, {})
+    most = {c: max(0, math.floor(max(number[p][1] for p, x, *_ in edges if x == c and p in possible) * (1 / personal_data.CONFIDENCE - 1) - 1 + 1e-9)) for c in contexts}
+    final = trusted(plain_scores([e for e in edges if e[0] in possible and others[e[1]] <= most[e[1]]], others))
     truth = {(i, a, b) for i, a, b, seed, p, *_ in found if not seed and p in final}
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r.doc_id, int(x.split(":")[1]), int(x.split(":")[2])) for r in personal_data.personal_data(docs).collect() for x in r.spans.split(",") if x.startswith("id:")}
     assert got == truth
     assert len(got & planted) >= 0.9 * len(planted) and len(got - planted) <= 0.1 * len(got)
-    one = personal_data.other_words(docs, spark.createDataFrame([(c,) for c in sorted(contexts)], "context string"), block=3)
-    assert {r.context: r.others for r in one.collect()} == dict(Counter(c for c, _ in seen))
+    for bound in (most, dict.fromkeys(contexts, 10**6)):
+        counted = personal_data.other_words(docs, spark.createDataFrame(sorted(bound.items()), "context string, most bigint"), block=3).collect()
+        assert {r.context: r.others for r in counted if not r.broken} == {c: n for c, n in others.items() if n <= bound[c]}
+        assert {r.context for r in counted if r.broken} == {c for c, n in others.items() if n > bound[c]}
 
 
 def test_personal_data_query(spark, small):
