@@ -261,7 +261,7 @@ def encode(docs: DataFrame, key: str = "doc_id", path: str = MODEL, theta: float
     """key, n_pieces, pieces array<int>, lossless (decoding gave the text back) for every row of docs (key, text)."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_pieces long, pieces array<int>, lossless boolean"
-    out = map_slices(docs.selectExpr(f"`{key}` as key", "text"), "text", lambda b: _encode(b, path, theta), schema, 3_000_000)
+    out = map_slices(docs.selectExpr(f"`{key}` as key", "text"), "text", lambda b: _encode(b, path, theta), schema, 2_000_000)
     return out.withColumnRenamed("key", key)
 
 
