@@ -32,6 +32,8 @@ def journal_profile(settings: DataFrame, *keys: str) -> DataFrame:
 def apply_journal(meta: DataFrame, profile: DataFrame, *keys: str) -> DataFrame:
     """meta with the profile's non-empty fields in place of its own. Without keys the profile is one row."""
     named = profile.select(*keys, *[F.col(p).alias(f"_{p}") for p in OVERRIDES])
+    if not keys and named.limit(2).count() != 1:
+        raise ValueError("without keys the profile has to be one row")
     both = meta.join(named, list(keys), "left") if keys else meta.crossJoin(F.broadcast(named))
     new = {m: F.coalesce(F.nullif(F.col(f"_{p}"), F.lit("")), F.col(m) if m in meta.columns else F.lit(None).cast("string")) for p, m in OVERRIDES.items()}
     return both.withColumns(new).drop(*[f"_{p}" for p in OVERRIDES])

@@ -38,7 +38,7 @@ def _named(column: str):
 
 def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with S.rocksdb(spark):
-        return _drain(spark, sf_dir, S.stream_alerts)
+        return _drain(spark, sf_dir, lambda u: S.stream_alerts(u, LONG)).where("model <> 'closing'")
 
 
 register(

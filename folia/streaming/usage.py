@@ -44,7 +44,10 @@ def stream_sessions(usage: DataFrame, gap: str = "30 minutes", watermark: str =
 
 
 class QuotaAlerts(StatefulProcessor):
-    """Counts the requests of a model on a day; emits a row when a band is first crossed. The state is two numbers a model and day."""
+    """Counts the requests of a model on a day; emits a row when a band is first crossed.
+
+    The state is two numbers a model and day. A timer drops it once the watermark has passed the day's end: later rows of that day are late and not read.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -52,9 +55,13 @@ class QuotaAlerts(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         model, day = key
-        n, told = self.state.get() if self.state.exists() else (0, 0)
+        known = self.state.exists()
+        n, told = self.state.get() if known else (0, 0)
         out = []
         for frame in rows:
+            if not known:
+                self.handle.registerTimer(int(frame["day_end"].iloc[0]))
+                known = True
             limit = max(int(frame["rpd"].iloc[0]), 1)
             n += len(frame)
             for band in (80, 100):
@@ -65,14 +72,20 @@ class QuotaAlerts(StatefulProcessor):
         if out:
             yield pd.DataFrame(out, columns=["model", "day", "band"])
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def stream_alerts(usage: DataFrame) -> DataFrame:
+def stream_alerts(usage: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """model, day, band: one alert per model and day on reaching 80 and 100 per cent of the day's requests. Needs the RocksDB state store."""
-    keyed = with_limits(usage).withColumn("day", F.to_date("ts").cast("string")).groupBy("model", "day")
-    return keyed.transformWithStateInPandas(QuotaAlerts(), "model string, day string, band int", "Append", "None")
+    start = F.date_trunc("day", "ts")
+    dated = with_limits(usage.withWatermark("ts", watermark)).where("ts is not null")
+    dated = dated.withColumns({"day": F.to_date("ts").cast("string"), "day_end": F.unix_millis(start + F.expr("interval 1 day"))})
+    return dated.groupBy("model", "day").transformWithStateInPandas(QuotaAlerts(), "model string, day string, band int", "Append", "EventTime")
 
 
 def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> DataFrame:

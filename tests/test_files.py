@@ -74,6 +74,22 @@ def test_late_rows_are_left_out_and_replays_dropped(spark, tmp_path):
     assert found["2024-01-01"] == 1 and found["2024-01-09"] == 1 and "2024-01-20" not in found
 
 
+def test_alerts_come_once_and_closed_days_leave_the_state(spark, tmp_path):
+    def rows(first, n, d):
+        data = [(first + k, datetime.datetime(2024, 1, d, 12), 1, "o", "gemini-2.5-pro", "p", 1, 1, 2) for k in range(n)]
+        return spark.createDataFrame(data, U.USAGE).coalesce(1)
+
+    path, checkpoint = str(tmp_path / "in"), str(tmp_path / "state")
+    with U.rocksdb(spark):
+        # The last rows of the first of January come when that day is closed.
+        for part in (rows(0, 21, 1), rows(100, 4, 1), rows(200, 1, 20), rows(300, 30, 1), rows(400, 20, 21)):
+            part.write.mode("append").parquet(path)
+            found = U.drained(U.stream_alerts(U.read_usage(spark, path)), checkpoint, str(tmp_path / "out"))
+        assert sorted((r["day"], r["band"]) for r in found.collect()) == [("2024-01-01", 80), ("2024-01-01", 100), ("2024-01-21", 80)]
+        state = spark.read.format("statestore").option("stateVarName", "seen").load(checkpoint)
+        assert [r["key"]["day"] for r in state.collect()] == ["2024-01-21"]
+
+
 def test_partitioning_does_not_change_results(spark, small):
     from folia.operators.candidates import clean, leaderboard, score
     from folia.plans.fixtures import view
