@@ -49,7 +49,10 @@ AGAINST = frozenset("ad ads advert advertisement adverts sponsor sponsored promo
 FOR = frozenset("article content main post entry story body text page".split())
 
 #: Prior counts of (other, content) nodes.
-PRIOR_TAG = {"nav": (40, 0.2), "aside": (40, 0.2), "footer": (40, 0.2), "header": (20, 0.5), "form": (40, 0.2), "head": (40, 0.2), "title": (40, 0.2), "menu": (40, 0.2), "dialog": (40, 0.2), "fieldset": (40, 0.2), "address": (5, 1), "article": (0.5, 20), "main": (1, 20), "p": (20, 20), "h1": (4, 6), "h2": (6, 6), "h3": (6, 6), "h4": (6, 6), "h5": (6, 6), "h6": (6, 6), "blockquote": (1, 6), "pre": (1, 6), "figcaption": (1, 4), "ul": (10, 5), "ol": (5, 5), "li": (20, 10), "div": (20, 10), "section": (10, 10), "html": (20, 0.2), "body": (10, 2)}
+PRIOR_TAG = {"nav": (40, 0.2), "aside": (40, 0.2), "footer": (40, 0.2), "header": (20, 0.5), "form": (40, 0.2), "head": (40, 0.2), "title": (40, 0.2),
+    "menu": (40, 0.2), "dialog": (40, 0.2), "fieldset": (40, 0.2), "address": (5, 1), "article": (0.5, 20), "main": (1, 20), "p": (20, 20),
+    "h1": (4, 6), "h2": (6, 6), "h3": (6, 6), "h4": (6, 6), "h5": (6, 6), "h6": (6, 6), "blockquote": (1, 6), "pre": (1, 6), "figcaption": (1, 4),
+    "ul": (10, 5), "ol": (5, 5), "li": (20, 10), "div": (20, 10), "section": (10, 10), "html": (20, 0.2), "body": (10, 2)}
 PRIOR_WORD = {"against": (6, 0.02), "for": (0.05, 1), "other": (1, 1)}
 PRIOR_LINKS = {"all": (20, 1), "some": (5, 5), "none": (10, 20)}
 #: By kind of child: (parent's label, child's label).

@@ -136,7 +136,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         step, length = step_of(text)
         for i, word in enumerate(tokens[: len(tokens) - need + 1]):
             opened.setdefault(word, []).append(F.struct(F.lit(number).alias("template"), F.lit(step).alias("step"), F.lit(length).alias("length")))
-            index.append(F.struct(F.lit(word).alias("word"), F.lit(i).alias("i"), F.lit(number).alias("template"), F.lit(label).alias("label"), F.lit(tokens).alias("tokens"), F.lit(need).alias("need")))
+            index.append(F.struct(F.lit(word).alias("word"), F.lit(i).alias("i"), F.lit(number).alias("template"), F.lit(label).alias("label"),
+                F.lit(tokens).alias("tokens"), F.lit(need).alias("need")))
     # One row per word of a template's prefix: its size is that of the templates.
     prefixes = docs.sparkSession.range(1).select(F.inline(F.array(*index)))
     # Only texts with a prefix word are cut into words, and only blocks around such words are made.
@@ -149,7 +150,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         # The blocks that hold place p start at multiples of the step in (p - length, p].
         def of(t: Column) -> Column:
             low = F.greatest(F.lit(0).cast("long"), F.floor((hit["p"] - t["length"]) / t["step"]) + 1)
-            return F.transform(F.sequence(low, F.floor(hit["p"] / t["step"])), lambda k: F.struct(t["template"].alias("template"), (k * t["step"]).cast("int").alias("start"), t["length"].alias("length")))
+            return F.transform(F.sequence(low, F.floor(hit["p"] / t["step"])),
+                lambda k: F.struct(t["template"].alias("template"), (k * t["step"]).cast("int").alias("start"), t["length"].alias("length")))
 
         return F.flatten(F.transform(F.element_at(lead, hit["word"]), of))
 

@@ -316,7 +316,8 @@ def _scan(batch: pa.RecordBatch) -> dict:
         spans = [(True, a, b) for _, a, b in seeds] + [(False, a, b) for a, b in (identifiers(text, seeds) if _DIGIT.search(text) else [])]
         out["found"].append(
             [
-                {"pattern": p, "context": c, "instance": xxhash.xxh64_hexdigest(text[a:b].lower()), "start": a, "end": b, "seed": s, "prior": 1.0 if s else OPAQUE * opaque(text[a:b])}
+                {"pattern": p, "context": c, "instance": xxhash.xxh64_hexdigest(text[a:b].lower()), "start": a, "end": b, "seed": s,
+                    "prior": 1.0 if s else OPAQUE * opaque(text[a:b])}
                 for s, a, b in spans
                 for p, c in patterns_of(sides, a, b)
             ]

@@ -124,7 +124,8 @@ def components(prints: DataFrame) -> DataFrame:
     members = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(_masks()) - 1))).alias("choice"))
     members = members.select("fp", "choice", _masked(_embedding(F.col("fp")), F.col("choice")).alias("at"))
     cell = "partition by choice, at order by fp"
-    seen = members.select(F.struct("choice", "at").alias("cell"), "fp", F.expr(f"lag(fp) over ({cell})").alias("previous"), F.expr(f"first(fp) over ({cell})").alias("first"), F.expr(f"row_number() over ({cell})").alias("place"))
+    seen = members.select(F.struct("choice", "at").alias("cell"), "fp", F.expr(f"lag(fp) over ({cell})").alias("previous"),
+        F.expr(f"first(fp) over ({cell})").alias("first"), F.expr(f"row_number() over ({cell})").alias("place"))
     seen = cut(seen.where(F.col("place") > 1))
     pairs = seen.select("fp", F.explode(F.array_distinct(F.array("previous", "first"))).alias("other"))
     edges = pairs.where(_near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("u"), F.col("other").alias("v")).distinct()

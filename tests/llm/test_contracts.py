@@ -18,7 +18,8 @@ from tests.sql import assert_same
 
 ODD = [
     (1, "", "en", "a"), (2, None, None, None), (None, "a b c d e f " * 20, "en", "a"), (None, None, "en", "a"), (3, "x" * 5000, "en", "a"), (4, "same text here " * 30, "en", "b"),
-    (4, "same text here " * 30, "en", "b"), (5, "same text here " * 30, "en", "b"), (6, "\n\n \t\n", "en", "b"), (7, "Released under the MIT License.\nmail a@b.cd +1 (743) 555-3824", "en", "b"),
+    (4, "same text here " * 30, "en", "b"), (5, "same text here " * 30, "en", "b"), (6, "\n\n \t\n", "en", "b"),
+        (7, "Released under the MIT License.\nmail a@b.cd +1 (743) 555-3824", "en", "b"),
     (8, " ".join(f"w{k}" for k in range(3000)), "de", "c"), (9, "\u0000 ▁ é \U0001f600 ï", "fr", "c"),
 ]
 
@@ -31,7 +32,8 @@ def odd(spark, tmp_path_factory):
     docs = docs.withColumns({c: F.lit(1) for c in ("key", "fp", "shard", "n_words", "score", "label", "pieces", "kept", "site", "row", "leaks")})
     docs.write.parquet(f"{folder}/documents.parquet")
     docs.limit(0).write.parquet(f"{folder}/empty/documents.parquet")
-    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (3, "u", "<article><p>a&amp;b \n c<br>d</article>"), (3, "u", "<" * 2000)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (3, "u", "<article><p>a&amp;b \n c<br>d</article>"),
+        (3, "u", "<" * 2000)], "page_id bigint, url string, html string")
     pages.write.parquet(f"{folder}/pages.parquet")
     pages.limit(0).write.parquet(f"{folder}/empty/pages.parquet")
     bench = spark.createDataFrame([(1, None), (None, "a b c d e f a b c d e f"), (2, "short one"), (3, " ".join(f"w{k}" for k in range(100, 130)))], "item_id bigint, text string")
@@ -165,7 +167,8 @@ def test_quality_verdict(spark, small):
     assert len({r.kept for r in rows.values()}) == 2
 
 
-BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
 def plain_spans(text):
@@ -174,7 +177,8 @@ def plain_spans(text):
         for m in re.finditer(p, text):
             digits = re.sub("[^0-9]", "", m.group())
             luhn = sum(int(d) if k % 2 == 0 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
-            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False, "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]:
+            if {"email": True, "ip": all(int(x) <= 255 for x in m.group().split(".")) if kind == "ip" else False,
+                "card": 16 <= len(digits) <= 19 and luhn, "phone": 8 <= len(digits) <= 15}[kind]:
                 out.append((kind, *m.span()))
     return out
 
@@ -550,7 +554,9 @@ def test_text_of_odd_markup(spark, small):
       <p title="a > b">quoted <a href='x>y'>link</a> and more text here</p><p>cdata <![CDATA[raw]]> stays<!-- not this --></p><script>no</script><textarea>no</textarea></article>"""
     got = html_text.texts_of_pages([page], model)[0].split("\n\n")
     assert got == ["let x be alt ns of it", "if a <b and c", "and 1 < 2 <= 3 or <3", "quoted link and more text here", "cdata raw stays"]
-    assert html_text.texts_of_pages(["<article><p>one text of the page</p><p>two texts of the page <a href=\"x", "<article><p title='>it is a paragraph of text</p><p>and another one</p>"], model) == ["one text of the page\n\ntwo texts of the page", "it is a paragraph of text\n\nand another one"]
+    assert html_text.texts_of_pages(["<article><p>one text of the page</p><p>two texts of the page <a href=\"x",
+        "<article><p title='>it is a paragraph of text</p><p>and another one</p>"], model) == ["one text of the page\n\ntwo texts of the page",
+        "it is a paragraph of text\n\nand another one"]
 
 
 @pytest.mark.parametrize("part", ['<a href="', "<a ", "<", "<!--", "<![CDATA[", "</", "<p title='>", "<a \"x>", "><a \" \"", "<script>", "<div><p>"])
@@ -595,7 +601,8 @@ def wrapped(text, width):
 
 
 def test_license_notices(spark):
-    rows = [(1, "this work is licensed under the GNU General Public License version 3"), (2, "the work of the public"), (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (4, "ALL RIGHTS\nRESERVED now")]
+    rows = [(1, "this work is licensed under the GNU General Public License version 3"), (2, "the work of the public"),
+        (3, "a\nLicensed under the Apache License, Version 2.0.\nb"), (4, "ALL RIGHTS\nRESERVED now")]
     rows += [(5, "all the permissions and rights that users of tables have are reserved for readers " * 30)]
     texts = [t for _, t in license_scan.TEMPLATES if len(t.split()) > 20]
     rows += [(100 + k, f"{'some words before ' * 9}\n{wrapped(t, 9)}\n{'and some after ' * 40}") for k, t in enumerate(texts)]
@@ -638,9 +645,11 @@ def test_every_row_reaches_one_shard(spark, tmp_path):
 
 def test_line_dedup_counts_copies_once(spark):
     note = "cookies are used on this site, as on many others"
-    rows = [(k, f"page {k} has words and more of them\n{note}\nand still more of {k}", "h") for k in range(40)] + [(50, f"own line\n{note}\n\r\n\t", "h"), (51, note, "h"), (52, "\r\n\t\nx", "h")]
+    rows = [(k, f"page {k} has words and more of them\n{note}\nand still more of {k}", "h") for k in range(40)] + [(50, f"own line\n{note}\n\r\n\t",
+        "h"), (51, note, "h"), (52, "\r\n\t\nx", "h")]
     rows += [(100 + k, "one text\nof many copies", "h") for k in range(40)] + [(200, f"copied text\n{note}", "h")] * 9 + [(300, note, "other"), (301, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(("whole", "n_lines", "n_dropped", "row", "drop", "site", "here", "kept", "_text", "_drop"))])
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string").selectExpr("*",
+        *[f"{k} as {c}" for k, c in enumerate(("whole", "n_lines", "n_dropped", "row", "drop", "site", "here", "kept", "_text", "_drop"))])
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
     assert out[0].text == "page 0 has words and more of them\nand still more of 0" and out[100].text == "one text\nof many copies" and out[300].text == note
     assert (out[50].text, out[50].n_dropped, out[51].text, out[200].text, out[301].text) == ("own line\n\r\n\t", 1, "", "copied text", None)
@@ -650,7 +659,8 @@ def test_line_dedup_counts_copies_once(spark):
 
 def test_simhash_stage_keeps_one_row_of_each_component(spark):
     other = " ".join(f"w{k}" for k in range(80))
-    rows = [(1, "same text of some words " * 20), (1, "same text of some words " * 20), (1, other), (2, other), (None, other), (None, None), (3, ""), (None, "x y z"), (None, "x y z")]
+    rows = [(1, "same text of some words " * 20), (1, "same text of some words " * 20), (1, other), (2, other), (None, other), (None, None), (3, ""),
+        (None, "x y z"), (None, "x y z")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as key", "2 as fp", "3 as row", "4 as stays")
     got = simhash.stage(spark, docs, "")
     assert got.columns == docs.columns

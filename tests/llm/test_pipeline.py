@@ -37,7 +37,8 @@ def test_stages_take_odd_and_empty_tables(spark, small):
     from tests.llm.test_contracts import ODD
 
     docs = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string").selectExpr("*", "cast(length(text) as bigint) as n_chars")
-    clashing = ("key", "fp", "row", "leaks", "whole", "n_lines", "n_dropped", "drop", "site", "here", "kept", "stays", "first", "label", "n_words", "base_failed", "pieces", "lossless")
+    clashing = ("key", "fp", "row", "leaks", "whole", "n_lines", "n_dropped", "drop", "site", "here", "kept", "stays", "first", "label", "n_words",
+        "base_failed", "pieces", "lossless")
     docs = docs.selectExpr("*", *[f"{k} as {c}" for k, c in enumerate(clashing)])
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() <= len(ODD), name
