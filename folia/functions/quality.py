@@ -64,7 +64,8 @@ UNDECLARED = r"Element ([\w\-]+) is not declared in"
 
 
 def error_category(m: Column) -> Column:
-    return F.when(m.rlike(CONTENT_MODEL), "content model").when(m.rlike(NO_ATTRIBUTE), "attribute").when(m.rlike(UNDECLARED), "undeclared element").when(F.size(F.split(m, ":")) > 4, "structure").otherwise("other")
+    return F.when(m.rlike(CONTENT_MODEL), "content model").when(m.rlike(NO_ATTRIBUTE), "attribute").when(m.rlike(UNDECLARED),
+        "undeclared element").when(F.size(F.split(m, ":")) > 4, "structure").otherwise("other")
 
 
 def error_explain(m: Column) -> Column:

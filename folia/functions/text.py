@@ -77,7 +77,8 @@ def dedupe_xml_decl(x: Column) -> Column:
     """With two or more XML declarations: from the first one on, the others cut out."""
     parts = F.split(x, r"<\?xml")
     # The text after the first "?>" of a part, not after its last.
-    rest = F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda p: F.when(F.instr(p, "?>") > 0, F.right(p, F.length(p) - F.instr(p, "?>") - 1)).otherwise(""))
+    rest = F.transform(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))),
+        lambda p: F.when(F.instr(p, "?>") > 0, F.right(p, F.length(p) - F.instr(p, "?>") - 1)).otherwise(""))
     return F.when(F.size(parts) > 2, F.concat(F.lit("<?xml"), F.element_at(parts, 2), F.array_join(rest, ""))).otherwise(x)
 
 

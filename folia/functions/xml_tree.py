@@ -114,7 +114,8 @@ def read(xml: str | None) -> tuple[list[dict], str | None]:
             counts[-1] += 1
         prefix, _, tag = name.rpartition(":")
         path = (nodes[parent]["path"] if stack else "") + "/" + tag
-        nodes.append({"path": path, "node_id": len(nodes), "parent_id": parent, "ordinal": ordinal, "depth": len(stack), "tag": tag, "ns": prefix, "attrs": list(attributes.items()), "text": "", "tail": "", "end_id": len(nodes)})
+        nodes.append({"path": path, "node_id": len(nodes), "parent_id": parent, "ordinal": ordinal, "depth": len(stack), "tag": tag, "ns": prefix,
+            "attrs": list(attributes.items()), "text": "", "tail": "", "end_id": len(nodes)})
         k = len(nodes) - 1
         if empty:
             last = k

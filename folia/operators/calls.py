@@ -79,7 +79,8 @@ def chat_history(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
-def correct(cands: DataFrame, fn: Callable[[str], dict], judge: Callable[[DataFrame], DataFrame], prompt: Callable[[DataFrame], Column], keep: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, partitions: int = 8) -> DataFrame:
+def correct(cands: DataFrame, fn: Callable[[str], dict], judge: Callable[[DataFrame], DataFrame], prompt: Callable[[DataFrame], Column],
+    keep: Callable[[DataFrame], DataFrame], max_rounds: int = ROUNDS, partitions: int = 8) -> DataFrame:
     """Corrects invalid candidates in rounds.
 
     judge adds ``valid`` and ``errors`` to rows with ``xml``; prompt makes the prompt column; keep stores a round's rows

@@ -95,7 +95,8 @@ def keywords(nodes: DataFrame) -> DataFrame:
 
 def contributors(nodes: DataFrame) -> DataFrame:
     """doc_id, author (node), author_end, attrs of the authors' contrib elements."""
-    return nodes.where(under("article-meta(/.*)?/contrib-group/contrib$") & (attr("contrib-type") == "author")).select("doc_id", F.col("node_id").alias("author"), F.col("end_id").alias("author_end"), F.col("attrs").alias("author_attrs"))
+    return nodes.where(under("article-meta(/.*)?/contrib-group/contrib$") & (attr("contrib-type") == "author")).select("doc_id",
+        F.col("node_id").alias("author"), F.col("end_id").alias("author_end"), F.col("attrs").alias("author_attrs"))
 
 
 def _inside(rows: DataFrame, authors: DataFrame, at: str) -> DataFrame:
@@ -107,7 +108,8 @@ def author_affiliations(nodes: DataFrame) -> DataFrame:
     authors = contributors(nodes).drop("author_attrs")
     texts = subtree_text(nodes, under("article-meta(/.*)?/aff$")).select("doc_id", "top_id", F.col("attrs")["id"].alias("id"), "text")
     named = texts.where("id <> ''").groupBy("doc_id", "id").agg(F.max_by("text", "top_id").alias("affiliation"))
-    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "aff")).select("doc_id", F.col("node_id").alias("at"), F.col("attrs")["rid"].alias("id")), authors, "at")
+    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "aff")).select("doc_id", F.col("node_id").alias("at"),
+        F.col("attrs")["rid"].alias("id")), authors, "at")
     hits = refs.join(named, ["doc_id", "id"]).select("doc_id", "author", "at", "affiliation")
     own = _inside(texts.select("doc_id", F.col("top_id").alias("at"), "text"), authors, "at").join(hits.select("doc_id", "author"), ["doc_id", "author"], "left_anti")
     own = own.groupBy("doc_id", "author").agg(F.min("at").alias("at"), F.min_by("text", "at").alias("affiliation")).where("affiliation <> ''")
@@ -125,7 +127,8 @@ def author_emails(nodes: DataFrame) -> DataFrame:
     inner = notes.join(emails, "doc_id").where("at > note and at <= note_end").groupBy("doc_id", "note").agg(F.min_by("text", "at").alias("inner"))
     whole = texts.where("tag = 'corresp'").select("doc_id", F.col("top_id").alias("note"), F.col("text").alias("whole"))
     values = notes.join(whole, ["doc_id", "note"]).join(inner, ["doc_id", "note"], "left").select("doc_id", "id", F.coalesce("inner", "whole").alias("text")).where("text <> ''")
-    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp")).select("doc_id", F.col("node_id").alias("at"), F.col("attrs")["rid"].alias("id")), authors, "at")
+    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp")).select("doc_id", F.col("node_id").alias("at"),
+        F.col("attrs")["rid"].alias("id")), authors, "at")
     noted = refs.join(values, ["doc_id", "id"]).select("doc_id", "author", F.lit(1).alias("turn"), "at", "text")
     # Own addresses stay as they are; a note's is added only if it is not there yet.
     w = W.partitionBy("doc_id", "author", "text").orderBy("turn", "at")
@@ -138,10 +141,12 @@ def authors(nodes: DataFrame) -> DataFrame:
     people = contributors(nodes)
     child = under("contrib/(name/surname|name/given-names|collab)$") | ((F.col("tag") == "contrib-id") & (attr("contrib-id-type") == "orcid"))
     texts = subtree_text(nodes, child).select("doc_id", F.col("top_id").alias("at"), "tag", "text")
-    refs = nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp") & (attr("rid") != "")).select("doc_id", F.col("node_id").alias("at"), F.lit("xref").alias("tag"), F.lit("").alias("text"))
+    refs = nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp") & (attr("rid") != "")).select("doc_id",
+        F.col("node_id").alias("at"), F.lit("xref").alias("tag"), F.lit("").alias("text"))
     inner = _inside(texts.unionByName(refs), people, "at")
     part = lambda t: F.coalesce(first(F.col("text"), F.col("at"), (F.col("tag") == t) & (F.col("text") != "")), F.lit(""))
-    names = inner.groupBy("doc_id", "author").agg(part("surname").alias("surname"), part("given-names").alias("given"), part("collab").alias("collab"), part("contrib-id").alias("orcid"), F.bool_or(F.col("tag") == "xref").alias("noted"))
+    names = inner.groupBy("doc_id", "author").agg(part("surname").alias("surname"), part("given-names").alias("given"),
+        part("collab").alias("collab"), part("contrib-id").alias("orcid"), F.bool_or(F.col("tag") == "xref").alias("noted"))
     out = people.join(names, ["doc_id", "author"])
     full = F.coalesce(F.nullif("collab", F.lit("")), F.concat_ws(" ", F.nullif("given", F.lit("")), F.nullif("surname", F.lit(""))))
     # Any non-empty corresp attribute marks an author, "no" included.
@@ -171,7 +176,8 @@ def sections(nodes: DataFrame) -> DataFrame:
     idx = F.row_number().over(W.partitionBy("doc_id", "parent_id").orderBy("node_id"))
     secs = secs.select("doc_id", "node_id", "end_id", "parent_id", "depth", F.col("attrs")["id"].alias("given"), idx.alias("idx"))
     heads = subtree_text(nodes, under("/body(/sec)+/(label|title)$")).where("text <> ''")
-    heads = heads.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(first(F.col("text"), F.col("top_id"), F.col("tag") == "label").alias("label"), first(F.col("text"), F.col("top_id"), F.col("tag") == "title").alias("title"))
+    heads = heads.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(first(F.col("text"), F.col("top_id"),
+        F.col("tag") == "label").alias("label"), first(F.col("text"), F.col("top_id"), F.col("tag") == "title").alias("title"))
     paras = nodes.where(under("/body(/sec)+/p$"))
     html = inline_of(nodes, paras).where("html <> ''").join(paras.select("doc_id", F.col("node_id").alias("top_id"), F.col("parent_id").alias("sec")), ["doc_id", "top_id"])
     html = html.groupBy("doc_id", F.col("sec").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("top_id", "html"))), lambda x: x["html"]).alias("paragraphs"))
@@ -179,14 +185,16 @@ def sections(nodes: DataFrame) -> DataFrame:
     idx_text = F.col("idx").cast("string")
     return out.select(
         "doc_id", "node_id", "end_id", "parent_id", "depth", "idx", F.coalesce(F.nullif("given", F.lit("")), F.concat(F.lit("sec-"), idx_text)).alias("id"),
-        F.coalesce("label", F.lit("")).alias("label"), F.coalesce("title", F.concat(F.lit(TITLE), idx_text)).alias("title"), F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"),
+        F.coalesce("label", F.lit("")).alias("label"), F.coalesce("title", F.concat(F.lit(TITLE), idx_text)).alias("title"),
+            F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"),
     )
 
 
 def section_toc(secs: DataFrame) -> DataFrame:
     """doc_id, node_id, level, number (dotted), id, shown (label or number), title."""
     up = secs.select("doc_id", F.col("node_id").alias("up"), F.col("end_id").alias("up_end"), F.col("depth").alias("up_depth"), F.col("idx").alias("up_idx"))
-    chain = secs.join(up, "doc_id").where("node_id >= up and node_id <= up_end").groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("up_depth", "up_idx"))).alias("chain"))
+    chain = secs.join(up, "doc_id").where("node_id >= up and node_id <= up_end").groupBy("doc_id",
+        "node_id").agg(F.array_sort(F.collect_list(F.struct("up_depth", "up_idx"))).alias("chain"))
     number = F.array_join(F.transform("chain", lambda x: x["up_idx"].cast("string")), ".")
     out = secs.join(chain, ["doc_id", "node_id"])
     return out.select("doc_id", "node_id", F.size("chain").alias("level"), number.alias("number"), "id", F.coalesce(F.nullif("label", F.lit("")), number).alias("shown"), "title")
@@ -198,7 +206,8 @@ def _media(nodes: DataFrame, tag: str, fallback: str) -> DataFrame:
     pos = F.row_number().over(W.partitionBy("doc_id").orderBy("node_id"))
     items = items.select("doc_id", "node_id", "end_id", pos.alias("pos"), F.col("attrs")["id"].alias("given"))
     heads = subtree_text(nodes, under(f"/{tag}/(label|caption)$")).groupBy("doc_id", F.col("parent_id").alias("node_id"))
-    heads = heads.agg(first(F.col("text"), F.col("top_id"), F.col("tag") == "label").alias("label"), first(F.col("text"), F.col("top_id"), F.col("tag") == "caption").alias("caption"))
+    heads = heads.agg(first(F.col("text"), F.col("top_id"), F.col("tag") == "label").alias("label"),
+        first(F.col("text"), F.col("top_id"), F.col("tag") == "caption").alias("caption"))
     out = items.join(heads, ["doc_id", "node_id"], "left").fillna("", ["label", "caption"])
     return out.withColumn("id", F.coalesce(F.nullif("given", F.lit("")), F.concat(F.lit(fallback), F.col("pos").cast("string")))).drop("given")
 
@@ -207,7 +216,8 @@ def figures(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, pos, id, label, caption, href."""
     items = _media(nodes, "fig", "fig-")
     pictures = nodes.where(F.col("tag") == "graphic").select("doc_id", F.col("node_id").alias("at"), attr("href").alias("href"))
-    first_one = items.select("doc_id", "node_id", "end_id").join(pictures, "doc_id").where("at > node_id and at <= end_id").groupBy("doc_id", "node_id").agg(F.min_by("href", "at").alias("href"))
+    first_one = items.select("doc_id", "node_id", "end_id").join(pictures, "doc_id").where("at > node_id and at <= end_id").groupBy("doc_id",
+        "node_id").agg(F.min_by("href", "at").alias("href"))
     return items.join(first_one, ["doc_id", "node_id"], "left").fillna("", ["href"]).drop("end_id")
 
 

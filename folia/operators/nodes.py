@@ -16,9 +16,11 @@ from folia.functions.text import escape_html, escape_xml
 from folia.functions.xml_tree import read
 
 _INT, _STRING = T.IntegerType(), T.StringType()
-NODE = T.StructType([T.StructField(n, t) for n, t in (("node_id", _INT), ("parent_id", _INT), ("ordinal", _INT), ("depth", _INT), ("tag", _STRING), ("ns", _STRING), ("attrs", T.MapType(_STRING, _STRING)), ("text", _STRING), ("tail", _STRING), ("end_id", _INT), ("path", _STRING))])
+NODE = T.StructType([T.StructField(n, t) for n, t in (("node_id", _INT), ("parent_id", _INT), ("ordinal", _INT), ("depth", _INT), ("tag", _STRING),
+    ("ns", _STRING), ("attrs", T.MapType(_STRING, _STRING)), ("text", _STRING), ("tail", _STRING), ("end_id", _INT), ("path", _STRING))])
 PARSED = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("error", _STRING)])
-_ARROW = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("ns", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string()), ("end_id", pa.int32()), ("path", pa.string())])
+_ARROW = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
+    ("ns", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string()), ("end_id", pa.int32()), ("path", pa.string())])
 _RESULT = pa.struct([("nodes", pa.list_(_ARROW)), ("error", pa.string())])
 
 
@@ -79,7 +81,9 @@ def serialize(nodes: DataFrame, *keys: str) -> DataFrame:
 
 
 #: Inline elements and their HTML.
-INLINE = {"italic": ("<em>", "</em>"), "i": ("<em>", "</em>"), "source": ("<em>", "</em>"), "bold": ("<strong>", "</strong>"), "b": ("<strong>", "</strong>"), "strong": ("<strong>", "</strong>"), "underline": ('<span class="underline">', "</span>"), "u": ('<span class="underline">', "</span>"), "sup": ("<sup>", "</sup>"), "sub": ("<sub>", "</sub>")}
+INLINE = {"italic": ("<em>", "</em>"), "i": ("<em>", "</em>"), "source": ("<em>", "</em>"), "bold": ("<strong>", "</strong>"),
+    "b": ("<strong>", "</strong>"), "strong": ("<strong>", "</strong>"), "underline": ('<span class="underline">', "</span>"),
+    "u": ('<span class="underline">', "</span>"), "sup": ("<sup>", "</sup>"), "sub": ("<sub>", "</sub>")}
 
 
 def inline_html(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -95,7 +99,8 @@ def inline_html(nodes: DataFrame, *keys: str) -> DataFrame:
     bare = F.col("end_id") == F.col("node_id")
     opened = (
         F.when(cite, F.concat(F.lit('<a class="citation" href="#'), escape_html(target), F.lit('" data-rid="'), escape_html(F.trim(F.coalesce(rid, F.lit("")))), F.lit('">')))
-        .when(link, F.concat(F.lit('<a class="external-link" href="'), escape_html(href), F.lit('" target="_blank" rel="noopener">'), F.when(bare & (text == ""), escape_html(href)).otherwise("")))
+        .when(link, F.concat(F.lit('<a class="external-link" href="'), escape_html(href), F.lit('" target="_blank" rel="noopener">'),
+            F.when(bare & (text == ""), escape_html(href)).otherwise("")))
         .when(doi, F.concat(F.lit('<a href="https://doi.org/'), text, F.lit('" target="_blank" rel="noopener">')))
     )
     closed = F.when(cite | link | doi, F.lit("</a>"))
@@ -144,9 +149,11 @@ def move_orphans(nodes: DataFrame, *keys: str, title: str = "Supplementary mater
         return F.struct(where.alias("a"), deep.alias("b"), which.alias("c"), inner.alias("d"), turn.alias("e"), low.alias("f"), s.alias("s"))
 
     # Order: place; then opening (b = -1000) before what closes there, deepest first; a moved subtree comes just before its place closes.
-    plain = still.select(*keys, F.inline(F.array(row(F.col("node_id"), F.lit(-1_000_000), none, zero, zero, zero, open_), row(F.col("end_id"), -2 * F.col("depth"), F.lit(1 << 30), zero, F.lit(1), zero, close))))
+    plain = still.select(*keys, F.inline(F.array(row(F.col("node_id"), F.lit(-1_000_000), none, zero, zero, zero, open_),
+        row(F.col("end_id"), -2 * F.col("depth"), F.lit(1 << 30), zero, F.lit(1), zero, close))))
     base, which = -2 * F.col("level") - 1, F.col("top_id")
-    taken = moved.select(*keys, F.inline(F.array(row(F.col("to"), base, which, F.col("node_id"), zero, zero, open_), row(F.col("to"), base, which, F.col("end_id"), F.lit(1), -F.col("depth"), close))))
+    taken = moved.select(*keys, F.inline(F.array(row(F.col("to"), base, which, F.col("node_id"), zero, zero, open_),
+        row(F.col("to"), base, which, F.col("end_id"), F.lit(1), -F.col("depth"), close))))
     fresh = moves.where("fresh").select(*keys, F.inline(F.array(
         row(F.col("to"), base, which, none, zero, zero, F.lit(f'<sec sec-type="supplementary-material"><title>{title}</title>')),
         row(F.col("to"), base, which, F.lit(1 << 30), F.lit(1), zero, F.lit("</sec>")),

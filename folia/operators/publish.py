@@ -57,7 +57,8 @@ def html_authors(authors: DataFrame, words: Words = Words()) -> DataFrame:
     mark = F.when(F.col("corresponding"), F.lit(f'<span class="author-corresponding">{words.corresponding}</span>')).otherwise("")
     name = F.concat(F.lit('<span class="author-name">'), escape_html(F.col("full")), F.lit("</span>"), mark)
     affs = F.array_join(F.transform("affiliations", escape_html), "; ")
-    orcid = F.when(orcid_url(F.col("orcid")).isNotNull(), F.concat(F.lit('<a class="author-orcid" href="'), escape_html(orcid_url(F.col("orcid"))), F.lit('">ORCID: '), escape_html(orcid_short(F.col("orcid"))), F.lit("</a>")))
+    orcid = F.when(orcid_url(F.col("orcid")).isNotNull(), F.concat(F.lit('<a class="author-orcid" href="'), escape_html(orcid_url(F.col("orcid"))),
+        F.lit('">ORCID: '), escape_html(orcid_short(F.col("orcid"))), F.lit("</a>")))
     mails = F.array_join(F.transform("emails", lambda m: F.concat(F.lit('<a class="author-email" href="mailto:'), escape_html(m), F.lit('">'), escape_html(m), F.lit("</a>"))), "")
     body = F.concat(name, F.when(affs != "", F.concat(F.lit('<div class="author-affiliations">'), affs, F.lit("</div>"))).otherwise(""), F.coalesce(orcid, F.lit("")), mails)
     items = _ordered(authors, "pos", F.concat(F.lit('<li class="author">'), body, F.lit("</li>")))
@@ -73,7 +74,8 @@ def html_sections(secs: DataFrame) -> DataFrame:
     kind = F.concat(F.lit("article-section level-"), F.col("level").cast("string"), F.when(F.col("level") == 1, " main-section").otherwise(" subsection"))
     paras = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), p, F.lit("</p>"))), "")
     open_ = F.concat(
-        F.lit('<section id="'), escape_html(F.col("id")), F.lit('" class="'), kind, F.lit('"><'), heading, F.lit('><span class="section-number">'), number, F.lit('</span><span class="section-title">'), escape_html(F.col("title")), F.lit("</span></"), heading, F.lit(">"), paras,
+        F.lit('<section id="'), escape_html(F.col("id")), F.lit('" class="'), kind, F.lit('"><'), heading, F.lit('><span class="section-number">'),
+            number, F.lit('</span><span class="section-title">'), escape_html(F.col("title")), F.lit("</span></"), heading, F.lit(">"), paras,
     )
     events = F.array(
         F.struct(F.col("node_id").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("deep"), open_.alias("s")),
@@ -96,8 +98,10 @@ def image_embed(figures: DataFrame, images: DataFrame) -> DataFrame:
 
 def html_figures(figures: DataFrame, words: Words = Words()) -> DataFrame:
     label, caption = escape_html(F.coalesce(F.nullif("label", F.lit("")), F.lit(words.figure))), escape_html(F.col("caption"))
-    picture = F.when(F.col("href") != "", F.concat(F.lit('<img src="'), escape_html(F.col("href")), F.lit('" alt="'), F.coalesce(F.nullif(caption, F.lit("")), label), F.lit('" loading="lazy">'))).otherwise("")
-    block = F.concat(F.lit('<figure id="'), escape_html(F.col("id")), F.lit('" class="media">'), picture, F.lit('<figcaption><span class="media-label">'), label, F.lit("</span> "), caption, F.lit("</figcaption></figure>"))
+    picture = F.when(F.col("href") != "", F.concat(F.lit('<img src="'), escape_html(F.col("href")), F.lit('" alt="'),
+        F.coalesce(F.nullif(caption, F.lit("")), label), F.lit('" loading="lazy">'))).otherwise("")
+    block = F.concat(F.lit('<figure id="'), escape_html(F.col("id")), F.lit('" class="media">'), picture,
+        F.lit('<figcaption><span class="media-label">'), label, F.lit("</span> "), caption, F.lit("</figcaption></figure>"))
     return _ordered(figures, "pos", block).select("doc_id", _panel(words.figures, F.col("html"), "figures").alias("html"))
 
 
@@ -106,7 +110,8 @@ def html_tables(tables: DataFrame, cells: DataFrame, words: Words = Words()) ->
     grid = _ordered(rows, "row_no", F.concat(F.lit("<tr>"), F.col("html"), F.lit("</tr>")), "doc_id", "node_id").withColumnRenamed("html", "grid")
     both = tables.join(grid, ["doc_id", "node_id"], "left").fillna("", ["grid"])
     label = escape_html(F.coalesce(F.nullif("label", F.lit("")), F.lit(words.table)))
-    block = F.concat(F.lit('<figure id="'), escape_html(F.col("id")), F.lit('" class="table-wrap"><figcaption><span class="media-label">'), label, F.lit("</span> "), escape_html(F.col("caption")), F.lit("</figcaption><table>"), F.col("grid"), F.lit("</table></figure>"))
+    block = F.concat(F.lit('<figure id="'), escape_html(F.col("id")), F.lit('" class="table-wrap"><figcaption><span class="media-label">'), label,
+        F.lit("</span> "), escape_html(F.col("caption")), F.lit("</figcaption><table>"), F.col("grid"), F.lit("</table></figure>"))
     return _ordered(both, "pos", block).select("doc_id", _panel(words.tables, F.col("html"), "tables").alias("html"))
 
 
@@ -124,7 +129,8 @@ def html_meta(articles: DataFrame, words: Words = Words()) -> DataFrame:
 
     e = lambda c: escape_html(F.coalesce(F.col(c), F.lit("")))
     doi = F.when(F.col("doi") != "", F.concat(F.lit('<a href="'), escape_html(doi_url(F.col("doi"))), F.lit('">'), e("doi"), F.lit("</a>"))).otherwise("")
-    rows = [line(words.journal, e("journal_title")), line(words.publisher, e("publisher")), line(words.issue, F.concat(e("volume"), e("issue"))), line(words.pages, F.concat(e("fpage"), e("lpage"))), line(words.location, e("elocation")), line("DOI", doi), line(words.date, e("pub_date"))]
+    rows = [line(words.journal, e("journal_title")), line(words.publisher, e("publisher")), line(words.issue, F.concat(e("volume"), e("issue"))),
+        line(words.pages, F.concat(e("fpage"), e("lpage"))), line(words.location, e("elocation")), line("DOI", doi), line(words.date, e("pub_date"))]
     return articles.select("doc_id", F.concat(F.lit('<ul class="meta">'), F.array_join(F.array_compact(F.array(*rows)), ""), F.lit("</ul>")).alias("html"))
 
 
@@ -139,7 +145,9 @@ def html_document(articles: DataFrame, parts: dict[str, DataFrame], words: Words
     body = F.when(F.col("sections") != "", F.col("sections")).otherwise(F.lit(f"<p>{words.no_content}</p>"))
     title = escape_html(F.col("title"))
     html = F.concat(
-        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), title, F.lit(f"</title><style>{words.style}</style></head><body><header><h1>"), title, F.lit("</h1></header>"), F.col("meta"), F.col("authors"),
-        F.lit(f'<section id="abstract"><h2>{words.abstract}</h2>'), abstract, F.lit("</section>"), F.col("keywords"), body, F.col("figures"), F.col("tables"), F.col("references"), F.lit("</body></html>"),
+        F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), title,
+            F.lit(f"</title><style>{words.style}</style></head><body><header><h1>"), title, F.lit("</h1></header>"), F.col("meta"), F.col("authors"),
+        F.lit(f'<section id="abstract"><h2>{words.abstract}</h2>'), abstract, F.lit("</section>"), F.col("keywords"), body, F.col("figures"),
+            F.col("tables"), F.col("references"), F.lit("</body></html>"),
     )
     return page.select("doc_id", html.alias("html"))

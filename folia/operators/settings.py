@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Field of the journal profile and its key in the settings.
-JOURNAL_KEYS = {"title": "default_journal_title", "abbrev_title": "journal_abbrev_title", "journal_id": "journal_publisher_id", "publisher": "default_publisher_name", "issn_print": "default_journal_issn", "issn_electronic": "journal_issn_electronic", "doi_base": "journal_doi_base", "subject": "journal_subject", "license_url": "journal_license_url", "default_lang": "journal_default_lang"}
+JOURNAL_KEYS = {"title": "default_journal_title", "abbrev_title": "journal_abbrev_title", "journal_id": "journal_publisher_id",
+    "publisher": "default_publisher_name", "issn_print": "default_journal_issn", "issn_electronic": "journal_issn_electronic",
+    "doi_base": "journal_doi_base", "subject": "journal_subject", "license_url": "journal_license_url", "default_lang": "journal_default_lang"}
 #: Field of the profile and the metadata field that it overrides.
-OVERRIDES = {"title": "journal_title", "publisher": "publisher_name", "issn_print": "issn", "issn_electronic": "issn_electronic", "doi_base": "doi_base", "abbrev_title": "abbrev_journal_title", "journal_id": "journal_id", "license_url": "license_url", "subject": "subject"}
+OVERRIDES = {"title": "journal_title", "publisher": "publisher_name", "issn_print": "issn", "issn_electronic": "issn_electronic",
+    "doi_base": "doi_base", "abbrev_title": "abbrev_journal_title", "journal_id": "journal_id", "license_url": "license_url", "subject": "subject"}
 
 
 def current_settings(log: DataFrame, *keys: str) -> DataFrame:

@@ -76,7 +76,8 @@ def usage_cube(usage: DataFrame) -> DataFrame:
 
 def quota_table(df: DataFrame) -> DataFrame:
     """Limits of df's models in display form."""
-    return with_limits(df.select("model").distinct()).select("model", F.format_number("rpd", 0).alias("rpd"), F.format_number("tpm", 0).alias("tpm"), F.col("rpm").cast("string").alias("rpm"))
+    return with_limits(df.select("model").distinct()).select("model", F.format_number("rpd", 0).alias("rpd"), F.format_number("tpm", 0).alias("tpm"),
+        F.col("rpm").cast("string").alias("rpm"))
 
 
 def merge_rounds(rounds: DataFrame) -> DataFrame:

@@ -18,7 +18,8 @@ def _row(df: DataFrame, keys, rule: str, message: Column) -> DataFrame:
 def undeclared_elements(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
     """The grammar is a fixed table and goes to every task."""
     known = content_model(nodes.sparkSession, version).select(F.col("element").alias("tag"))
-    return _row(nodes.join(F.broadcast(known), "tag", "left_anti"), keys or KEYS, "undeclared element", F.concat(F.lit("Element "), "tag", F.lit(" is not declared in the grammar")))
+    return _row(nodes.join(F.broadcast(known), "tag", "left_anti"), keys or KEYS, "undeclared element",
+        F.concat(F.lit("Element "), "tag", F.lit(" is not declared in the grammar")))
 
 
 def undeclared_attributes(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
@@ -73,7 +74,8 @@ def dangling_idrefs(nodes: DataFrame, *keys: str) -> DataFrame:
 def validate(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
     """All rules' rows. nodes is read once per rule: give a written table."""
     keys = keys or KEYS
-    rules = [undeclared_elements(nodes, version, *keys), undeclared_attributes(nodes, version, *keys), content_violations(nodes, *keys), text_not_allowed(nodes, *keys), duplicate_ids(nodes, *keys), dangling_idrefs(nodes, *keys)]
+    rules = [undeclared_elements(nodes, version, *keys), undeclared_attributes(nodes, version, *keys), content_violations(nodes, *keys),
+        text_not_allowed(nodes, *keys), duplicate_ids(nodes, *keys), dangling_idrefs(nodes, *keys)]
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
@@ -83,6 +85,8 @@ def validate(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
 def verdicts(documents: DataFrame, errors: DataFrame, *keys: str) -> DataFrame:
     """keys, n_errors, valid, messages for every document."""
     keys = list(keys or KEYS)
-    counted = errors.groupBy(*keys).agg(F.count("*").alias("n_errors"), F.transform(F.array_sort(F.collect_list(F.struct("node_id", "rule", "message"))), lambda x: x["message"]).alias("messages"))
+    counted = errors.groupBy(*keys).agg(F.count("*").alias("n_errors"),
+        F.transform(F.array_sort(F.collect_list(F.struct("node_id", "rule", "message"))), lambda x: x["message"]).alias("messages"))
     out = documents.select(*keys).distinct().join(counted, keys, "left")
-    return out.select(*keys, F.coalesce("n_errors", F.lit(0)).cast("int").alias("n_errors"), F.col("n_errors").isNull().alias("valid"), F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))
+    return out.select(*keys, F.coalesce("n_errors", F.lit(0)).cast("int").alias("n_errors"), F.col("n_errors").isNull().alias("valid"),
+        F.coalesce("messages", F.array().cast("array<string>")).alias("messages"))

@@ -73,7 +73,8 @@ def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files of three kinds in folders, found again by the scan."""
     kind = F.element_at(F.array(F.lit("docx"), F.lit("pdf"), F.lit("txt")), (F.col("doc_id") % 3 + 1).cast("int"))
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    view(spark, sf_dir, "documents").select(F.encode("text", "utf-8").alias("content"), F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name")).foreachPartition(FileDrop(path))
+    view(spark, sf_dir, "documents").select(F.encode("text", "utf-8").alias("content"),
+        F.concat((F.col("doc_id") % 10).cast("string"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("name")).foreachPartition(FileDrop(path))
     return S.read_manuscripts(spark, path)
 
 
@@ -93,14 +94,17 @@ class FileDrop:
 
 register(
     "a1_manuscript_scan",
-    lambda s, d: _scanned(s, d).select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("kind"), F.col("length").alias("n"), F.md5("content").alias("content")),
+    lambda s, d: _scanned(s, d).select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"),
+        F.regexp_extract("path", "[.]([a-z]+)$", 1).alias("kind"), F.col("length").alias("n"), F.md5("content").alias("content")),
     "select doc_id, case doc_id % 3 when 0 then 'docx' else 'pdf' end as kind, cast(strlen(text) as bigint) as n, md5(text) as content from documents where doc_id % 3 <> 2",
 )
 register(
-    "a3_docx_blocks", lambda s, d: S.docx_blocks(word_files(s, d)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "image").alias("images"), F.max("pos").cast("long").alias("last")),
+    "a3_docx_blocks", lambda s, d: S.docx_blocks(word_files(s, d)).groupBy("doc_id").agg(F.count_if(F.col("kind") == "paragraph").alias("paragraphs"),
+        F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "image").alias("images"), F.max("pos").cast("long").alias("last")),
     f"select doc_id, n as paragraphs, 1 as tables, 1 as images, n + 1 as last from ({_BLOCKS}) as b",
 )
-register("a4_docx_images", lambda s, d: S.images(S.docx_blocks(word_files(s, d))).select("doc_id", "name", F.hex("content").alias("content")), f"select doc_id, 'imagen_1.png' as name, '89504E47' as content from ({_BLOCKS}) as b")
+register("a4_docx_images", lambda s, d: S.images(S.docx_blocks(word_files(s, d))).select("doc_id", "name", F.hex("content").alias("content")),
+    f"select doc_id, 'imagen_1.png' as name, '89504E47' as content from ({_BLOCKS}) as b")
 
 
 def _files(spark, df: DataFrame, write, read):
@@ -110,7 +114,10 @@ def _files(spark, df: DataFrame, write, read):
 
 
 register(
-    "a6_xml_scan", lambda s, d: _files(s, view(s, d, "fx_article_xml").repartition(20, "doc_id").select(F.translate("xml", "\n\r", "  ").alias("xml")), lambda x, p: x.write.text(p), lambda p: S.read_xml(s, p)).select(F.explode(F.filter(F.split("xml", "\n"), lambda x: x != "")).alias("xml")).select(F.regexp_extract("xml", ">10.5555/d([0-9]+)<", 1).cast("long").alias("doc_id"), F.length("xml").cast("long").alias("n")),
+    "a6_xml_scan", lambda s, d: _files(s, view(s, d, "fx_article_xml").repartition(20,
+        "doc_id").select(F.translate("xml", "\n\r", "  ").alias("xml")), lambda x, p: x.write.text(p),
+        lambda p: S.read_xml(s, p)).select(F.explode(F.filter(F.split("xml", "\n"), lambda x: x != "")).alias("xml")).select(F.regexp_extract("xml",
+        ">10.5555/d([0-9]+)<", 1).cast("long").alias("doc_id"), F.length("xml").cast("long").alias("n")),
     "select doc_id, length(xml) as n from fx_article_xml",
 )
 _U = "fx_token_usage"
@@ -156,7 +163,9 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(F.col("doc_id") % 6 == k, F.replace(x, F.lit(old), F.lit(new))).otherwise(x)
 
     x = F.col("xml")
-    for k, (old, new) in enumerate((("<title>One</title>", "<title>One</title><foo>x</foo>"), ('<sec id="s1">', '<sec id="s1" colour="red">'), ("<journal-meta><journal-id>", "<journal-meta><issn>1</issn><journal-id>"), ('<ref id="r1">', '<ref id="s1">'), ('rid="r1"', 'rid="r1 r9"'), ("</sec></body>", "</sec>loose</body>"))):
+    for k, (old, new) in enumerate((("<title>One</title>", "<title>One</title><foo>x</foo>"), ('<sec id="s1">', '<sec id="s1" colour="red">'),
+        ("<journal-meta><journal-id>", "<journal-meta><issn>1</issn><journal-id>"), ('<ref id="r1">', '<ref id="s1">'), ('rid="r1"', 'rid="r1 r9"'),
+        ("</sec></body>", "</sec>loose</body>"))):
         x = put(x, old, new, k)
     return view(spark, sf_dir, "fx_article_xml").select("doc_id", x.alias("xml"))
 
@@ -215,12 +224,14 @@ _PEOPLE_HTML = f"""select doc_id, '<section class="panel"><h3>Keywords</h3><ul c
  '<section class="panel"><h3>Authors</h3><ul class="author-list"><li class="author"><span class="author-name">G' || (doc_id % 7) || ' S' || (doc_id % 50) || '</span>' || case when doc_id % 3 < 2 then '<span class="author-corresponding">Corresponding author</span>' else '' end
  || '<div class="author-affiliations">Inst ' || {_E.format('source')} || '</div></li></ul></section>' as authors from documents"""
 register(
-    "f16_html_keywords_authors", lambda s, d: (lambda n: P.html_keywords(X.keywords(n)).withColumnRenamed("html", "keywords").join(P.html_authors(X.authors(n)).withColumnRenamed("html", "authors"), "doc_id"))(nodes(s, d)),
+    "f16_html_keywords_authors", lambda s, d: (lambda n: P.html_keywords(X.keywords(n)).withColumnRenamed("html",
+        "keywords").join(P.html_authors(X.authors(n)).withColumnRenamed("html", "authors"), "doc_id"))(nodes(s, d)),
     _PEOPLE_HTML,
 )
 register(
     "f17_html_tables_figures_refs",
-    lambda s, d: (lambda n: P.html_references(X.references(n)).join(P.html_figures(X.figures(n)).withColumnRenamed("html", "figures"), "doc_id").join(P.html_tables(X.tables(n), X.table_cells(n)).withColumnRenamed("html", "tables"), "doc_id"))(AQ.rich_nodes(s, d)),
+    lambda s, d: (lambda n: P.html_references(X.references(n)).join(P.html_figures(X.figures(n)).withColumnRenamed("html", "figures"),
+        "doc_id").join(P.html_tables(X.tables(n), X.table_cells(n)).withColumnRenamed("html", "tables"), "doc_id"))(AQ.rich_nodes(s, d)),
     f"""select doc_id, '<section class="panel" id="figures"><h3>Figures</h3><figure id="fig-1" class="media"><img src="g' || (doc_id % 4) || '.png" alt="Cap &amp; ' || (doc_id % 9) || '" loading="lazy"><figcaption><span class="media-label">F</span> Cap &amp; ' || (doc_id % 9) || '</figcaption></figure></section>' as figures,
  '<section class="panel" id="tables"><h3>Tables</h3><figure id="tab" class="table-wrap"><figcaption><span class="media-label">Table</span> T</figcaption><table><tr><td>h</td><td>' || (doc_id % 8) || '</td></tr><tr><td>second</td></tr></table></figure></section>' as tables,
  '<section class="panel" id="references"><h3>References</h3><ol class="reference-list"><li id="r1">Ref ' || {_E.format('source')} || '</li></ol></section>' as html from documents""",
@@ -233,7 +244,8 @@ def _figs(s, d):
 
 
 register(
-    "f18_image_embed", lambda s, d: P.image_embed(_figs(s, d), view(s, d, "documents").select(F.concat("lang", F.lit(".png")).alias("name"), F.encode("lang", "utf-8").alias("content")).distinct()),
+    "f18_image_embed", lambda s, d: P.image_embed(_figs(s, d), view(s, d, "documents").select(F.concat("lang", F.lit(".png")).alias("name"),
+        F.encode("lang", "utf-8").alias("content")).distinct()),
     f"select doc_id, case when doc_id % 3 = 0 then 'data:image/png;base64,' || base64(encode(lang)) else href end as href from (select f.*, lang from ({_FIGS}) as f join documents d on d.doc_id = f.doc_id) as g",
 )
 _META_HTML = f"""select doc_id, '<ul class="meta"><li><span>Journal:</span> Journal ' || {_E.format('source')} || '</li><li><span>Publisher:</span> Press ' || {_E.format('lang')} || '</li><li><span>Issue:</span> ' || (doc_id % 30)
@@ -248,8 +260,10 @@ _PAGE = f"""select d.doc_id, '<!DOCTYPE html><html><head><meta charset="utf-8"><
  || meta || authors || '<section id="abstract"><h2>{_W.abstract}</h2><p>Short <em>abstract</em>.</p></section>' || keywords || sections
  || '<section class="panel" id="references"><h3>References</h3><ol class="reference-list"><li id="r1">Ref ' || {_E.format('source')} || '</li></ol></section></body></html>' as html
 from documents d join ({_META_HTML}) as m on m.doc_id = d.doc_id join ({_PEOPLE_HTML}) as p on p.doc_id = d.doc_id join ({_SECTIONS_HTML}) as s on s.doc_id = d.doc_id"""
-register("f20_html_document", lambda s, d: AQ_html(s, d).select("doc_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("html")), f"select doc_id, length(html) as n, md5(html) as html from ({_PAGE}) as x")
-register("a10_html_sink", lambda s, d: _files(s, AQ_html(s, d), S.write_html, lambda p: s.read.parquet(p)).select("doc_id", F.md5("html").alias("html")), f"select doc_id, md5(html) as html from ({_PAGE}) as x")
+register("f20_html_document", lambda s, d: AQ_html(s, d).select("doc_id", F.length("html").cast("long").alias("n"), F.md5("html").alias("html")),
+    f"select doc_id, length(html) as n, md5(html) as html from ({_PAGE}) as x")
+register("a10_html_sink", lambda s, d: _files(s, AQ_html(s, d), S.write_html, lambda p: s.read.parquet(p)).select("doc_id",
+    F.md5("html").alias("html")), f"select doc_id, md5(html) as html from ({_PAGE}) as x")
 _JSON_TITLE = "to_json(trim(regexp_replace(substring(replace(text, chr(10), ' '), 1, 40), '\\s+', ' ', 'g')))"
 _PUB = "case when doc_id % 4 = 0 then '5/' else '' end || case when doc_id % 2 = 0 then '3/' else '' end || (2000 + doc_id % 25)"
 register(
@@ -267,7 +281,8 @@ def _quote(prompt: str) -> dict:
 
 
 register(
-    "h1_model_call", lambda s, d: C.call_model(view(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), _quote, 4).select("item_id", F.col("prompt_tokens").alias("n"), "text"),
+    "h1_model_call", lambda s, d: C.call_model(view(s, d, "benchmark").select("item_id", F.col("text").alias("prompt")), _quote, 4).select("item_id",
+        F.col("prompt_tokens").alias("n"), "text"),
     "select item_id, length(text) as n, '[' || text || ']' as text from benchmark",
 )
 
@@ -300,7 +315,8 @@ def _metadata_model(prompt: str) -> dict:
 
 
 def _metadata(s, d):
-    profile = s.range(1).select(*[F.lit("J" if n == "title" else "").alias(n) for n in ("title", "publisher", "issn_print", "issn_electronic", "doi_base", "abbrev_title", "journal_id", "license_url", "subject")])
+    profile = s.range(1).select(*[F.lit("J" if n == "title" else "").alias(n) for n in ("title", "publisher", "issn_print", "issn_electronic",
+        "doi_base", "abbrev_title", "journal_id", "license_url", "subject")])
     out = J.metadata_job(view(s, d, "fx_blocks"), "about {text_snippet}", _metadata_model, profile, kept, 4)
     return out.select("doc_id", "meta.article_title", "meta.journal_title", "meta.doi", "gate")
 

@@ -60,7 +60,8 @@ register(
     "select usage_id, model, total_tokens from fx_token_usage",
 )
 register(
-    "i5_stream_sessions", lambda s, d: _drain(s, d, lambda u: S.stream_sessions(u, "30 minutes", LONG)).select("user_id", _named("start"), _named("end"), "requests", "total_tokens"),
+    "i5_stream_sessions", lambda s, d: _drain(s, d, lambda u: S.stream_sessions(u, "30 minutes", LONG)).select("user_id", _named("start"),
+        _named("end"), "requests", "total_tokens"),
     """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as start, strftime(max(ts) + interval 30 minutes, '%Y-%m-%d %H:%M:%S') as "end", count(*) as requests, cast(sum(total_tokens) as bigint) as total_tokens from (
  select *, sum(fresh) over (partition by user_id order by ts, usage_id) as session from (
  select *, case when ts - lag(ts) over (partition by user_id order by ts, usage_id) <= interval 30 minutes then 0 else 1 end as fresh from fx_token_usage) as a) as b group by user_id, session""",

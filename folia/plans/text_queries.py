@@ -115,14 +115,17 @@ def _parts(spark, sf_dir):
     return A.block_parts(view(spark, sf_dir, "fx_blocks"))
 
 
-register("b1_paragraph_text", lambda s, d: _parts(s, d).where("kind = 'paragraph'").select("doc_id", "pos", "part"), "select doc_id, pos, text as part from fx_blocks where kind = 'paragraph'")
-register("b2_image_placeholder", lambda s, d: _parts(s, d).where("kind = 'image'").select("doc_id", "pos", "part"), f"select doc_id, pos, part from ({_PART}) as p where kind = 'image'")
+register("b1_paragraph_text", lambda s, d: _parts(s, d).where("kind = 'paragraph'").select("doc_id", "pos", "part"),
+    "select doc_id, pos, text as part from fx_blocks where kind = 'paragraph'")
+register("b2_image_placeholder", lambda s, d: _parts(s, d).where("kind = 'image'").select("doc_id", "pos", "part"),
+    f"select doc_id, pos, part from ({_PART}) as p where kind = 'image'")
 register(
     "b3_table_flatten",
     lambda s, d: view(s, d, "documents").select("doc_id", A.table_content(F.transform(F.split("text", "\n"), lambda r: F.split(r, " "))).alias("content")),
     f"select doc_id, array_to_string([array_to_string([{strip_sql('c')} for c in string_split(r, ' ')], ' | ') for r in string_split(text, chr(10))], '; ') as content from documents",
 )
-register("b4_table_caption_fold", lambda s, d: A.fold_captions(_parts(s, d)).select("doc_id", F.inline(F.arrays_zip("pos", F.col("parts").alias("part")))).withColumnRenamed("parts", "part"), _FOLD)
+register("b4_table_caption_fold", lambda s, d: A.fold_captions(_parts(s, d)).select("doc_id",
+    F.inline(F.arrays_zip("pos", F.col("parts").alias("part")))).withColumnRenamed("parts", "part"), _FOLD)
 register("b5_assemble_text", lambda s, d: A.assemble(view(s, d, "fx_blocks")), f"select doc_id, string_agg(part, chr(10) order by pos) as text from ({_FOLD}) as p group by doc_id")
 register(
     "b6_metadata_context", lambda s, d: A.head_context(view(s, d, "fx_blocks")),
@@ -130,7 +133,8 @@ register(
 )
 register(
     "b7_prompt_render",
-    lambda s, d: view(s, d, "documents").select("doc_id", A.render(F.lit("v{version} of $1 \\ {lang}: {text_snippet}"), version=F.lit(VERSION), text_snippet=F.col("text")).alias("prompt")),
+    lambda s, d: view(s, d, "documents").select("doc_id", A.render(F.lit("v{version} of $1 \\ {lang}: {text_snippet}"), version=F.lit(VERSION),
+        text_snippet=F.col("text")).alias("prompt")),
     "select doc_id, concat('v1.4 of $1 \\ {lang}: ', substring(text, 1, 3000)) as prompt from documents",
 )
 
@@ -148,12 +152,14 @@ _FIELDS = f"""select doc_id, j, ok, json_extract_string(v, '$.article_title') as
 _META = [f"meta.{n}" for n in ("article_title", "journal_title", "publication_date", "doi")]
 register(
     "b8_metadata_block",
-    lambda s, d: _meta(s, d).select("doc_id", A.metadata_block({"title": F.col("meta.article_title"), "journal": F.col("meta.journal_title"), "doi": F.col("meta.doi")}).alias("block")),
+    lambda s, d: _meta(s, d).select("doc_id", A.metadata_block({"title": F.col("meta.article_title"), "journal": F.col("meta.journal_title"),
+        "doi": F.col("meta.doi")}).alias("block")),
     f"select doc_id, '- title: ' || coalesce(article_title, 'from the text') || chr(10) || '- journal: ' || coalesce(journal_title, 'from the text') || chr(10) || '- doi: ' || coalesce(doi, 'from the text') as block from ({_FIELDS}) as f",
 )
 register(
     "b9_correction_prompt_render",
-    lambda s, d: view(s, d, "fx_error_messages").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("err_id", "message"))), lambda x: x["message"]).alias("errors"))
+    lambda s, d: view(s, d, "fx_error_messages").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("err_id", "message"))),
+        lambda x: x["message"]).alias("errors"))
     .select("doc_id", A.render_correction(F.col("errors"), F.lit("<a/>"), F.when(F.col("doc_id") % 2 == 0, "more"), "interactive").alias("prompt")),
     """select doc_id, '<USER_DOCUMENT_START>' || chr(10) || string_agg('- ' || message, chr(10) order by err_id) || chr(10) || '<USER_DOCUMENT_END>' || chr(10) || '<USER_DOCUMENT_START>' || chr(10) || '<a/>' || chr(10) || '<USER_DOCUMENT_END>' || chr(10)
  || case when doc_id % 2 = 0 then '<USER_DOCUMENT_START>' || chr(10) || 'more' || chr(10) || '<USER_DOCUMENT_END>' else '' end as prompt from fx_error_messages group by doc_id""",
@@ -201,14 +207,17 @@ _BLOCK = "regexp_extract(log, '\\{[^\\}]*token[^\\}]*\\}', 0)"
 _GOOD = f"({_BLOCK} <> '' and (coalesce({_token_sql('total', _BLOCK, '[_\\s-]*')}, 0) > 0 or coalesce({_token_sql('prompt', _BLOCK, '[_\\s-]*')}, 0) > 0))"
 _COUNTS = ", ".join(f"case when {_GOOD} then {_token_sql(w, _BLOCK, '[_\\s-]*')} else coalesce({_token_sql(w, 'log', '\\s*')}, {_token_sql(w, _BLOCK, '[_\\s-]*')}) end as {w}" for w in ("total", "prompt", "completion"))
 _FOUND = f"({_GOOD} or " + " or ".join(f"{_token_sql(w, 'log', '\\s*')} is not null" for w in ("total", "prompt", "completion")) + ")"
-register("c12_token_metrics_scrape", lambda s, d: run(s, d, _LOGS).select("doc_id", "roster_idx", X.token_metrics(F.col("log")).alias("m")).select("doc_id", "roster_idx", "m.*"), f"select doc_id, roster_idx, {_COUNTS}, {_FOUND} as found from ({_LOGS}) as l")
+register("c12_token_metrics_scrape", lambda s, d: run(s, d, _LOGS).select("doc_id", "roster_idx",
+    X.token_metrics(F.col("log")).alias("m")).select("doc_id", "roster_idx", "m.*"), f"select doc_id, roster_idx, {_COUNTS}, {_FOUND} as found from ({_LOGS}) as l")
 _ERRORS = "case o_orderkey % 5 when 0 then concat('HTTP 429 for ', o_orderpriority) when 1 then 'Rate_Limit reached' when 2 then 'FinishReason.RECITATION' when 3 then 'Quota exceeded' else o_orderpriority end"
 register(
     "c13_call_error_classify", lambda s, d: run(s, d, f"select o_orderkey, {_ERRORS} as e from orders").select("o_orderkey", X.call_error_classify(F.col("e")).alias("out")),
     f"select o_orderkey, case when contains(e, '429') or contains(e, 'Quota exceeded') or contains(lower(e), 'rate_limit') then 'rate_limit' when contains(e, 'Recitation') or contains(e, 'FinishReason.RECITATION') then 'recitation' else 'other' end as out from (select o_orderkey, {_ERRORS} as e from orders) as o",
 )
 column("c14_json_object_slice", "fx_metadata_raw", "doc_id", lambda: X.json_object_slice(F.col("response")), _JSON)
-register("c15_metadata_parse", lambda s, d: _meta(s, d).select("doc_id", *_META, F.coalesce(F.size("meta.authors"), F.lit(0)).cast("long").alias("authors"), "error"), f"select doc_id, article_title, journal_title, publication_date, doi, authors, case when not ok then substring(j, 1, 500) end as error from ({_FIELDS}) as f")
+register("c15_metadata_parse", lambda s, d: _meta(s, d).select("doc_id", *_META,
+    F.coalesce(F.size("meta.authors"), F.lit(0)).cast("long").alias("authors"), "error"),
+    f"select doc_id, article_title, journal_title, publication_date, doi, authors, case when not ok then substring(j, 1, 500) end as error from ({_FIELDS}) as f")
 register("c16_metadata_normalize", lambda s, d: _meta(s, d).select("doc_id", "meta.doi"), f"select doc_id, doi from ({_FIELDS}) as f")
 column("c17_clean_whitespace", "documents", "doc_id", lambda: F.md5(X.clean_whitespace(F.col("text"))), f"md5({strip_sql(_SPACED)})")
 _PRE = "concat('lead & text ', chr(12), '<!DOCTYPE x>', replace(xml, 'Short', 'Short & &lt; &#12; &x'), ' tail')"
@@ -219,16 +228,21 @@ register(
  '&amp;([a-zA-Z]+;|#[0-9]+;|#x[0-9a-fA-F]+;)', '&\\1', 'g')) as out from (select doc_id, {_PRE_SQL} as p from (select doc_id, {_PRE} as p from fx_article_xml) as a) as b""",
 )
 _OLD = "concat('<!DOCTYPE article', chr(10), ' SYSTEM \"x.dtd\">', xml)"
-register("c19_doctype_rewrite", lambda s, d: run(s, d, f"select doc_id, {_OLD} as p from fx_article_xml").select("doc_id", F.md5(X.doctype_rewrite(F.col("p"), VERSION)).alias("out")), f"select doc_id, md5(regexp_replace({_OLD}, '(?s)<!DOCTYPE.*?>', '{X.doctype(VERSION)}', 'g')) as out from fx_article_xml")
-column("c20_tag_extract", "fx_article_xml", "doc_id", lambda: X.tag_extract(F.col("xml"), "article-title"), strip_sql("regexp_extract(substring(xml, 1, 500000), '(?si)(<article-title(?:>|\\s[^>]*>))(.*?)(</article-title>)', 2)"))
-column("c21_tag_inject", "fx_article_xml", "doc_id", lambda: F.md5(X.tag_inject(F.col("xml"), "volume", F.lit("9 & $1"), "all")), "md5(regexp_replace(xml, '(?si)(<volume(?:>|\\s[^>]*>))(.*?)(</volume>)', '\\1' || '9 &amp; $1' || '\\3', 'g'))")
+register("c19_doctype_rewrite", lambda s, d: run(s, d, f"select doc_id, {_OLD} as p from fx_article_xml").select("doc_id",
+    F.md5(X.doctype_rewrite(F.col("p"), VERSION)).alias("out")), f"select doc_id, md5(regexp_replace({_OLD}, '(?s)<!DOCTYPE.*?>', '{X.doctype(VERSION)}', 'g')) as out from fx_article_xml")
+column("c20_tag_extract", "fx_article_xml", "doc_id", lambda: X.tag_extract(F.col("xml"), "article-title"),
+    strip_sql("regexp_extract(substring(xml, 1, 500000), '(?si)(<article-title(?:>|\\s[^>]*>))(.*?)(</article-title>)', 2)"))
+column("c21_tag_inject", "fx_article_xml", "doc_id", lambda: F.md5(X.tag_inject(F.col("xml"), "volume", F.lit("9 & $1"), "all")),
+    "md5(regexp_replace(xml, '(?si)(<volume(?:>|\\s[^>]*>))(.*?)(</volume>)', '\\1' || '9 &amp; $1' || '\\3', 'g'))")
 _REF = "select doc_id, case doc_id % 4 when 0 then '3. Smith' when 1 then '3' when 2 then '33 Smith' else 'Smith' end as body, case doc_id % 3 when 0 then 'no. 3' when 1 then '3' else 'x' end as label from documents"
 _DIGITS = "regexp_replace(label, '[^0-9]', '', 'g')"
 _REST = f"regexp_replace(substr(body, length({_DIGITS}) + 1), '^[.\\-\\s)]*', '')"
-register("c22_strip_ref_number", lambda s, d: run(s, d, _REF).select("doc_id", X.strip_ref_number(F.col("body"), F.col("label")).alias("out")), f"select doc_id, case when {_DIGITS} <> '' and starts_with(body, {_DIGITS}) and {strip_sql(_REST)} <> '' then {strip_sql(_REST)} else body end as out from ({_REF}) as r")
+register("c22_strip_ref_number", lambda s, d: run(s, d, _REF).select("doc_id", X.strip_ref_number(F.col("body"), F.col("label")).alias("out")),
+    f"select doc_id, case when {_DIGITS} <> '' and starts_with(body, {_DIGITS}) and {strip_sql(_REST)} <> '' then {strip_sql(_REST)} else body end as out from ({_REF}) as r")
 _NAMES = "select doc_id, concat(source, ' de ', lang, ', ', lang, ',, ', source, ' Z') as names from documents"
 register(
-    "c23_author_split", lambda s, d: run(s, d, _NAMES).select("doc_id", F.posexplode(X.author_split(F.col("names"))).alias("pos", "a")).select("doc_id", F.col("pos").cast("long").alias("pos"), "a.given_names", "a.surname"),
+    "c23_author_split", lambda s, d: run(s, d, _NAMES).select("doc_id",
+        F.posexplode(X.author_split(F.col("names"))).alias("pos", "a")).select("doc_id", F.col("pos").cast("long").alias("pos"), "a.given_names", "a.surname"),
     "select doc_id, unnest(range(len(l))) as pos, unnest([array_to_string(string_split(n, ' ')[:-2], ' ') for n in l]) as given_names, unnest([string_split(n, ' ')[-1] for n in l]) as surname from (select doc_id, list_filter([trim(n) for n in string_split(names, ',')], lambda n: n <> '') as l from (" + _NAMES + ") as a) as b",
 )
 register(
@@ -237,19 +251,23 @@ register(
 )
 _LINKS = "select c_custkey, case when c_custkey % 3 = 0 then '' else concat('10.5555/', c_name) end as doi, case c_custkey % 3 when 0 then 'https://orcid.org/0000-1/' when 1 then ' 0000-2 ' else '' end as orcid from customer"
 register(
-    "c25_doi_orcid_links", lambda s, d: run(s, d, _LINKS).select("c_custkey", X.doi_url(F.col("doi")).alias("doi"), X.orcid_url(F.col("orcid")).alias("orcid"), X.orcid_short(F.col("orcid")).alias("short")),
+    "c25_doi_orcid_links", lambda s, d: run(s, d, _LINKS).select("c_custkey", X.doi_url(F.col("doi")).alias("doi"),
+        X.orcid_url(F.col("orcid")).alias("orcid"), X.orcid_short(F.col("orcid")).alias("short")),
     f"select c_custkey, case when doi <> '' then 'https://doi.org/' || doi end as doi, u as orcid, regexp_extract(rtrim(u, '/'), '[^/]+$', 0) as short from (select c_custkey, doi, case when trim(orcid) = '' then null when starts_with(lower(trim(orcid)), 'http') then trim(orcid) else 'https://orcid.org/' || trim(orcid) end as u from ({_LINKS}) as l) as m",
 )
 _MODELS = "select usage_id, case usage_id % 3 when 0 then concat('[LOCAL] ', model) when 1 then concat('[x', model) else model end as m from fx_token_usage"
-register("c26_model_label_strip", lambda s, d: run(s, d, _MODELS).select("usage_id", X.model_label_strip(F.col("m")).alias("out")), f"select usage_id, case when starts_with(m, '[') and contains(m, '] ') then substr(m, instr(m, '] ') + 2) else m end as out from ({_MODELS}) as x")
+register("c26_model_label_strip", lambda s, d: run(s, d, _MODELS).select("usage_id", X.model_label_strip(F.col("m")).alias("out")),
+    f"select usage_id, case when starts_with(m, '[') and contains(m, '] ') then substr(m, instr(m, '] ') + 2) else m end as out from ({_MODELS}) as x")
 register(
-    "c27_pipe_table_cells", lambda s, d: A.table_cells(view(s, d, "documents").where("text like '%|%'").select("doc_id", "text"), "text").select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("cell_no").cast("long").alias("cell_no"), "cell"),
+    "c27_pipe_table_cells", lambda s, d: A.table_cells(view(s, d, "documents").where("text like '%|%'").select("doc_id", "text"),
+        "text").select("doc_id", F.col("row_no").cast("long").alias("row_no"), F.col("cell_no").cast("long").alias("cell_no"), "cell"),
     f"""select doc_id, row_no, unnest(range(w)) as cell_no, unnest((cells || list_transform(range(w), lambda i: ''))[:w]) as cell from (
  select doc_id, unnest(range(len(rs))) as row_no, unnest(rs) as cells, len(rs[1]) as w from (
  select doc_id, [[{strip_sql('c')} for c in string_split(trim({strip_sql('l')}, '|'), '|')] for l in string_split(text, chr(10)) if contains(l, '|') and not (contains(l, '-') and trim(translate(l, '|:-', '')) = '')] as rs
  from documents where text like '%|%') as a) as b""",
 )
-register("c28_timestamp_display", lambda s, d: view(s, d, "events").select("event_id", X.timestamp_display(F.col("ts")).alias("out")), "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as out from events")
+register("c28_timestamp_display", lambda s, d: view(s, d, "events").select("event_id", X.timestamp_display(F.col("ts")).alias("out")),
+    "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') as out from events")
 
 # A: admission and sinks in column form
 _ADMIT = """select doc_id, case when length > 52428800 then 'too large' when lower(regexp_extract(path, '(\\.[^./]*)$', 1)) not in ('.docx', '.pdf') then 'wrong type'
@@ -267,7 +285,8 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_pages(spark, path)
 
 
-register("a5_page_text_source", lambda s, d: A.head_pages(_page_texts(s, d)), f"select doc_id, string_agg(text || chr(10), '' order by page_no) as context from ({_PAGES}) as p where page_no < 2 and text <> '' group by doc_id")
+register("a5_page_text_source", lambda s, d: A.head_pages(_page_texts(s, d)),
+    f"select doc_id, string_agg(text || chr(10), '' order by page_no) as context from ({_PAGES}) as p where page_no < 2 and text <> '' group by doc_id")
 _DECL = "case when doc_id % 2 = 0 then concat('<?xml version=\"1.0\"?> ', chr(10), xml) else xml end"
 
 
@@ -295,11 +314,13 @@ column(
  when len(string_split(message, ':')) > 4 then 'structure / structural problem: ' || trim(array_to_string(string_split(message, ':')[5:], ':')) else 'other / ' || message end""",
 )
 column("d11_lazy_comments", _C, _CK, lambda: F.concat_ws("|", F.slice(Q.lazy_comments(F.col("raw_response")), 1, 2)), f"array_to_string({_LAZY}[:2], '|')")
-column("d12_body_text_audit", _C, _CK, lambda: F.concat_ws("|", F.length(Q.body_text(F.col("raw_response"))).cast("string"), (F.length(Q.body_text(F.col("raw_response"))) < 500).cast("string")), f"cast(length({_BODY}) as varchar) || '|' || cast(length({_BODY}) < 500 as varchar)")
+column("d12_body_text_audit", _C, _CK, lambda: F.concat_ws("|", F.length(Q.body_text(F.col("raw_response"))).cast("string"),
+    (F.length(Q.body_text(F.col("raw_response"))) < 500).cast("string")), f"cast(length({_BODY}) as varchar) || '|' || cast(length({_BODY}) < 500 as varchar)")
 _COMPLETE = f"len({_LAZY}) = 0 and length({_BODY}) >= 500"
 register(
     "d13_completeness",
-    lambda s, d: view(s, d, _C).select("doc_id", "roster_idx", Q.audit_warnings(F.col("raw_response"), Q.body_text(F.col("raw_response"))).alias("w")).select("doc_id", "roster_idx", F.concat_ws("; ", "w").alias("warnings"), (F.size("w") == 0).alias("complete")),
+    lambda s, d: view(s, d, _C).select("doc_id", "roster_idx", Q.audit_warnings(F.col("raw_response"),
+        Q.body_text(F.col("raw_response"))).alias("w")).select("doc_id", "roster_idx", F.concat_ws("; ", "w").alias("warnings"), (F.size("w") == 0).alias("complete")),
     f"select doc_id, roster_idx, concat_ws('; ', case when len({_LAZY}) > 0 then 'comments suggest omitted text: ' || array_to_string({_LAZY}[:2], ', ') end, case when length({_BODY}) < 500 then 'the body is shorter than 500 characters' end) as warnings, {_COMPLETE} as complete from fx_candidates",
 )
 _SCORES = f"select doc_id, roster_idx, tokens % 25 as n_errors, {_COMPLETE} as complete from fx_candidates"
@@ -307,7 +328,8 @@ _SCORES = f"select doc_id, roster_idx, tokens % 25 as n_errors, {_COMPLETE} as c
 
 def _scored(spark, sf_dir):
     w = Q.audit_warnings(F.col("raw_response"), Q.body_text(F.col("raw_response")))
-    return view(spark, sf_dir, _C).select("doc_id", "roster_idx", (F.col("tokens") % 25).cast("int").alias("n_errors"), w.alias("w")).withColumn("score", Q.quality_score(F.col("n_errors"), F.size("w") == 0))
+    return view(spark, sf_dir, _C).select("doc_id", "roster_idx", (F.col("tokens") % 25).cast("int").alias("n_errors"),
+        w.alias("w")).withColumn("score", Q.quality_score(F.col("n_errors"), F.size("w") == 0))
 
 
 _SCORE = "cast(case when complete then greatest(0, 100 - 5 * n_errors) else least(20, greatest(0, 100 - 5 * n_errors)) end as integer)"
@@ -316,13 +338,17 @@ register(
     "d15_score_band", lambda s, d: _scored(s, d).select("doc_id", "roster_idx", Q.score_band(F.col("score")).alias("band"), Q.score_message(F.col("score")).alias("message")),
     f"select doc_id, roster_idx, case when s >= 90 then 'green' when s >= 60 then 'orange' else 'red' end as band, case when s = 100 then 'clean' when s >= 90 then 'minor warnings' else 'structural errors' end as message from (select doc_id, roster_idx, {_SCORE} as s from ({_SCORES}) as s) as t",
 )
-register("d16_semantic_error_flag", lambda s, d: _scored(s, d).select("doc_id", "roster_idx", Q.semantic_error_flag(F.concat(F.array(F.lit("Element x")), "w")).alias("flag")), f"select doc_id, roster_idx, not complete as flag from ({_SCORES}) as s")
+register("d16_semantic_error_flag", lambda s, d: _scored(s, d).select("doc_id", "roster_idx",
+    Q.semantic_error_flag(F.concat(F.array(F.lit("Element x")), "w")).alias("flag")), f"select doc_id, roster_idx, not complete as flag from ({_SCORES}) as s")
 _MISSING = "concat_ws(',', case when coalesce(article_title, '') = '' then 'article_title' end, case when coalesce(journal_title, '') = '' then 'journal_title' end, case when coalesce(publication_date, '') = '' then 'publication_date' end, case when coalesce(doi, '') = '' then 'doi' end, case when authors <= 0 then 'authors' end)"
-register("d17_required_fields", lambda s, d: _meta(s, d).select("doc_id", F.concat_ws(",", "missing").alias("missing")), f"select doc_id, {_MISSING} as missing from ({_FIELDS}) as f")
-register("d18_input_gate", lambda s, d: _meta(s, d).select("doc_id", "gate"), f"select doc_id, case when {_MISSING} = '' then 'verified' else 'saved incomplete' end as gate from ({_FIELDS}) as f")
+register("d17_required_fields", lambda s, d: _meta(s, d).select("doc_id", F.concat_ws(",", "missing").alias("missing")),
+    f"select doc_id, {_MISSING} as missing from ({_FIELDS}) as f")
+register("d18_input_gate", lambda s, d: _meta(s, d).select("doc_id", "gate"),
+    f"select doc_id, case when {_MISSING} = '' then 'verified' else 'saved incomplete' end as gate from ({_FIELDS}) as f")
 register(
     "d20_text_density",
-    lambda s, d: view(s, d, _C).select("doc_id", "roster_idx", F.length(Q.body_text(F.col("raw_response"))).alias("n")).join(view(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "roster_idx", F.round(F.try_divide("n", "n_chars"), 6).alias("density")),
+    lambda s, d: view(s, d, _C).select("doc_id", "roster_idx", F.length(Q.body_text(F.col("raw_response"))).alias("n")).join(view(s, d,
+        "documents").select("doc_id", "n_chars"), "doc_id").select("doc_id", "roster_idx", F.round(F.try_divide("n", "n_chars"), 6).alias("density")),
     f"select c.doc_id, roster_idx, round(length({_BODY}) / n_chars, 6) as density from fx_candidates c join documents d on c.doc_id = d.doc_id",
 )
 
@@ -336,11 +362,13 @@ register(
  select *, row_number() over (partition by call_id order by round) - 1 as k from ({_CHUNK}) as c) as d where k <= 3) as e where go = 1 and (k = 0 or coalesce(text, '') <> '') group by call_id""",
 )
 register(
-    "h4_chat_history_build", lambda s, d: H.chat_history(view(s, d, "conversations")).select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("messages")),
+    "h4_chat_history_build", lambda s, d: H.chat_history(view(s, d, "conversations")).select("conv_id",
+        F.array_join(F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"])), "\n").alias("messages")),
     "select conv_id, string_agg((case when role in ('user', 'assistant') then role else 'user' end) || ': ' || text, chr(10) order by turn) as messages from conversations group by conv_id",
 )
 _ANSWERS = f"select o_orderkey, case when o_orderkey % 3 = 0 then '' else o_orderstatus end as text, case when o_orderkey % 2 = 0 then {_ERRORS} end as e from orders"
 register(
-    "h5_response_status", lambda s, d: run(s, d, _ANSWERS).select("o_orderkey", Q.response_status(F.col("text"), X.call_error_classify(F.col("e"))).alias("r")).select("o_orderkey", "r.status", "r.quota_exceeded"),
+    "h5_response_status", lambda s, d: run(s, d, _ANSWERS).select("o_orderkey",
+        Q.response_status(F.col("text"), X.call_error_classify(F.col("e"))).alias("r")).select("o_orderkey", "r.status", "r.quota_exceeded"),
     f"select o_orderkey, case when e is not null then 'error' when text = '' then 'empty' else 'ok' end as status, coalesce(contains(e, '429') or contains(e, 'Quota exceeded') or contains(lower(e), 'rate_limit'), false) as quota_exceeded from ({_ANSWERS}) as a",
 )

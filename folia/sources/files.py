@@ -88,7 +88,8 @@ def docx_blocks(files: DataFrame) -> DataFrame:
                 except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
                     rows.append((path, 0, "error", None, None, None, str(e)[:500]))
                     continue
-                rows += [(path, k, kind, text, table, None if image is None else {"name": image[0], "content_type": image[1], "bytes": image[2]}, None) for k, (kind, text, table, image) in enumerate(found)]
+                rows += [(path, k, kind, text, table, None if image is None else {"name": image[0], "content_type": image[1], "bytes": image[2]},
+                    None) for k, (kind, text, table, image) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "kind", "text", "rows", "image", "error"])
 
     return files.where(F.lower("path").endswith(".docx")).select("path", "content").mapInPandas(run, BLOCKS)

@@ -123,12 +123,21 @@ CORE = {
 #: Attributes that every element may have, and those of single elements; '!' marks a required one.
 COMMON = "id lang base specific-use"
 ATTRIBUTES = {
-    "article": "article-type dtd-version xlink mml xsi ali xmlns", "contrib": "contrib-type corresp equal-contrib deceased rid", "contrib-id": "contrib-id-type! authenticated", "xref": "ref-type rid custom-type alt", "article-id": "pub-id-type",
-    "journal-id": "journal-id-type", "issn": "pub-type publication-format", "pub-date": "pub-type date-type publication-format iso-8601-date", "date": "date-type publication-format iso-8601-date", "sec": "sec-type disp-level",
-    "fig": "fig-type position orientation", "table-wrap": "position orientation content-type", "graphic": "href! mime-subtype mimetype position orientation type", "ext-link": "ext-link-type href assigning-authority type", "kwd-group": "kwd-group-type",
-    "subj-group": "subj-group-type", "aff": "content-type rid", "corresp": "content-type", "list": "list-type list-content prefix-word continued-from", "license": "license-type href type", "mixed-citation": "publication-type publisher-type publication-format use-type", "element-citation": "publication-type publisher-type publication-format use-type",
-    "person-group": "person-group-type", "pub-id": "pub-id-type assigning-authority", "name": "name-style content-type", "td": "align valign colspan rowspan headers scope abbr axis char charoff style content-type", "th": "align valign colspan rowspan headers scope abbr axis char charoff style content-type",
-    "tr": "align valign char charoff style content-type", "table": "border cellpadding cellspacing frame rules summary width style content-type", "abstract": "abstract-type", "trans-abstract": "abstract-type", "fn": "fn-type symbol", "ref-list": "content-type", "trans-title-group": "content-type", "p": "content-type",
+    "article": "article-type dtd-version xlink mml xsi ali xmlns", "contrib": "contrib-type corresp equal-contrib deceased rid",
+        "contrib-id": "contrib-id-type! authenticated", "xref": "ref-type rid custom-type alt", "article-id": "pub-id-type",
+    "journal-id": "journal-id-type", "issn": "pub-type publication-format", "pub-date": "pub-type date-type publication-format iso-8601-date",
+        "date": "date-type publication-format iso-8601-date", "sec": "sec-type disp-level",
+    "fig": "fig-type position orientation", "table-wrap": "position orientation content-type",
+        "graphic": "href! mime-subtype mimetype position orientation type", "ext-link": "ext-link-type href assigning-authority type", "kwd-group": "kwd-group-type",
+    "subj-group": "subj-group-type", "aff": "content-type rid", "corresp": "content-type",
+        "list": "list-type list-content prefix-word continued-from", "license": "license-type href type",
+        "mixed-citation": "publication-type publisher-type publication-format use-type", "element-citation": "publication-type publisher-type publication-format use-type",
+    "person-group": "person-group-type", "pub-id": "pub-id-type assigning-authority", "name": "name-style content-type",
+        "td": "align valign colspan rowspan headers scope abbr axis char charoff style content-type",
+        "th": "align valign colspan rowspan headers scope abbr axis char charoff style content-type",
+    "tr": "align valign char charoff style content-type", "table": "border cellpadding cellspacing frame rules summary width style content-type",
+        "abstract": "abstract-type", "trans-abstract": "abstract-type", "fn": "fn-type symbol", "ref-list": "content-type",
+        "trans-title-group": "content-type", "p": "content-type",
     "thead": "align valign char charoff style content-type", "tbody": "align valign char charoff style content-type",
 }
 

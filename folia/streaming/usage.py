@@ -40,7 +40,8 @@ def stream_dedupe(usage: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 def stream_sessions(usage: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
     sessions = usage.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "user_id")
-    return sessions.agg(F.count("*").alias("requests"), F.sum("total_tokens").alias("total_tokens")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "requests", "total_tokens")
+    return sessions.agg(F.count("*").alias("requests"), F.sum("total_tokens").alias("total_tokens")).select("user_id",
+        F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "requests", "total_tokens")
 
 
 class QuotaAlerts(StatefulProcessor):

@@ -53,7 +53,8 @@ def test_calls_retry_rate_limits_only(spark, tmp_path):
 
 
 def test_stitch_stops_where_an_answer_is_whole(spark):
-    rows = [(1, 0, "a", "length"), (1, 1, "```xml\nb\n```", "stop"), (1, 2, "c", "stop"), (2, 0, "x", "STOP"), (2, 1, "y", "stop")] + [(3, k, str(k), "MAX_TOKENS") for k in range(6)]
+    rows = [(1, 0, "a", "length"), (1, 1, "```xml\nb\n```", "stop"), (1, 2, "c", "stop"), (2, 0, "x", "STOP"),
+        (2, 1, "y", "stop")] + [(3, k, str(k), "MAX_TOKENS") for k in range(6)]
     out = {r["call_id"]: (r["text"], r["rounds"]) for r in C.stitch(spark.createDataFrame(rows, "call_id int, round int, text string, finish_reason string")).collect()}
     assert out == {1: ("a\nb", 2), 2: ("x", 1), 3: ("0\n1\n2\n3", 4)}
 

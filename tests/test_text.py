@@ -9,7 +9,8 @@ from folia.operators import assemble as A
 
 
 def value(spark, make, *args):
-    df = spark.createDataFrame([args], [f"c{k}" for k in range(len(args))]) if all(a is not None for a in args) else spark.createDataFrame([args], ", ".join(f"c{k} string" for k in range(len(args))))
+    df = spark.createDataFrame([args], [f"c{k}" for k in range(len(args))]) if all(a is not None for a in args) else spark.createDataFrame([args],
+        ", ".join(f"c{k} string" for k in range(len(args))))
     return df.select(make(*[F.col(c) for c in df.columns])).first()[0]
 
 
@@ -23,7 +24,8 @@ def test_score(spark, errors, complete, score):
     assert value(spark, Q.quality_score, errors, complete) == score
 
 
-@pytest.mark.parametrize(("label", "body", "out"), [("3", "3. Smith", "Smith"), ("3", "3", "3"), ("3", "33 Smith", "3 Smith"), ("x", "3. Smith", "3. Smith"), ("11", "11. Ref", "Ref"), ("2", " 2) A", "A")])
+@pytest.mark.parametrize(("label", "body", "out"), [("3", "3. Smith", "Smith"), ("3", "3", "3"), ("3", "33 Smith", "3 Smith"),
+    ("x", "3. Smith", "3. Smith"), ("11", "11. Ref", "Ref"), ("2", " 2) A", "A")])
 def test_ref_number(spark, label, body, out):
     assert value(spark, X.strip_ref_number, body, label) == out
 
@@ -66,7 +68,8 @@ def test_sanitize_is_idempotent(spark):
 
 
 def test_caption_fold_takes_the_part_before_whatever_it_is(spark):
-    blocks = spark.createDataFrame([(1, 0, "paragraph", "A"), (1, 1, "table", "x"), (1, 2, "table", "y"), (1, 3, "paragraph", "z")], "doc_id int, pos int, kind string, text string")
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "A"), (1, 1, "table", "x"), (1, 2, "table", "y"), (1, 3, "paragraph", "z")],
+        "doc_id int, pos int, kind string, text string")
     parts = A.fold_captions(A.block_parts(blocks)).first()["parts"]
     assert parts[0] == parts[1] == "" and 'caption="[TABLA' in parts[2] and 'caption="A"' in parts[2] and parts[3] == "z"
 
@@ -79,5 +82,6 @@ def test_pad_and_cut_rows(spark):
 
 def test_nulls_do_not_fail(spark):
     df = spark.createDataFrame([(None,)], "c string")
-    made = [f(F.col("c")) for f in (X.fence_extract, X.sanitize_text, X.json_object_slice, X.call_error_classify, X.author_split, X.orcid_url, X.model_label_strip, Q.lazy_comments, Q.error_explain)]
+    made = [f(F.col("c")) for f in (X.fence_extract, X.sanitize_text, X.json_object_slice, X.call_error_classify, X.author_split, X.orcid_url,
+        X.model_label_strip, Q.lazy_comments, Q.error_explain)]
     assert df.select(*[m.alias(f"m{k}") for k, m in enumerate(made)]).count() == 1
