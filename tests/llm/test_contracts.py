@@ -39,6 +39,9 @@ def odd(spark, tmp_path_factory):
     bench = spark.createDataFrame([(1, None), (None, "a b c d e f a b c d e f"), (2, "short one"), (3, " ".join(f"w{k}" for k in range(100, 130)))], "item_id bigint, text string")
     bench.write.parquet(f"{folder}/benchmark.parquet")
     bench.limit(0).write.parquet(f"{folder}/empty/benchmark.parquet")
+    vectors = spark.createDataFrame([(k, [float(k)] * 64 if k else None) for k, _ in enumerate(ODD)] + [(None, [0.5] * 64)], "vec_id bigint, embedding array<float>")
+    vectors.write.parquet(f"{folder}/embeddings.parquet")
+    vectors.limit(0).write.parquet(f"{folder}/empty/embeddings.parquet")
     return folder
 
 
