@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folia.llm import bisector_clusters, decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_score, personal_data, repetition, sampled_pieces, sharding, simhash
+from folia.llm import bisector_clusters, conversation_repair, decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_score, personal_data, repetition, sampled_pieces, sharding, simhash
 
 QUERIES = {
     "op1_license_scan": license_scan.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_score": ngram_score.query,
     "op11_bisector_clusters": bisector_clusters.query,
     "op12_exact_dedup": exact_dedup.query,
+    "op13_conversation_repair": conversation_repair.query,
 }
 #: The other queries need XXH64, suffix arrays, sampling or trained models; tests hold them against plain Python.
 SQL = {

@@ -42,6 +42,10 @@ def odd(spark, tmp_path_factory):
     vectors = spark.createDataFrame([(k, [float(k)] * 64 if k else None) for k, _ in enumerate(ODD)] + [(None, [0.5] * 64)], "vec_id bigint, embedding array<float>")
     vectors.write.parquet(f"{folder}/embeddings.parquet")
     vectors.limit(0).write.parquet(f"{folder}/empty/embeddings.parquet")
+    turns = [(k, t, role, text) for k in (*range(len(ODD) - 1), None) for t, role, text in ((None, None, None), (1, "user", "a b."), (1, "user", "a b."), (2, "", ""), (9, "tool", "x" * 5000))]
+    turns = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").withColumns({c: F.lit(1) for c in ("kind", "copy", "last", "n", "digest")})
+    turns.write.parquet(f"{folder}/conversations.parquet")
+    turns.limit(0).write.parquet(f"{folder}/empty/conversations.parquet")
     return folder
 
 
