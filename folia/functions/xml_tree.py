@@ -1,4 +1,9 @@
-"""A tolerant, linear-time reader of article XML: one row per node. A small helper for one Arrow function."""
+"""A tolerant, linear-time reader of article XML into columns: one entry per node. A small helper for one Arrow function.
+
+Besides the tree, every node gets what later lookups need, so that they are filters and joins on equal numbers: tag of its parent
+and grandparent, part of the article, level in the chain of sections, the nearest ancestor of each kind in NEAREST, and the
+place of its text, in bytes, in the document's text. All of it is of fixed size, so the output is linear in the input at any depth.
+"""
 
 from __future__ import annotations
 
@@ -21,16 +26,68 @@ def _text(raw: str) -> str:
     return unescape(raw) if "&" in raw else raw
 
 
+#: Nearest proper ancestors that a node knows: column and tag.
+NEAREST = {"sec_id": "sec", "contrib_id": "contrib", "fig_id": "fig", "wrap_id": "table-wrap", "grid_id": "table", "row_id": "tr", "para_id": "p", "ref_id": "ref", "corresp_id": "corresp"}
+_PLACE = {tag: k for k, tag in enumerate(NEAREST.values())}
+_NOWHERE = (-1,) * len(NEAREST)
+#: Parts of an article: a node's region is the nearest of them above it.
+REGIONS = frozenset(("article-meta", "journal-meta", "body", "back"))
+_FIXED = ("node_id", "parent_id", "ordinal", "depth", "sec_level", "text_from", "tag", "ns", "parent_tag", "parent_ns", "grand_tag", "region", *NEAREST)
+_LATER = ("end_id", "text_to", "text", "tail", "content")  # known when more of the document is read
+STRINGS = ("tag", "ns", "parent_tag", "parent_ns", "grand_tag", "region", "text", "tail")
+INTS = tuple(c for c in (*_FIXED, *_LATER) if c not in (*STRINGS, "content"))
+
+
+class Columns:
+    """Nodes of many documents by column; ``document_starts`` has the first node of each, ``attribute_starts`` of each node's attributes."""
+
+    def __init__(self):
+        self.fixed: list[tuple] = []
+        self.later: dict[str, list] = {name: [] for name in _LATER}
+        self.keys: list[str] = []
+        self.values: list[str] = []
+        self.attribute_starts, self.document_starts = [0], [0]
+
+    def lists(self) -> dict[str, list]:
+        fixed = map(list, zip(*self.fixed)) if self.fixed else [[] for _ in _FIXED]
+        return dict(zip(_FIXED, fixed)) | self.later
+
+    def rows(self) -> list[dict]:
+        columns = self.lists()
+        at = self.attribute_starts
+        attrs = [list(zip(self.keys[a:b], self.values[a:b])) for a, b in zip(at, at[1:])]
+        return [dict(zip((*columns, "attrs"), row)) for row in zip(*columns.values(), attrs)]
+
+
 def read(xml: str | None) -> tuple[list[dict], str | None]:
     """Nodes in document order, and the first error that had to be repaired (None for well-formed input)."""
-    nodes: list[dict] = []
+    out = Columns()
+    error = read_into(out, xml)
+    return out.rows(), error
+
+
+def read_into(out: Columns, xml: str | None) -> str | None:
+    """Adds a document's nodes to the columns and returns the first error that had to be repaired."""
+    base = len(out.fixed)
+    try:
+        return _read(out, base, xml)
+    finally:
+        out.document_starts.append(len(out.fixed))
+
+
+def _read(out: Columns, base: int, xml: str | None) -> str | None:
     if xml is None or not xml.strip():
-        return nodes, "empty document"
+        return "empty document"
+    nodes = out.fixed
+    ends, until, texts, tails, contents = (out.later[c] for c in _LATER)
+    content: list[bytes] = []  # the document's text so far
+    length = 0
     error: list[str] = []
     stack: list[int] = []
     names: list[str] = []  # names of the open elements, prefixes included
     pieces: list[str] = []
     counts: list[int] = []  # children so far, per open element
+    inner: list[tuple] = []  # nearest ancestors of the children, per open element
     last = -1  # the node that closed last below the top of the stack, which text is the tail of
 
     def fail(what: str, at: int) -> None:
@@ -38,14 +95,18 @@ def read(xml: str | None) -> tuple[list[dict], str | None]:
             error.append(f"{what} at {at}")
 
     def flush() -> None:
+        nonlocal length
         if pieces:
             text = "".join(pieces)
             pieces.clear()
             if stack:
+                raw = text.encode("utf-8", "replace")
+                content.append(raw)
+                length += len(raw)
                 if last >= 0:
-                    nodes[last]["tail"] += text
+                    tails[base + last] += text
                 else:
-                    nodes[stack[-1]]["text"] += text
+                    texts[base + stack[-1]] += text
             elif text.strip():
                 fail("text outside the root", 0)
 
@@ -55,7 +116,9 @@ def read(xml: str | None) -> tuple[list[dict], str | None]:
         k = stack.pop()
         names.pop()
         counts.pop()
-        nodes[k]["end_id"] = len(nodes) - 1
+        inner.pop()
+        ends[base + k] = len(nodes) - base - 1
+        until[base + k] = length
         last = k
 
     at = subset = 0
@@ -105,29 +168,44 @@ def read(xml: str | None) -> tuple[list[dict], str | None]:
         flush()
         rest = m[4]
         empty = rest.endswith("/")
-        if not stack and nodes:
+        if not stack and len(nodes) > base:
             fail("second root", m.start())
-        attributes = {local_name(a): _text(b or c or "") for a, b, c in _ATTRIBUTE.findall(rest)} if rest else {}
+        if rest:
+            attributes = {local_name(a): _text(b or c or "") for a, b, c in _ATTRIBUTE.findall(rest)}
+            out.keys += attributes
+            out.values += attributes.values()
+        out.attribute_starts.append(len(out.keys))
         parent = stack[-1] if stack else -1
         ordinal = counts[-1] if counts else 0
         if counts:
             counts[-1] += 1
         prefix, _, tag = name.rpartition(":")
-        path = (nodes[parent]["path"] if stack else "") + "/" + tag
-        nodes.append({"path": path, "node_id": len(nodes), "parent_id": parent, "ordinal": ordinal, "depth": len(stack), "tag": tag, "ns": prefix,
-            "attrs": list(attributes.items()), "text": "", "tail": "", "end_id": len(nodes)})
-        k = len(nodes) - 1
+        k = len(nodes) - base
+        above, above_ns, grand, region, level, near = "", "", "", "", 0, _NOWHERE
+        if stack:
+            _, _, _, _, level, _, above, above_ns, grand, _, _, region, *_ = nodes[base + parent]
+            region = above if above in REGIONS else region
+            near = inner[-1]
+        level = level if above == "sec" else 0
+        if tag == "sec" and (above == "body" or level):
+            level += 1
+        nodes.append((k, parent, ordinal, len(stack), level, length, tag, prefix, above, above_ns, grand, region, *near))
+        for column, value in ((ends, k), (until, length), (texts, ""), (tails, ""), (contents, None)):
+            column.append(value)
         if empty:
             last = k
         else:
             stack.append(k)
             names.append(name)
             counts.append(0)
+            inner.append((*near[: _PLACE[tag]], k, *near[_PLACE[tag] + 1 :]) if tag in _PLACE else near)
             last = -1
     if stack:
         fail(f"{names[-1]} is not closed", len(xml))
     while stack:
         close()
-    if not nodes:
+    if len(nodes) == base:
         fail("no element", 0)
-    return nodes, error[0] if error else None
+    else:
+        contents[base] = b"".join(content)
+    return error[0] if error else None

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folia.functions.text import clean_whitespace, strip, strip_ref_number
-from folia.operators.nodes import inline_html, tops
+from folia.functions.xml_tree import NEAREST
+from folia.operators.nodes import contents, enclosed, inline_html
 
 TITLE = "Section "
 
@@ -17,29 +18,26 @@ def attr(name: str) -> Column:
 
 
 def subtree_text(nodes: DataFrame, where: Column) -> DataFrame:
-    """doc_id, top_id, parent_id, tag, path, attrs, text of the nodes that meet the condition: all text below them, white space cleaned."""
+    """doc_id, top_id, parent_id, tag, parent_tag, region, nearest ancestors, attrs, text of the nodes that meet the condition: all text below them, white space cleaned."""
     chosen = nodes.where(where)
-    # A node without children is its own text: only the others are joined with what is below them.
-    alone = chosen.where("end_id = node_id").select("doc_id", F.col("node_id").alias("top_id"), F.col("text").alias("all"))
-    wide = nodes.join(tops(chosen.where("end_id > node_id")), "doc_id").where("node_id >= top_id and node_id <= top_end")
-    after = F.when(F.col("node_id") == F.col("top_id"), "").otherwise(F.col("tail"))
-    parts = F.array(
-        F.struct(F.col("node_id").alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("deep"), F.col("text").alias("s")),
-        F.struct(F.col("end_id").alias("at"), F.lit(1).alias("turn"), (-F.col("depth")).alias("deep"), after.alias("s")),
-    )
-    rows = wide.select("doc_id", "top_id", F.inline(parts)).where("s <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "turn", "deep", "s"))), lambda x: x["s"]), "")
-    texts = rows.groupBy("doc_id", "top_id").agg(joined.alias("all")).unionByName(alone)
-    out = chosen.select("doc_id", F.col("node_id").alias("top_id"), "parent_id", "tag", "path", "attrs").join(texts, ["doc_id", "top_id"], "left")
-    return out.withColumn("text", clean_whitespace(F.col("all"))).drop("all")
+    kept = ["doc_id", F.col("node_id").alias("top_id"), "parent_id", "tag", "parent_tag", "region", *NEAREST, "attrs"]
+    # A node without children is its own text; the others cut theirs from the document's.
+    alone = chosen.where("end_id = node_id").select(*kept, "text")
+    cut = F.substring("content", F.col("text_from") + 1, F.col("text_to") - F.col("text_from")).cast("string")
+    wide = chosen.where("end_id > node_id").drop("content").join(contents(nodes), "doc_id").select(*kept, cut.alias("text"))
+    return alone.unionByName(wide).withColumn("text", clean_whitespace(F.coalesce("text", F.lit(""))))
 
 
 def first(value: Column, at: Column, where: Column) -> Column:
     return F.min_by(F.when(where, value), F.when(where, at))
 
 
-def under(path: str) -> Column:
-    return F.col("path").rlike(path)
+def is_in(tags: str, parent: str | None = None, region: str | None = None, grand: str | None = None) -> Column:
+    """The element is one of the tags, and its parent, grandparent and part of the article are as named."""
+    out = F.col("tag").isin(*tags.split())
+    for column, value in (("parent_tag", parent), ("region", region), ("grand_tag", grand)):
+        out = out & (F.col(column) == value) if value else out
+    return out
 
 
 #: Field of the article record and the elements that hold it, as (part of the front, element); of several, the first that is there.
@@ -60,75 +58,76 @@ HEADER = {
 def articles(nodes: DataFrame) -> DataFrame:
     """One row per document with its header fields, '' where missing."""
     tags = sorted({t for places in HEADER.values() for _, t in places})
-    texts = subtree_text(nodes, under("/(article-meta|journal-meta)/") & F.col("tag").isin(*tags) & ((F.col("tag") != "article-id") | (attr("pub-id-type") == "doi")))
-    place = lambda part, tag: (F.col("tag") == tag) & under(f"/{part}/")
+    texts = subtree_text(nodes, F.col("region").isin("article-meta", "journal-meta") & F.col("tag").isin(*tags) & ((F.col("tag") != "article-id") | (attr("pub-id-type") == "doi")))
+    place = lambda part, tag: is_in(tag, region=part)
     fields = [F.coalesce(*[first(F.col("text"), F.col("top_id"), place(*p)) for p in places], F.lit("")).alias(name) for name, places in HEADER.items()]
     have = texts.groupBy("doc_id").agg(*fields)
     return nodes.select("doc_id").distinct().join(have, "doc_id", "left").fillna("", list(HEADER))
 
 
-def _dates(nodes: DataFrame, holder: str) -> DataFrame:
-    parts = subtree_text(nodes, under(f"{holder}/(day|month|year)$"))
+def _dates(nodes: DataFrame, holder: str, region: str | None = None, grand: str | None = None) -> DataFrame:
+    parts = subtree_text(nodes, is_in("day month year", holder, region, grand))
     one = [first(F.col("text"), F.col("top_id"), (F.col("tag") == t) & (F.col("text") != "")).alias(t) for t in ("day", "month", "year")]
     return parts.groupBy("doc_id", "parent_id").agg(*one)
 
 
 def pub_date(nodes: DataFrame) -> DataFrame:
     """doc_id, pub_date: of the first date that has a year, with month and day as far as they are known."""
-    dates = _dates(nodes, "article-meta(/.*)?/pub-date").where("year is not null")
+    dates = _dates(nodes, "pub-date", region="article-meta").where("year is not null")
     day = F.when(F.col("month").isNotNull(), F.col("day"))
     return dates.groupBy("doc_id").agg(F.min_by(F.concat_ws("/", day, "month", "year"), "parent_id").alias("pub_date"))
 
 
 def history_dates(nodes: DataFrame) -> DataFrame:
     """doc_id, date_type, day, month, year of every date of the history."""
-    kinds = nodes.where(under("history/date$")).select("doc_id", F.col("node_id").alias("parent_id"), attr("date-type").alias("date_type"))
-    return kinds.join(_dates(nodes, "history/date"), ["doc_id", "parent_id"]).select("doc_id", "date_type", "day", "month", "year")
+    kinds = nodes.where(is_in("date", "history")).select("doc_id", F.col("node_id").alias("parent_id"), attr("date-type").alias("date_type"))
+    return kinds.join(_dates(nodes, "date", grand="history"), ["doc_id", "parent_id"]).select("doc_id", "date_type", "day", "month", "year")
 
 
 def keywords(nodes: DataFrame) -> DataFrame:
     """doc_id, pos, lang, keyword in order; blank ones left out."""
     groups = nodes.where(F.col("tag") == "kwd-group").select("doc_id", F.col("node_id").alias("parent_id"), attr("lang").alias("lang"))
-    texts = subtree_text(nodes, under("article-meta(/.*)?/kwd-group/kwd$")).where("text <> ''").join(groups, ["doc_id", "parent_id"])
+    texts = subtree_text(nodes, is_in("kwd", "kwd-group", "article-meta")).where("text <> ''").join(groups, ["doc_id", "parent_id"])
     return texts.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("top_id")).alias("pos"), "lang", F.col("text").alias("keyword"))
 
 
 def contributors(nodes: DataFrame) -> DataFrame:
-    """doc_id, author (node), author_end, attrs of the authors' contrib elements."""
-    return nodes.where(under("article-meta(/.*)?/contrib-group/contrib$") & (attr("contrib-type") == "author")).select("doc_id",
-        F.col("node_id").alias("author"), F.col("end_id").alias("author_end"), F.col("attrs").alias("author_attrs"))
+    """The authors' contrib elements, whole rows of nodes."""
+    return nodes.where(is_in("contrib", "contrib-group", "article-meta") & (attr("contrib-type") == "author"))
 
 
-def _inside(rows: DataFrame, authors: DataFrame, at: str) -> DataFrame:
-    return rows.join(authors, "doc_id").where((F.col(at) > F.col("author")) & (F.col(at) <= F.col("author_end")))
+def _inside(rows: DataFrame, nodes: DataFrame, authors: DataFrame, at: str) -> DataFrame:
+    return enclosed(rows, nodes, authors, "contrib_id", at=at).withColumnRenamed("top_id", "author")
 
 
 def author_affiliations(nodes: DataFrame) -> DataFrame:
     """doc_id, author, pos, affiliation: those that an author refers to, in order, else the first one inside the author's element."""
-    authors = contributors(nodes).drop("author_attrs")
-    texts = subtree_text(nodes, under("article-meta(/.*)?/aff$")).select("doc_id", "top_id", F.col("attrs")["id"].alias("id"), "text")
-    named = texts.where("id <> ''").groupBy("doc_id", "id").agg(F.max_by("text", "top_id").alias("affiliation"))
-    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "aff")).select("doc_id", F.col("node_id").alias("at"),
-        F.col("attrs")["rid"].alias("id")), authors, "at")
+    authors = contributors(nodes)
+    texts = subtree_text(nodes, is_in("aff", region="article-meta")).select("doc_id", F.col("top_id").alias("at"), "tag", "contrib_id", F.col("attrs")["id"].alias("id"), "text")
+    named = texts.where("id <> ''").groupBy("doc_id", "id").agg(F.max_by("text", "at").alias("affiliation"))
+    refs = _inside(_references_to(nodes, "aff"), nodes, authors, "at")
     hits = refs.join(named, ["doc_id", "id"]).select("doc_id", "author", "at", "affiliation")
-    own = _inside(texts.select("doc_id", F.col("top_id").alias("at"), "text"), authors, "at").join(hits.select("doc_id", "author"), ["doc_id", "author"], "left_anti")
+    own = _inside(texts, nodes, authors, "at").join(hits.select("doc_id", "author"), ["doc_id", "author"], "left_anti")
     own = own.groupBy("doc_id", "author").agg(F.min("at").alias("at"), F.min_by("text", "at").alias("affiliation")).where("affiliation <> ''")
     every = hits.unionByName(own)
     return every.select("doc_id", "author", F.row_number().over(W.partitionBy("doc_id", "author").orderBy("at")).alias("pos"), "affiliation")
 
 
+def _references_to(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(is_in("xref") & (attr("ref-type") == kind)).select("doc_id", F.col("node_id").alias("at"), "tag", "contrib_id", F.col("attrs")["rid"].alias("id"))
+
+
 def author_emails(nodes: DataFrame) -> DataFrame:
     """doc_id, author, pos, email: the author's own, then those of the correspondence notes referred to, each once."""
-    authors = contributors(nodes).drop("author_attrs")
-    texts = subtree_text(nodes, (F.col("tag") == "email") | under("author-notes/corresp$"))
-    emails = texts.where("tag = 'email' and text <> ''").select("doc_id", F.col("top_id").alias("at"), "text")
-    own = _inside(emails, authors, "at").select("doc_id", "author", F.lit(0).alias("turn"), "at", "text")
-    notes = nodes.where(under("author-notes/corresp$")).select("doc_id", F.col("node_id").alias("note"), F.col("end_id").alias("note_end"), F.col("attrs")["id"].alias("id"))
-    inner = notes.join(emails, "doc_id").where("at > note and at <= note_end").groupBy("doc_id", "note").agg(F.min_by("text", "at").alias("inner"))
+    authors, corresp = contributors(nodes), is_in("corresp", "author-notes")
+    texts = subtree_text(nodes, is_in("email") | corresp)
+    emails = texts.where("tag = 'email' and text <> ''").select("doc_id", F.col("top_id").alias("at"), "tag", "contrib_id", "corresp_id", "text")
+    own = _inside(emails, nodes, authors, "at").select("doc_id", "author", F.lit(0).alias("turn"), "at", "text")
+    notes = nodes.where(corresp).select("doc_id", F.col("node_id").alias("note"), F.col("attrs")["id"].alias("id"))
+    inner = enclosed(emails, nodes, nodes.where(corresp), "corresp_id", at="at").groupBy("doc_id", F.col("top_id").alias("note")).agg(F.min_by("text", "at").alias("inner"))
     whole = texts.where("tag = 'corresp'").select("doc_id", F.col("top_id").alias("note"), F.col("text").alias("whole"))
     values = notes.join(whole, ["doc_id", "note"]).join(inner, ["doc_id", "note"], "left").select("doc_id", "id", F.coalesce("inner", "whole").alias("text")).where("text <> ''")
-    refs = _inside(nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp")).select("doc_id", F.col("node_id").alias("at"),
-        F.col("attrs")["rid"].alias("id")), authors, "at")
+    refs = _inside(_references_to(nodes, "corresp"), nodes, authors, "at")
     noted = refs.join(values, ["doc_id", "id"]).select("doc_id", "author", F.lit(1).alias("turn"), "at", "text")
     # Own addresses stay as they are; a note's is added only if it is not there yet.
     w = W.partitionBy("doc_id", "author", "text").orderBy("turn", "at")
@@ -139,15 +138,14 @@ def author_emails(nodes: DataFrame) -> DataFrame:
 def authors(nodes: DataFrame) -> DataFrame:
     """doc_id, author, pos, full, orcid, corresponding, affiliations, emails; nameless authors are left out."""
     people = contributors(nodes)
-    child = under("contrib/(name/surname|name/given-names|collab)$") | ((F.col("tag") == "contrib-id") & (attr("contrib-id-type") == "orcid"))
-    texts = subtree_text(nodes, child).select("doc_id", F.col("top_id").alias("at"), "tag", "text")
-    refs = nodes.where((F.col("tag") == "xref") & (attr("ref-type") == "corresp") & (attr("rid") != "")).select("doc_id",
-        F.col("node_id").alias("at"), F.lit("xref").alias("tag"), F.lit("").alias("text"))
-    inner = _inside(texts.unionByName(refs), people, "at")
+    child = is_in("surname given-names", "name", grand="contrib") | is_in("collab", "contrib") | (is_in("contrib-id") & (attr("contrib-id-type") == "orcid"))
+    texts = subtree_text(nodes, child).select("doc_id", F.col("top_id").alias("at"), "tag", "contrib_id", "text")
+    refs = _references_to(nodes, "corresp").where("id <> ''").select("doc_id", "at", "tag", "contrib_id", F.lit("").alias("text"))
+    inner = _inside(texts.unionByName(refs), nodes, people, "at")
     part = lambda t: F.coalesce(first(F.col("text"), F.col("at"), (F.col("tag") == t) & (F.col("text") != "")), F.lit(""))
     names = inner.groupBy("doc_id", "author").agg(part("surname").alias("surname"), part("given-names").alias("given"),
         part("collab").alias("collab"), part("contrib-id").alias("orcid"), F.bool_or(F.col("tag") == "xref").alias("noted"))
-    out = people.join(names, ["doc_id", "author"])
+    out = people.select("doc_id", F.col("node_id").alias("author"), F.col("attrs").alias("author_attrs")).join(names, ["doc_id", "author"])
     full = F.coalesce(F.nullif("collab", F.lit("")), F.concat_ws(" ", F.nullif("given", F.lit("")), F.nullif("surname", F.lit(""))))
     # Any non-empty corresp attribute marks an author, "no" included.
     corresponding = (F.coalesce(F.col("author_attrs")["corresp"], F.lit("")) != "") | F.coalesce("noted", F.lit(False))
@@ -159,32 +157,31 @@ def authors(nodes: DataFrame) -> DataFrame:
     return out.withColumn("pos", F.row_number().over(W.partitionBy("doc_id").orderBy("author")))
 
 
-def inline_of(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, top_id, html of the content of the chosen nodes (rows of nodes)."""
-    inside = nodes.join(tops(chosen), "doc_id").where("node_id >= top_id and node_id <= top_end")
-    return inline_html(inside, "doc_id")
+def inline_of(nodes: DataFrame, chosen: DataFrame, kind: str = "para_id") -> DataFrame:
+    """doc_id, top_id, html of the content of the chosen nodes (rows of nodes), which are looked up by their nearest element of the kind."""
+    return inline_html(enclosed(nodes.drop("content"), nodes, chosen, kind), "doc_id")
 
 
 def abstract_paragraphs(nodes: DataFrame) -> DataFrame:
-    html = inline_of(nodes, nodes.where(under("article-meta(/.*)?/abstract/p$"))).where("html <> ''")
+    html = inline_of(nodes, nodes.where(is_in("p", "abstract", "article-meta"))).where("html <> ''")
     return html.select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("top_id")).alias("pos"), "html")
 
 
 def sections(nodes: DataFrame) -> DataFrame:
-    """doc_id, node_id, end_id, parent_id, depth, idx (among its siblings), id, label, title, paragraphs."""
-    secs = nodes.where(under("/body(/sec)+$"))
+    """doc_id, node_id, end_id, parent_id, depth, sec_level, idx (among its siblings), id, label, title, paragraphs."""
+    secs = nodes.where(is_in("sec") & (F.col("sec_level") > 0))
     idx = F.row_number().over(W.partitionBy("doc_id", "parent_id").orderBy("node_id"))
-    secs = secs.select("doc_id", "node_id", "end_id", "parent_id", "depth", F.col("attrs")["id"].alias("given"), idx.alias("idx"))
-    heads = subtree_text(nodes, under("/body(/sec)+/(label|title)$")).where("text <> ''")
+    secs = secs.select("doc_id", "node_id", "end_id", "parent_id", "depth", "sec_level", F.col("attrs")["id"].alias("given"), idx.alias("idx"))
+    heads = subtree_text(nodes, is_in("label title", "sec") & (F.col("sec_level") > 0)).where("text <> ''")
     heads = heads.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(first(F.col("text"), F.col("top_id"),
         F.col("tag") == "label").alias("label"), first(F.col("text"), F.col("top_id"), F.col("tag") == "title").alias("title"))
-    paras = nodes.where(under("/body(/sec)+/p$"))
+    paras = nodes.where(is_in("p", "sec") & (F.col("sec_level") > 0))
     html = inline_of(nodes, paras).where("html <> ''").join(paras.select("doc_id", F.col("node_id").alias("top_id"), F.col("parent_id").alias("sec")), ["doc_id", "top_id"])
     html = html.groupBy("doc_id", F.col("sec").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("top_id", "html"))), lambda x: x["html"]).alias("paragraphs"))
     out = secs.join(heads, ["doc_id", "node_id"], "left").join(html, ["doc_id", "node_id"], "left")
     idx_text = F.col("idx").cast("string")
     return out.select(
-        "doc_id", "node_id", "end_id", "parent_id", "depth", "idx", F.coalesce(F.nullif("given", F.lit("")), F.concat(F.lit("sec-"), idx_text)).alias("id"),
+        "doc_id", "node_id", "end_id", "parent_id", "depth", "sec_level", "idx", F.coalesce(F.nullif("given", F.lit("")), F.concat(F.lit("sec-"), idx_text)).alias("id"),
         F.coalesce("label", F.lit("")).alias("label"), F.coalesce("title", F.concat(F.lit(TITLE), idx_text)).alias("title"),
             F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"),
     )
@@ -192,20 +189,21 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 def section_toc(secs: DataFrame) -> DataFrame:
     """doc_id, node_id, level, number (dotted), id, shown (label or number), title."""
-    up = secs.select("doc_id", F.col("node_id").alias("up"), F.col("end_id").alias("up_end"), F.col("depth").alias("up_depth"), F.col("idx").alias("up_idx"))
-    chain = secs.join(up, "doc_id").where("node_id >= up and node_id <= up_end").groupBy("doc_id",
-        "node_id").agg(F.array_sort(F.collect_list(F.struct("up_depth", "up_idx"))).alias("chain"))
+    # Sections only, with those above them: few rows a document.
+    up = secs.select("doc_id", F.col("node_id").alias("up"), F.col("end_id").alias("up_end"), F.col("sec_level").alias("up_level"), F.col("idx").alias("up_idx"))
+    chain = secs.select("doc_id", "node_id").join(up, "doc_id").where("node_id >= up and node_id <= up_end").groupBy("doc_id",
+        "node_id").agg(F.array_sort(F.collect_list(F.struct("up_level", "up_idx"))).alias("chain"))
     number = F.array_join(F.transform("chain", lambda x: x["up_idx"].cast("string")), ".")
     out = secs.join(chain, ["doc_id", "node_id"])
-    return out.select("doc_id", "node_id", F.size("chain").alias("level"), number.alias("number"), "id", F.coalesce(F.nullif("label", F.lit("")), number).alias("shown"), "title")
+    return out.select("doc_id", "node_id", F.col("sec_level").alias("level"), number.alias("number"), "id", F.coalesce(F.nullif("label", F.lit("")), number).alias("shown"), "title")
 
 
 def _media(nodes: DataFrame, tag: str, fallback: str) -> DataFrame:
     """doc_id, node_id, end_id, pos, id, label, caption of the elements of a tag in the body."""
-    items = nodes.where(under(f"/body/(.*/)?{tag}$"))
+    items = nodes.where(is_in(tag, region="body"))
     pos = F.row_number().over(W.partitionBy("doc_id").orderBy("node_id"))
     items = items.select("doc_id", "node_id", "end_id", pos.alias("pos"), F.col("attrs")["id"].alias("given"))
-    heads = subtree_text(nodes, under(f"/{tag}/(label|caption)$")).groupBy("doc_id", F.col("parent_id").alias("node_id"))
+    heads = subtree_text(nodes, is_in("label caption", tag)).groupBy("doc_id", F.col("parent_id").alias("node_id"))
     heads = heads.agg(first(F.col("text"), F.col("top_id"), F.col("tag") == "label").alias("label"),
         first(F.col("text"), F.col("top_id"), F.col("tag") == "caption").alias("caption"))
     out = items.join(heads, ["doc_id", "node_id"], "left").fillna("", ["label", "caption"])
@@ -215,9 +213,9 @@ def _media(nodes: DataFrame, tag: str, fallback: str) -> DataFrame:
 def figures(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id, pos, id, label, caption, href."""
     items = _media(nodes, "fig", "fig-")
-    pictures = nodes.where(F.col("tag") == "graphic").select("doc_id", F.col("node_id").alias("at"), attr("href").alias("href"))
-    first_one = items.select("doc_id", "node_id", "end_id").join(pictures, "doc_id").where("at > node_id and at <= end_id").groupBy("doc_id",
-        "node_id").agg(F.min_by("href", "at").alias("href"))
+    pictures = nodes.where(is_in("graphic")).select("doc_id", "node_id", "tag", "fig_id", attr("href").alias("href"))
+    first_one = enclosed(pictures, nodes, nodes.where(is_in("fig", region="body")), "fig_id").groupBy("doc_id",
+        F.col("top_id").alias("first")).agg(F.min_by("href", "node_id").alias("href")).withColumnRenamed("first", "node_id")
     return items.join(first_one, ["doc_id", "node_id"], "left").fillna("", ["href"]).drop("end_id")
 
 
@@ -227,13 +225,15 @@ def tables(nodes: DataFrame) -> DataFrame:
 
 def table_cells(nodes: DataFrame) -> DataFrame:
     """doc_id, node_id (of the table-wrap), row_no, cell_pos (headers first), doc_pos, text; rows without cells are left out."""
-    wraps = _media(nodes, "table-wrap", "table-").select("doc_id", "node_id", "end_id")
-    grids = nodes.where(F.col("tag") == "table").select("doc_id", F.col("node_id").alias("grid"), F.col("end_id").alias("grid_end"))
-    grid = wraps.join(grids, "doc_id").where("grid > node_id and grid <= end_id").groupBy("doc_id", "node_id").agg(F.min_by(F.struct("grid", "grid_end"), "grid").alias("g"))
-    rows = nodes.where(F.col("tag") == "tr").select("doc_id", F.col("node_id").alias("tr"), F.col("end_id").alias("tr_end"))
-    rows = grid.join(rows, "doc_id").where("tr > g.grid and tr <= g.grid_end").select("doc_id", "node_id", "tr", "tr_end")
-    cells = subtree_text(nodes, F.col("tag").isin("th", "td") & under("/table/")).select("doc_id", "top_id", "tag", "text")
-    found = rows.join(cells, "doc_id").where("top_id > tr and top_id <= tr_end")
+    wraps = nodes.where(is_in("table-wrap", region="body"))
+    grids = nodes.where(is_in("table"))
+    grid = enclosed(grids.select("doc_id", "node_id", "tag", "wrap_id"), nodes, wraps, "wrap_id").groupBy("doc_id", "top_id").agg(F.min("node_id").alias("grid"))
+    first_grids = grids.join(grid.select("doc_id", F.col("grid").alias("node_id")), ["doc_id", "node_id"], "left_semi")
+    lines = nodes.where(is_in("tr"))
+    rows = enclosed(lines.select("doc_id", "node_id", "tag", "grid_id"), nodes, first_grids, "grid_id").select("doc_id", F.col("node_id").alias("tr"), F.col("top_id").alias("grid"))
+    rows = rows.join(grid.withColumnRenamed("top_id", "node_id"), ["doc_id", "grid"])
+    cells = subtree_text(nodes, is_in("th td") & (F.col("grid_id") >= 0)).select("doc_id", F.col("top_id").alias("at"), "tag", "row_id", "text")
+    found = rows.join(enclosed(cells, nodes, lines, "row_id", at="at").withColumnRenamed("top_id", "tr"), ["doc_id", "tr"]).withColumnRenamed("at", "top_id")
     w = W.partitionBy("doc_id", "node_id", "tr")
     return found.select(
         "doc_id", "node_id", F.dense_rank().over(W.partitionBy("doc_id", "node_id").orderBy("tr")).alias("row_no"),
@@ -243,17 +243,17 @@ def table_cells(nodes: DataFrame) -> DataFrame:
 
 def references(nodes: DataFrame) -> DataFrame:
     """doc_id, pos, id, label, html: the citation's content, else the whole reference, without a repeated number."""
-    refs = nodes.where(under("/back/(.*/)?ref-list/ref$"))
+    refs = nodes.where(is_in("ref", "ref-list", "back"))
     pos = F.row_number().over(W.partitionBy("doc_id").orderBy("node_id"))
     items = refs.select("doc_id", "node_id", pos.alias("pos"), attr("id").alias("id"))
-    labels = subtree_text(nodes, under("/ref-list/ref/label$")).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("text", "top_id").alias("label"))
-    inner = nodes.where(under("/ref-list/ref/(mixed-citation|element-citation)$"))
+    labels = subtree_text(nodes, is_in("label", "ref", grand="ref-list")).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("text", "top_id").alias("label"))
+    inner = nodes.where(is_in("mixed-citation element-citation", "ref", grand="ref-list"))
     best = inner.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.min_by("node_id", F.struct(F.col("tag") != "mixed-citation", "node_id")).alias("cite"))
     chosen = items.join(best, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("cite", "node_id").alias("top_id"))
     targets = nodes.join(chosen.select("doc_id", F.col("top_id").alias("node_id")), ["doc_id", "node_id"], "left_semi")
     # A whole reference is taken without its label, which has a column of its own.
-    unlabelled = nodes.withColumn("text", F.when(under("/ref-list/ref/label$"), "").otherwise(F.col("text")))
-    html = chosen.join(inline_of(unlabelled, targets), ["doc_id", "top_id"], "left").select("doc_id", "node_id", "html")
+    unlabelled = nodes.withColumn("text", F.when(is_in("label", "ref", grand="ref-list"), "").otherwise(F.col("text")))
+    html = chosen.join(inline_of(unlabelled, targets, "ref_id"), ["doc_id", "top_id"], "left").select("doc_id", "node_id", "html")
     out = items.join(labels, ["doc_id", "node_id"], "left").join(html, ["doc_id", "node_id"], "left").fillna("", ["label", "html"])
     number = F.coalesce(F.nullif("label", F.lit("")), F.col("pos").cast("string"))
     return out.select("doc_id", "pos", "id", "label", strip_ref_number(strip(F.col("html")), number).alias("html"))

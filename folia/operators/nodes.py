@@ -1,7 +1,8 @@
 """Article XML as a table of nodes, and back.
 
 node_id is the place in document order and end_id the last descendant, so that "d is below a" is a range
-test within one document. ``path`` holds the tags from the root down, so that most lookups need no join.
+test within one document. Every node carries its nearest ancestors of the kinds that are asked for (``NEAREST``), so that "inside
+a section" or "inside an author" is a join on equal numbers; a subtree's text is a slice of the root's ``content``.
 """
 
 from __future__ import annotations
@@ -9,44 +10,96 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from folia.functions.text import escape_html, escape_xml
-from folia.functions.xml_tree import read
+from folia.functions.xml_tree import INTS, NEAREST, STRINGS, Columns, read_into
 
-_INT, _STRING = T.IntegerType(), T.StringType()
-NODE = T.StructType([T.StructField(n, t) for n, t in (("node_id", _INT), ("parent_id", _INT), ("ordinal", _INT), ("depth", _INT), ("tag", _STRING),
-    ("ns", _STRING), ("attrs", T.MapType(_STRING, _STRING)), ("text", _STRING), ("tail", _STRING), ("end_id", _INT), ("path", _STRING))])
-PARSED = T.StructType([T.StructField("nodes", T.ArrayType(NODE)), T.StructField("error", _STRING)])
-_ARROW = pa.struct([("node_id", pa.int32()), ("parent_id", pa.int32()), ("ordinal", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()),
-    ("ns", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("tail", pa.string()), ("end_id", pa.int32()), ("path", pa.string())])
-_RESULT = pa.struct([("nodes", pa.list_(_ARROW)), ("error", pa.string())])
+_SLICE = 2_000_000  # characters of XML that become one batch of nodes
+_KINDS = {n: ("int", pa.int32()) for n in INTS} | {n: ("string", pa.string()) for n in STRINGS} | {"content": ("binary", pa.binary())}
+_KINDS |= {"attrs": ("map<string,string>", pa.map_(pa.string(), pa.string())), "parse_error": ("string", pa.string())}
 
 
-@arrow_udf(PARSED)
-def parse_xml(xml: pa.Array) -> pa.Array:
-    parsed = [dict(zip(("nodes", "error"), read(x), strict=True)) for x in xml.to_pylist()]
-    return pa.array(parsed, _RESULT)
+@arrow_udf(StringType())
+def xml_error(xml: pa.Array) -> pa.Array:
+    return pa.array([read_into(Columns(), x) for x in xml.to_pylist()], pa.string())
 
 
 def parsed(df: DataFrame, column: str = "xml") -> DataFrame:
-    """df with nodes, parse_ok, parse_error."""
-    out = df.withColumn("_p", parse_xml(F.col(column)))
-    return out.select(*df.columns, F.col("_p.nodes").alias("nodes"), F.col("_p.error").isNull().alias("parse_ok"), F.col("_p.error").alias("parse_error"))
+    """df with parse_ok, parse_error."""
+    out = df.withColumn("parse_error", xml_error(F.col(column)))
+    return out.withColumn("parse_ok", F.col("parse_error").isNull())
+
+
+def _arrays(out: Columns) -> list[pa.Array]:
+    lists = out.lists()
+    attrs = pa.MapArray.from_arrays(pa.array(out.attribute_starts, pa.int32()), pa.array(out.keys, pa.string()), pa.array(out.values, pa.string()))
+    return [attrs if n == "attrs" else pa.array(lists[n], kind) for n, (_, kind) in _KINDS.items() if n != "parse_error"]
+
+
+def node_rows(df: DataFrame, column: str = "xml", *keys: str) -> DataFrame:
+    """node_table with ``parse_error`` in the first row of a document; a document without any node has one row, its node_id is -1.
+
+    Nodes leave Python as flat columns, a few megabytes of documents at a time.
+    """
+    keys = list(keys or ("doc_id",))
+
+    def batch(rows: pa.RecordBatch, out: Columns, errors: list) -> pa.RecordBatch:
+        starts = out.document_starts
+        of = pa.array([k for k, (a, b) in enumerate(zip(starts, starts[1:])) for _ in range(b - a)], pa.int32())
+        first = [None] * starts[-1]
+        for a, b, error in zip(starts, starts[1:], errors):
+            if b > a:
+                first[a] = error
+        full = [*(rows.column(k).take(of) for k in range(len(keys))), *_arrays(out), pa.array(first, pa.string())]
+        bare = [k for k, (a, b) in enumerate(zip(starts, starts[1:])) if a == b]
+        if bare:
+            none = [pa.array([-1] * len(bare), kind) if n == "node_id" else pa.array([errors[k] for k in bare], kind) if n == "parse_error" else pa.nulls(len(bare), kind) for n, (_, kind) in _KINDS.items()]
+            full = [pa.concat_arrays([a, b]) for a, b in zip(full, [*(rows.column(k).take(pa.array(bare)) for k in range(len(keys))), *none])]
+        return pa.RecordBatch.from_arrays(full, [*keys, *_KINDS])
+
+    def run(batches):
+        for rows in batches:
+            xml = rows.column(len(keys)).to_pylist()
+            start = 0
+            while start < len(xml):
+                out, errors, end, size = Columns(), [], start, 0
+                while end < len(xml) and (end == start or size + len(xml[end] or "") <= _SLICE):
+                    errors.append(read_into(out, xml[end]))
+                    size, end = size + len(xml[end] or ""), end + 1
+                yield batch(rows.slice(start, end - start), out, errors)
+                start = end
+
+    columns = df.select(*keys, column)
+    schema = ", ".join([*(f"`{k}` {columns.schema[k].dataType.simpleString()}" for k in keys), *(f"{n} {kind}" for n, (kind, _) in _KINDS.items())])
+    return columns.mapInArrow(run, schema)
 
 
 def node_table(df: DataFrame, column: str = "xml", *keys: str) -> DataFrame:
     """One row per node of df's documents, with the key columns (doc_id unless named)."""
-    keys = keys or ("doc_id",)
-    return parsed(df.select(*keys, column), column).select(*keys, F.inline("nodes"))
+    return node_rows(df, column, *keys).where("node_id >= 0").drop("parse_error")
 
 
-def below(nodes: DataFrame, tops: DataFrame, *keys: str, itself: bool = True) -> DataFrame:
-    """Rows of nodes inside the subtrees of tops (keys, top_id, top_end). Both sides meet on the document's key; narrow both first."""
-    keys = keys or ("doc_id",)
-    first = F.col("node_id") >= F.col("top_id") if itself else F.col("node_id") > F.col("top_id")
-    return nodes.join(tops, list(keys)).where(first & (F.col("node_id") <= F.col("top_end")))
+def enclosed(rows: DataFrame, nodes: DataFrame, chosen: DataFrame, kind: str, *keys: str, at: str = "node_id") -> DataFrame:
+    """rows (at, tag and the kind's column among others) with top_id of every chosen node that they are in or that they are.
+
+    Both sides meet on the document and the nearest element of the kind, so the pairs are linear in the document. Only elements of
+    the kind inside another one are looked up by range, to add what lies deeper.
+    """
+    keys = list(keys or ("doc_id",))
+    own = F.when(F.col("tag") == NEAREST[kind], F.col(at)).otherwise(F.col(kind))
+    here = F.when(F.col("tag") == NEAREST[kind], F.col("node_id")).otherwise(F.col(kind))
+    tops = chosen.select(*keys, F.col("node_id").alias("top_id"), F.col("end_id").alias("top_end"), here.alias("anchor"))
+    nested = nodes.where((F.col("tag") == NEAREST[kind]) & (F.col(kind) >= 0)).select(*keys, F.col("node_id").alias("anchor"))
+    deep = nested.join(tops.drop("anchor"), keys).where("anchor > top_id and anchor <= top_end").select(tops.columns)
+    both = rows.withColumn("anchor", own).join(tops.unionByName(deep), [*keys, "anchor"])
+    return both.where((F.col(at) >= F.col("top_id")) & (F.col(at) <= F.col("top_end"))).drop("anchor", "top_end")
+
+
+def contents(nodes: DataFrame, *keys: str) -> DataFrame:
+    """keys, content: the text of every document, which a node's text_from and text_to cut (bytes)."""
+    return nodes.where("node_id = 0").select(*(keys or ("doc_id",)), "content")
 
 
 def tops(nodes: DataFrame, *keys: str) -> DataFrame:
@@ -114,6 +167,11 @@ def inline_html(nodes: DataFrame, *keys: str) -> DataFrame:
     return events(nodes, open_, close, *keys, "top_id").withColumn("html", F.trim("html"))
 
 
+def _below(nodes: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
+    """Nodes in the subtrees of tops (keys, top_id, top_end), by range: for a few tops a document."""
+    return nodes.join(tops, keys).where("node_id >= top_id and node_id <= top_end")
+
+
 def move_orphans(nodes: DataFrame, *keys: str, title: str = "Supplementary material") -> DataFrame:
     """keys, xml: table-wraps that stand in body itself go to the end of the first section that cites them, else into new sections at its end.
 
@@ -122,23 +180,23 @@ def move_orphans(nodes: DataFrame, *keys: str, title: str = "Supplementary mater
     """
     keys = list(keys or ("doc_id",))
     body = nodes.where(F.col("tag") == "body").groupBy(*keys).agg(F.min_by(F.struct(F.col("node_id").alias("id"), "end_id", "depth"), "node_id").alias("body"))
-    inside = nodes.join(body, keys)
-    loose = inside.where((F.col("parent_id") == F.col("body.id")) & (F.col("tag") == "table-wrap"))
-    feet = inside.where((F.col("parent_id") == F.col("body.id")) & (F.col("tag") == "table-wrap-foot"))
-    wraps = loose.select(*keys, F.col("node_id").alias("top_id"), F.col("end_id").alias("top_end"), F.col("depth").alias("top_depth"), F.col("attrs")["id"].alias("id"), "body")
-    cited = nodes.where((F.col("tag") == "xref") & (F.col("attrs")["ref-type"] == "table")).select(*keys, F.col("node_id").alias("xref"), F.col("attrs")["rid"].alias("id"))
+    loose = nodes.where((F.col("parent_tag") == "body") & F.col("tag").isin("table-wrap", "table-wrap-foot")).join(body, keys).where(F.col("parent_id") == F.col("body.id"))
+    feet = loose.where("tag = 'table-wrap-foot'")
+    wraps = loose.where("tag = 'table-wrap'").select(*keys, F.col("node_id").alias("top_id"), F.col("end_id").alias("top_end"), F.col("depth").alias("top_depth"), F.col("attrs")["id"].alias("id"), "body")
+    cited = nodes.where((F.col("tag") == "xref") & (F.col("attrs")["ref-type"] == "table") & (F.col("sec_id") >= 0))
+    cited = cited.select(*keys, F.col("node_id").alias("xref"), F.col("attrs")["rid"].alias("id"), F.col("sec_id").alias("sec"))
     sections = nodes.where(F.col("tag") == "sec").select(*keys, F.col("node_id").alias("sec"), F.col("end_id").alias("sec_end"), F.col("depth").alias("sec_depth"))
-    homes = wraps.where("id is not null and id <> ''").join(cited, [*keys, "id"]).join(sections, keys).where("xref > sec and xref <= sec_end")
+    homes = wraps.where("id is not null and id <> ''").join(cited, [*keys, "id"]).join(sections, [*keys, "sec"])
     # The nearest section of the first citation that has one.
-    nearest = homes.groupBy(*keys, "top_id").agg(F.min_by(F.struct("sec", "sec_end", "sec_depth"), F.struct("xref", -F.col("sec"))).alias("home"))
+    nearest = homes.groupBy(*keys, "top_id").agg(F.min_by(F.struct("sec", "sec_end", "sec_depth"), "xref").alias("home"))
     moves = wraps.where("id is not null and id <> ''").join(nearest, [*keys, "top_id"], "left")
     at = F.coalesce("home.sec_end", "body.end_id")
     # Inside its new place a moved node opens after all that was there and before the place closes.
     moves = moves.select(*keys, "top_id", "top_end", at.alias("to"), F.coalesce(F.col("home.sec_depth"), F.col("body.depth")).alias("level"), F.col("home").isNull().alias("fresh"))
     touched = wraps.select(*keys).distinct()
-    gone = below(nodes, tops(feet.join(touched, keys, "left_semi"), *keys), *keys).select(*keys, "node_id")
+    gone = _below(nodes, tops(feet.join(touched, keys, "left_semi"), *keys), keys).select(*keys, "node_id")
     rest = nodes.join(touched, keys, "left_semi").join(gone, [*keys, "node_id"], "left_anti")
-    moved = below(rest, moves, *keys)
+    moved = _below(rest, moves, keys)
     still = rest.join(moved.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
     name = F.col("tag")
     open_ = F.concat(F.lit("<"), name, attributes_text(F.col("attrs")), F.lit(">"), escape_xml(F.col("text")))

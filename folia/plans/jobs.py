@@ -36,9 +36,9 @@ def metadata_job(blocks: DataFrame, template: str, fn: Callable[[str], dict], pr
 def score_candidates(cands: DataFrame, keep: Keep, version: str = "1.4") -> DataFrame:
     """cands (doc_id, roster_idx, xml) scored with the errors of validation, ranked."""
     keys = ("doc_id", "roster_idx")
-    parsed = keep(N.parsed(cands.select(*keys, "xml")))
-    nodes = keep(parsed.select(*keys, F.inline("nodes")))
-    broken = parsed.where("not parse_ok").select(*keys, F.lit(0).alias("node_id"), F.lit("syntax").alias("rule"), F.col("parse_error").alias("message"))
+    rows = keep(N.node_rows(cands, "xml", *keys))
+    nodes = rows.where("node_id >= 0").drop("parse_error")
+    broken = rows.where("parse_error is not null").select(*keys, F.lit(0).alias("node_id"), F.lit("syntax").alias("rule"), F.col("parse_error").alias("message"))
     errors = V.validate(nodes, version, *keys).unionByName(broken)
     return E.leaderboard(E.score(cands, V.verdicts(cands, errors, *keys)))
 

@@ -20,11 +20,9 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
 
     def write(batch: DataFrame, number: int) -> None:
         cleaned = batch.withColumn("xml", sanitize_text(F.col("xml")))
-        N.parsed(cleaned).write.mode("overwrite").parquet(f"{target}/parsed/batch={number}")
-        parsed = batch.sparkSession.read.parquet(f"{target}/parsed/batch={number}")
-        parsed.select("doc_id", "xml", "parse_ok", "parse_error").write.mode("overwrite").parquet(f"{target}/articles/batch={number}")
-        nodes = parsed.select("doc_id", F.inline("nodes"))
-        nodes.write.mode("overwrite").parquet(f"{target}/nodes/batch={number}")
+        N.parsed(cleaned).write.mode("overwrite").parquet(f"{target}/articles/batch={number}")
+        articles = batch.sparkSession.read.parquet(f"{target}/articles/batch={number}")
+        N.node_table(articles).write.mode("overwrite").parquet(f"{target}/nodes/batch={number}")
         V.validate(batch.sparkSession.read.parquet(f"{target}/nodes/batch={number}")).write.mode("overwrite").parquet(f"{target}/errors/batch={number}")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
