@@ -58,14 +58,20 @@ def input_gate(missing: Column) -> Column:
 
 
 #: Forms of validator messages.
-CONTENT_MODEL = r"Element ([\w\-]+) content does not follow the DTD, expecting (.*?), got (.*)"
-NO_ATTRIBUTE = r"No declaration for attribute ([\w\-]+) of element ([\w\-]+)"
-UNDECLARED = r"Element ([\w\-]+) is not declared in"
+CONTENT_MODEL = r"Element ([\w\-.:]+) content does not follow the DTD, expecting (.*?), got (.*)"
+NO_ATTRIBUTE = r"No declaration for attribute ([\w\-.:]+) of element ([\w\-.:]+)"
+UNDECLARED = r"Element ([\w\-.:]+) is not declared in"
+BAD_VALUE = r"(?:Value \"[^\"]*\"|Syntax of value) for attribute [\w\-.:]+ of [\w\-.:]+ is not "
+MISSING_ATTRIBUTE = r"Element [\w\-.:]+ does not carry attribute "
+LOOSE_TEXT = r"Element [\w\-.:]+ may not contain text"
+IDENTIFIER = r"^ID .* is used more than once|IDREF attribute .* references an unknown ID "
 
 
 def error_category(m: Column) -> Column:
-    return F.when(m.rlike(CONTENT_MODEL), "content model").when(m.rlike(NO_ATTRIBUTE), "attribute").when(m.rlike(UNDECLARED),
-        "undeclared element").when(F.size(F.split(m, ":")) > 4, "structure").otherwise("other")
+    out = F.when(m.rlike(CONTENT_MODEL), "content model").when(m.rlike(NO_ATTRIBUTE), "attribute").when(m.rlike(UNDECLARED), "undeclared element")
+    for pattern, name in ((BAD_VALUE, "attribute value"), (MISSING_ATTRIBUTE, "missing attribute"), (LOOSE_TEXT, "text"), (IDENTIFIER, "identifier")):
+        out = out.when(m.rlike(pattern), name)
+    return out.when(F.size(F.split(m, ":")) > 4, "structure").otherwise("other")
 
 
 def error_explain(m: Column) -> Column:

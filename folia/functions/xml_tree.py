@@ -2,7 +2,7 @@
 
 Besides the tree, every node gets what later lookups need, so that they are filters and joins on equal numbers: tag of its parent
 and grandparent, part of the article, level in the chain of sections, the nearest ancestor of each kind in NEAREST, and the
-place of its text, in bytes, in the document's text. All of it is of fixed size, so the output is linear in the input at any depth.
+place of its text, in bytes, in the document's text, and where its tags stand in the source. All of it is of fixed size, so the output is linear in the input at any depth.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ _PLACE = {tag: k for k, tag in enumerate(NEAREST.values())}
 _NOWHERE = (-1,) * len(NEAREST)
 #: Parts of an article: a node's region is the nearest of them above it.
 REGIONS = frozenset(("article-meta", "journal-meta", "body", "back"))
-_FIXED = ("node_id", "parent_id", "ordinal", "depth", "sec_level", "text_from", "tag", "ns", "parent_tag", "parent_ns", "grand_tag", "region", *NEAREST)
-_LATER = ("end_id", "text_to", "text", "tail", "content")  # known when more of the document is read
+_FIXED = ("node_id", "parent_id", "ordinal", "depth", "sec_level", "text_from", "src_from", "tag", "ns", "parent_tag", "parent_ns", "grand_tag", "region", *NEAREST)
+_LATER = ("end_id", "text_to", "src_close", "src_to", "src_tail", "text", "tail", "content")  # known when more of the document is read
 STRINGS = ("tag", "ns", "parent_tag", "parent_ns", "grand_tag", "region", "text", "tail")
 INTS = tuple(c for c in (*_FIXED, *_LATER) if c not in (*STRINGS, "content"))
 
@@ -79,7 +79,7 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
     if xml is None or not xml.strip():
         return "empty document"
     nodes = out.fixed
-    ends, until, texts, tails, contents = (out.later[c] for c in _LATER)
+    ends, until, closing, closed, tailed, texts, tails, contents = (out.later[c] for c in _LATER)
     content: list[bytes] = []  # the document's text so far
     length = 0
     error: list[str] = []
@@ -94,7 +94,7 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
         if not error:
             error.append(f"{what} at {at}")
 
-    def flush() -> None:
+    def flush(here: int) -> None:
         nonlocal length
         if pieces:
             text = "".join(pieces)
@@ -105,20 +105,22 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
                 length += len(raw)
                 if last >= 0:
                     tails[base + last] += text
+                    tailed[base + last] = here
                 else:
                     texts[base + stack[-1]] += text
             elif text.strip():
                 fail("text outside the root", 0)
 
-    def close() -> None:
+    def close(start: int, end: int) -> None:
         nonlocal last
-        flush()
+        flush(start)
         k = stack.pop()
         names.pop()
         counts.pop()
         inner.pop()
         ends[base + k] = len(nodes) - base - 1
         until[base + k] = length
+        closing[base + k], closed[base + k], tailed[base + k] = start, end, end
         last = k
 
     at = subset = 0
@@ -156,16 +158,16 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
         name = m[3]
         if m[2]:
             if names and names[-1] == name:
-                close()
+                close(m.start(), m.end())
             elif name in names:
                 fail(f"mismatched end tag {name}", m.start())
                 while names[-1] != name:
-                    close()
-                close()
+                    close(m.start(), m.start())
+                close(m.start(), m.end())
             else:
                 fail(f"end tag {name} without start", m.start())
             continue
-        flush()
+        flush(m.start())
         rest = m[4]
         empty = rest.endswith("/")
         if not stack and len(nodes) > base:
@@ -183,14 +185,14 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
         k = len(nodes) - base
         above, above_ns, grand, region, level, near = "", "", "", "", 0, _NOWHERE
         if stack:
-            _, _, _, _, level, _, above, above_ns, grand, _, _, region, *_ = nodes[base + parent]
+            _, _, _, _, level, _, _, above, above_ns, grand, _, _, region, *_ = nodes[base + parent]
             region = above if above in REGIONS else region
             near = inner[-1]
         level = level if above == "sec" else 0
         if tag == "sec" and (above == "body" or level):
             level += 1
-        nodes.append((k, parent, ordinal, len(stack), level, length, tag, prefix, above, above_ns, grand, region, *near))
-        for column, value in ((ends, k), (until, length), (texts, ""), (tails, ""), (contents, None)):
+        nodes.append((k, parent, ordinal, len(stack), level, length, m.start(), tag, prefix, above, above_ns, grand, region, *near))
+        for column, value in ((ends, k), (until, length), (closing, m.end()), (closed, m.end()), (tailed, m.end()), (texts, ""), (tails, ""), (contents, None)):
             column.append(value)
         if empty:
             last = k
@@ -203,7 +205,7 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
     if stack:
         fail(f"{names[-1]} is not closed", len(xml))
     while stack:
-        close()
+        close(len(xml), len(xml))
     if len(nodes) == base:
         fail("no element", 0)
     else:

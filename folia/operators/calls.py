@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,19 +13,49 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folia.functions.text import call_error_classify, strip
+from folia.operators.usage import with_limits
 
 ROUNDS = 3
 RETRIES, WAIT, MOST_WAIT = 3, 5.0, 60.0
+CHARACTERS_A_TOKEN = 4  # for the tokens that a prompt is expected to take
 
 
 class RateLimit(Exception):
     """Raised by a model function that should be called again later."""
 
 
-def _called(fn: Callable[[str], dict], prompt: str, retries: int, wait: float) -> dict:
+class Window:
+    """Lets through at most ``calls`` calls and ``tokens`` tokens in any stretch of ``per`` seconds; a call over all the tokens goes alone."""
+
+    def __init__(self, calls: int, tokens: int, per: float = 60.0, now: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.calls, self.tokens, self.per, self.now, self.sleep = calls, tokens, per, now, sleep
+        self.past: deque[list[float]] = deque()
+
+    def enter(self, expected: int) -> None:
+        """Waits until one more call of so many tokens fits, and counts it."""
+        while True:
+            at = self.now()
+            while self.past and self.past[0][0] <= at - self.per:
+                self.past.popleft()
+            if not self.past or (len(self.past) < self.calls and sum(t for _, t in self.past) + expected <= self.tokens):
+                self.past.append([at, expected])
+                return
+            self.sleep(max(self.past[0][0] + self.per - at, 0.001))
+
+    def used(self, tokens: int) -> None:
+        """Corrects the last call's tokens to what it really took."""
+        self.past[-1][1] = tokens
+
+
+def _called(fn: Callable[..., dict], arguments: tuple, retries: int, wait: float, window: Window | None) -> dict:
     for attempt in range(retries):
         try:
-            return {"error": None} | fn(prompt)
+            if window:
+                window.enter(len(str(arguments[0])) // CHARACTERS_A_TOKEN + 1)
+            answer = {"error": None} | fn(*arguments)
+            if window and (took := (answer.get("prompt_tokens") or 0) + (answer.get("completion_tokens") or 0)):
+                window.used(took)
+            return answer
         except RateLimit as e:
             if attempt == retries - 1:
                 return {"error": f"429 {e}"}
@@ -34,21 +65,44 @@ def _called(fn: Callable[[str], dict], prompt: str, retries: int, wait: float) -
     return {"error": "no attempt"}
 
 
-def call_model(df: DataFrame, fn: Callable[[str], dict], partitions: int, retries: int = RETRIES, wait: float = WAIT) -> DataFrame:
+def call_model(df: DataFrame, fn: Callable[..., dict] | None, partitions: int, retries: int = RETRIES, wait: float = WAIT, arguments: tuple[str, ...] = ("prompt",),
+    client: Callable[[], Callable[..., dict]] | None = None, limited: bool = False, per: float = 60.0) -> DataFrame:
     """df (prompt) with text, finish_reason, prompt_tokens, completion_tokens, error_class.
 
-    fn(prompt) returns a dict with these keys. partitions bounds how many calls run at once. Calls cost money and
-    Spark evaluates lazily: write the result to a table before using it twice.
+    fn takes the argument columns and returns a dict with these keys; client makes one such function per partition, for what
+    has to be opened once and cannot be sent. partitions bounds how many calls run at once. Calls cost money and Spark evaluates
+    lazily: write the result to a table before using it twice.
+
+    limited: df has a column model, and its requests and tokens a minute (the table of quotas) hold over all partitions: a model's
+    rows go to as many lanes as it has requests a minute, at most one a partition; a lane is in one task and keeps to its share of both.
+    Calls that a lost task repeats are not in another task's count.
     """
     names = ("text", "finish_reason", "prompt_tokens", "completion_tokens", "error")
+    columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call, windows = client() if client else fn, {}
         for batch in batches:
-            got = [_called(fn, p, retries, wait) for p in batch["prompt"]]
-            yield batch.assign(**{n: pd.array([g.get(n) for g in got], dtype="Int64" if "tokens" in n else object) for n in names})
-
+            got = []
+            for k in range(len(batch)):
+                window = None
+                if limited:
+                    model, lane, lanes, rpm, tpm = (batch[c].iloc[k] for c in ("model", "_lane", "_lanes", "_rpm", "_tpm"))
+                    if (model, lane) not in windows:
+                        # Shares are whole and add up to the limit.
+                        windows[model, lane] = Window(int(rpm // lanes + (lane < rpm % lanes)), int(tpm // lanes), per)
+                    window = windows[model, lane]
+                got.append(_called(call, tuple(batch[a].iloc[k] for a in arguments), retries, wait, window))
+            yield batch[columns].assign(**{n: pd.array([g.get(n) for g in got], dtype="Int64" if "tokens" in n else object) for n in names})
+
+    if limited:
+        known = with_limits(df.select("*", F.struct("*").alias("_row"))).select("_row.*", F.col("rpm").alias("_rpm"), F.col("tpm").alias("_tpm"))
+        known = known.withColumn("_lanes", F.least(F.lit(partitions), "_rpm")).withColumn("_lane", F.pmod(F.xxhash64(*arguments), F.col("_lanes")))
+        dealt = known.repartition(partitions, "model", "_lane")
+    else:
+        dealt = df.repartition(partitions)
     schema = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    out = df.repartition(partitions).mapInPandas(run, f"{schema}, text string, finish_reason string, prompt_tokens bigint, completion_tokens bigint, error string")
+    out = dealt.mapInPandas(run, f"{schema}, text string, finish_reason string, prompt_tokens bigint, completion_tokens bigint, error string")
     return out.withColumn("error_class", call_error_classify(F.col("error"))).drop("error")
 
 

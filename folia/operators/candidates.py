@@ -24,11 +24,18 @@ def clean(cands: DataFrame, column: str = "raw_response") -> DataFrame:
     return cands.withColumn("xml", sanitize_text(fence_extract(F.col(column))))
 
 
-def score(cands: DataFrame, errors: DataFrame | None = None) -> DataFrame:
-    """cands (doc_id, roster_idx, xml) with warnings, complete, n_errors, score. errors: doc_id, roster_idx, n_errors of validation."""
-    out = cands.withColumn("warnings", bound(F.col("xml"), lambda x: audit_warnings(x, body_text(x))))
+def score(cands: DataFrame, errors: DataFrame | None = None, audit: DataFrame | None = None) -> DataFrame:
+    """cands (doc_id, roster_idx, xml) with warnings, complete, n_errors, score.
+
+    errors: doc_id, roster_idx, n_errors of validation. audit: doc_id, roster_idx, body_text of the parsed body; without it, patterns find the text.
+    """
+    keys = ["doc_id", "roster_idx"]
+    if audit is None:
+        out = cands.withColumn("warnings", bound(F.col("xml"), lambda x: audit_warnings(x, body_text(x))))
+    else:
+        out = cands.join(audit.select(*keys, "body_text"), keys, "left").withColumn("warnings", audit_warnings(F.col("xml"), F.col("body_text"))).drop("body_text")
     if errors is not None:
-        out = out.join(errors.select("doc_id", "roster_idx", "n_errors"), ["doc_id", "roster_idx"], "left")
+        out = out.join(errors.select(*keys, "n_errors"), keys, "left")
     else:
         out = out.withColumn("n_errors", F.lit(0))
     out = out.withColumn("n_errors", F.coalesce("n_errors", F.lit(0)).cast("int")).withColumn("complete", F.size("warnings") == 0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import StringType
 
-from folia.functions.text import escape_html, escape_xml
+from folia.functions.text import escape_html, escape_xml, sanitize_text
 from folia.functions.xml_tree import INTS, NEAREST, STRINGS, Columns, read_into
 
 _SLICE = 2_000_000  # characters of XML that become one batch of nodes
@@ -102,10 +102,6 @@ def contents(nodes: DataFrame, *keys: str) -> DataFrame:
     return nodes.where("node_id = 0").select(*(keys or ("doc_id",)), "content")
 
 
-def tops(nodes: DataFrame, *keys: str) -> DataFrame:
-    return nodes.select(*(keys or ("doc_id",)), F.col("node_id").alias("top_id"), F.col("end_id").alias("top_end"))
-
-
 def events(nodes: DataFrame, open_: Column, close: Column, *group: str) -> DataFrame:
     """The group columns and html: opening and closing strings and escaped texts of the nodes in document order.
 
@@ -167,55 +163,52 @@ def inline_html(nodes: DataFrame, *keys: str) -> DataFrame:
     return events(nodes, open_, close, *keys, "top_id").withColumn("html", F.trim("html"))
 
 
-def _below(nodes: DataFrame, tops: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes in the subtrees of tops (keys, top_id, top_end), by range: for a few tops a document."""
-    return nodes.join(tops, keys).where("node_id >= top_id and node_id <= top_end")
-
-
-def move_orphans(nodes: DataFrame, *keys: str, title: str = "Supplementary material") -> DataFrame:
+def move_orphans(sources: DataFrame, nodes: DataFrame, *keys: str, column: str = "xml", title: str = "Supplementary material") -> DataFrame:
     """keys, xml: table-wraps that stand in body itself go to the end of the first section that cites them, else into new sections at its end.
 
-    A loose table-wrap without id stays; loose table-wrap-foots go, but only from documents with a loose table-wrap.
-    Documents without a loose table-wrap are not in the result.
+    sources (keys, column) holds the text that nodes were read from; it is cut and put together again, so all else stays as it was.
+    A loose table-wrap without id stays; loose table-wrap-foots go, but only from documents with a loose table-wrap. Text behind an
+    element goes with it. Documents without a loose table-wrap are not in the result.
     """
     keys = list(keys or ("doc_id",))
-    body = nodes.where(F.col("tag") == "body").groupBy(*keys).agg(F.min_by(F.struct(F.col("node_id").alias("id"), "end_id", "depth"), "node_id").alias("body"))
+    body = nodes.where(F.col("tag") == "body").groupBy(*keys).agg(F.min_by(F.struct(F.col("node_id").alias("id"), F.col("src_close").alias("end")), "node_id").alias("body"))
     loose = nodes.where((F.col("parent_tag") == "body") & F.col("tag").isin("table-wrap", "table-wrap-foot")).join(body, keys).where(F.col("parent_id") == F.col("body.id"))
-    feet = loose.where("tag = 'table-wrap-foot'")
-    wraps = loose.where("tag = 'table-wrap'").select(*keys, F.col("node_id").alias("top_id"), F.col("end_id").alias("top_end"), F.col("depth").alias("top_depth"), F.col("attrs")["id"].alias("id"), "body")
+    loose = loose.select(*keys, "node_id", "tag", F.col("src_from").alias("cut"), F.col("src_tail").alias("until"), F.col("attrs")["id"].alias("id"), F.col("body.end").alias("body_end"))
     cited = nodes.where((F.col("tag") == "xref") & (F.col("attrs")["ref-type"] == "table") & (F.col("sec_id") >= 0))
     cited = cited.select(*keys, F.col("node_id").alias("xref"), F.col("attrs")["rid"].alias("id"), F.col("sec_id").alias("sec"))
-    sections = nodes.where(F.col("tag") == "sec").select(*keys, F.col("node_id").alias("sec"), F.col("end_id").alias("sec_end"), F.col("depth").alias("sec_depth"))
-    homes = wraps.where("id is not null and id <> ''").join(cited, [*keys, "id"]).join(sections, [*keys, "sec"])
-    # The nearest section of the first citation that has one.
-    nearest = homes.groupBy(*keys, "top_id").agg(F.min_by(F.struct("sec", "sec_end", "sec_depth"), "xref").alias("home"))
-    moves = wraps.where("id is not null and id <> ''").join(nearest, [*keys, "top_id"], "left")
-    at = F.coalesce("home.sec_end", "body.end_id")
-    # Inside its new place a moved node opens after all that was there and before the place closes.
-    moves = moves.select(*keys, "top_id", "top_end", at.alias("to"), F.coalesce(F.col("home.sec_depth"), F.col("body.depth")).alias("level"), F.col("home").isNull().alias("fresh"))
-    touched = wraps.select(*keys).distinct()
-    gone = _below(nodes, tops(feet.join(touched, keys, "left_semi"), *keys), keys).select(*keys, "node_id")
-    rest = nodes.join(touched, keys, "left_semi").join(gone, [*keys, "node_id"], "left_anti")
-    moved = _below(rest, moves, keys)
-    still = rest.join(moved.select(*keys, "node_id"), [*keys, "node_id"], "left_anti")
-    name = F.col("tag")
-    open_ = F.concat(F.lit("<"), name, attributes_text(F.col("attrs")), F.lit(">"), escape_xml(F.col("text")))
-    close = F.concat(F.lit("</"), name, F.lit(">"), escape_xml(F.col("tail")))
-    zero, none = F.lit(0), F.lit(-1)
-
-    def row(where: Column, deep: Column, which: Column, inner: Column, turn: Column, low: Column, s: Column) -> Column:
-        return F.struct(where.alias("a"), deep.alias("b"), which.alias("c"), inner.alias("d"), turn.alias("e"), low.alias("f"), s.alias("s"))
-
-    # Order: place; then opening (b = -1000) before what closes there, deepest first; a moved subtree comes just before its place closes.
-    plain = still.select(*keys, F.inline(F.array(row(F.col("node_id"), F.lit(-1_000_000), none, zero, zero, zero, open_),
-        row(F.col("end_id"), -2 * F.col("depth"), F.lit(1 << 30), zero, F.lit(1), zero, close))))
-    base, which = -2 * F.col("level") - 1, F.col("top_id")
-    taken = moved.select(*keys, F.inline(F.array(row(F.col("to"), base, which, F.col("node_id"), zero, zero, open_),
-        row(F.col("to"), base, which, F.col("end_id"), F.lit(1), -F.col("depth"), close))))
-    fresh = moves.where("fresh").select(*keys, F.inline(F.array(
-        row(F.col("to"), base, which, none, zero, zero, F.lit(f'<sec sec-type="supplementary-material"><title>{title}</title>')),
-        row(F.col("to"), base, which, F.lit(1 << 30), F.lit(1), zero, F.lit("</sec>")),
-    )))
-    rows = plain.unionByName(taken).unionByName(fresh)
-    ordered = F.array_sort(F.collect_list(F.struct("a", "b", "c", "d", "e", "f", "s")))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x["s"]), "").alias("xml"))
+    sections = nodes.where(F.col("tag") == "sec").select(*keys, F.col("node_id").alias("sec"), F.col("src_close").alias("sec_end"))
+    # The nearest section of the first citation that stands in one.
+    homes = loose.where("tag = 'table-wrap' and id <> ''").select(*keys, "node_id", "id").join(cited, [*keys, "id"]).join(sections, [*keys, "sec"])
+    homes = homes.groupBy(*keys, "node_id").agg(F.min_by("sec_end", "xref").alias("home"))
+    placed = loose.join(homes, [*keys, "node_id"], "left").withColumn("moves", (F.col("tag") == "table-wrap") & (F.coalesce("id", F.lit("")) != ""))
+    goes = F.col("moves") | (F.col("tag") == "table-wrap-foot")
+    part = F.struct(F.coalesce("home", "body_end").alias("to"), "node_id", "cut", "until", F.col("home").isNull().alias("fresh"))
+    edits = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("moves"), part))).alias("parts"),
+        F.array_sort(F.collect_list(F.when(goes, F.struct("cut", "until")))).alias("cuts"), F.bool_or(F.col("tag") == "table-wrap").alias("any")).where("any")
+    both = sources.select(*keys, F.col(column).alias("xml")).join(edits, keys)
+    # In order of the source: what is put in stands before the tag that closes its new place, what is cut is left out.
+    piece = lambda a, b: F.substring(F.col("xml"), a + 1, b - a)
+    fresh = lambda p, x: F.when(p["fresh"], F.concat(F.lit(f'<sec sec-type="supplementary-material"><title>{title}</title>'), x, F.lit("</sec>"))).otherwise(x)
+    put = F.transform("parts", lambda p: F.struct(p["to"].alias("at"), F.lit(1).alias("turn"), p["node_id"].alias("n"), p["to"].alias("next"), fresh(p, piece(p["cut"], p["until"])).alias("s")))
+    cut = F.transform("cuts", lambda c: F.struct(c["cut"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("n"), c["until"].alias("next"), F.lit("").alias("s")))
+    both = both.select(*keys, "xml", F.array_sort(F.concat(put, cut)).alias("edits"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    step = lambda now, e: F.struct(e["next"].alias("at"), F.concat(now["out"], F.array(piece(now["at"], e["at"]), e["s"])).alias("out"))
+    end = lambda now: F.concat(F.array_join(now["out"], ""), piece(now["at"], F.length("xml")))
+    return both.select(*keys, F.aggregate("edits", start, step, end).alias("xml"))
+
+
+def clean_articles(df: DataFrame, keep, column: str = "xml", *keys: str) -> DataFrame:
+    """df with the column cleaned: the string steps, then loose tables moved into sections.
+
+    Only texts that name a table-wrap are parsed for the last step; a text that is not well-formed, or has no loose table, stays as
+    the string steps left it. ``keep`` stores rows that are used more than once.
+    """
+    keys = list(keys or ("doc_id",))
+    cleaned = keep(df.withColumn(column, sanitize_text(F.col(column))))
+    suspects = cleaned.where(F.contains(F.col(column), F.lit("<table-wrap")) & F.contains(F.col(column), F.lit("<body"))).select(*keys, column)
+    rows = keep(node_rows(suspects, column, *keys))
+    broken = rows.where("parse_error is not null").select(*keys).distinct()
+    nodes = rows.where("node_id >= 0").join(broken, keys, "left_anti")
+    moved = move_orphans(suspects, nodes, *keys, column=column).withColumnRenamed("xml", "_moved")
+    return cleaned.join(moved, keys, "left").withColumn(column, F.coalesce("_moved", F.col(column))).select(df.columns)

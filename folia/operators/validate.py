@@ -1,85 +1,144 @@
-"""Set-based validation of node tables: each rule gives rows (keys, node_id, rule, message)."""
+"""Set-based validation of node tables: each rule gives rows (keys, node_id, rule, message).
+
+The content rules take one grouping of the nodes by their parent: the children's symbols run through the parent's automaton. The
+identifier rules take one grouping by identifier. Attributes are judged where they stand. The grammar's tables are fixed and broadcast.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions.text import strip
-from folia.sources.grammar import CORE, attr_decl, content_model, model_check
+from folia.sources.grammar import attr_decl, automaton_table, content_model, symbol_table
 
 KEYS = ("doc_id",)
+_NAME = r"[\p{L}_:][\p{L}\p{M}\p{N}._:·\-]*"
+_TOKEN = r"[\p{L}\p{M}\p{N}._:·\-]+"
+#: What a value of each type looks like.
+PATTERNS = {"ID": _NAME, "IDREF": _NAME, "IDREFS": rf"{_NAME}(\s+{_NAME})*", "NMTOKEN": _TOKEN, "NMTOKENS": rf"{_TOKEN}(\s+{_TOKEN})*"}
+
+
+def _name(tag: str = "tag", ns: str = "ns") -> Column:
+    return F.when(F.col(ns) == "", F.col(tag)).otherwise(F.concat(ns, F.lit(":"), tag))
+
+
+def _say(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def content_errors(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
+    """Undeclared elements, children that break their parent's content model, and text where only elements may stand."""
+    keys, spark = list(keys or KEYS), nodes.sparkSession
+    named = nodes.select(*keys, "node_id", "parent_id", "ordinal", _name().alias("name"), _name("parent_tag", "parent_ns").alias("element"),
+        (strip(F.col("text")) != "").alias("inked"), (strip(F.col("tail")) != "").alias("followed"))
+    named = named.join(F.broadcast(symbol_table(spark).withColumnRenamed("tag", "name")), ["element", "name"], "left")
+    # Every node counts as itself and as its parent's child.
+    child = F.struct("ordinal", F.coalesce("symbol", F.lit(-1)).alias("symbol"), "name")
+    none = F.lit(None).cast("struct<ordinal:int,symbol:int,name:string>")
+    both = F.array(F.struct(F.col("node_id").alias("at"), F.col("name").alias("own"), none.alias("child"), F.col("inked").alias("loose")),
+        F.struct(F.col("parent_id").alias("at"), F.lit(None).cast("string").alias("own"), child.alias("child"), F.col("followed").alias("loose")))
+    rows = named.select(*keys, F.inline(both)).where("at >= 0").groupBy(*keys, F.col("at").alias("node_id"))
+    rows = rows.agg(F.max("own").alias("element"), F.array_sort(F.collect_list("child")).alias("children"), F.bool_or("loose").alias("loose"))
+    rows = rows.join(F.broadcast(automaton_table(spark)), "element", "left")
+
+    def step(now: Column, c: Column) -> Column:
+        to = F.when(c["symbol"] >= 0, F.get("moves", now["state"] * F.col("width") + c["symbol"])).otherwise(-1)
+        return F.when(now["place"] > 0, now).when(to >= 0, F.struct(to.alias("state"), F.lit(0).alias("place"), F.lit("").alias("got"))).otherwise(
+            F.struct(now["state"].alias("state"), (c["ordinal"] + 1).alias("place"), c["name"].alias("got")))
+
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("place"), F.lit("").alias("got"))
+    ran = rows.withColumn("ran", F.aggregate("children", start, step))
+    # A run that no child stopped has to be in a state where the element may end.
+    stopped, short = F.col("ran.place") > 0, ~F.get("ends", F.col("ran.state"))
+    got = F.when(stopped, _say("(", F.col("ran.got"), ") as child ", F.col("ran.place").cast("string"))).otherwise(
+        _say("(nothing more) after child ", F.size("children").cast("string")))
+    model = _say("Element ", F.col("element"), " content does not follow the DTD, expecting (", F.get("expected", F.col("ran.state")), "), got ", got)
+    rules = F.array(
+        F.when(F.col("moves").isNull(), F.struct(F.lit("undeclared element").alias("rule"), _say("Element ", F.col("element"), " is not declared in the grammar").alias("message"))),
+        F.when(stopped | short, F.struct(F.lit("content model").alias("rule"), model.alias("message"))),
+        F.when(~F.col("mixed") & F.col("loose"), F.struct(F.lit("text not allowed").alias("rule"), _say("Element ", F.col("element"), " may not contain text").alias("message"))),
+    )
+    return ran.select(*keys, "node_id", F.inline(F.array_compact(rules)))
+
+
+def _typed(nodes: DataFrame, version: str, keys: list[str]) -> DataFrame:
+    """keys, node_id, element, attribute, value, type, allowed of the attributes that declared elements carry; type is null for undeclared ones."""
+    used = nodes.where(F.size("attrs") > 0).select(*keys, "node_id", _name().alias("element"), F.explode("attrs").alias("attribute", "value"))
+    return used.join(F.broadcast(attr_decl(nodes.sparkSession, version).select("element", "attribute", "type", "allowed")), ["element", "attribute"], "left")
+
+
+def attribute_errors(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
+    """Attributes that their element does not have, values that are not of the declared type, and required attributes that are missing.
+
+    Undeclared elements are not judged.
+    """
+    keys, spark = list(keys or KEYS), nodes.sparkSession
+    known = F.broadcast(content_model(spark, version).select("element"))
+    used = _typed(nodes, version, keys).join(known, "element", "left_semi")
+    a, e = F.col("attribute"), F.col("element")
+    bad = F.lit(False)
+    for kind, pattern in PATTERNS.items():
+        bad = bad | ((F.col("type") == kind) & ~F.col("value").rlike(rf"^\s*{pattern}\s*$"))
+    outside = (F.col("type") == "enumeration") & ~F.array_contains("allowed", F.trim("value"))
+    found = (
+        F.when(F.col("type").isNull(), F.struct(F.lit("undeclared attribute").alias("rule"), _say("No declaration for attribute ", a, " of element ", e).alias("message")))
+        .when(outside, F.struct(F.lit("attribute value").alias("rule"), _say('Value "', F.col("value"), '" for attribute ', a, " of ", e, " is not among the enumerated set").alias("message")))
+        .when(bad, F.struct(F.lit("attribute value").alias("rule"), _say("Syntax of value for attribute ", a, " of ", e, " is not valid").alias("message")))
+    )
+    wrong = used.select(*keys, "node_id", found.alias("found")).where("found is not null").select(*keys, "node_id", "found.*")
+    must = attr_decl(spark, version).where("required").select("element", "attribute")
+    bare = nodes.select(*keys, "node_id", _name().alias("element"), "attrs").join(F.broadcast(must), "element").where(~F.map_contains_key("attrs", a))
+    return wrong.unionByName(bare.select(*keys, "node_id", F.lit("missing attribute").alias("rule"), _say("Element ", e, " does not carry attribute ", a).alias("message")))
+
+
+def identifier_errors(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
+    """Identifiers used more than once (at their last use), and references to identifiers that are not there."""
+    keys = list(keys or KEYS)
+    typed = _typed(nodes, version, keys).where("type in ('ID', 'IDREF', 'IDREFS')")
+    words = typed.select(*keys, "node_id", "attribute", (F.col("type") != "ID").alias("refers"), F.explode(F.split(F.trim("value"), r"\s+")).alias("id")).where("id <> ''")
+    by_id = words.groupBy(*keys, "id").agg(F.count_if(~F.col("refers")).alias("n"), F.max(F.when(~F.col("refers"), F.col("node_id"))).alias("last"),
+        F.collect_list(F.when(F.col("refers"), F.struct("node_id", "attribute"))).alias("references"))
+    twice = by_id.where("n > 1").select(*keys, F.col("last").alias("node_id"), F.lit("duplicate id").alias("rule"), _say("ID ", F.col("id"), " is used more than once").alias("message"))
+    lost = by_id.where("n = 0").select(*keys, "id", F.inline("references"))
+    message = _say("IDREF attribute ", F.col("attribute"), " references an unknown ID ", F.col("id"))
+    return twice.unionByName(lost.select(*keys, "node_id", F.lit("dangling reference").alias("rule"), message.alias("message")))
 
 
-def _row(df: DataFrame, keys, rule: str, message: Column) -> DataFrame:
-    return df.select(*keys, "node_id", F.lit(rule).alias("rule"), message.alias("message"))
-
-
-def undeclared_elements(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
-    """The grammar is a fixed table and goes to every task."""
-    known = content_model(nodes.sparkSession, version).select(F.col("element").alias("tag"))
-    return _row(nodes.join(F.broadcast(known), "tag", "left_anti"), keys or KEYS, "undeclared element",
-        F.concat(F.lit("Element "), "tag", F.lit(" is not declared in the grammar")))
-
-
-def undeclared_attributes(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
-    """Attributes that their element does not have, and required ones that are missing; elements outside the core set are not judged."""
-    keys = keys or KEYS
-    decl = attr_decl(nodes.sparkSession, version)
-    core = nodes.where(F.col("tag").isin(*CORE))
-    used = core.select(*keys, "node_id", F.col("tag").alias("element"), F.explode(F.map_keys("attrs")).alias("attribute"))
-    extra = used.join(F.broadcast(decl.select("element", "attribute")), ["element", "attribute"], "left_anti")
-    extra = _row(extra, keys, "undeclared attribute", F.concat(F.lit("No declaration for attribute "), "attribute", F.lit(" of element "), "element"))
-    must = decl.where("required").select(F.col("element").alias("tag"), "attribute")
-    missing = core.join(F.broadcast(must), "tag").where(~F.map_contains_key("attrs", F.col("attribute")))
-    return extra.unionByName(_row(missing, keys, "missing attribute", F.concat(F.lit("Element "), "tag", F.lit(" does not carry attribute "), "attribute")))
-
-
-def content_violations(nodes: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or KEYS
-    children = nodes.where("parent_id >= 0").groupBy(*keys, F.col("parent_id").alias("node_id"))
-    children = children.agg(F.array_sort(F.collect_list(F.struct("ordinal", "tag"))).alias("c"))
-    sequence = F.array_join(F.transform("c", lambda x: F.concat(x["tag"], F.lit(" "))), "")
-    judged = nodes.where(F.col("tag").isin(*CORE)).select(*keys, "node_id", "tag")
-    both = judged.join(children, [*keys, "node_id"], "left").withColumn("children", F.coalesce(sequence, F.lit("")))
-    wrong = both.where(~model_check(F.col("tag"), F.col("children")))
-    return _row(wrong, keys, "content model", F.concat(F.lit("Element "), "tag", F.lit(" content does not follow the grammar, got ("), F.trim("children"), F.lit(")")))
+def _only(rule: str, errors):
+    def part(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
+        return errors(nodes, version, *keys).where(F.col("rule") == rule)
 
+    return part
 
-def text_not_allowed(nodes: DataFrame, *keys: str) -> DataFrame:
-    """Non-blank text of, or between the children of, elements that hold elements only."""
-    keys = keys or KEYS
-    only = [e for e, m in CORE.items() if not m.startswith("#")]
-    own = nodes.where(F.col("tag").isin(*only)).select(*keys, "node_id", "tag", "text")
-    tails = nodes.where(strip(F.col("tail")) != "").select(*keys, F.col("parent_id").alias("node_id"))
-    named = own.select(*keys, "node_id", "tag").join(tails.distinct(), [*keys, "node_id"], "left_semi")
-    both = own.where(strip(F.col("text")) != "").select(*keys, "node_id", "tag").union(named).distinct()
-    return _row(both, keys, "text not allowed", F.concat(F.lit("Element "), "tag", F.lit(" may not contain text")))
 
+undeclared_elements = _only("undeclared element", content_errors)
+content_violations = _only("content model", content_errors)
+text_not_allowed = _only("text not allowed", content_errors)
+undeclared_attributes = attribute_errors
+duplicate_ids = _only("duplicate id", identifier_errors)
+dangling_idrefs = _only("dangling reference", identifier_errors)
 
-def duplicate_ids(nodes: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or KEYS
-    ids = nodes.select(*keys, "node_id", F.col("attrs")["id"].alias("id")).where("id <> ''")
-    many = ids.groupBy(*keys, "id").agg(F.max("node_id").alias("node_id"), F.count("*").alias("n")).where("n > 1")
-    return _row(many, keys, "duplicate id", F.concat(F.lit("ID "), "id", F.lit(" is used more than once")))
 
+def validate(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
+    """All rules' rows. nodes is read a few times: give a written table."""
+    return reduce(DataFrame.unionByName, [f(nodes, version, *keys) for f in (content_errors, attribute_errors, identifier_errors)])
 
-def dangling_idrefs(nodes: DataFrame, *keys: str) -> DataFrame:
-    keys = keys or KEYS
-    refs = nodes.select(*keys, "node_id", F.explode(F.split(F.trim(F.col("attrs")["rid"]), r"\s+")).alias("id")).where("id <> ''")
-    ids = nodes.select(*keys, F.col("attrs")["id"].alias("id")).where("id <> ''").distinct()
-    return _row(refs.join(ids, [*keys, "id"], "left_anti"), keys, "dangling reference", F.concat(F.lit("IDREF attribute rid references an unknown ID "), "id"))
 
+def body_audit(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, parse_ok, body_text of every document of ``node_rows``: all text of the first body below its tags, '' without one.
 
-def validate(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
-    """All rules' rows. nodes is read once per rule: give a written table."""
-    keys = keys or KEYS
-    rules = [undeclared_elements(nodes, version, *keys), undeclared_attributes(nodes, version, *keys), content_violations(nodes, *keys),
-        text_not_allowed(nodes, *keys), duplicate_ids(nodes, *keys), dangling_idrefs(nodes, *keys)]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    A document that is not well-formed has no text to judge (null): the audit lets it pass, and parse_ok says why.
+    """
+    keys = list(keys or KEYS)
+    broken = F.bool_or(F.col("parse_error").isNotNull())
+    docs = rows.groupBy(*keys).agg(broken.alias("broken"), F.max("content").alias("content"),
+        F.min_by(F.when(F.col("tag") == "body", F.struct("text_from", "text_to")),
+            F.when(F.col("tag") == "body", F.col("node_id"))).alias("body"))
+    text = F.substring("content", F.col("body.text_from") + 1, F.col("body.text_to") - F.col("body.text_from")).cast("string")
+    return docs.select(*keys, (~F.col("broken")).alias("parse_ok"), F.when(~F.col("broken"), F.coalesce(strip(text), F.lit(""))).alias("body_text"))
 
 
 def verdicts(documents: DataFrame, errors: DataFrame, *keys: str) -> DataFrame:

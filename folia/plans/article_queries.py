@@ -129,14 +129,26 @@ register(
     "f21_history_dates", lambda s, d: X.history_dates(rich_nodes(s, d)),
     "select doc_id, 'received' as date_type, '1' as day, cast(1 + doc_id % 12 as varchar) as month, '2019' as year from documents union all select doc_id, 'accepted', null, null, '2020' from documents",
 )
+_CITED = '<p>See <xref ref-type="table" rid="t1">1</xref>.</p></sec><table-wrap id="t1"><p>A</p></table-wrap><table-wrap id="t2"><p>B</p></table-wrap></body>'
 _PLACED = '<p>See <xref ref-type="table" rid="t1">1</xref>.</p><table-wrap id="t1"><p>A</p></table-wrap></sec><sec sec-type="supplementary-material"><title>Supplementary material</title><table-wrap id="t2"><p>B</p></table-wrap></sec></body>'
 register(
-    "c10_move_orphan_tables", lambda s, d: N.move_orphans(kept(N.node_table(with_loose_tables(s, d)))).select("doc_id", F.md5("xml").alias("xml")),
-    f"select doc_id, md5(replace(replace(xml, '<xref ref-type=\"aff\" rid=\"aff1\"/>', '<xref ref-type=\"aff\" rid=\"aff1\"></xref>'), '</sec></body>', '{_PLACED}')) as xml from fx_article_xml",
+    "c10_move_orphan_tables", lambda s, d: (lambda x: N.move_orphans(x, kept(N.node_table(x))))(with_loose_tables(s, d)).select("doc_id", F.md5("xml").alias("xml")),
+    f"select doc_id, md5(replace(xml, '</sec></body>', '{_PLACED}')) as xml from fx_article_xml",
 )
 
 
 def with_loose_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles with a cited and an uncited table in the body itself."""
-    cited = '<p>See <xref ref-type="table" rid="t1">1</xref>.</p></sec><table-wrap id="t1"><p>A</p></table-wrap><table-wrap id="t2"><p>B</p></table-wrap></body>'
-    return view(spark, sf_dir, "fx_article_xml").withColumn("xml", F.replace("xml", F.lit("</sec></body>"), F.lit(cited)))
+    return view(spark, sf_dir, "fx_article_xml").withColumn("xml", F.replace("xml", F.lit("</sec></body>"), F.lit(_CITED)))
+
+
+# The whole clean-up: every third article has loose tables, every sixth of those is also broken by an open tag.
+def _untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xml = with_loose_tables(spark, sf_dir).select("doc_id", F.col("xml").alias("loose")).join(view(spark, sf_dir, "fx_article_xml"), "doc_id")
+    text = F.when(F.col("doc_id") % 3 > 0, F.col("xml")).when(F.col("doc_id") % 18 == 0, F.replace("loose", F.lit("</table-wrap></body>"), F.lit("</body>"))).otherwise(F.col("loose"))
+    return xml.select("doc_id", F.concat(F.lit("\ufeff"), F.replace(text, F.lit("</title><p>"), F.lit("</title><break/><p>")), F.lit(" ")).alias("xml"))
+
+
+_TIDY = f"""select doc_id, case when doc_id % 3 > 0 then xml when doc_id % 18 = 0 then replace(xml, '</sec></body>', '{_CITED[: -len("</table-wrap></body>")]}</body>') else replace(xml, '</sec></body>', '{_PLACED}') end as xml from fx_article_xml"""
+register("c11_sanitize_articles", lambda s, d: N.clean_articles(_untidy(s, d), kept).select("doc_id", F.md5("xml").alias("xml")),
+    f"select doc_id, md5(xml) as xml from ({_TIDY}) as t")

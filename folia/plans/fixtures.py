@@ -75,6 +75,16 @@ from fx_article_xml""",
   else concat('Result:', chr(10), '```xml', chr(10), replace(a.xml, '</article>', ''), chr(10), '```') end as raw_response,
  cast(length(a.xml) % 5000 as bigint) as tokens
 from fx_article_xml a cross join fx_roster r""",
+    # Candidates with known numbers of errors: none, one, two, four, and one that is not well-formed; some also with an omission.
+    "fx_judged": """select doc_id, roster_idx, label, provider, model, fault, case roster_idx when 3 then concat('Result:', chr(10), '```xml', chr(10), x, chr(10), '```') else x end as raw_response
+from (select a.doc_id, r.roster_idx, r.label, r.provider, r.model, (3 * r.roster_idx + a.doc_id) % 5 as fault,
+ replace(case (3 * r.roster_idx + a.doc_id) % 5 when 0 then a.xml
+  when 1 then replace(a.xml, '<sec id="s1">', '<sec id="s1" colour="red">')
+  when 2 then replace(a.xml, '<title>One</title>', '<title>One</title><foo>x</foo>')
+  when 3 then replace(replace(replace(a.xml, 'rid="r1"', 'rid="r1 r9"'), '<journal-meta><journal-id>', '<journal-meta><issn>1</issn><journal-id>'), '<kwd-group>', '<kwd-group xml:lang="en us" sort="a">')
+  else replace(a.xml, '</sec></body>', '</body>') end,
+  '<title>One</title>', case when (r.roster_idx + a.doc_id) % 7 = 2 then '<title>One</title><!-- contenido omitido --><break/>' else '<title>One</title>' end) as x
+ from fx_article_xml a cross join fx_roster r)""",
     "fx_manuscripts": """select doc_id, concat('in/', cast(doc_id as string),
  case doc_id % 5 when 0 then '.pdf' when 1 then '.DOCX' when 2 then '.txt' else '.docx' end) as path,
  n_chars * 4096 as length,

@@ -17,13 +17,15 @@ from folia.functions import quality as Q
 from folia.operators import calls as C
 from folia.operators import candidates as E
 from folia.operators import extract as X
+from folia.operators import nodes as N
 from folia.operators import publish as P
 from folia.operators import validate as V
 from folia.plans import article_queries as AQ
 from folia.plans import jobs as J
 from folia.plans.fixtures import kept, oracle, run, view
+from folia.plans.table_queries import JUDGED_BOARD
 from folia.sources import files as S
-from folia.sources.grammar import ATTRIBUTES, COMMON, CORE, VERSIONS, attr_decl, content_model
+from folia.sources.grammar import VERSIONS, attr_decl, attributes, automata, content_model, transitions
 from folia.streaming.ingest import stream_ingest
 from folia.streaming.usage import scratch
 
@@ -144,16 +146,29 @@ def _by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The articles' elements in both versions of the grammar."""
     tags = nodes(spark, sf_dir).groupBy("tag").agg(F.count("*").alias("n"))
     models = content_model(spark, VERSIONS[0]).unionByName(content_model(spark, VERSIONS[1]))
-    counts = attr_decl(spark, VERSIONS[0]).unionByName(attr_decl(spark, VERSIONS[1])).groupBy("version", "element").agg(F.count("*").alias("attributes"))
-    known = models.join(counts, ["version", "element"])
-    return tags.join(known, F.col("tag") == F.col("element")).select("version", "tag", "n", "mixed", "attributes")
+    counts = attr_decl(spark, VERSIONS[0]).unionByName(attr_decl(spark, VERSIONS[1])).groupBy("version", "element")
+    known = models.join(counts.agg(F.count("*").alias("attributes"), F.sum(F.size("allowed")).alias("allowed")), ["version", "element"])
+    return tags.join(known, F.col("tag") == F.col("element")).select("version", "tag", "n", "mixed", F.col("states").cast("long").alias("states"), "attributes",
+        F.coalesce("allowed", F.lit(0)).alias("allowed"))
 
 
 _TAGS = "select t, count(*) as n from (select unnest(regexp_extract_all(xml, '<([a-z][a-z-]*)', 1)) as t from fx_article_xml) as x group by t"
-_DECLARED = ", ".join(f"('{e}', {str(m.startswith('#')).lower()}, {len((COMMON + ' ' + ATTRIBUTES.get(e, '')).split())})" for e, m in CORE.items())
+_USED = "article front journal-meta journal-id journal-title-group journal-title issn publisher publisher-name article-meta article-id title-group article-title contrib-group contrib name surname given-names xref aff pub-date day month year volume abstract p italic kwd-group kwd body sec title back ref-list ref label mixed-citation".split()
+_DECLARED = ", ".join(
+    f"('{v}', '{e}', {str(automata()[e].mixed).lower()}, {len(automata()[e].steps)}, {len(own)}, {sum(len(d.allowed or ()) for d in own)})"
+    for v in VERSIONS for e in _USED for own in [[d for d in attributes(v) if d.element == e]]
+)
 register(
     "a15_grammar_dim", _by_version,
-    f"select version, t as tag, n, mixed, attributes from ({_TAGS}) as x join (values {_DECLARED}) as k(element, mixed, attributes) on k.element = t cross join (values ('1.3'), ('1.4')) as v(version)",
+    f"select version, t as tag, n, mixed, states, attributes, allowed from ({_TAGS}) as x join (values {_DECLARED}) as k(version, element, mixed, states, attributes, allowed) on k.element = t",
+)
+# Which children an element takes at once: the steps of the first state, for the elements of the articles.
+register(
+    "a15_grammar_transitions",
+    lambda s, d: nodes(s, d).select("tag").distinct().join(transitions(s).where("state = 0 and tag is not null").select(F.col("element"), F.col("tag").alias("child")),
+        F.col("tag") == F.col("element")).where("tag in ('front', 'journal-meta', 'ref', 'table', 'name', 'title-group', 'contrib-group')").select("tag", "child"),
+    """select tag, child from (values ('front', 'journal-meta'), ('journal-meta', 'journal-id'), ('ref', 'label'), ('ref', 'citation-alternatives'), ('ref', 'element-citation'), ('ref', 'mixed-citation'),
+ ('ref', 'nlm-citation'), ('ref', 'note'), ('name', 'surname'), ('name', 'given-names'), ('title-group', 'article-title'), ('contrib-group', 'contrib')) as k(tag, child) where exists (select 1 from documents)""",
 )
 
 
@@ -171,9 +186,7 @@ def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def faulty_nodes(spark, sf_dir):
-    from folia.operators.nodes import node_table
-
-    return kept(node_table(faulty(spark, sf_dir)))
+    return kept(N.node_table(faulty(spark, sf_dir)))
 
 
 _RULES = {
@@ -194,13 +207,45 @@ register(
     "select doc_id, cast(case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as integer) as n_errors, false as valid from documents",
 )
 
+# Values of every kind, four of them outside their type.
+_VALUES = (('<article article-type="research-article">', '<article article-type="research-article" dtd-version="9.9">'), ('<contrib contrib-type="author"', '<contrib contrib-type="author" equal-contrib="maybe"'),
+    ('<kwd-group>', '<kwd-group xml:lang="en us">'), ('<sec id="s1">', '<sec id="1s">'), ('<italic>', '<italic toggle="yes">'), ('ref-type="bibr"', 'ref-type="custom" custom-type="x y"'),
+    ('<kwd-group>', '<kwd-group xml:lang="en">'), ('<aff id="aff1">', '<aff id="aff1" rid="r1 s1">'))
+
+
+def _valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("xml")
+    for k, (old, new) in enumerate(_VALUES):
+        x = F.when(F.col("doc_id") % len(_VALUES) == k, F.replace(x, F.lit(old), F.lit(new))).otherwise(x)
+    return V.attribute_errors(kept(N.node_table(view(spark, sf_dir, "fx_article_xml").select("doc_id", x.alias("xml")))))
+
+
+register(
+    "d3_attribute_values", lambda s, d: _valued(s, d).select("doc_id", "rule", "message"),
+    """select doc_id, 'attribute value' as rule, case doc_id % 8 when 0 then 'Value "9.9" for attribute dtd-version of article is not among the enumerated set'
+ when 1 then 'Value "maybe" for attribute equal-contrib of contrib is not among the enumerated set' when 2 then 'Syntax of value for attribute lang of kwd-group is not valid'
+ else 'Syntax of value for attribute id of sec is not valid' end as message from documents where doc_id % 8 < 4""",
+)
+_CATEGORY = "unnest(case doc_id % 6 when 0 then ['undeclared element', 'content model'] when 1 then ['attribute'] when 2 then ['content model'] when 3 then ['identifier', 'identifier'] when 4 then ['identifier'] else ['text'] end)"
+register(
+    "d10_error_explain_validated", lambda s, d: V.validate(faulty_nodes(s, d)).select("doc_id", Q.error_category(F.col("message")).alias("category"),
+        F.regexp_extract(Q.error_explain(F.col("message")), "^[^ ]+ [^ ]+ is (?:incomplete or out of order|not allowed in [^ ]+|not known here)", 0).alias("said")),
+    f"""select doc_id, category, case when category = 'undeclared element' then 'element foo is not known here' when category = 'attribute' then 'attribute colour is not allowed in sec'
+ when category = 'content model' then case when doc_id % 6 = 0 then 'element sec is incomplete or out of order' else 'element journal-meta is incomplete or out of order' end else '' end as said from (select doc_id, {_CATEGORY} as category from documents) as c""",
+)
+register(
+    "d19_error_report_validated", lambda s, d: E.error_report(V.validate(faulty_nodes(s, d)).select("doc_id", Q.error_category(F.col("message")).alias("category"))),
+    f"select category, count(*) as n, count(distinct doc_id) as documents from (select doc_id, {_CATEGORY} as category from documents) as c group by rollup (category)",
+)
+
 _VERSIONED = "select doc_id, case doc_id % 3 when 0 then '1.3' when 1 then '1.4' else '9.9' end as wanted from documents"
 
 
 def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each article against the version that it names, or the default."""
+    """Each article, which says that it is of 1.4, against the version that is wanted for it, or the default."""
     used = run(spark, sf_dir, _VERSIONED).select("doc_id", *E.pick_version(F.col("wanted")))
-    both = faulty_nodes(spark, sf_dir).join(used, "doc_id")
+    said = faulty(spark, sf_dir).withColumn("xml", F.replace("xml", F.lit("<article "), F.lit('<article dtd-version="1.4" ')))
+    both = kept(N.node_table(said)).join(used, "doc_id")
     errors = [V.validate(both.where(F.col("used") == v).drop("used", "fell_back"), v) for v in VERSIONS]
     counts = errors[0].unionByName(errors[1]).groupBy("doc_id").agg(F.count("*").alias("n_errors"))
     return used.join(counts, "doc_id", "left").select("doc_id", "used", "fell_back", F.coalesce("n_errors", F.lit(0)).alias("n_errors"))
@@ -208,7 +253,7 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register(
     "d8_grammar_version_fallback", _validated,
-    f"select doc_id, case when wanted in ('1.3', '1.4') then wanted else '1.4' end as used, wanted not in ('1.3', '1.4') as fell_back, case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as n_errors from ({_VERSIONED}) as v",
+    f"select doc_id, case when wanted in ('1.3', '1.4') then wanted else '1.4' end as used, wanted not in ('1.3', '1.4') as fell_back, case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end + case when wanted = '1.3' then 1 else 0 end as n_errors from ({_VERSIONED}) as v",
 )
 
 # F: publication
@@ -328,16 +373,19 @@ register(
 
 
 def _generated(s, d):
-    docs = view(s, d, "fx_article_xml").select("doc_id", F.col("xml").alias("text"))
-    model = lambda p: {"text": "```xml\n" + p + "\n```", "finish_reason": "stop"}
-    board = J.generate_job(docs, view(s, d, "fx_roster"), "{texto_articulo}", model, kept, 8)
+    """The model's answers are the candidates with known faults: the prompt carries them, told apart by the roster's label."""
+    docs = view(s, d, "fx_judged").select("doc_id", "roster_idx", F.concat("label", F.lit("\n"), "raw_response").alias("text"))
+    docs = docs.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("roster_idx", "text"))), lambda x: x["text"]), "\0").alias("text"))
+    board = J.generate_job(docs, view(s, d, "fx_roster"), "{texto_articulo}", _answer, kept, 8)
     return board.select("doc_id", "roster_idx", "n_errors", "score", F.col("rank").cast("long").alias("rank"))
 
 
-register(
-    "h7_generate_job", _generated,
-    f"""select doc_id, roster_idx, cast(0 as integer) as n_errors, cast(case when length(regexp_replace({_BODY_}, '^\\s+|\\s+$', '', 'g')) >= 500 then 100 else 20 end as integer) as score, roster_idx + 1 as rank from (select doc_id, xml as x from fx_article_xml) as a cross join fx_roster""",
-)
+def _answer(prompt: str, label: str) -> dict:
+    """What the model of a label says: its part of the prompt."""
+    return {"text": next(x for x in prompt.split("\0") if x.startswith(label)).partition("\n")[2]}
+
+
+register("h7_generate_job", _generated, f"select doc_id, roster_idx, n_errors, score, rank from ({JUDGED_BOARD}) as b")
 
 
 def _ingested(s, d):

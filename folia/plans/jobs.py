@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.functions.text import sanitize_text, fence_extract
+from folia.functions.text import fence_extract
 from folia.operators import assemble as A
 from folia.operators import candidates as E
 from folia.operators import extract as X
@@ -34,21 +34,22 @@ def metadata_job(blocks: DataFrame, template: str, fn: Callable[[str], dict], pr
 
 
 def score_candidates(cands: DataFrame, keep: Keep, version: str = "1.4") -> DataFrame:
-    """cands (doc_id, roster_idx, xml) scored with the errors of validation, ranked."""
+    """cands (doc_id, roster_idx, xml) scored with the errors of validation and the audit of their parsed body, ranked."""
     keys = ("doc_id", "roster_idx")
+    cands = keep(cands)
     rows = keep(N.node_rows(cands, "xml", *keys))
     nodes = rows.where("node_id >= 0").drop("parse_error")
     broken = rows.where("parse_error is not null").select(*keys, F.lit(0).alias("node_id"), F.lit("syntax").alias("rule"), F.col("parse_error").alias("message"))
     errors = V.validate(nodes, version, *keys).unionByName(broken)
-    return E.leaderboard(E.score(cands, V.verdicts(cands, errors, *keys)))
+    return E.leaderboard(E.score(cands, V.verdicts(cands, errors, *keys), V.body_audit(rows, *keys)))
 
 
-def generate_job(docs: DataFrame, roster: DataFrame, template: str, fn: Callable[[str], dict], keep: Keep, partitions: int = 8) -> DataFrame:
-    """docs (doc_id, text): prompt, fan-out over the roster, call, clean-up, validation, score, rank."""
+def generate_job(docs: DataFrame, roster: DataFrame, template: str, fn: Callable[[str, str], dict], keep: Keep, partitions: int = 8) -> DataFrame:
+    """docs (doc_id, text): prompt, fan-out over the roster, call of fn(prompt, label), clean-up, validation, score, rank."""
     prompts = docs.select("doc_id", A.render(F.lit(template), texto_articulo=F.col("text")).alias("prompt"))
-    answers = keep(call_model(E.fanout(prompts, roster), fn, partitions).drop("prompt"))
-    cands = answers.where("error_class is null").withColumn("xml", sanitize_text(fence_extract(F.col("text"))))
-    return score_candidates(cands.drop("text"), keep)
+    answers = keep(call_model(E.fanout(prompts, roster), fn, partitions, arguments=("prompt", "label")).drop("prompt"))
+    cands = answers.where("error_class is null").withColumn("xml", fence_extract(F.col("text"))).drop("text")
+    return score_candidates(N.clean_articles(cands, keep, "xml", "doc_id", "roster_idx"), keep)
 
 
 def publish_job(nodes: DataFrame, images: DataFrame | None = None, words: P.Words = P.Words()) -> DataFrame:

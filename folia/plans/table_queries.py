@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from folia.functions import quality as Q
 from folia.functions import text as X
 from folia.operators import candidates as E
+from folia.operators import nodes as N
 from folia.operators import settings as S
 from folia.operators import usage as G
-from folia.plans import text_queries as T
-from folia.plans.fixtures import oracle, run, view
+from folia.plans import jobs as J
+from folia.plans.fixtures import kept, oracle, run, view
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -25,16 +26,18 @@ def register(name: str, query, sql: str | None = None) -> None:
         SQL[name] = oracle(sql)
 
 
-# The flagship: which candidate of each article is best?
-_XML = T.sanitize_steps(f"(select doc_id, roster_idx, {T.fence_sql('raw_response')} as x from fx_candidates) as c", "x")
-_BODY = T._BODY.replace("raw_response", "x")
-_LAZY = T._LAZY.replace("raw_response", "x")
-_SCORED = f"select doc_id, roster_idx, case when len({_LAZY}) = 0 and length({_BODY}) >= 500 then 100 else 20 end as score from {_XML}"
-_BOARD = f"select *, row_number() over (partition by doc_id order by score desc, roster_idx) as rank from ({_SCORED}) as s"
+# The flagship: which candidate of each article is best? Scores follow from validation; a body that cannot be parsed is not audited.
+_LONG = "fault = 4 or length(concat('One', replace(text, chr(10), ''), 'See 1.', case when fault = 2 then 'x' else '' end)) >= 500"
+_SCORED = f"""select doc_id, roster_idx, n_errors, cast(case when complete then 100 - 5 * n_errors else least(20, 100 - 5 * n_errors) end as integer) as score from (
+ select j.doc_id, roster_idx, cast(case fault when 4 then 1 when 3 then 4 else fault end as integer) as n_errors, ({_LONG}) and (roster_idx + j.doc_id) % 7 <> 2 as complete
+ from fx_judged j join documents d on d.doc_id = j.doc_id)"""
+JUDGED_BOARD = f"select *, row_number() over (partition by doc_id order by score desc, roster_idx) as rank from ({_SCORED}) as s"
 
 
 def board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.leaderboard(E.score(E.clean(view(spark, sf_dir, "fx_candidates"))))
+    """The answers taken from their fences, cleaned, validated, audited, scored and ranked."""
+    cands = view(spark, sf_dir, "fx_judged").withColumn("xml", X.fence_extract(F.col("raw_response"))).drop("raw_response", "fault")
+    return J.score_candidates(N.clean_articles(cands, kept, "xml", "doc_id", "roster_idx"), kept)
 
 
 def _overrides(spark, sf_dir):
@@ -43,12 +46,12 @@ def _overrides(spark, sf_dir):
 
 register("e1_candidate_fanout", lambda s, d: E.fanout(view(s, d, "documents").select("doc_id"), view(s, d, "fx_roster")),
     "select doc_id, roster_idx, label, provider, model from documents cross join fx_roster")
-register("e2_leaderboard", lambda s, d: board(s, d).select("doc_id", "roster_idx", "score", "rank"),
-    f"select doc_id, roster_idx, cast(score as integer) as score, cast(rank as integer) as rank from ({_BOARD}) as b")
+register("e2_leaderboard", lambda s, d: board(s, d).select("doc_id", "roster_idx", "n_errors", "score", "rank"),
+    f"select doc_id, roster_idx, n_errors, cast(score as integer) as score, cast(rank as integer) as rank from ({JUDGED_BOARD}) as b")
 register(
     "e3_winner_pick", lambda s, d: E.winners(board(s, d), _overrides(s, d)).select("doc_id", "roster_idx", "score", "overridden"),
     f"""select doc_id, roster_idx, cast(score as integer) as score, coalesce(hit, false) as overridden from (select b.*, quality = roster_idx as hit,
- row_number() over (partition by b.doc_id order by coalesce(quality = roster_idx, false) desc, rank) as best from ({_BOARD}) as b left join labels l on l.doc_id = b.doc_id) as w where best = 1""",
+ row_number() over (partition by b.doc_id order by coalesce(quality = roster_idx, false) desc, rank) as best from ({JUDGED_BOARD}) as b left join labels l on l.doc_id = b.doc_id) as w where best = 1""",
 )
 
 
