@@ -9,6 +9,7 @@ from folia.functions.quality import input_gate, required_missing
 from folia.functions.text import json_object_slice
 
 MAX_BYTES = 50 * 1024 * 1024
+TOO_LARGE = "too large"
 #: First bytes of the accepted formats.
 MAGIC = {".docx": b"PK\x03\x04", ".pdf": b"%PDF"}
 METADATA = "struct<article_title:string,journal_title:string,publication_date:string,doi:string,roi:string,authors:array<struct<given_names:string,surname:string,email:string,aff_id:string>>,affiliations:array<struct<id:string,institution:string,country:string>>,abstract:string,keywords:array<string>>"
@@ -25,7 +26,7 @@ def admit(df: DataFrame, max_bytes: int = MAX_BYTES, magic: dict[str, bytes] = M
     wrong = F.lit(True)
     for name, first in magic.items():
         wrong = wrong & ~((kind == name) & (head == F.lit(bytearray(first))))
-    reason = F.when(F.col("length") > max_bytes, "too large").when(~kind.isin(*magic), "wrong type").when(wrong, "content does not match type")
+    reason = F.when(F.col("length") > max_bytes, TOO_LARGE).when(~kind.isin(*magic), "wrong type").when(wrong, "content does not match type")
     return df.withColumn("reason", reason)
 
 

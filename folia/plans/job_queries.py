@@ -5,15 +5,17 @@ from __future__ import annotations
 import io
 import os
 import re
+import time
 import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import quality as Q
+from folia.operators import assemble as A
 from folia.operators import calls as C
 from folia.operators import candidates as E
 from folia.operators import extract as X
@@ -26,7 +28,8 @@ from folia.plans.fixtures import kept, oracle, run, view
 from folia.plans.table_queries import JUDGED_BOARD
 from folia.sources import files as S
 from folia.sources.grammar import VERSIONS, attr_decl, attributes, automata, content_model, transitions
-from folia.streaming.ingest import stream_ingest
+from folia.operators.usage import with_limits
+from folia.streaming.ingest import manifest, stream_files, stream_ingest
 from folia.streaming.usage import scratch
 
 QUERIES: dict = {}
@@ -60,12 +63,12 @@ def _docx(text: str) -> bytes:
     return out.getvalue()
 
 
-def word_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def word_files(spark: SparkSession, sf_dir: str, text: str = "text") -> DataFrame:
     def run(batches):
         for b in batches:
             yield pd.DataFrame({"path": [f"{i}.docx" for i in b["doc_id"]], "content": [_docx(t or "") for t in b["text"]]})
 
-    return view(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return view(spark, sf_dir, "documents").selectExpr("doc_id", f"{text} as text").mapInPandas(run, "path string, content binary")
 
 
 _BLOCKS = "select cast(doc_id as varchar) || '.docx' as doc_id, len(string_split(text, chr(10))) as n from documents"
@@ -105,6 +108,13 @@ register(
         F.count_if(F.col("kind") == "table").alias("tables"), F.count_if(F.col("kind") == "image").alias("images"), F.max("pos").cast("long").alias("last")),
     f"select doc_id, n as paragraphs, 1 as tables, 1 as images, n + 1 as last from ({_BLOCKS}) as b",
 )
+# The head of a file: no block behind the limit is decoded, and the metadata's context over it is the context over the whole file.
+register(
+    "a3_docx_head", lambda s, d: (lambda w: S.docx_blocks(w, max_blocks=5).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("pos").cast("long").alias("last")).join(
+        A.head_context(S.docx_blocks(w, max_blocks=5), 5).select("doc_id", F.length("context").cast("long").alias("chars")), "doc_id"))(word_files(s, d)),
+    f"""select doc_id, least(n + 2, 5) as n, least(n + 1, 4) as last, chars from ({_BLOCKS}) as b join (
+ select doc_id || '.docx' as doc_id, length(array_to_string(string_split(text, chr(10))[1:5], chr(10))) as chars from documents) as c using (doc_id)""",
+)
 register("a4_docx_images", lambda s, d: S.images(S.docx_blocks(word_files(s, d))).select("doc_id", "name", F.hex("content").alias("content")),
     f"select doc_id, 'imagen_1.png' as name, '89504E47' as content from ({_BLOCKS}) as b")
 
@@ -207,6 +217,15 @@ register(
     "select doc_id, cast(case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as integer) as n_errors, false as valid from documents",
 )
 
+# The audit on parsed bodies: whole, cut in the middle of a tag, without a body, and with what patterns misread (entities, CDATA, a comment with a bracket).
+_BODIES = """select doc_id, case doc_id % 4 when 0 then xml when 1 then replace(xml, '</sec></body>', '</body') when 2 then replace(replace(xml, '<body>', '<sub-article>'), '</body>', '</sub-article>')
+ else replace(xml, '<title>One</title>', '<title>&lt;One&gt;</title><!-- a > b --><p><![CDATA[<p>]]></p>') end as xml from fx_article_xml"""
+register(
+    "d12_body_text_nodes", lambda s, d: V.body_audit(kept(N.node_rows(run(s, d, _BODIES)))).select("doc_id", "parse_ok", F.length("body_text").cast("long").alias("n"),
+        (F.length("body_text") < Q.MIN_BODY).alias("short")),
+    """select doc_id, doc_id % 4 <> 1 as parse_ok, n, n < 500 as short from (select doc_id, case doc_id % 4 when 1 then null when 2 then 0 when 3 then length(text) - len(regexp_extract_all(text, chr(10))) + 14
+ else length(text) - len(regexp_extract_all(text, chr(10))) + 9 end as n from documents) as b""",
+)
 # Values of every kind, four of them outside their type.
 _VALUES = (('<article article-type="research-article">', '<article article-type="research-article" dtd-version="9.9">'), ('<contrib contrib-type="author"', '<contrib contrib-type="author" equal-contrib="maybe"'),
     ('<kwd-group>', '<kwd-group xml:lang="en us">'), ('<sec id="s1">', '<sec id="1s">'), ('<italic>', '<italic toggle="yes">'), ('ref-type="bibr"', 'ref-type="custom" custom-type="x y"'),
@@ -332,6 +351,32 @@ register(
 )
 
 
+def _stamp():
+    """A client that is made once per partition: it counts its calls and says when each was made."""
+    calls = []
+
+    def call(prompt: str) -> dict:
+        calls.append(1)
+        return {"text": f"{time.time():.6f} {len(calls)}", "finish_reason": "stop", "prompt_tokens": 10, "completion_tokens": 5}
+
+    return call
+
+
+_PER = 0.5  # seconds that stand for the quota's minute
+
+
+def _within_quota(s, d):
+    """Calls of three models under their quotas: how many there were, and whether any stretch of the quota's time held too many."""
+    items = view(s, d, "benchmark").select(F.col("text").alias("prompt"), F.element_at(F.array(F.lit("gemini-2.5-pro"), F.lit("gemini-2.0-flash"), F.lit("other")), (F.col("item_id") % 3 + 1).cast("int")).alias("model"))
+    done = kept(C.call_model(items, None, 3, client=_stamp, limited=True, per=_PER)).withColumn("at", (F.split("text", " ")[0].cast("double") * 1000).cast("long"))
+    busy = F.count("*").over(Window.partitionBy("model").orderBy("at").rangeBetween(Window.currentRow, int(950 * _PER)))
+    return with_limits(done.withColumn("busy", busy)).groupBy("model").agg(F.count("*").alias("n"), F.bool_or(F.col("busy") > F.col("rpm")).alias("over"), F.sum("prompt_tokens").alias("tokens"))
+
+
+register("h1_model_call_within_quota", _within_quota,
+    "select case item_id % 3 when 0 then 'gemini-2.5-pro' when 1 then 'gemini-2.0-flash' else 'other' end as model, count(*) as n, false as over, 10 * count(*) as tokens from benchmark group by 1")
+
+
 def _repair(prompt: str) -> dict:
     return {"text": "```xml\n" + re.sub(r"<!--.*?-->", "", prompt.partition("\n")[2]) + "\n```", "finish_reason": "stop"}
 
@@ -397,3 +442,39 @@ def _ingested(s, d):
 
 
 register("i6_stream_ingest", _ingested, "select doc_id, true as parse_ok, case doc_id % 6 when 0 then 2 when 3 then 2 else 1 end as n_errors from documents")
+
+
+# Files of every fate: articles, broken ones, Word files, wrong bytes, a wrong kind; then a second delivery, of which half came before.
+def _dropped(s: SparkSession, d: str, path: str, second: bool) -> None:
+    words = word_files(s, d, "concat(doc_id, ' ', text)").select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "content")
+    both = view(s, d, "fx_article_xml").join(words, "doc_id").withColumn("fate", F.col("doc_id") % 5)
+    xml = F.encode("xml", "utf-8")
+    if second:
+        rows = both.where("fate = 0 and doc_id % 2 = 0").select(F.concat(F.lit("again/"), F.col("doc_id"), F.lit(".xml")).alias("name"), F.when(F.col("doc_id") % 4 == 0, xml).otherwise(
+            F.encode(F.replace("xml", F.lit("<title>One</title>"), F.lit("<title>Two</title>")), "utf-8")).alias("content"))
+    else:
+        content = F.when(F.col("fate") == 0, xml).when(F.col("fate") == 1, F.encode(F.replace("xml", F.lit("</sec></body>"), F.lit("</body>")), "utf-8")).when(F.col("fate") == 2,
+            F.col("content")).otherwise(F.encode(F.concat(F.lit("x"), F.col("doc_id")), "utf-8"))
+        ending = F.element_at(F.array(*map(F.lit, (".xml", ".xml", ".docx", ".docx", ".txt"))), (F.col("fate") + 1).cast("int"))
+        rows = both.select(F.concat(F.lit("first/"), F.col("doc_id"), ending).alias("name"), content.alias("content"))
+    rows.foreachPartition(FileDrop(path))
+
+
+def _files_in(s, d):
+    folder = scratch(s)
+    for second in (False, True):
+        _dropped(s, d, f"{folder}/in", second)
+        stream_files(s, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint", per_trigger=100_000)
+    found = manifest(s, f"{folder}/out").select(F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("long").alias("doc_id"), F.regexp_extract("path", "(first|again)/", 1).alias("delivery"), "status", "reason", "path")
+    errors = s.read.parquet(f"{folder}/out/errors").groupBy(F.col("doc_id").alias("path")).agg(F.count("*").alias("n_errors"))
+    blocks = s.read.parquet(f"{folder}/out/blocks").groupBy(F.col("doc_id").alias("path")).agg(F.count("*").alias("n_blocks"))
+    return found.join(errors, "path", "left").join(blocks, "path", "left").drop("path").withColumn("reason", F.regexp_extract("reason", "^[a-z ]+?(?= at |$)", 0)).fillna("", ["reason"])
+
+
+register(
+    "i6_stream_files", _files_in,
+    """select doc_id, 'first' as delivery, case doc_id % 5 when 0 then 'article' when 1 then 'broken' when 2 then 'blocks' else 'rejected' end as status,
+ case doc_id % 5 when 1 then 'mismatched end tag body' when 3 then 'content does not match type' when 4 then 'wrong type' else '' end as reason, cast(null as bigint) as n_errors,
+ case when doc_id % 5 = 2 then len(string_split(text, chr(10))) + 2 end as n_blocks from documents
+union all select doc_id, 'again', case when doc_id % 4 = 0 then 'replayed' else 'article' end, '', null, null from documents where doc_id % 10 = 0""",
+)

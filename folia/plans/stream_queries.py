@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,46 @@ register(
  select *, sum(fresh) over (partition by user_id order by ts, usage_id) as session from (
  select *, case when ts - lag(ts) over (partition by user_id order by ts, usage_id) <= interval 30 minutes then 0 else 1 end as fresh from fx_token_usage) as a) as b group by user_id, session""",
 )
+# The sliding window: a minute that begins every half.
+register(
+    "i2_stream_rate_limits_sliding", lambda s, d: _drain(s, d, lambda u: S.stream_rates(u, LONG, "30 seconds")).select(_named("minute"), "model", "requests", "tokens", "over"),
+    f"""select strftime(minute, '%Y-%m-%d %H:%M:%S') as minute, r.model, requests, tokens, requests > coalesce(rpm, 10) or tokens > coalesce(tpm, 250000) as over from (
+ select time_bucket(interval 30 seconds, ts) - k * interval 30 seconds as minute, model, count(*) as requests, cast(sum(total_tokens) as bigint) as tokens from fx_token_usage cross join (values (0), (1)) as h(k) group by all) as r left join {G._QUOTAS} on q.model = r.model""",
+)
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage log, then a far row that moves the watermark, then a tenth of the log again as new events: all of it is late."""
+    folder = S.scratch(spark)
+    usage = view(spark, sf_dir, "fx_token_usage").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = usage.where("usage_id % 10 = 3").withColumn("usage_id", F.col("usage_id") + 1_000_000_000)
+    counted = []
+    for part in (usage, S.with_closing_row(usage).where("usage_id = -1"), again):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = S.stream_dedupe(S.read_usage(spark, f"{folder}/in"))
+        counted.append(S.late_rows(spark, lambda x=stream: S.started(x, f"{folder}/checkpoint", f"{folder}/out")))
+    late = counted[0].unionByName(counted[1]).unionByName(counted[2]).agg(F.coalesce(F.sum("late"), F.lit(0)).alias("late"))
+    kept = spark.read.parquet(f"{folder}/out").agg(F.count("*").alias("kept"))
+    return late.join(kept)
+
+
+register("i6_late_rows", _late, "select count(*) filter (where usage_id % 10 = 3) as late, count(*) + 1 as kept from fx_token_usage")
+
+
+def _appended_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream into a table; the first run dies after it has written its second batch and before that is committed."""
+    folder = S.scratch(spark)
+    view(spark, sf_dir, "fx_token_usage").withColumn("ts", F.col("ts").cast("timestamp")).repartition(FILES, "usage_id").write.parquet(f"{folder}/in")
+
+    def die(number: int) -> None:
+        if number == 1:
+            raise RuntimeError("killed")
+
+    try:
+        S.append_stream(S.read_usage(spark, f"{folder}/in"), f"{folder}/log", f"{folder}/checkpoint", die)
+    except StreamingQueryException:
+        S.append_stream(S.read_usage(spark, f"{folder}/in"), f"{folder}/log", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/log").select("usage_id", "model", "total_tokens")
+
+
+register("a12_usage_append_stream", _appended_once, "select usage_id, model, total_tokens from fx_token_usage")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -48,10 +49,22 @@ def _paragraph(p) -> str:
     return "".join(out)
 
 
-def _blocks(content: bytes) -> list[tuple]:
-    """(kind, text, rows, image) of a Word file's body, in order."""
+def _body(part) -> Iterator[ElementTree.Element]:
+    """The children of a document's body as they are read; what has been used is let go, and nothing is read before it is asked for."""
+    stack: list[ElementTree.Element] = []
+    for event, e in ElementTree.iterparse(part, events=("start", "end")):
+        if event == "start":
+            stack.append(e)
+            continue
+        stack.pop()
+        if stack and stack[-1].tag == _W + "body":
+            yield e
+            stack[-1].remove(e)
+
+
+def _blocks(content: bytes, max_blocks: int | None = None) -> list[tuple]:
+    """(kind, text, rows, image) of a Word file's body, in order; of a limit's blocks only as much is decoded as they take."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
         names = set(z.namelist())
         relations, types = {}, {}
         if "word/_rels/document.xml.rels" in names:
@@ -59,32 +72,38 @@ def _blocks(content: bytes) -> list[tuple]:
         if "[Content_Types].xml" in names:
             types = {e.get("Extension", "").lower(): e.get("ContentType") for e in ElementTree.fromstring(z.read("[Content_Types].xml")) if e.get("Extension")}
         out: list[tuple] = []
-        for e in body if body is not None else ():
-            if e.tag == _W + "p":
-                text, found = _paragraph(e), False
-                for blip in e.iter(_A + "blip"):
-                    found = True
-                    target = "word/" + (relations.get(blip.get(_R + "embed")) or "").removeprefix("/word/")
-                    if target in names:
-                        kind = types.get(target.rpartition(".")[2].lower(), "image/" + target.rpartition(".")[2])
-                        out.append(("image", text, None, (target.rpartition("/")[2], kind, z.read(target))))
-                if not found:
-                    out.append(("paragraph", text, None, None))
-            elif e.tag == _W + "tbl":
-                rows = [["\n".join(_paragraph(p) for p in c.iter(_W + "p")) for c in r.findall(_W + "tc")] for r in e.findall(_W + "tr")]
-                out.append(("table", None, rows, None))
-    return out
-
-
-def docx_blocks(files: DataFrame) -> DataFrame:
-    """BLOCKS of files (path, content): one row per paragraph, table and picture; a file that cannot be read gives one row with error."""
+        with z.open("word/document.xml") as part:
+            for e in _body(part):
+                if e.tag == _W + "p":
+                    text, found = _paragraph(e), False
+                    for blip in e.iter(_A + "blip"):
+                        found = True
+                        target = "word/" + (relations.get(blip.get(_R + "embed")) or "").removeprefix("/word/")
+                        if target in names:
+                            kind = types.get(target.rpartition(".")[2].lower(), "image/" + target.rpartition(".")[2])
+                            out.append(("image", text, None, (target.rpartition("/")[2], kind, z.read(target))))
+                    if not found:
+                        out.append(("paragraph", text, None, None))
+                elif e.tag == _W + "tbl":
+                    rows = [["\n".join(_paragraph(p) for p in c.iter(_W + "p")) for c in r.findall(_W + "tc")] for r in e.findall(_W + "tr")]
+                    out.append(("table", None, rows, None))
+                if max_blocks is not None and len(out) >= max_blocks:
+                    break
+    return out[:max_blocks]
+
+
+def docx_blocks(files: DataFrame, max_blocks: int | None = None) -> DataFrame:
+    """BLOCKS of files (path, content): one row per paragraph, table and picture; a file that cannot be read gives one row with error.
+
+    max_blocks: only a file's first blocks, and the decoder stops behind them, so faults further on are not seen.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 try:
-                    found = _blocks(content)
+                    found = _blocks(content, max_blocks)
                 except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
                     rows.append((path, 0, "error", None, None, None, str(e)[:500]))
                     continue

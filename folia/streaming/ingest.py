@@ -1,31 +1,112 @@
-"""New article files to tables, batch by batch."""
+"""New files to tables, batch by batch.
+
+A batch's rows stand in folders with its number, and its manifest, which says what became of every file, is written last: a batch
+that is run again replaces its own folders, so nothing is written twice and nothing is left out.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folia.functions.text import sanitize_text
+from folia.operators import manuscripts as M
 from folia.operators import nodes as N
 from folia.operators import validate as V
+from folia.sources.files import docx_blocks
 
 ARRIVING = "doc_id bigint, xml string"
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+MANIFEST = "path string, sha256 string, status string, reason string, batch int"
 
 
-def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = ARRIVING, per_trigger: int = 2):
-    """Reads arriving Parquet files of articles and appends to articles, nodes and errors below target. Returns the finished query.
+class _Batch:
+    """Tables of one batch below a target."""
 
-    A batch's rows carry its number: a batch that is run again replaces its own folder, so nothing is written twice.
-    """
+    def __init__(self, spark: SparkSession, target: str, number: int):
+        self.spark, self.target, self.number = spark, target, number
+        self.kept = 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.target}/{name}/batch={self.number}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept += 1
+        return self.write(df, f"work/{self.kept}")
 
-    def write(batch: DataFrame, number: int) -> None:
-        cleaned = batch.withColumn("xml", sanitize_text(F.col("xml")))
-        N.parsed(cleaned).write.mode("overwrite").parquet(f"{target}/articles/batch={number}")
-        articles = batch.sparkSession.read.parquet(f"{target}/articles/batch={number}")
-        N.node_table(articles).write.mode("overwrite").parquet(f"{target}/nodes/batch={number}")
-        V.validate(batch.sparkSession.read.parquet(f"{target}/nodes/batch={number}")).write.mode("overwrite").parquet(f"{target}/errors/batch={number}")
+    def articles(self, docs: DataFrame) -> DataFrame:
+        """Cleans docs (doc_id, xml) and writes articles, nodes and errors; returns doc_id, parse_ok, parse_error."""
+        cleaned = N.clean_articles(docs.select("doc_id", "xml"), self.keep)
+        articles = self.write(N.parsed(cleaned), "articles")
+        nodes = self.write(N.node_table(articles.select("doc_id", "xml")), "nodes")
+        self.write(V.validate(nodes), "errors")
+        return articles.select("doc_id", "parse_ok", "parse_error")
 
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source)
+    def done(self) -> None:
+        """Removes what was kept on the way."""
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.target}/work")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for k in range(1, self.kept + 1):
+            files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.target}/work/{k}/batch={self.number}"), True)
+
+
+def _run(stream: DataFrame, write, checkpoint: str):
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = ARRIVING, per_trigger: int = 2):
+    """Reads arriving Parquet files of articles and appends to articles, nodes and errors below target. Returns the finished query."""
+
+    def write(rows: DataFrame, number: int) -> None:
+        batch = _Batch(rows.sparkSession, target, number)
+        batch.articles(rows)
+        batch.done()
+
+    return _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source), write, checkpoint)
+
+
+def stream_files(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000, max_bytes: int = M.MAX_BYTES):
+    """Takes in files as they arrive below source: articles (.xml) and manuscripts (.docx, .pdf). Returns the finished query.
+
+    Below target: articles, nodes and errors of the XML files, blocks of the Word files, and the manifest (MANIFEST) with one row per
+    file. Its status is article, blocks, accepted (a PDF: its text is not read here), broken (with the first error), rejected (with the
+    admission's reason), or replayed (the same bytes came before, in an earlier batch or under an earlier path of this one).
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
+        batch = _Batch(spark, target, number)
+        files = rows.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), M.suffix(F.col("path")).alias("suffix"))
+        place = F.row_number().over(W.partitionBy("sha256").orderBy("path"))
+        files = batch.keep(M.admit(files, max_bytes).withColumn("place", place))
+        earlier = manifest(spark, target).where(F.col("batch") < number).where("status <> 'replayed'").select("sha256").distinct().withColumn("came", F.lit(True))
+        files = files.join(earlier, "sha256", "left").withColumn("came", F.coalesce("came", F.col("place") > 1))
+        is_xml: Column = F.col("suffix") == ".xml"
+        large = F.when(F.col("length") > max_bytes, M.TOO_LARGE)
+        files = batch.keep(files.withColumn("reason", F.when(is_xml, large).otherwise(F.col("reason"))))
+        new = files.where("not came and reason is null")
+        xml = new.where(is_xml).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("xml"))
+        read = batch.articles(xml).select("doc_id", F.when(F.col("parse_ok"), "article").otherwise("broken").alias("became"), F.col("parse_error").alias("why"))
+        blocks = batch.write(docx_blocks(new.where("suffix = '.docx'")), "blocks")
+        words = blocks.groupBy("doc_id").agg(F.max("error").alias("why"))
+        read = read.unionByName(words.select("doc_id", F.when(F.col("why").isNull(), "blocks").otherwise("broken").alias("became"), "why"))
+        said = files.drop("content").join(read.withColumnRenamed("doc_id", "path"), "path", "left")
+        plain = F.when(F.col("suffix") == ".docx", "blocks").otherwise("accepted")  # a Word file without any block
+        status = F.when(F.col("came"), "replayed").when(F.col("reason").isNotNull(), "rejected").otherwise(F.coalesce("became", plain))
+        batch.write(said.select("path", "sha256", status.alias("status"), F.when(~F.col("came"), F.coalesce("reason", "why")).alias("reason")), "manifest")
+        batch.done()
+
+    stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(source)
+    return _run(stream, write, checkpoint)
+
+
+def manifest(spark: SparkSession, target: str) -> DataFrame:
+    """What became of every file so far; no rows before the first batch."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{target}/manifest")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from folia.operators.usage import with_limits
 
@@ -89,13 +90,73 @@ def stream_alerts(usage: DataFrame, watermark: str = "1 hour") -> DataFrame:
     return dated.groupBy("model", "day").transformWithStateInPandas(QuotaAlerts(), "model string, day string, band int", "Append", "EventTime")
 
 
-def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all files that are there, into Parquet under path, and returns the rows."""
+def started(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> StreamingQuery:
+    """Runs a stream over all files that are there, into Parquet under path, and returns the finished query."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).option("path", path).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
+
+
+def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all files that are there, into Parquet under path, and returns the rows."""
+    started(stream, checkpoint, path, mode)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
+def append_stream(usage: DataFrame, path: str, checkpoint: str, wrote: Callable[[int], None] = lambda number: None) -> None:
+    """Appends a stream of usage events below path, each once whatever fails: a batch that runs again replaces its own folder.
+
+    wrote(number) is called when a batch's rows are written and the batch is not yet committed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        wrote(number)
+
+    query = usage.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+class LateRows(StreamingQueryListener):
+    """Collects how many rows each batch of the session's streams dropped behind the watermark: (query, batch, operator, rows).
+
+    An operator counts what reaches it: rows for removal of duplicates, partial sums for aggregates.
+    """
+
+    def __init__(self):
+        self.rows: list[tuple[str, int, str, int]] = []
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802  Spark's name
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self.rows += [(str(p.runId), p.batchId, o.operatorName, o.numRowsDroppedByWatermark) for o in p.stateOperators if o.numRowsDroppedByWatermark]
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.add(str(event.runId))
+
+
+def late_rows(spark: SparkSession, run: Callable[[], StreamingQuery], patience: float = 60.0) -> DataFrame:
+    """run, batch, operator, late: rows that the finished stream of run() dropped as late, by batch."""
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        query = str(run().runId)
+        waited = time.monotonic() + patience
+        while query not in listener.ended and time.monotonic() < waited:  # events come after the query's end
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(listener)
+    if query not in listener.ended:
+        raise TimeoutError("the stream's last event has not come")
+    return spark.createDataFrame([r for r in listener.rows if r[0] == query], "run string, batch bigint, operator string, late bigint")
+
+
 class rocksdb:  # noqa: N801  used as a context
     """Keeps state in RocksDB while a query that needs it is started."""
 
@@ -124,4 +185,6 @@ def scratch(spark: SparkSession) -> str:
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{base or 'file://' + tempfile.mkdtemp(prefix='folia-')}/streams/{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from folia.operators import calls as C
@@ -99,3 +100,79 @@ def test_partitioning_does_not_change_results(spark, small):
     one, many = (leaderboard(score(clean(cands.repartition(n)))).select("doc_id", "roster_idx", "score", "rank") for n in (1, 16))
     assert one.exceptAll(many).isEmpty() and many.where("rank = 1").count() == one.select("doc_id").distinct().count()
     assert one.where(~F.col("score").between(0, 100)).isEmpty()
+
+
+def test_windows_let_no_stretch_hold_too_much():
+    import random
+
+    rng = random.Random(1)
+    for calls, tokens in ((3, 1000), (5, 40), (1, 10)):
+        clock = [0.0]
+        window = C.Window(calls, tokens, 60.0, lambda: clock[0], lambda s: clock.__setitem__(0, clock[0] + s))
+        made = []
+        for _ in range(200):
+            clock[0] += rng.choice([0, 0, 1, 30])
+            expected = rng.randint(1, 30)
+            window.enter(expected)
+            took = rng.randint(1, expected)
+            window.used(took)
+            made.append((clock[0], took))
+        for at, _ in made:
+            inside = [t for when, t in made if at <= when < at + 60]
+            assert len(inside) <= calls and (sum(inside) <= tokens or len(inside) == 1)
+
+
+def test_shares_add_up_and_one_client_per_partition(spark):
+    opened = spark.sparkContext.accumulator(0)
+
+    def client():
+        opened.add(1)
+        return lambda prompt: {"text": prompt.upper(), "completion_tokens": 1}
+
+    df = spark.createDataFrame([(f"p{k}", "gemini-2.5-pro") for k in range(60)], "prompt string, model string")
+    out = C.call_model(df, None, 3, client=client, limited=True, per=0.05).collect()
+    assert sorted(r["text"] for r in out) == sorted(f"P{k}" for k in range(60)) and out[0].asDict().keys() == {"prompt", "model", "text", "finish_reason", "prompt_tokens", "completion_tokens", "error_class"}
+    assert opened.value <= 3
+
+
+def test_a_limit_keeps_the_decoder_from_later_blocks():
+    from folia.sources.files import _blocks
+    import io
+    import zipfile
+
+    word = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    lines = "".join(f"<w:p><w:r><w:t>{k}</w:t></w:r></w:p>" for k in range(20_000))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{word}"><w:body>{lines}<w:p></w:broken>')
+    # The fault at the end is never reached.
+    assert [b[1] for b in _blocks(out.getvalue(), 50)] == [str(k) for k in range(50)]
+    with pytest.raises(Exception):
+        _blocks(out.getvalue())
+
+
+def test_files_in_one_batch_and_a_batch_that_runs_again(spark, tmp_path):
+    from folia.streaming import ingest as I
+
+    drop = tmp_path / "in"
+    drop.mkdir()
+    for name, content in (("a.xml", "<article></article>"), ("b.xml", "<article></article>"), ("c.xml", "<article><p></article>"), ("d.pdf", "%PDF-1"), ("e.docx", "PK\x03\x04 no zip"), ("f.xml", "x" * 200)):
+        (drop / name).write_bytes(content.encode())
+    target = str(tmp_path / "out")
+    for _ in range(2):  # the second time without the first one's memory, as after a lost commit
+        I.stream_files(spark, str(drop), target, str(tmp_path / f"state{_}"), max_bytes=100)
+    found = {r["path"][-5:]: (r["status"], bool(r["reason"])) for r in I.manifest(spark, target).collect()}
+    assert found == {"a.xml": ("article", False), "b.xml": ("replayed", False), "c.xml": ("broken", True), "d.pdf": ("accepted", False), ".docx": ("broken", True), "f.xml": ("rejected", True)}
+    assert spark.read.parquet(f"{target}/articles").count() == 2 and I.manifest(spark, target).count() == 6
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame([(i, datetime.datetime(2024, 1, d, 12), 1, "o", "m", "p", 1, 1, 2) for i, d in pairs], U.USAGE).coalesce(1)
+
+    path, late = str(tmp_path / "in"), []
+    for part in (rows((1, 1), (2, 9)), rows((3, 1), (4, 2), (5, 9))):
+        part.write.mode("append").parquet(path)
+        run = lambda: U.started(U.stream_dedupe(U.read_usage(spark, path)), str(tmp_path / "state"), str(tmp_path / "out"))
+        late.append(sum(r["late"] for r in U.late_rows(spark, run).collect()))
+    assert late == [0, 2]
