@@ -8,6 +8,9 @@ what holds it. Sum-product messages pass from the leaves to the root and back, w
 gives each leaf's exact marginal; leaves above one half are the text. Pages of a slice are solved together,
 depth by depth.
 
+Navigation, asides, headers, footers, forms and dialogs are never content; lists, tables and their cells have no potential of their own
+and follow what they stand in.
+
 Potentials are trained on pages whose markup labels them: what lies in ``article`` or ``main`` is content
 unless ``nav``, ``aside``, ``footer``, ``form`` or a class that names boilerplate stands between. The
 sample is bounded: pages are taken by a hash of their id, ``TRAIN_PAGES`` in the mean. Counts are scaled
@@ -48,12 +51,21 @@ CLOSES_P = BLOCKS - {"html", "head", "body"}
 AGAINST = frozenset("ad ads advert advertisement adverts sponsor sponsored promo banner cookie cookies consent notice alert nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe signup login search popup modal widget toolbar pagination copyright legal".split())
 FOR = frozenset("article content main post entry story body text page".split())
 
+#: Elements that an article's text never lies in, whatever is in them; a header's headings count as its parent's.
+CLOSED = frozenset("nav aside footer header form fieldset dialog menu head title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NEVER = -40.0  # log potential of content for them
+#: Lists and tables stand in menus as in articles, and their items are many: where they stand decides, not what they look like.
+PLACED = frozenset("ul ol li dl dt dd table thead tbody tfoot tr td th caption figcaption".split())
+#: Text elements and leaves of one article tell the same thing again and again: their own potentials count by this share.
+TEMPER = 0.35
+
 #: Prior counts of (other, content) nodes.
 PRIOR_TAG = {"nav": (40, 0.2), "aside": (40, 0.2), "footer": (40, 0.2), "header": (20, 0.5), "form": (40, 0.2), "head": (40, 0.2), "title": (40, 0.2),
     "menu": (40, 0.2), "dialog": (40, 0.2), "fieldset": (40, 0.2), "address": (5, 1), "article": (0.5, 20), "main": (1, 20), "p": (20, 20),
     "h1": (4, 6), "h2": (6, 6), "h3": (6, 6), "h4": (6, 6), "h5": (6, 6), "h6": (6, 6), "blockquote": (1, 6), "pre": (1, 6), "figcaption": (1, 4),
     "ul": (10, 5), "ol": (5, 5), "li": (20, 10), "div": (20, 10), "section": (10, 10), "html": (20, 0.2), "body": (10, 2)}
-PRIOR_WORD = {"against": (6, 0.02), "for": (0.05, 1), "other": (1, 1)}
+PRIOR_WORD = {"against": (6, 0.002), "for": (0.02, 2), "other": (1, 1)}
 PRIOR_LINKS = {"all": (20, 1), "some": (5, 5), "none": (10, 20)}
 #: By kind of child: (parent's label, child's label).
 PRIOR_EDGE = {"container": {(0, 0): 60, (0, 1): 8, (1, 0): 6, (1, 1): 30}, "text": {(0, 0): 60, (0, 1): 0.3, (1, 0): 1, (1, 1): 60}}
@@ -165,7 +177,8 @@ def parse(html: str) -> list[tuple[int, str, str, str]]:
                 if name in CLOSES_P and stack[-1][1] == "p" or name in ("li", "dt", "dd", "tr", "td", "th") and stack[-1][1] == name:
                     stack.pop()
                 if name != "html":
-                    nodes.append((stack[-1][0], name, _words(attributes), ""))
+                    at_level = -2 if name in HEADINGS and stack[-1][1] == "header" else -1
+                    nodes.append((stack[at_level][0], name, _words(attributes), ""))
                     stack.append((len(nodes) - 1, name))
     flush()
     return nodes
@@ -177,7 +190,7 @@ def labels(nodes: list[tuple[int, str, str, str]]) -> list[int] | None:
         return None
     out: list[int] = []
     for parent, kind, feature, _ in nodes:
-        if kind in ("nav", "aside", "footer", "form", "head", "title") or kind != "#" and any(w in AGAINST for w in feature.split(" ")):
+        if kind in CLOSED or kind != "#" and any(w in AGAINST for w in feature.split(" ")):
             out.append(0)
         elif kind in ("article", "main"):
             out.append(1)
@@ -217,11 +230,12 @@ class Model:
             table = seen * np.minimum(1, WEIGHT / np.maximum(seen.sum(axis=0), 1)) + [prior.get(v, (2, 2)) for v in names]
             logs = np.log(table / table.sum(axis=0))
             self.node |= {(what, v): tuple(x) for v, x in zip(names, logs.tolist(), strict=True)}
-        # A word tells by its share of the named nodes of either label.
-        named = [math.log(counts.get(("named", "", y), 0) + 10) for y in (0, 1)]
+        # A word tells by its share of the named nodes of either label; one that no labelled page has, by the prior alone.
+        named = [counts.get(("named", "", y), 0) for y in (0, 1)]
+        scale = [min(1, WEIGHT / max(n, 1)) for n in named]
         for word in {v for what, v, _ in counts if what == "word"} | AGAINST | FOR:
-            prior = PRIOR_WORD[_side(word)]
-            self.node["word", word] = tuple(math.log(counts.get(("word", word, y), 0) + prior[y]) - named[y] for y in (0, 1))
+            prior, seen = PRIOR_WORD[_side(word)], [scale[y] * counts.get(("word", word, y), 0) for y in (0, 1)]
+            self.node["word", word] = tuple(math.log((seen[y] + prior[y]) / (scale[y] * named[y] * any(seen) + 10)) for y in (0, 1))
         seen = np.array([[[counts.get(("edge", f"{kind} {p}", c), 0) for c in (0, 1)] for p in (0, 1)] for kind in ("container", "text")], float)
         edge = seen * np.minimum(1, WEIGHT / np.maximum(seen.sum(axis=2, keepdims=True), 1))
         edge += [[[PRIOR_EDGE[kind][p, c] for c in (0, 1)] for p in (0, 1)] for kind in ("container", "text")]
@@ -230,11 +244,14 @@ class Model:
     def potential(self, kind: str, feature: str) -> tuple[float, float]:
         if kind == "#":
             a, b = self.node["links", feature[:-1]], self.node["length", feature[-1]]
-        else:
-            a, b = self.node["tag", kind], (0.0, 0.0)
-            for x in (self.node.get(("word", w)) for w in feature.split()):
-                b = (b[0] + x[0], b[1] + x[1]) if x else b
-        return a[0] + b[0], a[1] + b[1]
+            return TEMPER * (a[0] + b[0]), TEMPER * (a[1] + b[1])
+        if kind in CLOSED:
+            return 0.0, NEVER
+        share = 0.0 if kind in PLACED else TEMPER if kind in TEXT else 1.0
+        other, content = (share * x for x in self.node["tag", kind])
+        for x in (self.node.get(("word", w)) for w in feature.split()):
+            other, content = (other + x[0], content + x[1]) if x else (other, content)
+        return other, content
 
     def marginals(self, parents: np.ndarray, potentials: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """P(content) of every node of a forest (kinds: 1 for text elements); parents come before their children, roots have parent -1."""
@@ -268,11 +285,13 @@ def texts_of_pages(pages: list[str], model: Model) -> list[str]:
     for html in pages:
         base = len(parents)
         starts.append(base)
-        for parent, kind, feature, text in parse(html):
+        nodes = parse(html)
+        for parent, kind, feature, text in nodes:
             parents.append(parent + base if parent >= 0 else -1)
             if (kind, feature) not in cache:
                 cache[kind, feature] = model.potential(kind, feature)
-            potentials.append(cache[kind, feature])
+            item = kind == "#" and nodes[parent][1] in PLACED
+            potentials.append((0.0, 0.0) if item else cache[kind, feature])
             kinds.append(int(kind in TEXT))
             texts.append(text)
     if not parents:
