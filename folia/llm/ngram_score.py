@@ -16,7 +16,7 @@ of the pair to all of them. The owner sorts the training n-grams into a trie of
 of Elias-Fano sequences and monotone Elias-Fano pointers, with quantised log probabilities, in scratch files that
 it maps into memory, and answers all texts' n-grams from it by a successor search relative to their context's range. Sums
 per text go back packed per slice. A shard has about ``SHARD`` tokens whatever the size of the corpus; a partition with
-several shards (over ``PARTITIONS`` in all) splits what it reads into scratch files first. Base scores are summed where a
+several shards (over ``PARTITIONS`` in all) splits what it reads by shard; rows over ``SPOOL`` bytes wait in scratch files. Base scores are summed where a
 slice is read for tokens of the table; rare tokens are counted by their owner.
 
 Tokens of the table are numbers, the others 63-bit digests.
@@ -54,6 +54,7 @@ PARTITIONS = 4096
 FOLDS, HELD_OUT = 7, 2
 SLICE = 12_000_000
 CHUNK = 1 << 20
+SPOOL = 64 << 20  # bytes of packed rows that a task holds before it files them
 END = xxhash.xxh64_intdigest(b"\n", 42)  # no word contains a newline
 LEVELS = 1 << 16  # quantised log probabilities
 RARE = np.uint64(1 << 63)
@@ -204,6 +205,7 @@ class Common:
 #: gets what is known of its texts: ids and the sums over the tokens of the table.
 FIELDS = ("first", "second", "older", "rare", "texts", "runs", "train", "lone", "lone_runs", "lone_text", "pair_first", "pair_second", "pair_n",
     "n_tokens", "held", "known", "base")
+PIECE = FIELDS[:10]  # what an owner reads of a row, its pairs aside
 HEAD = ("n_tokens", "held", "known", "base")
 
 
@@ -479,8 +481,9 @@ class Trie:
     @staticmethod
     def _below(pointers: EliasFano, level: EliasFano, size: int, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of children in the ranges of their parents, and whether they are there."""
-        bounds = pointers.values(0, pointers.n).astype(np.int64)
-        return level.successor(bounds[parent], bounds[parent + 1], (parent * size + child).astype(np.uint64))
+        asked, at = np.unique(parent, return_inverse=True)
+        begin, end = (pointers.get(asked + k).astype(np.int64)[at] for k in (0, 1))
+        return level.successor(begin, end, (parent * size + child).astype(np.uint64))
 
     def find(self, first: np.ndarray, second: np.ndarray, older: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
         """For names of v, w, u: log10(c(u v w) + MU3 P(w | v)) and log10(c(v w) + MU3)."""
@@ -583,33 +586,51 @@ def _shard_scores(pieces: Callable[[], Iterator[Piece]], pairs: dict[tuple[int,
         del trie
 
 
-def _partition_scores(rows: list[dict], common: Common) -> Iterator[dict]:
-    """Scores of a partition's packed rows; the heads of slices go through."""
+class Spool:
+    """Items in order: the first ones in a scratch file once they take more than ``limit`` bytes, the last ones in memory."""
+
+    def __init__(self, path: str, limit: int):
+        self.path, self.limit, self.items, self.size, self.filed = path, limit, [], 0, 0
+
+    def add(self, item, size: int) -> None:
+        self.items.append(item)
+        self.size += size
+        if self.size > self.limit:
+            with open(self.path, "ab") as file:
+                for x in self.items:
+                    pickle.dump(x, file)
+            self.filed += len(self.items)
+            self.items, self.size = [], 0
+
+    def __iter__(self) -> Iterator:
+        if self.filed:
+            with open(self.path, "rb") as file:
+                for _ in range(self.filed):
+                    yield pickle.load(file)  # noqa: S301
+        yield from self.items
+
+
+def _partition_scores(rows: Iterator[dict], common: Common) -> Iterator[dict]:
+    """Scores of a partition's packed rows; the heads of slices go through. Rows are taken one by one; what waits is spooled, by shard."""
     size, pairs = len(common.counts), {}
-    for r in rows:
-        n = np.frombuffer(r["pair_n"], np.uint32).tolist()
-        for v, w, k in zip(_from_planes(r["pair_first"], len(n)).tolist(), _from_planes(r["pair_second"], len(n)).tolist(), n, strict=True):
-            pairs[v, w] = pairs.get((v, w), 0) + k
-    yield from ({"slice": r["slice"], "ids": r["ids"]} | {f: r[f] for f in HEAD} for r in rows if r["ids"])
     subs = -(-common.shards // common.partitions)
-    if subs == 1:
-        yield from _shard_scores(lambda: (Piece(r, size) for r in rows), pairs, common)
-        return
     with tempfile.TemporaryDirectory() as folder:
-        files = [open(os.path.join(folder, str(k)), "wb") for k in range(subs)]  # noqa: SIM115
+        spools = [Spool(os.path.join(folder, str(k)), SPOOL // subs) for k in range(subs)]
         for r in rows:
+            n = np.frombuffer(r["pair_n"], np.uint32).tolist()
+            for v, w, k in zip(_from_planes(r["pair_first"], len(n)).tolist(), _from_planes(r["pair_second"], len(n)).tolist(), n, strict=True):
+                pairs[v, w] = pairs.get((v, w), 0) + k
+            if r["ids"]:
+                yield {"slice": r["slice"], "ids": r["ids"]} | {f: r[f] for f in HEAD}
+            if subs == 1:
+                spools[0].add({f: r[f] for f in ("slice", *PIECE)}, sum(len(r[f]) for f in PIECE))
+                continue
             piece = Piece(r, size)
-            for k, file in enumerate(files):
-                pickle.dump(piece.of_shard(k, common), file)
-        for file in files:
-            file.close()
-            yield from _shard_scores(lambda path=file.name: _unpickled(path), pairs, common)
-
-
-def _unpickled(path: str) -> Iterator[Piece]:
-    with open(path, "rb") as file:
-        while file.peek(1):
-            yield pickle.load(file)  # noqa: S301
+            for k, spool in enumerate(spools):
+                mine = piece.of_shard(k, common)
+                spool.add(mine, 32 * len(mine.text) + 16 * len(mine.lone) + 8 * len(mine.train))
+        for spool in spools:
+            yield from _shard_scores(lambda s=spool: (x if subs > 1 else Piece(x, size) for x in s), pairs, common)
 
 
 def _slice_sums(parts: pa.Table, common: Common) -> pa.Table:
@@ -661,8 +682,7 @@ def score(docs: DataFrame) -> DataFrame:
     fields = pa.schema([("slice", pa.int64()), ("ids", pa.list_(to_arrow_type(docs.schema["doc_id"].dataType))), *[(f, pa.binary()) for f in names]])
 
     def run(batches):
-        every = [r for b in batches for r in b.to_pylist()]
-        for r in _partition_scores(every, common):
+        for r in _partition_scores((r for b in batches for k in range(b.num_rows) for r in b.slice(k, 1).to_pylist()), common):
             yield pa.RecordBatch.from_pylist([{f: r.get(f) for f in fields.names}], schema=fields)
 
     parts = rows.mapInArrow(run, f"slice bigint, ids array<{kind}>, {', '.join(f'{f} binary' for f in names)}")

@@ -316,6 +316,16 @@ def test_personal_data_query(spark, small):
         assert rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and rows[i].spans.startswith(base)
 
 
+def test_a_spool_keeps_order_and_holds_little(tmp_path):
+    spool, most = ngram_score.Spool(str(tmp_path / "s"), 1000), 0
+    for k in range(500):
+        spool.add({"k": k, "x": bytes(90)}, 90)
+        most = max(most, len(spool.items))
+    assert most <= 12 and spool.filed > 480
+    for _ in range(2):  # the pieces are read twice
+        assert [x["k"] for x in spool] == list(range(500))
+
+
 @pytest.mark.parametrize(("shard", "partitions", "common", "slice_bytes"), [(40_000, 4096, 1e-4, 50_000), (10_000, 3, 1e-3, 12_000_000), (10**9, 4096, 1e-6, 12_000_000)])
 def test_scores(spark, small, monkeypatch, shard, partitions, common, slice_bytes):
     """Whole result against plain Python: many shards and slices, several shards a partition, one shard; hot pairs in all."""
