@@ -10,7 +10,8 @@ an item are walked on. Items are grouped by length, and a group's places lie wit
 size. Unedited passages are always found this way, edited ones the less the more edits and words there are.
 
 So that no passage within the limit is lost, each item is also cut into one segment more than it may have
-edits: by pigeonhole one of them stands unedited in the text (``segment_hits``). Every occurrence of a segment gives
+edits: by pigeonhole one of them stands unedited in the text (``segment_hits``). Segments that over ``SHARED`` items have,
+such as a common opening, are left out and the item cut finer, so that it still has enough others. Every occurrence of a segment gives
 a stretch of text in which the item may lie. Candidates are verified by their exact edit distance in words:
 at most ``MAX_EDITS`` of the item's length. Recall is 1.
 
@@ -25,6 +26,7 @@ each; repeated rows are each reported; ties between windows go to the smallest d
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ SAMPLES = 5
 REPEATS = 12
 MAX_EDITS = 0.2
 SAMPLED_WORDS = 8
+SHARED = 16  # items with one segment, above which it is no sign of any of them
 BLOCK = 10_000
 BLOCK_BYTES = 8_000_000
 SEED = 7
@@ -79,6 +82,13 @@ class Walk:
         return (x >> np.uint64(j & 63)).astype(np.int32) & 1
 
 
+def _cut(ids: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(length, hash, place) of the n segments of a sequence, as even as can be."""
+    edges = [i * len(ids) // n for i in range(n + 1)] if n else []
+    hashes = {length: _hashes(ids, length).tolist() for length in {b - a for a, b in zip(edges, edges[1:], strict=False)}}
+    return [(b - a, hashes[b - a][a], a) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 class Index:
     """Of a block of items: random walks and, per repetition and length group, a trie of the words at the sampled places."""
 
@@ -112,12 +122,9 @@ class Index:
         """Per length of segments: filter of their hashes, the sorted hashes, and each one's item and place in it."""
         if max_edits not in self.cuts:
             found: dict[int, list[tuple[int, int, int]]] = {}
-            for k, (_, words) in enumerate(self.items):
-                ids = np.array([self.vocabulary[w] for w in words], np.int64)
-                n = min(int(max_edits * len(ids)) + 1, len(ids))
-                edges = [i * len(ids) // n for i in range(n + 1)]
-                for low, high in zip(edges, edges[1:], strict=False):
-                    found.setdefault(high - low, []).append((int(_hashes(ids[low:high], high - low)[0]), k, low))
+            for k, parts in enumerate(self._rare_parts(max_edits)):
+                for length, key, low in parts:
+                    found.setdefault(length, []).append((key, k, low))
             self.cuts[max_edits] = []
             for length, rows in sorted(found.items()):
                 keys, items, places = (np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
@@ -126,6 +133,36 @@ class Index:
                 self.cuts[max_edits].append((length, known, keys, items, places))
         return self.cuts[max_edits]
 
+    def _rare_parts(self, max_edits: float) -> list[list[tuple[int, int, int]]]:
+        """Segments (length, hash, place) of every item: one more than it may have edits, none of them shared by over ``SHARED`` items.
+
+        An item with shared segments, such as an opening that many questions have, is cut finer until enough of its own are left. If even
+        its single words are not enough, it keeps all of them.
+        """
+        ids = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in self.items]
+        needed = [min(int(max_edits * len(x)) + 1, len(x)) for x in ids]
+        sizes = list(needed)
+        cuts = [_cut(x, n) for x, n in zip(ids, sizes, strict=True)]
+        of = lambda parts: {(length, key) for length, key, _ in parts}
+        counts = Counter(part for parts in cuts for part in of(parts))
+        while True:
+            finer = []
+            for k, parts in enumerate(cuts):
+                own = sum(counts[length, key] <= SHARED for length, key, _ in parts)
+                if own < needed[k] and sizes[k] < len(ids[k]):
+                    finer.append((k, min(len(ids[k]), max(sizes[k] + 1, needed[k] + len(parts) - own))))
+            if not finer:
+                break
+            for k, n in finer:
+                counts.subtract(of(cuts[k]))
+                sizes[k], cuts[k] = n, _cut(ids[k], n)
+                counts.update(of(cuts[k]))
+        out = []
+        for k, parts in enumerate(cuts):
+            own = [p for p in parts if counts[p[0], p[1]] <= SHARED]
+            out.append(own if len(own) >= needed[k] else parts)
+        return out
+
     def segment_hits(self, symbols: np.ndarray, max_edits: float) -> list[tuple[int, int, int]]:
         """(start, item, place of the segment): where an item would start if the segments found in a sequence had no edits before them."""
         found: set[tuple[int, int, int]] = set()

@@ -547,6 +547,36 @@ def test_edits_to_prefix():
     assert decontaminate.edits_to_prefix(list("abcd"), list("zzzz"), 1) is None
 
 
+def test_items_with_a_common_opening_cost_no_more():
+    import time
+
+    rng = random.Random(1)
+    took = []
+    for n in (500, 4000):
+        items = [(k, ("one of the most important " + " ".join(f"w{rng.randrange(20_000)}" for _ in range(25))).encode()) for k in range(n)]
+        index = decontaminate.Index(items)
+        index.segments(0.2)
+        asked = items[7][1].decode().split()
+        asked[10], asked[20] = "other", "words"
+        text = " ".join("one of the most important " + " ".join(f"x{rng.randrange(500)}" for _ in range(8)) for _ in range(400)) + " " + " ".join(asked)
+        start = time.time()
+        found = decontaminate.leaks_in([text.encode()], index, 0.2)[0]
+        took.append(time.time() - start)
+        assert [(i, e) for i, _, _, e in found] == [(7, 2)]
+    assert took[1] < 2 * took[0] + 0.1
+
+
+def test_shared_segments_lose_no_item():
+    """Items made of few words, so that most segments are shared: whatever is within the limit is found, as by trying every place."""
+    rng = random.Random(5)
+    items = [(k, " ".join(rng.choice("abcdef") for _ in range(rng.randint(6, 14))).encode()) for k in range(150)]
+    index = decontaminate.Index(items)
+    for _ in range(25):
+        text = [rng.choice("abcdefgh") for _ in range(60)]
+        found = {i for i, *_ in decontaminate.leaks_in([" ".join(text).encode()], index, 0.2)[0]}
+        assert found == {k for k, words in items if decontaminate.best_stretch(words.decode().split(), text, int(0.2 * len(words.split())))}
+
+
 def test_page_text(spark, small):
     import html as H
 
