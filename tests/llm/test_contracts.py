@@ -727,3 +727,21 @@ def test_candidate_pairs_follow_the_input(spark, monkeypatch):
         assert pairs < alike / 100
 
 
+
+
+def test_seeds_alone_induce_patterns_that_find_unseen_identifiers(spark):
+    """No shape is trusted: what follows the seeds' contexts is found, what follows others' is not."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for k in range(120):
+        contact = f"u{k}@mail.org" if k % 4 else f"member{k:05d}"
+        rows.append((k, f"{word()} {word()} customer contact: {contact} {word()} {word()} ordered {rng.randint(100_000, 999_999)} pieces. {word()} room {word()}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["spans"] for r in personal_data.personal_data(docs, least=0.0).collect()}
+    for k, text in rows:
+        if k % 4 == 0:
+            at = text.index("member")
+            assert found[k] == f"id:{at}:{at + 11}"
+        else:
+            assert found[k].startswith("email:") and "id:" not in found[k]
