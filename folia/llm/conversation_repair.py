@@ -447,3 +447,51 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(damaged(table(spark, sf_dir, "conversations")))
+
+
+def _moves() -> str:
+    """VALUES of all ways to use up one row: state, symbol, next state, cost, letters, inserted lines before, edit, new role."""
+    out = []
+    for s in EDITS:
+        for q in range(4):
+            state, letters, lines = q, "", ""
+            for k in range(4):  # more insertions in one place repeat a state
+                for letter, to, cost in EDITS[s][state]:
+                    role = STEP[state][0] if letter == "R" else ""
+                    out.append(f"({q}, '{s}', {to}, {cost + k * INSERT}, '{letters}{letter}', '{lines}', '{letter}', '{role}')")
+                role, state = STEP[state]
+                letters, lines = letters + "I", lines + f"{role}:|"
+    return ", ".join(out)
+
+
+#: The same report by a table of states that goes through the rows of all conversations side by side; | stands for the end of a line that was put in.
+SQL = rf"""
+with recursive src as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+  list_reduce(list_prepend(4294967295, [ord(c) for c in string_split(coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), '')]),
+   lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as crc from conversations),
+kinds as (select *, xor(crc, 4294967295) % 20 as kind from src),
+damaged as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+  case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text from kinds, range(2) as c(copy) where kind <> 0 and (copy = 0 or kind = 3)),
+placed as (select *, row_number() over (partition by conv_id, role, text order by n) as seen
+ from (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n from damaged)),
+judged as (select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when seen > 1 then 'duplicate'
+  when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault from placed),
+marked as (select *, case when fault in ('blank', 'duplicate') then 'x' when fault = 'truncated' then upper(letter) else letter end as symbol
+  from (select *, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'o' end as letter from judged)),
+moves(q, symbol, p, more, letters, lines, edit, fresh) as (values {_moves()}),
+states as (
+ select conv_id, cast(0 as bigint) as n, 0 as q, 0 as cost, '' as audit, '' as done from (select distinct conv_id from conversations)
+ union all
+ select conv_id, n, q, best.cost, best.audit, best.done from (
+  select s.conv_id, m.n, v.p as q, min({{'cost': s.cost + v.more, 'audit': s.audit || v.letters,
+   'done': s.done || replace(v.lines, '|', chr(10)) || case v.edit when 'D' then '' when 'K' then m.role || ':' || m.text || chr(10) else v.fresh || ':' || m.text || chr(10) end}}) as best
+  from states s join marked m on m.conv_id is not distinct from s.conv_id and m.n = s.n + 1 join moves v on v.q = s.q and v.symbol = m.symbol group by s.conv_id, m.n, v.p)),
+ends as (select conv_id, min({{'cost': cost + t.more, 'audit': audit || t.letters, 'done': done || replace(t.lines, '|', chr(10))}}) as best
+ from (select *, max(n) over (partition by conv_id) as last from states) s join (values (0, 0, '', ''), (1, {2 * INSERT}, 'II', 'user:|assistant:|'), (2, {INSERT}, 'I', 'assistant:|'), (3, 0, '', '')) as t(q, more, letters, lines)
+  on t.q = s.q where s.n = s.last group by conv_id),
+counts as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate,
+  count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal
+ from (select *, lag(left(role, 1)) over (partition by conv_id order by n) as before from judged) group by conv_id)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+ cast(best.cost as bigint) as cost, best.audit as audit, sha256(case when best.done = '' then '' else left(best.done, length(best.done) - 1) end) as repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id"""

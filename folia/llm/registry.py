@@ -22,5 +22,5 @@ QUERIES = {
 #: The other queries need XXH64, suffix arrays, sampling or trained models; tests hold them against plain Python.
 SQL = {
     "op1_license_scan": license_scan.SQL, "op3_sharding": sharding.SQL, "op5_line_dedup": line_dedup.SQL, "op11_bisector_clusters": bisector_clusters.SQL,
-    "op12_exact_dedup": exact_dedup.SQL,
+    "op12_exact_dedup": exact_dedup.SQL, "op13_conversation_repair": conversation_repair.SQL,
 }
