@@ -1,4 +1,10 @@
-"""A training-data pipeline over documents: each stage is one operator of folia.llm, and works on all rows that the stage before kept."""
+"""A training-data pipeline over documents: each stage is one operator of folia.llm, and works on all rows that the stage before kept.
+
+Defined results: a null text counts as empty and is rejected by the quality rules, as every text under 50 words is; a null doc_id or source is
+a value like any other; rows that repeat id and text are near duplicates of each other, so one of them stays; of equal ids with different texts
+each is judged by its own text; columns beyond those of documents go through all stages but the last; an empty table gives no rows and
+the last stage's columns.
+"""
 
 from __future__ import annotations
 
