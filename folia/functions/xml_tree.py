@@ -44,6 +44,8 @@ class Columns:
     def __init__(self):
         self.fixed: list[tuple] = []
         self.later: dict[str, list] = {name: [] for name in _LATER}
+        self.children: list[list[str]] = []  # full names of each node's children
+        self.loose: list[bool] = []  # whether text other than white space stands between them
         self.keys: list[str] = []
         self.values: list[str] = []
         self.attribute_starts, self.document_starts = [0], [0]
@@ -56,7 +58,7 @@ class Columns:
         columns = self.lists()
         at = self.attribute_starts
         attrs = [list(zip(self.keys[a:b], self.values[a:b])) for a, b in zip(at, at[1:])]
-        return [dict(zip((*columns, "attrs"), row)) for row in zip(*columns.values(), attrs)]
+        return [dict(zip((*columns, "attrs", "children", "loose"), row)) for row in zip(*columns.values(), attrs, self.children, self.loose)]
 
 
 def read(xml: str | None) -> tuple[list[dict], str | None]:
@@ -102,6 +104,8 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
             if stack:
                 raw = text.encode("utf-8", "replace")
                 content.append(raw)
+                if not text.isspace():
+                    out.loose[base + stack[-1]] = True
                 length += len(raw)
                 if last >= 0:
                     tails[base + last] += text
@@ -192,6 +196,10 @@ def _read(out: Columns, base: int, xml: str | None) -> str | None:
         if tag == "sec" and (above == "body" or level):
             level += 1
         nodes.append((k, parent, ordinal, len(stack), level, length, m.start(), tag, prefix, above, above_ns, grand, region, *near))
+        out.children.append([])
+        out.loose.append(False)
+        if stack:
+            out.children[base + parent].append(name)
         for column, value in ((ends, k), (until, length), (closing, m.end()), (closed, m.end()), (tailed, m.end()), (texts, ""), (tails, ""), (contents, None)):
             column.append(value)
         if empty:

@@ -18,7 +18,8 @@ from folia.functions.xml_tree import INTS, NEAREST, STRINGS, Columns, read_into
 
 _SLICE = 2_000_000  # characters of XML that become one batch of nodes
 _KINDS = {n: ("int", pa.int32()) for n in INTS} | {n: ("string", pa.string()) for n in STRINGS} | {"content": ("binary", pa.binary())}
-_KINDS |= {"attrs": ("map<string,string>", pa.map_(pa.string(), pa.string())), "parse_error": ("string", pa.string())}
+_KINDS |= {"attrs": ("map<string,string>", pa.map_(pa.string(), pa.string())), "children": ("array<string>", pa.list_(pa.string())), "loose": ("boolean", pa.bool_())}
+_KINDS |= {"parse_error": ("string", pa.string())}
 
 
 @arrow_udf(StringType())
@@ -35,6 +36,7 @@ def parsed(df: DataFrame, column: str = "xml") -> DataFrame:
 def _arrays(out: Columns) -> list[pa.Array]:
     lists = out.lists()
     attrs = pa.MapArray.from_arrays(pa.array(out.attribute_starts, pa.int32()), pa.array(out.keys, pa.string()), pa.array(out.values, pa.string()))
+    lists |= {"children": out.children, "loose": out.loose}
     return [attrs if n == "attrs" else pa.array(lists[n], kind) for n, (_, kind) in _KINDS.items() if n != "parse_error"]
 
 

@@ -1,7 +1,7 @@
 """Set-based validation of node tables: each rule gives rows (keys, node_id, rule, message).
 
-The content rules take one grouping of the nodes by their parent: the children's symbols run through the parent's automaton. The
-identifier rules take one grouping by identifier. Attributes are judged where they stand. The grammar's tables are fixed and broadcast.
+Every node knows its children's names, so the content rules run them through the node's automaton where it stands; attributes are judged
+where they stand too. The identifier rules take one grouping by identifier. The grammar's tables are fixed and broadcast.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folia.functions.text import strip
-from folia.sources.grammar import attr_decl, automaton_table, content_model, symbol_table
+from folia.sources.grammar import attr_decl, automaton_table, content_model
 
 KEYS = ("doc_id",)
 _NAME = r"[\p{L}_:][\p{L}\p{M}\p{N}._:·\-]*"
@@ -21,8 +21,8 @@ _TOKEN = r"[\p{L}\p{M}\p{N}._:·\-]+"
 PATTERNS = {"ID": _NAME, "IDREF": _NAME, "IDREFS": rf"{_NAME}(\s+{_NAME})*", "NMTOKEN": _TOKEN, "NMTOKENS": rf"{_TOKEN}(\s+{_TOKEN})*"}
 
 
-def _name(tag: str = "tag", ns: str = "ns") -> Column:
-    return F.when(F.col(ns) == "", F.col(tag)).otherwise(F.concat(ns, F.lit(":"), tag))
+def _name() -> Column:
+    return F.when(F.col("ns") == "", F.col("tag")).otherwise(F.concat("ns", F.lit(":"), "tag"))
 
 
 def _say(*parts: str | Column) -> Column:
@@ -32,24 +32,17 @@ def _say(*parts: str | Column) -> Column:
 def content_errors(nodes: DataFrame, version: str = "1.4", *keys: str) -> DataFrame:
     """Undeclared elements, children that break their parent's content model, and text where only elements may stand."""
     keys, spark = list(keys or KEYS), nodes.sparkSession
-    named = nodes.select(*keys, "node_id", "parent_id", "ordinal", _name().alias("name"), _name("parent_tag", "parent_ns").alias("element"),
-        (strip(F.col("text")) != "").alias("inked"), (strip(F.col("tail")) != "").alias("followed"))
-    named = named.join(F.broadcast(symbol_table(spark).withColumnRenamed("tag", "name")), ["element", "name"], "left")
-    # Every node counts as itself and as its parent's child.
-    child = F.struct("ordinal", F.coalesce("symbol", F.lit(-1)).alias("symbol"), "name")
-    none = F.lit(None).cast("struct<ordinal:int,symbol:int,name:string>")
-    both = F.array(F.struct(F.col("node_id").alias("at"), F.col("name").alias("own"), none.alias("child"), F.col("inked").alias("loose")),
-        F.struct(F.col("parent_id").alias("at"), F.lit(None).cast("string").alias("own"), child.alias("child"), F.col("followed").alias("loose")))
-    rows = named.select(*keys, F.inline(both)).where("at >= 0").groupBy(*keys, F.col("at").alias("node_id"))
-    rows = rows.agg(F.max("own").alias("element"), F.array_sort(F.collect_list("child")).alias("children"), F.bool_or("loose").alias("loose"))
+    rows = nodes.select(*keys, "node_id", _name().alias("element"), "children", "loose")
     rows = rows.join(F.broadcast(automaton_table(spark)), "element", "left")
 
     def step(now: Column, c: Column) -> Column:
-        to = F.when(c["symbol"] >= 0, F.get("moves", now["state"] * F.col("width") + c["symbol"])).otherwise(-1)
-        return F.when(now["place"] > 0, now).when(to >= 0, F.struct(to.alias("state"), F.lit(0).alias("place"), F.lit("").alias("got"))).otherwise(
-            F.struct(now["state"].alias("state"), (c["ordinal"] + 1).alias("place"), c["name"].alias("got")))
+        symbol = F.get("symbols", F.array_position("tags", c).cast("int") - 1)
+        to = F.coalesce(F.get("moves", now["state"] * F.col("width") + symbol), F.lit(-1))
+        at = now["at"] + 1
+        return F.when(now["place"] > 0, now).when(to >= 0, F.struct(to.alias("state"), at.alias("at"), F.lit(0).alias("place"), F.lit("").alias("got"))).otherwise(
+            F.struct(now["state"].alias("state"), at.alias("at"), at.alias("place"), c.alias("got")))
 
-    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("place"), F.lit("").alias("got"))
+    start = F.struct(F.lit(0).alias("state"), F.lit(0).alias("at"), F.lit(0).alias("place"), F.lit("").alias("got"))
     ran = rows.withColumn("ran", F.aggregate("children", start, step))
     # A run that no child stopped has to be in a state where the element may end.
     stopped, short = F.col("ran.place") > 0, ~F.get("ends", F.col("ran.state"))

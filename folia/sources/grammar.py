@@ -247,12 +247,14 @@ def _symbols() -> tuple[dict[tuple[str, str], int], dict[str, tuple]]:
     return symbols, tables
 
 
-def symbol_table(spark: SparkSession) -> DataFrame:
-    """element, tag, symbol: what a child counts as in its parent's automaton; children that are not here fit nowhere."""
-    return _table(spark, "element string, tag string, symbol int", [(e, t, k) for (e, t), k in _symbols()[0].items()])
-
-
 def automaton_table(spark: SparkSession) -> DataFrame:
-    """element, mixed, void, width, moves, ends, expected: the automata for running. moves[state * width + symbol] is the next state or -1."""
-    return _table(spark, "element string, mixed boolean, void boolean, width int, moves array<int>, ends array<boolean>, expected array<string>",
-        [(e, automata()[e].mixed, models()[e] == "", *t) for e, t in _symbols()[1].items()])
+    """element, mixed, tags, symbols, width, moves, ends, expected: the automata for running.
+
+    symbols[k] is what tags[k] counts as; moves[state * width + symbol] is the next state or -1. A tag that is not there fits nowhere.
+    """
+    symbols, tables = _symbols()
+    tags: dict[str, list[str]] = {e: [] for e in tables}
+    for e, t in symbols:
+        tags[e].append(t)
+    return _table(spark, "element string, mixed boolean, tags array<string>, symbols array<int>, width int, moves array<int>, ends array<boolean>, expected array<string>",
+        [(e, automata()[e].mixed, tags[e], [symbols[e, t] for t in tags[e]], *t_) for e, t_ in tables.items()])
