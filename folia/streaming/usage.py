@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -180,11 +182,26 @@ def with_closing_row(usage: DataFrame) -> DataFrame:
     return usage.unionByName(far)
 
 
+_made: dict[str, object] = {}  # folders of this process and the file system's settings
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one that the cluster names; a local one only where none is named."""
+    """A new folder below the shared one that the cluster names; a local one only where none is named. It goes when this process ends."""
     import tempfile
 
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{base or 'file://' + tempfile.mkdtemp(prefix='folia-')}/streams/{uuid.uuid4().hex}"
+    folder = f"{base or 'file://' + tempfile.mkdtemp(prefix='folia-')}/streams/{uuid.uuid4().hex}"
+    _made[folder] = spark.sparkContext._jsc.hadoopConfiguration()
+    return folder
+
+
+@atexit.register
+def _remove_made() -> None:
+    from pyspark import SparkContext
+
+    for folder, conf in _made.items():
+        with contextlib.suppress(Exception):  # the JVM can be gone by now
+            path = SparkContext._gateway.jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
