@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import tempfile
 import uuid
@@ -11,9 +13,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_tables: dict[str, object] = {}  # tables of this process and the file system's settings
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,14 +49,23 @@ def written(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it again.
 
     The files' size is then known to the planner: it broadcasts the table only while it is under
-    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise. The table goes when this process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    _tables[path] = spark.sparkContext._jsc.hadoopConfiguration()
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@atexit.register
+def _remove_tables() -> None:
+    for path, conf in _tables.items():
+        with contextlib.suppress(Exception):  # the JVM can be gone by now
+            at = SparkContext._gateway.jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table of this package that nothing reads any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
