@@ -2,7 +2,7 @@
 
 Per host, the pages that hold a line are divided by the host's pages; lines over the ratio are boilerplate and go from
 every page of the host. Pages of a host with one and the same text count as one page, above and below the line: copies are
-no sign of boilerplate, and which of them stays is decided by near-duplicate detection. A line of a single page repeats
+no sign of boilerplate, and which of them stays is decided by near-duplicate detection (``every_page`` counts them one by one). A line of a single page repeats
 nothing and is never boilerplate, however small its host.
 
 Lines are counted as 128-bit digests, with map-side combining, so a line of half of all pages is one
@@ -30,13 +30,17 @@ def _digests(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.unhex(F.md5(x)))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:
-    """site, drop array<binary>: digests of the lines that exceed the ratio on a site; sites without such lines are left out."""
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, every_page: bool = False) -> DataFrame:
+    """site, drop array<binary>: digests of the lines that exceed the ratio on a site; sites without such lines are left out.
+
+    every_page: copies of a page count one by one, instead of as one page.
+    """
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(FULL_LINE))
     # An extra null line per page carries the page count through the same aggregation.
     marked = F.concat(F.array(F.lit(None).cast("binary")), F.array_distinct(_digests(lines)))
     pages = docs.select(F.col(host).alias("site"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("page"), marked.alias("lines"))
-    pages = pages.groupBy("site", "page").agg(F.first("lines").alias("lines"))
+    if not every_page:
+        pages = pages.groupBy("site", "page").agg(F.first("lines").alias("lines"))
     counts = pages.select("site", F.explode("lines").alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     counts = counts.where((F.col("n") > 1) | F.col("line").isNull())
     totals = counts.where(F.col("line").isNull()).select(F.col("site").alias("its_site"), F.col("n").alias("pages"))
@@ -44,9 +48,9 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO) ->
     return both.where(F.col("n") > ratio * F.col("pages")).groupBy("site").agg(F.collect_list("line").alias("drop"))
 
 
-def _cleaned(docs: DataFrame, host: str, ratio: float) -> DataFrame:
+def _cleaned(docs: DataFrame, host: str, ratio: float, every_page: bool = False) -> DataFrame:
     """row (the input's columns as a struct), text, n_lines, n_dropped for every row of docs."""
-    drops = written(boilerplate(docs, host, ratio))
+    drops = written(boilerplate(docs, host, ratio, every_page))
     rows = docs.select(F.struct("*").alias("row"))
     both = rows.join(drops, rows[f"row.{host}"].eqNullSafe(drops["site"]), "left")
     lines = F.split(F.coalesce("row.text", F.lit("")), "\n")
@@ -60,11 +64,11 @@ def _cleaned(docs: DataFrame, host: str, ratio: float) -> DataFrame:
     return both.select("row", text.alias("text"), "n_lines", dropped.cast("long").alias("n_dropped"))
 
 
-def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO) -> DataFrame:
-    """docs with boilerplate lines taken out of ``text``, plus n_lines and n_dropped."""
+def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, every_page: bool = False) -> DataFrame:
+    """docs with boilerplate lines taken out of ``text``, plus n_lines and n_dropped. every_page: see ``boilerplate``."""
     own = ("n_lines", "n_dropped")
     columns = [F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in own]
-    return _cleaned(docs, host, ratio).select(*columns, *own)
+    return _cleaned(docs, host, ratio, every_page).select(*columns, *own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

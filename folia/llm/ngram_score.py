@@ -481,9 +481,13 @@ class Trie:
     @staticmethod
     def _below(pointers: EliasFano, level: EliasFano, size: int, parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of children in the ranges of their parents, and whether they are there."""
-        asked, at = np.unique(parent, return_inverse=True)
-        begin, end = (pointers.get(asked + k).astype(np.int64)[at] for k in (0, 1))
-        return level.successor(begin, end, (parent * size + child).astype(np.uint64))
+        # Each pointer that is asked for is selected once, in order.
+        wanted = np.zeros(pointers.n, bool)
+        wanted[parent] = wanted[parent + 1] = True
+        asked = np.flatnonzero(wanted)
+        place = np.cumsum(wanted, dtype=np.int32)
+        bounds = pointers.get(asked).astype(np.int64)
+        return level.successor(bounds[place[parent] - 1], bounds[place[parent + 1] - 1], (parent * size + child).astype(np.uint64))
 
     def find(self, first: np.ndarray, second: np.ndarray, older: np.ndarray, common: Common) -> tuple[np.ndarray, np.ndarray]:
         """For names of v, w, u: log10(c(u v w) + MU3 P(w | v)) and log10(c(v w) + MU3)."""

@@ -745,3 +745,20 @@ def test_seeds_alone_induce_patterns_that_find_unseen_identifiers(spark):
             assert found[k] == f"id:{at}:{at + 11}"
         else:
             assert found[k].startswith("email:") and "id:" not in found[k]
+
+
+@pytest.mark.parametrize("every_page", [False, True])
+def test_line_ratio_over_pages_or_texts(spark, every_page):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "b", None]), "\n".join(rng.choice(["menu", "foot", "x", "y", f"own {rng.randrange(30)}", " "]) for _ in range(rng.randint(1, 4)))) for k in range(300)]
+    rows += [(1000 + k, "a", "copied line\nother") for k in range(40)]
+    total, holds = defaultdict(list), defaultdict(list)
+    for _, host, text in rows:
+        total[host].append(text)
+        for line in set(text.split("\n")):
+            holds[host, line].append(text)
+    size = len if every_page else lambda x: len(set(x))
+    bad = {key for key, texts in holds.items() if key[1].strip() and size(texts) > 1 and size(texts) > 0.1 * size(total[key[0]])}
+    assert ("a", "copied line") in bad if every_page else ("a", "copied line") not in bad
+    found = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id bigint, source string, text string"), ratio=0.1, every_page=every_page).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == {i: "\n".join(x for x in t.split("\n") if (h, x) not in bad) for i, h, t in rows}
