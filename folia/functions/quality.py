@@ -24,10 +24,17 @@ def body_text(xml: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(body, r"(?s)<!--.*?-->", ""), r"<[^>]*>", ""))
 
 
+def lazy_warning(xml: Column) -> Column:
+    return bound(lazy_comments(xml), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(LAZY_WARNING), F.array_join(F.slice(x, 1, 2), ", "))))
+
+
+def short_warning(text: Column) -> Column:
+    return F.when(F.length(text) < MIN_BODY, F.lit(SHORT_WARNING))
+
+
 def audit_warnings(xml: Column, text: Column) -> Column:
     """Warnings of the completeness audit; text is the body's visible text, null if it could not be parsed."""
-    lazy = bound(lazy_comments(xml), lambda x: F.when(F.size(x) > 0, F.concat(F.lit(LAZY_WARNING), F.array_join(F.slice(x, 1, 2), ", "))))
-    return F.array_compact(F.array(lazy, F.when(F.length(text) < MIN_BODY, F.lit(SHORT_WARNING))))
+    return F.array_compact(F.array(lazy_warning(xml), short_warning(text)))
 
 
 def quality_score(n_errors: Column, complete: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folia.functions.quality import audit_warnings, body_text, quality_score
+from folia.functions.quality import audit_warnings, body_text, lazy_warning, quality_score, short_warning
 from folia.functions.text import bound, fence_extract, sanitize_text
 
 
@@ -33,7 +33,10 @@ def score(cands: DataFrame, errors: DataFrame | None = None, audit: DataFrame |
     if audit is None:
         out = cands.withColumn("warnings", bound(F.col("xml"), lambda x: audit_warnings(x, body_text(x))))
     else:
-        out = cands.join(audit.select(*keys, "body_text"), keys, "left").withColumn("warnings", audit_warnings(F.col("xml"), F.col("body_text"))).drop("body_text")
+        # What the text itself says is found before the join, so that it need not come along.
+        judged = audit.select(*keys, short_warning(F.col("body_text")).alias("_short"))
+        out = cands.withColumn("_lazy", lazy_warning(F.col("xml"))).join(judged, keys, "left")
+        out = out.withColumn("warnings", F.array_compact(F.array("_lazy", "_short"))).drop("_lazy", "_short")
     if errors is not None:
         out = out.join(errors.select(*keys, "n_errors"), keys, "left")
     else:

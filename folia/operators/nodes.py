@@ -212,5 +212,6 @@ def clean_articles(df: DataFrame, keep, column: str = "xml", *keys: str) -> Data
     rows = keep(node_rows(suspects, column, *keys))
     broken = rows.where("parse_error is not null").select(*keys).distinct()
     nodes = rows.where("node_id >= 0").join(broken, keys, "left_anti")
-    moved = move_orphans(suspects, nodes, *keys, column=column).withColumnRenamed("xml", "_moved")
+    # Written, so that its size is known: few texts have loose tables, and the others then stay where they are.
+    moved = keep(move_orphans(suspects, nodes, *keys, column=column).withColumnRenamed("xml", "_moved"))
     return cleaned.join(moved, keys, "left").withColumn(column, F.coalesce("_moved", F.col(column))).select(df.columns)

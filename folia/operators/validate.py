@@ -126,12 +126,11 @@ def body_audit(rows: DataFrame, *keys: str) -> DataFrame:
     A document that is not well-formed has no text to judge (null): the audit lets it pass, and parse_ok says why.
     """
     keys = list(keys or KEYS)
-    broken = F.bool_or(F.col("parse_error").isNotNull())
-    docs = rows.groupBy(*keys).agg(broken.alias("broken"), F.max("content").alias("content"),
-        F.min_by(F.when(F.col("tag") == "body", F.struct("text_from", "text_to")),
-            F.when(F.col("tag") == "body", F.col("node_id"))).alias("body"))
+    roots = rows.where("node_id <= 0").select(*keys, F.col("parse_error").isNull().alias("parse_ok"), "content")  # one a document
+    bodies = rows.where("tag = 'body'").groupBy(*keys).agg(F.min_by(F.struct("text_from", "text_to"), "node_id").alias("body"))
     text = F.substring("content", F.col("body.text_from") + 1, F.col("body.text_to") - F.col("body.text_from")).cast("string")
-    return docs.select(*keys, (~F.col("broken")).alias("parse_ok"), F.when(~F.col("broken"), F.coalesce(strip(text), F.lit(""))).alias("body_text"))
+    both = roots.join(bodies, keys, "left")
+    return both.select(*keys, "parse_ok", F.when(F.col("parse_ok"), F.coalesce(strip(text), F.lit(""))).alias("body_text"))
 
 
 def verdicts(documents: DataFrame, errors: DataFrame, *keys: str) -> DataFrame:
