@@ -179,3 +179,29 @@ def test_clean_up_moves_tables_of_wellformed_texts_only(spark):
     out = {r["doc_id"]: r["xml"] for r in N.clean_articles(docs, lambda x: x.cache()).collect()}
     assert out[1] == '<article><body><sec><p><xref ref-type="table" rid="t"/></p><table-wrap id="t" xmlns:xlink="x" xlink:href="u"><p>T</p></table-wrap> tail</sec></body></article>'
     assert out[2] == loose.replace("</p></sec>", "</sec>") and out[4] == "<article></article>" and len(out) == 4
+
+
+def test_scoring_reads_only_the_columns_that_it_needs(spark):
+    from folia.plans import jobs as J
+
+    kept, docs = [], ["<article><body><p>x</p></body></article>", "<article><p></article>", ""]
+
+    def keep(df):
+        kept.append(df.columns)
+        return df.cache()
+
+    cands = spark.createDataFrame([(k, 0, x) for k, x in enumerate(docs)], "doc_id bigint, roster_idx int, xml string")
+    board = {r["doc_id"]: r["n_errors"] for r in J.score_candidates(cands, keep).collect()}
+    assert kept[1] == ["doc_id", "roster_idx", *(n for n in N._KINDS if n in V.READ), "parse_error"] and "text" not in kept[1]
+    whole = V.verdicts(cands, V.validate(N.node_table(cands, "xml", "doc_id", "roster_idx"), "1.4", "doc_id", "roster_idx"), "doc_id", "roster_idx")
+    assert {r["doc_id"]: r["n_errors"] for r in whole.collect()} == {k: n - (k > 0) for k, n in board.items()}  # and a syntax error each
+    everything = N.node_rows(cands, "xml", "doc_id", "roster_idx")
+    some = N.node_rows(cands, "xml", "doc_id", "roster_idx", fields=V.READ)
+    assert sorted(map(str, everything.select(some.columns).collect())) == sorted(map(str, some.collect()))
+
+
+def test_content_errors_name_the_state_and_the_child(spark):
+    n = table(spark, "<article><front/><p/><p/></article>", "<sec><title/></sec>", "<fig-group/>", "<nope><p/></nope>", "<title-group/>")
+    found = {(r["doc_id"], r["rule"]): r["message"] for r in V.content_errors(n).where("node_id = 0").collect()}
+    assert found[0, "content model"].endswith("got (p) as child 2") and found[4, "content model"].endswith("got (nothing more) after child 0")
+    assert (3, "undeclared element") in found
