@@ -32,7 +32,6 @@ def test_manuscript_scan_and_admission(spark, small, tmp_path):
 
 def test_batches_to_python_are_bounded_by_bytes(spark):
     import pyarrow as pa
-    from pyspark.sql import functions as F
 
     from folia.functions import batches as B
 
@@ -74,6 +73,15 @@ def test_calls_retry_rate_limits_only(spark, tmp_path):
     assert out == {"a": ("a", None), "limit": (None, "rate_limit"), "bad": (None, "other")}
 
 
+def test_calls_stand_where_their_rows_are_unless_they_are_bounded(spark):
+    df = spark.range(0, 60, 1, 12).select(F.concat(F.lit("p"), "id").alias("prompt"))
+    answer = lambda prompt: {"text": prompt, "finish_reason": "stop"}
+    assert C.call_model(df, answer).rdd.getNumPartitions() == 12 and C.call_model(df, answer, 3).rdd.getNumPartitions() == 3
+    assert C.call_model(df, answer).where("text = prompt").count() == 60
+    with pytest.raises(ValueError):
+        C.call_model(df, answer, limited=True)
+
+
 def test_stitch_stops_where_an_answer_is_whole(spark):
     rows = [(1, 0, "a", "length"), (1, 1, "```xml\nb\n```", "stop"), (1, 2, "c", "stop"), (2, 0, "x", "STOP"),
         (2, 1, "y", "stop")] + [(3, k, str(k), "MAX_TOKENS") for k in range(6)]
