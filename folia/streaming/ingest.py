@@ -52,9 +52,23 @@ class _Batch:
             files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.target}/work/{k}/batch={self.number}"), True)
 
 
+def _tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def _run(stream: DataFrame, write, checkpoint: str):
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    # Files are looked up by a few tasks, not by up to 10,000, and without asking where their blocks lie.
+    spark = stream.sparkSession
+    settings = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(_tasks(spark)), "spark.sql.sources.ignoreDataLocality": "true"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     return query
 
 
@@ -81,13 +95,15 @@ def stream_files(spark: SparkSession, source: str, target: str, checkpoint: str,
         spark = rows.sparkSession
         batch = _Batch(spark, target, number)
         files = rows.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), M.suffix(F.col("path")).alias("suffix"))
-        place = F.row_number().over(W.partitionBy("sha256").orderBy("path"))
-        files = batch.keep(M.admit(files, max_bytes).withColumn("place", place))
-        earlier = manifest(spark, target).where(F.col("batch") < number).where("status <> 'replayed'").select("sha256").distinct().withColumn("came", F.lit(True))
-        files = files.join(earlier, "sha256", "left").withColumn("came", F.coalesce("came", F.col("place") > 1))
         is_xml: Column = F.col("suffix") == ".xml"
         large = F.when(F.col("length") > max_bytes, M.TOO_LARGE)
-        files = batch.keep(files.withColumn("reason", F.when(is_xml, large).otherwise(F.col("reason"))))
+        # Contents are written once, where they are read; of what came before only paths and digests are compared.
+        files = batch.keep(M.admit(files.coalesce(_tasks(spark)), max_bytes).withColumn("reason", F.when(is_xml, large).otherwise(F.col("reason"))))
+        place = F.row_number().over(W.partitionBy("sha256").orderBy("path"))
+        earlier = manifest(spark, target).where(F.col("batch") < number).where("status <> 'replayed'").select("sha256").distinct().withColumn("earlier", F.lit(True))
+        came = files.select("path", "sha256", place.alias("place")).join(earlier, "sha256", "left").where("earlier or place > 1")
+        came = batch.keep(came.select("path", F.lit(True).alias("came")))  # written, so that its size is known
+        files = files.join(came, "path", "left").withColumn("came", F.coalesce("came", F.lit(False)))
         new = files.where("not came and reason is null")
         xml = new.where(is_xml).select(F.col("path").alias("doc_id"), F.decode("content", "UTF-8").alias("xml"))
         read = batch.articles(xml).select("doc_id", F.when(F.col("parse_ok"), "article").otherwise("broken").alias("became"), F.col("parse_error").alias("why"))

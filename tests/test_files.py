@@ -195,6 +195,31 @@ def test_files_in_one_batch_and_a_batch_that_runs_again(spark, tmp_path):
     assert spark.read.parquet(f"{target}/articles").count() == 2 and I.manifest(spark, target).count() == 6
 
 
+def test_contents_of_files_are_not_shuffled_and_few_tasks_look_them_up(spark, tmp_path, monkeypatch):
+    from folia.streaming import ingest as I
+
+    kept, tracker = [], spark.sparkContext.statusTracker()
+    keep, name = I._Batch.keep, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+    def seen(batch, df):
+        kept.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return keep(batch, df)
+
+    monkeypatch.setattr(I._Batch, "keep", seen)
+    drop, target, before = tmp_path / "in", str(tmp_path / "out"), spark.conf.get(name, None)
+    for k in range(80):
+        folder = drop / str(k % 4)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{k}.xml").write_text(f"<article>{k % 60}</article>")
+    query = I.stream_files(spark, str(drop), target, str(tmp_path / "state"))
+    assert any("content" in columns for columns, _ in kept)
+    assert not [1 for columns, plan in kept if "content" in columns and "Exchange" in plan]
+    stages = [tracker.getStageInfo(k) for job in tracker.getJobIdsForGroup(str(query.runId)) for k in tracker.getJobInfo(job).stageIds]
+    assert max(stage.numTasks for stage in stages if stage) <= I._tasks(spark) < 80 and spark.conf.get(name, None) == before
+    status = [r["status"] for r in I.manifest(spark, target).collect()]
+    assert (status.count("article"), status.count("replayed")) == (60, 20)
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     def rows(*pairs):
         return spark.createDataFrame([(i, datetime.datetime(2024, 1, d, 12), 1, "o", "m", "p", 1, 1, 2) for i, d in pairs], U.USAGE).coalesce(1)
