@@ -205,3 +205,17 @@ def test_content_errors_name_the_state_and_the_child(spark):
     found = {(r["doc_id"], r["rule"]): r["message"] for r in V.content_errors(n).where("node_id = 0").collect()}
     assert found[0, "content model"].endswith("got (p) as child 2") and found[4, "content model"].endswith("got (nothing more) after child 0")
     assert (3, "undeclared element") in found
+
+
+def test_held_texts_equal_those_cut_from_the_document(spark):
+    docs = ['<article><body><table-wrap><caption><title>a <b>é</b></title><p>x</p></caption><table><tr><td>1 <i>2</i><table><tr><td>3<td><b>4</b>5</td></td><th/></tr></table></td></tr></table></table-wrap><p>q <p>r <b>s</b></p><p>t</p></p></body></article>',
+        "<article><body><sec><label>&lt;<b/>1</label><title>T</title><p> u &amp; v </p><p><italic>w</italic></p></sec><td>open"]
+    data = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, xml string")
+    whole, some = N.node_table(data), N.node_table(data, fields=X.READ)
+    cut = X.subtree_text(whole, F.col("tag").isin(*X.HOLDERS)).select("doc_id", "top_id", "text")
+    assert sorted(X.held_text(some, F.lit(True)).select(cut.columns).collect()) == sorted(cut.collect())
+    # Paragraphs of text alone, and those that others stand in.
+    html = {(r["doc_id"], r["top_id"]): r["html"] for r in X.inline_of(some, some.where("tag = 'p'")).collect()}
+    assert sorted(html.values()) == sorted(["x", "q r <strong>s</strong>t", "r <strong>s</strong>", "t", "u &amp; v", "<em>w</em>"])
+    assert {r["html"] for r in X.inline_of(some, some.where("tag = 'title'")).collect()} == {"a <strong>é</strong>", "T"}
+    assert X.sections(some).select("paragraphs").collect() == [(["u &amp; v", "<em>w</em>"],)]
