@@ -85,3 +85,18 @@ def test_nulls_do_not_fail(spark):
     made = [f(F.col("c")) for f in (X.fence_extract, X.sanitize_text, X.json_object_slice, X.call_error_classify, X.author_split, X.orcid_url,
         X.model_label_strip, Q.lazy_comments, Q.error_explain)]
     assert df.select(*[m.alias(f"m{k}") for k, m in enumerate(made)]).count() == 1
+
+
+def test_density_rounds_as_the_sql_does(spark):
+    import duckdb
+
+    rows = [(641, 640), (6410, 6400), (1, 3), (5, 2), (3201, 3200), (321, 320), (1, 128), (0, 7), (10**9, 7), (4, 0), (0, 0), (None, 3), (3, None)]
+    found = spark.createDataFrame(rows, "n int, total bigint").select(Q.density(F.col("n"), F.col("total"))).collect()
+    values = ", ".join(f"({'null' if n is None else n}, {'null' if t is None else t}::bigint)" for n, t in rows)
+    assert [str(r[0]) for r in found] == [str(r[0]) for r in duckdb.sql(f"select round(n / t, 6) from (values {values}) as v(n, t)").fetchall()]
+    assert found[0][0] == 1.001562
+
+
+def test_rounding_goes_away_from_zero_at_halves(spark):
+    got = spark.createDataFrame([(x,) for x in (2.5, -2.5, 3.5, 0.49999999999999994, 1e300, -0.2)], "x double").select(Q.rounded(F.col("x"), 0)).collect()
+    assert [r[0] for r in got] == [3.0, -3.0, 4.0, 0.0, 1e300, 0.0]
