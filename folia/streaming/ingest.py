@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from folia.operators import manuscripts as M
 from folia.operators import nodes as N
 from folia.operators import validate as V
-from folia.sources.files import docx_blocks
+from folia.sources.files import contents, docx_blocks, listed, shared_folder
+from folia.sources.files import tasks as _tasks
+from folia.streaming.usage import scratch
 
 ARRIVING = "doc_id bigint, xml string"
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
+FOUND = "path string, length bigint"
 MANIFEST = "path string, sha256 string, status string, reason string, batch int"
 
 
@@ -52,8 +55,15 @@ class _Batch:
             files.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.target}/work/{k}/batch={self.number}"), True)
 
 
-def _tasks(spark: SparkSession) -> int:
-    return 4 * spark.sparkContext.defaultParallelism
+def _place(spark: SparkSession, path: str):
+    """A path's file system, and the path for it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, path = _place(spark, path)
+    return files.exists(path)
 
 
 def _run(stream: DataFrame, write, checkpoint: str):
@@ -83,17 +93,47 @@ def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str
     return _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(source), write, checkpoint)
 
 
+def _arrivals(spark: SparkSession, folder: str, checkpoint: str, per_trigger: int) -> DataFrame:
+    """A stream of the files (FOUND) below a shared folder, about per_trigger a batch and never more.
+
+    Tasks list the folder; what is not in the tables of arrivals below the checkpoint yet is added to them, and they are the stream's source.
+    So neither the driver nor the stream's memory has an entry per file: they have one per table of arrivals.
+    """
+    log = f"{checkpoint}/arrivals"
+    found = listed(spark, folder).select("path", "length")
+    if _exists(spark, log):
+        found = found.join(spark.read.schema(FOUND).parquet(log).select("path"), "path", "left_anti")
+    kept = f"{scratch(spark)}/new"
+    found.write.parquet(kept)
+    new = spark.read.schema(FOUND).parquet(kept)
+    n, tables = new.count(), min(_tasks(spark), per_trigger)
+    most = per_trigger // tables
+    if n:
+        # Dealt a little under what a table may hold, as the rows are not dealt quite evenly.
+        parts = max(min(n, tables), -(-n * 10 // (most * 9)))
+        new.repartition(parts).write.mode("append").option("maxRecordsPerFile", most).parquet(log)
+    else:
+        files, path = _place(spark, log)
+        files.mkdirs(path)
+    return spark.readStream.schema(FOUND).option("maxFilesPerTrigger", tables).parquet(log)
+
+
 def stream_files(spark: SparkSession, source: str, target: str, checkpoint: str, per_trigger: int = 1000, max_bytes: int = M.MAX_BYTES):
     """Takes in files as they arrive below source: articles (.xml) and manuscripts (.docx, .pdf). Returns the finished query.
 
     Below target: articles, nodes and errors of the XML files, blocks of the Word files, and the manifest (MANIFEST) with one row per
     file. Its status is article, blocks, accepted (a PDF: its text is not read here), broken (with the first error), rejected (with the
     admission's reason), or replayed (the same bytes came before, in an earlier batch or under an earlier path of this one).
+
+    A folder of the shared file system is listed and read by tasks, empty files included. Other stores and patterns are listed by Spark's own
+    stream of files, which keeps every path on the driver and leaves empty files out.
     """
+    folder = shared_folder(spark, source)
 
     def write(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         batch = _Batch(spark, target, number)
+        rows = contents(rows) if folder else rows
         files = rows.select("path", "length", "content", F.sha2("content", 256).alias("sha256"), M.suffix(F.col("path")).alias("suffix"))
         is_xml: Column = F.col("suffix") == ".xml"
         large = F.when(F.col("length") > max_bytes, M.TOO_LARGE)
@@ -116,13 +156,14 @@ def stream_files(spark: SparkSession, source: str, target: str, checkpoint: str,
         batch.write(said.select("path", "sha256", status.alias("status"), F.when(~F.col("came"), F.coalesce("reason", "why")).alias("reason")), "manifest")
         batch.done()
 
+    if folder:
+        return _run(_arrivals(spark, folder, checkpoint, per_trigger), write, checkpoint)
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).option("maxFilesPerTrigger", per_trigger).load(source)
     return _run(stream, write, checkpoint)
 
 
 def manifest(spark: SparkSession, target: str) -> DataFrame:
     """What became of every file so far; no rows before the first batch."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/manifest")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not _exists(spark, f"{target}/manifest"):
         return spark.createDataFrame([], MANIFEST)
     return spark.read.schema(MANIFEST).parquet(f"{target}/manifest")

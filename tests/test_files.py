@@ -277,3 +277,32 @@ def test_manuscript_scan_of_documents_without_text(spark, tmp_path):
     J.FileDrop(f"file://{folder}")(iter([Row(name="a/x.pdf", content=b"22")]))
     assert (folder / "a" / "x.pdf").read_bytes() == b"22" and (folder / "a" / "x.pdf").stat().st_ino != first
     assert os.listdir(folder / "a") == ["x.pdf"]
+
+
+def test_files_are_listed_by_tasks_and_the_stream_keeps_no_entry_for_each(spark, tmp_path):
+    import json
+
+    from folia.streaming import ingest as I
+
+    drop, target, state = tmp_path / "in", str(tmp_path / "out"), tmp_path / "state"
+
+    def put(**files):
+        for name, content in files.items():
+            (drop / name).parent.mkdir(parents=True, exist_ok=True)
+            (drop / name).write_text(content)
+
+    def entries():
+        return [json.loads(x)["path"] for p in (state / "sources" / "0").iterdir() if p.name.isdigit() for x in p.read_text().splitlines()[1:]]
+
+    put(**{f"{k % 3}/deep/{k}.txt": str(k) for k in range(200)}, **{"0/none.docx": "", "0/a é%20 b.xml": "<article></article>"})
+    I.stream_files(spark, f"file://{drop}", target, str(state), per_trigger=100)
+    found = {r["path"].rpartition("/")[2]: r["status"] for r in I.manifest(spark, target).collect()}
+    assert len(found) == 202 and (found["none.docx"], found["7.txt"], found["a é%20 b.xml"]) == ("rejected", "rejected", "article")
+    assert I.manifest(spark, target).count() == 202 and max(r["count"] for r in I.manifest(spark, target).groupBy("batch").count().collect()) <= 100
+    assert len(entries()) < 100 and not [p for p in entries() if not p.endswith(".parquet")]
+    # What has come is not taken again; what comes is.
+    I.stream_files(spark, f"file://{drop}", target, str(state), per_trigger=100)
+    assert I.manifest(spark, target).count() == 202
+    put(**{"late/b.xml": "<article>b</article>"})
+    I.stream_files(spark, f"file://{drop}", target, str(state), per_trigger=100)
+    assert [r["status"] for r in I.manifest(spark, target).where("path like '%/late/b.xml'").collect()] == ["article"] and I.manifest(spark, target).count() == 203
