@@ -306,3 +306,24 @@ def test_files_are_listed_by_tasks_and_the_stream_keeps_no_entry_for_each(spark,
     put(**{"late/b.xml": "<article>b</article>"})
     I.stream_files(spark, f"file://{drop}", target, str(state), per_trigger=100)
     assert [r["status"] for r in I.manifest(spark, target).where("path like '%/late/b.xml'").collect()] == ["article"] and I.manifest(spark, target).count() == 203
+
+
+def test_a_prompt_goes_to_python_once_for_all_models(spark):
+    came = spark.sparkContext.accumulator(0)
+    roster = spark.createDataFrame([(0, "a"), (1, "b"), (2, None)], "roster_idx int, label string")
+    docs = spark.createDataFrame([(k, f"p{k}", "x" * 3_000_000) for k in range(4)] + [(9, None, None)], "doc_id long, prompt string, more string")
+
+    def client():
+        came.add(1)
+        return lambda prompt, label: {"text": f"{prompt}{label}", "completion_tokens": 1} if label else {"error": "429"}
+
+    made = C.call_model(docs.coalesce(1), None, client=client, arguments=("prompt", "label"), roster=roster, without=("prompt", "more"))
+    assert made.columns == ["doc_id", "roster_idx", "label", "text", "finish_reason", "prompt_tokens", "completion_tokens", "error_class"]
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in made._jdf.queryExecution().executedPlan().toString()
+    found = made.collect()
+    spread = C.call_model(docs, None, 3, client=client, arguments=("prompt", "label"), roster=roster, without=("prompt", "more"))
+    order = lambda r: (r["doc_id"], r["roster_idx"])
+    assert sorted(found, key=order) == sorted(spread.select(made.columns).collect(), key=order)
+    assert len(found) == 15 and {r["text"] for r in found if r["doc_id"] == 2} == {"p2a", "p2b", None} and {r["error_class"] for r in found} == {None, "rate_limit"}
+    with pytest.raises(ValueError):
+        C.call_model(docs, None, client=client, roster=spark.range(1001).withColumnRenamed("id", "label"))

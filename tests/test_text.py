@@ -100,3 +100,19 @@ def test_density_rounds_as_the_sql_does(spark):
 def test_rounding_goes_away_from_zero_at_halves(spark):
     got = spark.createDataFrame([(x,) for x in (2.5, -2.5, 3.5, 0.49999999999999994, 1e300, -0.2)], "x double").select(Q.rounded(F.col("x"), 0)).collect()
     assert [r[0] for r in got] == [3.0, -3.0, 4.0, 0.0, 1e300, 0.0]
+
+
+def test_texts_that_need_no_step_are_left_as_the_steps_would_leave_them(spark):
+    import re
+
+    texts = ["", " ", "x", " x", "x　", "﻿ x", "﻿<article>é</article>\n", "<a\n<b>", "<a <b>", "a\n\n<b\n <c>", "```XML\n<a/>\n```", "`` ```json {}``` ", "no ``` kind ", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", X.fence_extract(F.col("x")).alias("f"), X.strip_bom_trim(F.col("x")).alias("b"),
+        X.fix_truncated_tag(F.col("x")).alias("t"), X._strip_whole(F.col("x")).alias("w"), X.strip(F.col("x")).alias("s")).collect()
+    for r in rows:
+        assert r["w"] == r["s"]
+        if r["x"] is None:
+            assert r["f"] is r["b"] is r["t"] is None
+            continue
+        assert r["b"] == r["x"].strip(X.WHITE_SPACE).lstrip("﻿") and r["t"] == re.sub(X.TRUNCATED_TAG, r"\2", r["x"])
+        found = re.search("(?si)```xml\\s*(.*?)(?:```|$)", r["x"]) or re.search("(?si)```json\\s*(.*?)(?:```|$)", r["x"])
+        assert r["f"] == (found[1] if found else r["x"]).strip(X.WHITE_SPACE)
